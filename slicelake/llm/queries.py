@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slicelake.llm import bpe, mixing, search, spans, suffixes
 from slicelake.llm.common import table
+from slicelake.llm.language import languages
+from slicelake.llm.mixing import domain_of_source, mix, target_weights
+from slicelake.llm.quality import quality_scores
+from slicelake.llm.sampling import edited_fingerprints
+from slicelake.llm.search import top_k
 from slicelake.llm.simhash import simhash_groups
+from slicelake.llm.spans import sentence_spans
+from slicelake.llm.token_files import op10_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +31,55 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@query
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
+@query
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), domain_of_source(), target_weights()).drop("h")
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.removed_spans(table(spark, sf_dir, "documents"), 50))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        return op10_rows(table(spark, sf_dir, "documents"), f.read())
+
+
+ORACLES["op2_sentence_span_dedup"] = spans.SQL
+ORACLES["op6_source_mixing"] = mixing.SQL
+ORACLES["op9_exact_top_k"] = search.SQL
