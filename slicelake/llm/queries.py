@@ -80,6 +80,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op10_rows(table(spark, sf_dir, "documents"), f.read())
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ORACLES["op2_sentence_span_dedup"] = spans.SQL
 ORACLES["op6_source_mixing"] = mixing.SQL
 ORACLES["op9_exact_top_k"] = search.SQL

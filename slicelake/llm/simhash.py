@@ -1,12 +1,15 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A fingerprint of 64 bits is eight positional bytes. Two fingerprints at ``max_bits`` differing bits or
-fewer differ in at most that many bytes, so they share at least ``8 - max_bits`` positional bytes. The
-index posts each distinct fingerprint under every set of that many positions with the bytes there;
-within a posting list the shared positional bytes of a pair are tallied, pairs that reach the minimum
-are kept and verified by their differing bits. Lists longer than ``BLOCK`` are cut into blocks, and each
-pair of blocks is a group of its own, so no list meets whole in one task's memory; each task gives a
-spanning forest of its links rather than all of them, which leaves the components as they are.
+A fingerprint is one or more words of 64 bits, each of eight positional bytes. Two words at d differing
+bits differ in at most d bytes, so they share at least 8 - d positional bytes. The index posts each distinct
+fingerprint, for each of its words, under every set of ``match`` positions with the bytes there; within a
+posting list the shared positional bytes of a pair are tallied, pairs that reach the minimum are kept and
+verified by their differing bits. With one word and ``match = 8 - max_bits`` no link can be missed. Wider
+fingerprints, for larger distances, are met under one of their words with high probability only.
+
+Lists longer than ``BLOCK`` are cut into blocks, and each pair of blocks is a group of its own, so no list
+meets whole in one task's memory; each task gives a spanning forest of its links rather than all of them,
+which leaves the components as they are.
 """
 
 from __future__ import annotations
@@ -28,151 +31,177 @@ from slicelake.scratch import written
 BLOCK = 1024
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> bytes:
-    """Eight bytes, most significant first; a bit is 1 if it is 1 in over half of the hashes."""
-    words = text.lower().split()  # of bytes: lowers A-Z only, splits at \\x20 and \\x09-\\x0D only
-    if not words:
-        return bytes(8)
-    joined, hash_ = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = np.array([hash_(joined, seed)], dtype=">u8")
+def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
+    """Eight bytes a word, most significant first; a bit is 1 if it is 1 in over half of the hashes. Words after the first mix the same hashes anew."""
+    tokens = text.lower().split()  # of bytes: lowers A-Z only, splits at \\x20 and \\x09-\\x0D only
+    if not tokens:
+        return bytes(8 * words)
+    joined, hash_ = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= shingle:
+        hashes = np.array([hash_(joined, seed)], dtype="u8")
     else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        hashes = np.array([hash_(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes)).tobytes()
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) of each row. A null text is empty, a text without words has fingerprint 0."""
+        starts = (ends - sizes)[: len(tokens) - shingle + 1].tolist()
+        hashes = np.array([hash_(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="u8")
+    out = []
+    for word in range(words):
+        if word:
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(word)
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            hashes ^= hashes >> np.uint64(29)
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(hashes), 8192):
+            ones += np.unpackbits(hashes[i : i + 8192].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(hashes)).tobytes())
+    return b"".join(out)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, f0, f1, ...) of each row, the words as longs. A null text is empty, a text without words has fingerprint 0."""
+    names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            fps = b"".join(fingerprint(t, shingle) for t in b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.frombuffer(fps, dtype=">i8").astype("i8"))], ["doc_id", "fp"])
+            fps = b"".join(fingerprint(t, shingle, words) for t in b.column("text").to_pylist())
+            m = np.frombuffer(fps, dtype=">i8").astype("i8").reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(m[:, i]) for i in range(words))], ["doc_id", *names])
 
-    return texts(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filter, then verification, of pairs of fingerprints."""
-    x = a ^ b
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
-    return (shared >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+def near(a: np.ndarray, b: np.ndarray, max_bits: int, match: int) -> np.ndarray:
+    """Count filter, then verification, of pairs of fingerprints (last axis: words)."""
+    x = np.ascontiguousarray(a ^ b)
+    shared = (x.view(np.uint8) == 0).sum(axis=-1)
+    return (shared >= match) & (np.bitwise_count(x).sum(axis=-1, dtype=np.int32) <= max_bits)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked within ``fps``: at most one fewer than there are fingerprints."""
-    left, a, b = np.unique(fps), [], []
+def forest(fps: np.ndarray, max_bits: int, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``fps`` to link, so that what is linked within it is joined: fewer links than rows."""
+    left, a, b = np.arange(len(fps)), [], []
     while len(left):
-        reached, edge, left = [left[:1]], left[:1], left[1:]
+        edge, left = left[:1], left[1:]
         while len(edge) and len(left):
             found = np.zeros(len(left), dtype=bool)
             for i in range(0, len(edge), 64):
                 rest = np.flatnonzero(~found)
-                hit = near(edge[i : i + 64, None], left[None, rest], max_bits)
+                own = edge[i : i + 64]
+                hit = near(fps[own][:, None], fps[left[rest]][None], max_bits, match)
                 any_ = hit.any(axis=0)
-                a.append(edge[i : i + 64][hit.argmax(axis=0)[any_]])
+                a.append(own[hit.argmax(axis=0)[any_]])
                 b.append(left[rest[any_]])
                 found[rest[any_]] = True
             edge, left = left[found], left[~found]
-            reached.append(edge)
     return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b): a spanning forest of the links among the distinct fingerprints ``fp``."""
-    masks = [sum(0xFF << (8 * p) for p in ps) for ps in combinations(range(8), 8 - max_bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    postings = fps.select(F.explode(keys).alias("key"), "fp")
-    postings = postings.repartition("key").sortWithinPartitions("key", "fp")
+class _Lists:
+    """Posting lists as they arrive, sorted by key: links of those that fit a block, members of those that don't."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, key: np.ndarray, blk: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, "i4")), pa.array(key), pa.array(blk.astype("i8")), pa.array(a.view("i8")), pa.array(b.view("i8"))], ["kind", "key", "blk", "a", "b"])
-
-        def lists(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[cut, len(key)])
-            two = cut[size == 2]
-            ok = near(fp[two], fp[two + 1], max_bits)
-            a, b = [fp[two][ok]], [fp[two + 1][ok]]
-            for s, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                x, y = forest(fp[s : s + n], max_bits)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield out(0, np.zeros(len(a), "i8"), np.zeros(len(a)), a, b)
-
-        key, fp, done, last = np.empty(0, "i8"), np.empty(0, "u8"), 0, None  # done: rows of the list under way that are out already
-        for batch in batches:
-            key = np.r_[key, batch.column("key").to_numpy()]
-            fp = np.r_[fp, batch.column("fp").to_numpy().view("u8")]
-            if not len(key):
-                continue
-            if done and key[0] != last:
-                done = 0
-            tail = np.searchsorted(key, key[-1])
-            if tail:
-                if done:  # the rest of a long list
-                    n = int(np.searchsorted(key, key[0], "right"))
-                    yield out(1, key[:n], (done + np.arange(n)) // BLOCK, fp[:n], fp[:n])
-                    done = 0
-                else:
-                    n = 0
-                if tail > n:
-                    yield from self_or_long(key[n:tail], fp[n:tail], lists, out)
-                key, fp = key[tail:], fp[tail:]
-            if len(key) > BLOCK or done:
-                yield out(1, key, (done + np.arange(len(key))) // BLOCK, fp, fp)
-                done, last, key, fp = done + len(key), key[-1], key[:0], fp[:0]
-        if len(key):
-            if done and key[0] == last:
-                yield out(1, key, (done + np.arange(len(key))) // BLOCK, fp, fp)
-            else:
-                yield from self_or_long(key, fp, lists, out)
-
-    def self_or_long(key, fp, lists, out) -> Iterator[pa.RecordBatch]:
+    def __init__(self, words: int, max_bits: int, match: int):
+        self.words, self.max_bits, self.match = words, max_bits, match
+        self.key, self.id, self.fps = np.empty(0, "i8"), np.empty(0, "i8"), np.empty((0, words), "u8")
+        self.done, self.last = 0, None  # members of the list under way that are out already, and its key
+
+    def out(self, kind: int, key: np.ndarray, blk: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray | None = None) -> pa.RecordBatch:
+        fps = np.zeros((len(a), self.words), "u8") if fps is None else fps
+        columns = [np.full(len(a), kind, "i4"), key, blk.astype("i8"), a, b, *(np.ascontiguousarray(fps[:, i]).view("i8") for i in range(self.words))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "blk", "a", "b", *(f"f{i}" for i in range(self.words))])
+
+    def whole(self, n: int) -> Iterator[pa.RecordBatch]:
+        """The first n rows, which are whole lists."""
+        key, id_, fps = self.key[:n], self.id[:n], self.fps[:n]
+        self.key, self.id, self.fps = self.key[n:], self.id[n:], self.fps[n:]
+        if not n:
+            return
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[cut, len(key)])
+        size = np.diff(np.r_[cut, n])
         long_ = np.repeat(size > BLOCK, size)
         if long_.any():
-            at = np.arange(len(key)) - np.repeat(cut, size)
-            yield out(1, key[long_], at[long_] // BLOCK, fp[long_], fp[long_])
-        if not long_.all():
-            yield from lists(key[~long_], fp[~long_])
+            at = np.arange(n) - np.repeat(cut, size)
+            yield self.out(1, key[long_], at[long_] // BLOCK, id_[long_], id_[long_], fps[long_])
+        two = cut[size == 2]
+        two = two[near(fps[two], fps[two + 1], self.max_bits, self.match)]
+        a, b = [id_[two]], [id_[two + 1]]
+        some = (size > 2) & (size <= BLOCK)
+        for s, k in zip(cut[some].tolist(), size[some].tolist(), strict=True):
+            x, y = forest(fps[s : s + k], self.max_bits, self.match)
+            a.append(id_[s + x])
+            b.append(id_[s + y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield self.out(0, np.zeros(len(a), "i8"), np.zeros(len(a)), a, b)
+
+    def part(self, n: int) -> pa.RecordBatch:
+        """The first n rows, a part of one long list."""
+        key, id_, fps = self.key[:n], self.id[:n], self.fps[:n]
+        self.key, self.id, self.fps = self.key[n:], self.id[n:], self.fps[n:]
+        blk = (self.done + np.arange(n)) // BLOCK
+        self.done, self.last = self.done + n, key[-1]
+        return self.out(1, key, blk, id_, id_, fps)
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.key = np.r_[self.key, batch.column("key").to_numpy()]
+        self.id = np.r_[self.id, batch.column("id").to_numpy()]
+        self.fps = np.concatenate([self.fps, np.stack([batch.column(f"f{i}").to_numpy().view("u8") for i in range(self.words)], axis=1)])
+        if not len(self.key):
+            return
+        if self.done and self.key[0] == self.last:
+            yield self.part(int(np.searchsorted(self.key, self.last, "right")))
+        if len(self.key):
+            self.done = 0
+            yield from self.whole(int(np.searchsorted(self.key, self.key[-1])))
+            if len(self.key) > BLOCK:
+                yield self.part(len(self.key))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self.whole(len(self.key))
+
+
+def links(fps: DataFrame, words: int, max_bits: int, match: int) -> DataFrame:
+    """(a, b): a spanning forest of the links among distinct fingerprints (id, f0, f1, ...)."""
+    names = [f"f{i}" for i in range(words)]
+    masks = [sum(0xFF << (8 * p) for p in ps) for ps in combinations(range(8), match)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(n), F.col(n).bitwiseAND(F.lit(m))) for n in names for i, m in enumerate(signed)])
+    postings = fps.select(F.explode(keys).alias("key"), "id", *names).repartition("key").sortWithinPartitions("key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(words, max_bits, match)
+        for batch in batches:
+            yield from lists.add(batch)
+        yield from lists.end()
 
-    found = written(postings.mapInArrow(run, "kind int, key long, blk long, a long, b long"), "links")
+    schema = "kind int, key long, blk long, a long, b long, " + ", ".join(f"{n} long" for n in names)
+    found = written(postings.mapInArrow(run, schema), "links")
     pairs = found.where("kind = 0").select("a", "b")
     long_ = found.where("kind = 1")
     if not long_.isEmpty():
         top = long_.groupBy("key").agg(F.max("blk").alias("top"))
-        dealt = long_.join(top, "key").select("key", "a", "blk", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("other"))
-        dealt = dealt.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "a")
+        dealt = long_.join(top, "key").select("key", "a", *names, "blk", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("other"))
+        dealt = dealt.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "a", *names)
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = forest(pdf["a"].to_numpy().view("u8"), max_bits)
-            return pd.DataFrame({"a": a.view("i8"), "b": b.view("i8")})
+            a, b = forest(np.ascontiguousarray(pdf[names].to_numpy("i8")).view("u8"), max_bits, match)
+            ids = pdf["a"].to_numpy()
+            return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
         pairs = pairs.union(dealt.groupBy("key", "lo", "hi").applyInPandas(block, "a long, b long"))
     return pairs.distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, words: int = 1, match: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
     Every row of ``docs`` gives a row, repeated ones too. A row whose doc_id is null has a component only if
     it is linked to others. An empty table gives no rows; columns besides doc_id and text are ignored.
     """
-    prints = written(fingerprints(docs, shingle), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    components = connected_components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
+    names = [f"f{i}" for i in range(words)]
+    prints = written(fingerprints(docs, shingle, words).withColumn("id", F.col("f0") if words == 1 else F.xxhash64(*names)), "prints")
+    distinct = written(prints.groupBy("id", *names).agg(F.min("doc_id").alias("least_id")), "distinct")
+    components = connected_components(links(distinct, words, max_bits, 8 - max_bits if match is None else match))
+    named = distinct.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     least = named.where("component is not null").groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = named.join(least, "label", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = named.join(least, "label", "left").select("id", F.coalesce("component_id", "least_id").alias("component_id"))
+    digits = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
+    return prints.join(of, "id").select("doc_id", digits.alias("fingerprint"), "component_id")

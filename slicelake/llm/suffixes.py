@@ -311,6 +311,28 @@ def kept_bytes(data: bytes, spans) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def kept_text(spans: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of removed_spans(): what is left as text; a character goes only if all its bytes go. h is the hash of the whole text."""
+
+    def whole(data: bytes, spans_) -> str:
+        out, at = [], 0
+        for s in spans_:
+            a, b = s["start"], s["stop"]
+            while a < b and data[a] & 0xC0 == 0x80:  # within a character that began before
+                a += 1
+            while b > a and b < len(data) and data[b] & 0xC0 == 0x80:  # within one that goes on
+                b -= 1
+            out.append(data[at:a])
+            at = b
+        return b"".join([*out, data[at:]]).decode("utf-8", "replace")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "text": [whole(d, s) for d, s in zip(pdf["data"], pdf["spans"], strict=True)]})
+
+    return spans.withColumn("h", F.xxhash64(F.col("data").cast("string"))).mapInPandas(run, "doc_id long, h long, text string")
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of removed_spans()."""
 
