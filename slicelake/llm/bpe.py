@@ -1,10 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are cut into words with their positions, a chunk of documents at a time. A chunk sends each distinct
-word once to the global table of distinct words, so a word that fills a third of the corpus is a row for
-each chunk. Each distinct word is encoded once; its ids are joined back to the chunks and put in place by
-position. What stays between is (chunk, word) rows and each chunk's positions as compressed integers,
-never a row for each token. Decoding joins the token-byte table, whose size the vocabulary bounds.
+word once to the global table of distinct words, so a word that fills a third of the corpus is sent once
+by each chunk. There each distinct word is encoded once; its ids go back to the chunks that asked and are
+put in place by position. Words, ids and positions travel packed: what a chunk sends to one part of the
+table is one row, and so is each document's list of positions; there is never a row for each token.
+Decoding joins the token-byte table, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -18,19 +19,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from slicelake.llm.common import texts
-from slicelake.scratch import written
+from slicelake.llm.common import parts, small, text_bytes, texts
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words. Cuts fall only where no match of the tokenizer's pattern can go on: before white space (a space may
 #: lead what follows it) and between a Latin letter and one of . , ; : ! ? so each word is encoded by itself.
 WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A chunk is closed at so many characters.
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,55 +45,56 @@ def _coder(ranks: tuple, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed with their low bytes together and their high bytes together."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def pack_strings(strings: list[bytes]) -> bytes:
+    sizes = pack_numbers(np.fromiter(map(len, strings), "u4", len(strings)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(strings), 3)
+
+
+def unpack_strings(packed: bytes) -> list[bytes]:
+    n = int.from_bytes(packed[:4], "little")
+    flat, ends = zstandard.decompress(packed[4 + n :]), np.cumsum(unpack_numbers(packed[4 : 4 + n]), dtype="i8").tolist()
+    return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. Of a document: chunk, doc_id, body (its words as compressed numbers). Of a word: chunk, word, number."""
+    """Rows of two kinds. Of a document: chunk, doc_id, body (the numbers of its words in order). Of a chunk: chunk, words (its distinct words by number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack = zstandard.ZstdCompressor(level=3).compress
-        names = ["chunk", "doc_id", "body", "word", "number"]
+        names = ["chunk", "doc_id", "body", "words"]
         chunk, size, known = TaskContext.get().partitionId() << 32, 0, {}
 
         def words() -> pa.RecordBatch:
-            n = len(known)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(known), pa.string()), pa.array(np.arange(n, dtype="i4"))], names)
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                b = batch.slice(i, 128)
-                bodies = []
-                for t in b.column("text").to_pylist():
-                    found = WORD.findall(t)
-                    for w in set(found).difference(known):
-                        known[w] = len(known)
-                    numbers = np.fromiter(map(known.__getitem__, found), "<u4", len(found))
-                    planes = numbers.view("u1").reshape(-1, 4).T  # low bytes together, high bytes together
-                    bodies.append(pack(planes.tobytes()))
-                    size += len(t)
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), b.column("doc_id"), pa.array(bodies, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names)
-                if size >= CHUNK:
-                    yield words()
-                    chunk, size, known = chunk + 1, 0, {}
-        if known:
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack_strings([w.encode() for w in known])], pa.binary())], names)
+
+        for b in small(batches, 128):
+            bodies = []
+            for t in b.column("text").to_pylist():
+                found = WORD.findall(t)
+                for w in set(found).difference(known):
+                    known[w] = len(known)
+                bodies.append(pack_numbers(np.fromiter(map(known.__getitem__, found), "u4", len(found))))
+                size += len(t)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), b.column("doc_id"), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())], names)
+            if size >= CHUNK:
+                yield words()
+                chunk, size, known = chunk + 1, 0, {}
+        if size or known:
             yield words()
 
-    return texts(docs).mapInArrow(run, "chunk long, doc_id long, body binary, word string, number int")
-
-
-def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, ids binary): the ids of each row's word as little-endian unsigned 32-bit integers."""
-    table = words.sparkSession.sparkContext.broadcast(tuple(ranks.items()))  # bounded by the vocabulary
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
-        for b in batches:
-            coder = coder or _coder(table.value, pattern)
-            ids = [np.array(coder.encode_ordinary(w), "<u4").tobytes() for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids binary")
+    return texts(docs).mapInArrow(run, "chunk long, doc_id long, body binary, words binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -101,29 +102,56 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     A null or empty text has no ids. Columns besides doc_id and text are ignored; an empty table gives no rows.
     """
-    rows = written(chunks(docs), "chunks")
-    asked = rows.where("word is not null").select("chunk", "word", "number")
-    table = encode_words(asked.select("word").distinct(), ranks, pattern)
-    answers = asked.join(table, "word").select(F.col("chunk").alias("of"), "number", "ids")
-    bodies = rows.where("body is not null").select("chunk", "doc_id", "body")
-
-    def place(body: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
-        ids = np.empty(len(words), dtype=object)
-        ids[words["number"].to_numpy()] = words["ids"].to_numpy()
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
-        start = np.cumsum(size) - size
+    spark = docs.sparkSession
+    vocabulary = spark.sparkContext.broadcast(tuple(ranks.items()))
+    n = parts(spark, text_bytes(texts(docs)), 2 * CHUNK)
+    dealt = chunks(docs).repartition(n, "chunk")
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = pdf["words"].dropna()
+        words = unpack_strings(packed.iloc[0]) if len(packed) else []
+        part = np.fromiter((xxhash.xxh32_intdigest(w) % n for w in words), "i8", len(words))
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(n + 1)).tolist()
+        rows = [(i, int(pdf["chunk"].iloc[0]), pack_numbers(order[s:e]), pack_strings([words[k] for k in order[s:e].tolist()])) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
+        return pd.DataFrame(rows, columns=["part", "asks", "numbers", "words"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        coder, known, ids = _coder(vocabulary.value, pattern), {}, []
+        for packed in pdf["words"]:
+            words = unpack_strings(packed)
+            for w in words:
+                if w not in known:
+                    known[w] = np.array(coder.encode_ordinary(w.decode()), "<u4")
+            sizes = np.fromiter((len(known[w]) for w in words), "u4", len(words))
+            found = pack_numbers(np.concatenate([known[w] for w in words]))
+            sizes = pack_numbers(sizes)
+            ids.append(len(sizes).to_bytes(4, "little") + sizes + found)
+        return pd.DataFrame({"asks": pdf["asks"].to_numpy(), "numbers": pdf["numbers"], "ids": ids})
+
+    def place(body: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        body = body[body["body"].notna()]
+        numbers, sizes, ids = [np.empty(0, "u4")], [np.empty(0, "u4")], [np.empty(0, "u4")]
+        for number, packed in zip(answers["numbers"], answers["ids"], strict=True):
+            k = int.from_bytes(packed[:4], "little")
+            numbers.append(unpack_numbers(number))
+            sizes.append(unpack_numbers(packed[4 : 4 + k]))
+            ids.append(unpack_numbers(packed[4 + k :]))
+        numbers, flat, given = np.concatenate(numbers), np.concatenate(ids), np.concatenate(sizes).astype("i8")
+        size, start = np.zeros(len(numbers), "i8"), np.zeros(len(numbers), "i8")
+        size[numbers], start[numbers] = given, np.cumsum(given) - given
         out = []
         for packed in body["body"]:
-            numbers = np.ascontiguousarray(np.frombuffer(unpack(packed), "u1").reshape(4, -1).T).view("<u4").ravel()
-            n = size[numbers]
-            # the k-th id of a word stands k places after the word's first
-            at = np.repeat(start[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            words = unpack_numbers(packed)
+            k = size[words]
+            # the i-th id of a word stands i places after the word's first
+            at = np.repeat(start[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
             out.append(flat[at].tobytes())
         return pd.DataFrame({"doc_id": body["doc_id"].astype("Int64"), "ids": out})
 
-    return bodies.groupBy("chunk").cogroup(answers.groupBy("of")).applyInPandas(place, "doc_id long, ids binary")
+    asked = dealt.groupBy("chunk").applyInPandas(ask, "part long, asks long, numbers binary, words binary")
+    answers = asked.groupBy("part").applyInPandas(answer, "asks long, numbers binary, ids binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("asks")).applyInPandas(place, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
