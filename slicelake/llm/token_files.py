@@ -21,10 +21,11 @@ from slicelake.llm.common import parts, small, text_bytes, texts
 from slicelake.scratch import scratch_path
 
 #: Pieces that the tokenizer's normalizer and splitter never join: at white space, and between a Latin
-#: letter and one of . , ; : ! ? as runs of letters end there. Each piece is encoded by itself.
-PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s]|$)|[^ \t\n\r]+")
+#: letter and an ASCII mark other than the apostrophe, as runs of letters end there. Each piece is encoded by itself.
+PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)|[^ \t\n\r]+")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Pieces that a worker remembers.
-MEMORY = 300_000
+MEMORY = 600_000
 
 
 @cache
@@ -33,22 +34,40 @@ def _tokenizer(model: bytes):
 
     made = Tokenizer.from_buffer(model)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, {}
+    ends = np.zeros(made.get_vocab_size(), bool)  # ids that end a word
+    ends[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
+    return made, ends, {}
+
+
+def _learn(pieces: list[str], tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> None:
+    """Encodes pieces into ``known``. Those of letters alone are one word each, so many make one text, cut again where a word ends."""
+    words, others = [], []
+    for p in pieces:
+        (words if LETTERS.match(p) else others).append(p)
+    for i in range(0, len(words), 1000):
+        own = words[i : i + 1000]
+        ids = np.array(tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(own):
+            at, flat = (4 * np.r_[0, cut]).tolist(), ids.tobytes()
+            known.update((w, flat[s:e]) for w, s, e in zip(own, at[:-1], at[1:], strict=True))
+        else:  # a vocabulary that doesn't mark word ends
+            others += own
+    for i in range(0, len(others), 4096):
+        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(others[i : i + 4096], tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False), strict=True))
 
 
 def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFrame:
     """(doc_id, ids array<int>) in the order and partitions of ``docs``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(model)
+        tokenizer, ends, known = _tokenizer(model)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for b in small(batches):
             split = [PIECE.findall(t) for t in b.column("text").to_pylist()]
             if len(known) > MEMORY:
                 known.clear()
-            new = list(set().union(*split) - known.keys())
-            for i in range(0, len(new), 4096):
-                known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True))
+            _learn(list(set().union(*split) - known.keys()), tokenizer, ends, known)
             rows = [b"".join(map(known.__getitem__, s)) + end for s in split]
             offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
