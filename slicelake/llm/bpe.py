@@ -27,8 +27,8 @@ from slicelake.llm.common import parts, small, text_bytes, texts
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words. Cuts fall only where no match of the tokenizer's pattern can go on: before white space (a space may
-#: lead what follows it) and between a Latin letter and one of . , ; : ! ? so each word is encoded by itself.
-WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: lead what follows it) and between a Latin letter and an ASCII mark other than the apostrophe.
+WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\\[-`{{-~{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A chunk is closed at so many characters.
 CHUNK = 12 << 20
 
