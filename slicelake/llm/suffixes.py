@@ -49,20 +49,23 @@ def _rolling(x: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
+def _rolling_rows(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n within each row of x."""
+    return np.ascontiguousarray(_rolling(np.asfortranarray(x).T, n).T)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
 
 
 def _first_least(h: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w values, the place of its first least value."""
-    low, at, size = h, np.arange(len(h), dtype="i4"), 1
+    """For each run of w values, the place of the first that is least in its leading 44 bits; at most 2**20 values."""
+    low, size = h >> np.uint64(20) << np.uint64(20) | np.arange(len(h), dtype="u8"), 1
     while size < w:
         s = min(size, w - size)
-        a, b = low[:-s], low[s:]
-        right = b < a
-        low, at, size = np.where(right, b, a), np.where(right, at[s:], at[:-s]), size + s
-    return at
+        low, size = np.minimum(low[:-s], low[s:]), size + s
+    return (low & np.uint64((1 << 20) - 1)).astype("i4")
 
 
 class Chunk:
@@ -93,17 +96,19 @@ class Chunk:
                 ends = np.cumsum(length_of)
                 h = _mix(_rolling(_RANDOM[block], GRAM))
                 at = _first_least(h, length - GRAM + 1)
-                window = np.arange(len(at))
-                in_doc = np.searchsorted(ends, window, "right")
-                ok = ends[in_doc] - window >= length
-                window, at, in_doc = window[ok], at[ok], in_doc[ok]
-                cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (in_doc[1:] != in_doc[:-1])])
+                ok = np.ones(len(at), bool)
+                for e in ends.tolist():  # no window crosses the end of a text
+                    ok[max(e - length + 1, 0) : e] = False
+                window = np.flatnonzero(ok)
+                at = at[window]
+                cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 last = np.r_[cut[1:], len(at)] - 1
-                anchor = at[cut]
+                anchor = at[cut].astype("i8")
+                in_doc = np.searchsorted(ends, anchor, "right")
                 shift = np.array([s for s, _ in spans]) - (ends - length_of)
                 hashes.append(h[anchor])
-                docs.append(own[in_doc[cut]])
-                places.append(anchor + shift[in_doc[cut]])
+                docs.append(own[in_doc])
+                places.append(anchor + shift[in_doc])
                 lows.append((anchor - window[last]).astype("u1"))
                 highs.append((anchor - window[cut]).astype("u1"))
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
@@ -121,11 +126,14 @@ class Chunk:
 
     def around(self, rows: np.ndarray) -> np.ndarray:
         """Bytes about the anchors ``rows``: those of its windows, others 0; a matrix."""
-        reach = self.length - GRAM
+        reach, out = self.length - GRAM, np.zeros((len(rows), 2 * self.length - GRAM), "u1")
         offset = np.arange(-reach, self.length)
-        at = self.place[rows][:, None] + offset
-        used = (offset >= -self.high[rows][:, None].astype("i8")) & (offset < self.length - self.low[rows][:, None].astype("i8"))
-        return np.where(used, self.bytes[np.clip(at, 0, max(len(self.bytes) - 1, 0))], 0).astype("u1")
+        for i in range(0, len(rows), 4096):
+            own = rows[i : i + 4096]
+            used = (offset >= -self.high[own][:, None].astype("i8")) & (offset < self.length - self.low[own][:, None].astype("i8"))
+            at = self.place[own][:, None] + offset
+            out[i : i + 4096][used] = self.bytes[at[used]]
+        return out
 
     def records(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (hash, low, high, bytes around) among ``rows``: a representative of each, each row's number among them, and the bytes."""
@@ -225,7 +233,7 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     wide = 26 + 2 * length - GRAM
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The remaining digits: windows about equal anchors, by their bytes; runs of windows with an equal one in a smaller document."""
+        """The remaining digits: windows about equal anchors, by a hash of their bytes; runs of windows with an equal one in a smaller document."""
         m = [np.frombuffer(x, "u1").reshape(-1, wide) for x in pdf["records"]]
         own = np.repeat(np.arange(len(m)), [len(x) for x in m])
         number = np.concatenate([f + np.arange(len(x)) for f, x in zip(pdf["first"].tolist(), m, strict=True)])
@@ -235,15 +243,16 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         low, high, bytes_ = m[:, 24], m[:, 25], m[:, 26:]
         reach = length - GRAM
         smaller = np.full((len(m), reach + 1), np.iinfo("i8").max)
-        for o in range(reach + 1):  # windows that start o bytes before the anchor
-            rows = np.flatnonzero((low <= o) & (o <= high))
-            if not len(rows):
-                continue
-            key = np.concatenate([m[rows, :8], bytes_[rows, reach - o : reach - o + length]], axis=1)
-            _, inverse = np.unique(np.ascontiguousarray(key).view(f"V{length + 8}").ravel(), return_inverse=True)
-            group = np.full(inverse.max() + 1, np.iinfo("i8").max)
-            np.minimum.at(group, inverse, least[rows])
-            smaller[rows, o] = group[inverse]
+        start = np.arange(reach + 1)  # bytes before the anchor at which a window starts
+        used = (low[:, None] <= start) & (start <= high[:, None])
+        digits = np.concatenate([_rolling_rows(_RANDOM[bytes_[i : i + 4096]], length)[:, ::-1] for i in range(0, len(m), 4096)])
+        key = _mix(_mix(digits + _mix(h)[:, None]))[used]
+        order = np.argsort(key)
+        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        group = np.minimum.reduceat(np.repeat(least, used.sum(axis=1))[order], cut)
+        found = np.empty(len(key), "i8")
+        found[order] = np.repeat(group, np.diff(np.r_[cut, len(key)]))
+        smaller[used] = found
         smaller[smaller >= most[:, None]] = np.iinfo("i8").max
         out = []
         hit = np.flatnonzero((smaller < np.iinfo("i8").max).any(axis=1))
