@@ -1 +1 @@
-"""Part of slicelake."""
+"""Column functions: dates, geometry, calibrated quantities, labels."""

@@ -1 +1 @@
-"""Part of slicelake."""
+"""Operators: functions from DataFrames to DataFrames over the canonical tables."""
