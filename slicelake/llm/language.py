@@ -20,9 +20,9 @@ from slicelake.llm.common import small, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: About so many training documents are fitted on, chosen by a hash of doc_id; words and n-grams that the model holds in each language.
-FIT_DOCS, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
+FIT_DOCS, WORDS, GRAMS, LONGEST = 8_000, 20_000, 5_000, 4
 #: What is remembered of words by a worker.
-MEMORY = 100_000
+MEMORY = 300_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -49,35 +49,39 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 class Model:
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
-        self.langs, self.words, self.grams, self.seen = langs, words, grams, {}
+        self.langs, self.words, self.grams = langs, words, grams
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((MEMORY, max(len(langs), 1)))
 
-    def of(self, word: str) -> np.ndarray:
+    def of(self, word: str) -> list[float]:
         """Log scores of a word in each language."""
-        v = self.words.get(word)
-        if v is None:
-            v, i = np.zeros(len(self.langs)), 0
-            padded = f" {word} "
-            while i < len(padded):
-                for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                    if (g := self.grams[n].get(padded[i : i + n])) is not None:
-                        v, i = v + g, i + n
-                        break
-                else:
-                    i += 1
-        return np.asarray(v)
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        found, i, padded = [], 0, f" {word} "
+        while i < len(padded):
+            for n in range(min(LONGEST, len(padded) - i), 0, -1):
+                if (g := self.grams[n].get(padded[i : i + n])) is not None:
+                    found.append(g)
+                    i += n
+                    break
+            else:
+                i += 1
+        return list(map(sum, zip(*found, strict=True))) if found else [0.0] * len(self.langs)
 
     def predict(self, text: str) -> tuple[str, float]:
         words = WORD.findall(text.lower())
         if not words or not self.langs:
             return "und", 0.0
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        total, seen = np.zeros(len(self.langs)), self.seen
-        for w, n in Counter(words).items():
-            v = seen.get(w)
-            if v is None:
-                v = seen[w] = self.of(w)
-            total += n * v
+        total = np.zeros(len(self.langs))
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            if len(self.place) > MEMORY - len(part):
+                self.place.clear()
+            for w in set(part).difference(self.place):
+                self.rows[len(self.place)] = self.of(w)
+                self.place[w] = len(self.place)
+            total += self.rows[np.fromiter(map(self.place.__getitem__, part), "i8", len(part))].sum(axis=0)
         p = np.exp(total - total.max())
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
@@ -98,7 +102,7 @@ def fit(train: DataFrame) -> Model:
         for x, lang, n in rows.join(chosen, key).select(key, "lang", "n").collect():
             found.setdefault(x, np.zeros(len(langs)))[at[lang]] = n
         every = np.array([totals.get(x, 0) for x in langs], "f8")
-        return {x: np.log((v + 0.5) / (every + 0.5 * (len(found) + 1))) for x, v in found.items()}
+        return {x: np.log((v + 0.5) / (every + 0.5 * (len(found) + 1))).tolist() for x, v in found.items()}
 
     words = top(counts.where("n > 1"), "word", WORDS)
     grams: list[dict] = [{}]
