@@ -1 +1 @@
-"""Part of slicelake."""
+"""Readers and writers of archives, ledgers and evidence."""

@@ -1 +1 @@
-"""Part of slicelake."""
+"""Streams of view events: attestation, dwell segments, live coverage, display gate, reading sessions."""
