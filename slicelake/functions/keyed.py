@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def hmac_sha256(key: str, value: Column) -> Column:
@@ -30,7 +31,7 @@ def pseudo_name(key: str, value: Column) -> Column:
     return F.concat(F.lit("ANON^"), F.upper(F.substring(hmac_sha256(key, value), 1, 8)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decimal_of_hex(x: pd.Series) -> pd.Series:
     """128-bit integers don't fit a decimal column, so their digits are made here."""
     return x.map(lambda h: None if h is None else str(int(h, 16)))
