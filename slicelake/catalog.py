@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import slicelake.plans.deid
+import slicelake.plans.features
 import slicelake.plans.inventory
 import slicelake.plans.ledger
 import slicelake.plans.relations

@@ -63,19 +63,21 @@ def connected_components(mask: DataFrame, conn: int = 26, min_size: int = 1) ->
     return rows.join(size, "component")
 
 
-def grow_region(seeds: DataFrame, voxels: DataFrame, lo: float, hi: float, radius_mm: float, conn: int, spacing: tuple[float, float, float]) -> DataFrame:
+def grow_region(seeds: DataFrame, voxels: DataFrame, lo: float | None, hi: float | None, radius_mm: float, conn: int, spacing: tuple[float, float, float]) -> DataFrame:
     """(seed, series, k, r, c, v) of the voxels that a seed reaches within the band and within ``radius_mm`` of itself, in a straight line.
 
-    Seeds (seed, series, sk, sr, sc) meet candidates by series and by coarse blocks of columns and rows, so no
+    Without limits the seeds' own columns lo and hi are the band. Seeds (seed, series, sk, sr, sc) meet candidates by series and by coarse blocks of columns and rows, so no
     pair further apart than a block is looked at. A seed outside the band gives no rows.
     """
-    band = threshold(voxels, lo, hi)
+    band = voxels if lo is None else threshold(voxels, lo, hi)
+    if lo is not None:
+        seeds = seeds.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
     step = max(1, int(radius_mm / min(spacing[1:])) + 1)
     near = F.explode(F.expr("array(-1, 0, 1)"))
     asked = seeds.withColumn("br", near).withColumn("bc", near).withColumns({"br": c("br") + F.floor(c("sr") / step), "bc": c("bc") + F.floor(c("sc") / step)})
     rows = band.withColumns({"br": F.floor(c("r") / step), "bc": F.floor(c("c") / step)})
     d2 = sum(F.pow((c(a) - c(b)) * s, F.lit(2)) for a, b, s in zip(("k", "r", "c"), ("sk", "sr", "sc"), spacing, strict=True))
-    ball = rows.join(asked, ["series", "br", "bc"]).where(d2 <= radius_mm**2).select("seed", "sk", "sr", "sc", *KEY, "v")
+    ball = rows.join(asked, ["series", "br", "bc"]).where((d2 <= radius_mm**2) & (c("v") > c("lo")) & (c("v") < c("hi"))).select("seed", "sk", "sr", "sc", *KEY, "v")
     # each seed is a series of its own for the labelling
     apart = ball.select(c("seed").alias("series"), "k", "r", "c")
     found = connected_components(apart, conn).select(c("series").alias("seed"), "k", "r", "c", "component")
