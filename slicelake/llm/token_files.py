@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ def _learn(pieces: list[str], tokenizer, ends: np.ndarray, known: dict[str, byte
         (words if LETTERS.match(p) else others).append(p)
     for i in range(0, len(words), 1000):
         own = words[i : i + 1000]
-        ids = np.array(tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(ends[ids]) + 1
         if len(cut) == len(own):
             at, flat = (4 * np.r_[0, cut]).tolist(), ids.tobytes()
@@ -65,10 +66,17 @@ def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFra
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for b in small(batches):
             split = [PIECE.findall(t) for t in b.column("text").to_pylist()]
-            if len(known) > MEMORY:
-                known.clear()
-            _learn(list(set().union(*split) - known.keys()), tokenizer, ends, known)
-            rows = [b"".join(map(known.__getitem__, s)) + end for s in split]
+            flat = list(chain.from_iterable(split))
+            found = list(map(known.get, flat))
+            new = {p for p, x in zip(flat, found, strict=True) if x is None}
+            if new:
+                if len(known) > MEMORY:
+                    known.clear()
+                    new = set(flat)
+                _learn(list(new), tokenizer, ends, known)
+                found = list(map(known.__getitem__, flat))
+            cut = [0, *accumulate(map(len, split))]
+            rows = [b"".join(found[i:j]) + end for i, j in pairwise(cut)]
             offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
