@@ -50,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the token ids of each text, and the bytes that they decode to, as digests."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digest(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.digest(docs, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from base64 import b64decode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +30,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: lead what follows it) and between a Latin letter and an ASCII mark other than the apostrophe.
 WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\\[-`{{-~{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A chunk is closed at so many characters.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,14 +97,15 @@ def chunks(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "chunk long, doc_id long, body binary, words binary")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then: Callable[[list[bytes]], dict[str, list]] | None = None, fields: str = "ids binary") -> DataFrame:
     """(doc_id, ids binary): each document's ids as little-endian unsigned 32-bit integers; a row for each row of ``docs``.
 
     A null or empty text has no ids. Columns besides doc_id and text are ignored; an empty table gives no rows.
+    ``then`` turns the ids of some documents into other columns, ``fields``, within the same task.
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(tuple(ranks.items()))
-    n = parts(spark, text_bytes(texts(docs)), 2 * CHUNK)
+    n = parts(spark, text_bytes(texts(docs)), CHUNK)
     dealt = chunks(docs).repartition(n, "chunk")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,17 +142,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         size, start = np.zeros(len(numbers), "i8"), np.zeros(len(numbers), "i8")
         size[numbers], start[numbers] = given, np.cumsum(given) - given
         out = []
-        for packed in body["body"]:
-            words = unpack_numbers(packed)
-            k = size[words]
-            # the i-th id of a word stands i places after the word's first
-            at = np.repeat(start[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            out.append(flat[at].tobytes())
-        return pd.DataFrame({"doc_id": body["doc_id"].astype("Int64"), "ids": out})
+        for i in range(0, len(body), 64):
+            ids = []
+            for packed in body["body"].iloc[i : i + 64]:
+                words = unpack_numbers(packed)
+                k = size[words]
+                # the i-th id of a word stands i places after the word's first
+                at = np.repeat(start[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                ids.append(flat[at].tobytes())
+            out.append(pd.DataFrame({"doc_id": body["doc_id"].iloc[i : i + 64].astype("Int64").to_numpy()} | (then(ids) if then else {"ids": ids})))
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", *(f.split()[0] for f in fields.split(","))])
 
     asked = dealt.groupBy("chunk").applyInPandas(ask, "part long, asks long, numbers binary, words binary")
     answers = asked.groupBy("part").applyInPandas(answer, "asks long, numbers binary, ids binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("asks")).applyInPandas(place, "doc_id long, ids binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("asks")).applyInPandas(place, f"doc_id long, {fields}")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -159,30 +163,41 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     table = encoded.sparkSession.sparkContext.broadcast(tuple(ranks.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = None
         for b in batches:
-            if token is None:
-                token = [b""] * (max(i for _, i in table.value) + 1)
-                for t, i in table.value:
-                    token[i] = t
+            token = _table(table.value).bytes
             out = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields), "decoded binary"]))
 
 
-def digest(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, decoded on the way."""
-    top = max(ranks.values(), default=-1) + 1
+class _Table:
+    """Bytes and decimal text of each id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(top)]
-        for b in batches:
-            n, ids, text = [], [], []
-            for x, d in zip(b.column("ids").to_pylist(), b.column("decoded").to_pylist(), strict=True):
-                n.append(len(x) // 4)
-                ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest())
-                text.append(hashlib.sha256(d).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decode(encoded, ranks).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def __init__(self, ranks: tuple):
+        top = max((i for _, i in ranks), default=-1) + 1
+        self.bytes, self.decimal = [b""] * top, [str(i) for i in range(top)]
+        for t, i in ranks:
+            self.bytes[i] = t
+
+
+@cache
+def _table(ranks: tuple) -> _Table:
+    return _Table(ranks)
+
+
+def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts encoded, and the ids decoded again, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(ranks.items()))
+
+    def then(ids: list[bytes]) -> dict[str, list]:
+        table = _table(sent.value)
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for x in ids:
+            own = np.frombuffer(x, "<u4").tolist()
+            out["n_tokens"].append(len(own))
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(table.decimal.__getitem__, own)).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(table.bytes.__getitem__, own))).hexdigest())
+        return out
+
+    return encode(docs, ranks, pattern, then, "n_tokens long, ids_sha256 string, decoded_sha256 string")

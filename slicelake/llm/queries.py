@@ -41,7 +41,7 @@ def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 @query
