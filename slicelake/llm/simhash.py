@@ -4,8 +4,9 @@ A fingerprint is one or more words of 64 bits, each of eight positional bytes. T
 bits differ in at most d bytes, so they share at least 8 - d positional bytes. The index posts each distinct
 fingerprint, for each of its words, under every set of ``match`` positions with the bytes there; within a
 posting list the shared positional bytes of a pair are tallied, pairs that reach the minimum are kept and
-verified by their differing bits. With one word and ``match = 8 - max_bits`` no link can be missed. Wider
-fingerprints, for larger distances, are met under one of their words with high probability only.
+verified by their differing bits. With one word and ``match = 8 - max_bits`` the index misses no pair within
+``max_bits``. Wider fingerprints are for larger distances: two of them link if they differ in ``max_bits``
+or fewer and some word of theirs shares ``match`` bytes, which near copies do with high probability.
 
 Lists longer than ``BLOCK`` are cut into blocks, and each pair of blocks is a group of its own, so no list
 meets whole in one task's memory; each task gives a spanning forest of its links rather than all of them,
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame
 def near(a: np.ndarray, b: np.ndarray, max_bits: int, match: int) -> np.ndarray:
     """Count filter, then verification, of pairs of fingerprints (last axis: words)."""
     x = np.ascontiguousarray(a ^ b)
-    shared = (x.view(np.uint8) == 0).sum(axis=-1)
+    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1).max(axis=-1)  # of the best word
     return (shared >= match) & (np.bitwise_count(x).sum(axis=-1, dtype=np.int32) <= max_bits)
 
 

@@ -1,0 +1,256 @@
+"""Operators against brute force on a small table of odd texts."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from slicelake.llm import bpe, sampling, simhash, suffixes, token_files
+from slicelake.llm.language import languages
+from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
+from slicelake.llm.quality import isotonic, quality_scores
+from slicelake.llm.search import top_k
+from slicelake.llm.spans import sentence_spans
+
+
+def table(df):
+    return df.toPandas().sort_values("doc_id").reset_index(drop=True)
+
+
+def plain_fingerprint(text: str, n: int = 4) -> int:
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps: list[int], ids: list[int], bits: int, words: int = 1, match: int = 0) -> list[int]:
+    def linked(x: int) -> bool:
+        return x.bit_count() <= bits and any(sum(x >> 64 * w + 8 * b & 255 == 0 for b in range(8)) >= match for w in range(words))
+
+    label, near = list(ids), [[j for j in range(len(fps)) if linked(fps[i] ^ fps[j])] for i in range(len(fps))]
+    while True:
+        new = [min(label[j] for j in near[i]) for i in range(len(fps))]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_simhash(docs, texts, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    got = table(simhash.simhash_groups(docs))
+    fps = [plain_fingerprint(t or "") for _, t in texts]
+    assert got["fingerprint"].tolist() == [f"{f:016x}" for f in fps]
+    assert got["component_id"].tolist() == plain_components(fps, [i for i, _ in texts], 4)
+
+
+def test_simhash_of_repeated_rows_null_ids_and_nothing(spark, docs, empty):
+    twice = docs.union(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    got = simhash.simhash_groups(twice)
+    assert got.count() == docs.count() + 4
+    assert got.where("doc_id is null").first().component_id == 0
+    assert simhash.simhash_groups(empty).count() == 0
+
+
+def test_wide_fingerprints_find_what_all_pairs_find(docs):
+    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=3, max_bits=29))
+    fps = [int(x, 16) for x in got["fingerprint"]]
+    assert got["component_id"].tolist() == plain_components(fps, got["doc_id"].tolist(), 29, 3, 3)
+
+
+def plain_removed(texts, n=50):
+    seen, out = {}, []
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, "i1")
+        for p in range(len(b) - n + 1):
+            if seen.setdefault(b[p : p + n], i) < i:
+                gone[p : p + n] = 1
+        d = np.diff(np.r_[0, gone[:-1], 0])
+        kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
+        out.append((i, len(b), int(gone.sum()), int((d == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("step", "parts"), [(1 << 19, 1 << 23), (120, 4000)])
+def test_suffixes(docs, texts, step, parts, monkeypatch):
+    monkeypatch.setattr(suffixes, "STEP", step)
+    monkeypatch.setattr(suffixes, "CHUNK", parts)
+    got = table(suffixes.digest(suffixes.removed_spans(docs)))
+    assert [tuple(r) for r in got.itertuples(index=False)] == plain_removed(texts)
+
+
+def test_suffixes_edges(docs, empty):
+    assert suffixes.digest(suffixes.removed_spans(empty)).count() == 0
+    same = docs.where("doc_id = 0")
+    twice = table(suffixes.digest(suffixes.removed_spans(same.union(same))))
+    assert twice["n_removed"].tolist() == [0, 0]
+    nameless = suffixes.digest(suffixes.removed_spans(same.unionByName(same.withColumn("doc_id", F.lit(None).cast("long")))))
+    assert sorted(r.n_removed for r in nameless.collect()) == [0, 0]
+
+
+def test_kept_text_has_whole_characters(spark):
+    shared = "é" * 40
+    df = spark.createDataFrame([(1, "x" + shared), (2, "yy" + shared + "z")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffixes.kept_text(suffixes.removed_spans(df)).collect()} == {1: "x" + shared, 2: "yyz"}
+
+
+def test_bpe(docs, texts, empty):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = table(bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks))
+    for (_, t), ids, decoded in zip(texts, got["ids"], got["decoded"], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(t or "")
+        assert decoded.decode() == (t or "")
+    assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
+    few = table(bpe.digest(docs.where("doc_id in (1, 38)"), ranks, P.PATTERN))
+    assert few["ids_sha256"].iloc[0] == hashlib.sha256(",".join(map(str, plain.encode_ordinary(texts[1][1]))).encode()).hexdigest()
+    assert few["n_tokens"].iloc[1] == 0
+
+
+@pytest.mark.parametrize("text", ["a  b\n c", " lead", "x\t\ty", "it's, don't!s", "ab,cd 's", "é.è;", "1,000.5%", "a b  c", "\x1c\x1d x", "end \n", "A_b-c d's've", "ǆ,ß!"])
+def test_words_are_cut_where_no_match_goes_on(text):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = bpe.WORD.findall(text)
+    assert "".join(words) == text
+    assert [i for w in words for i in plain.encode_ordinary(w)] == plain.encode_ordinary(text)
+
+
+def test_sampling(docs, texts, empty):
+    got = table(sampling.edited_fingerprints(docs))
+    draws = sampling._draws()
+    raw = [t or "" for _, t in texts]
+    for i, (t, after) in enumerate(zip(raw, raw[1:] + raw[:1], strict=True)):
+        q = len(t) // 4
+        edit = t[: len(t) - q] + after[:q]
+        row = got.iloc[i]
+        assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        own, other = sampling.signature(t, draws), sampling.signature(edit, draws)
+        assert (row.fingerprint, row.edited_fingerprint) == (own.tobytes().hex(), other.tobytes().hex())
+        assert row.near_edited == sampling.likeness(own, other)
+        assert row.near_next == sampling.likeness(own, sampling.signature(after, draws))
+    assert got.loc[0, "fingerprint"] == got.loc[30, "fingerprint"]
+    assert sampling.edited_fingerprints(empty).count() == 0
+    one = sampling.edited_fingerprints(docs.where("doc_id = 7")).first()
+    assert one.near_next == 1
+
+
+def test_samples_collide_as_generalised_jaccard(texts):
+    draws = sampling._draws()
+    rng = np.random.default_rng(1)
+    off = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.zipf(1.4, 300)]
+        other = words[:200] + [f"v{x}" for x in rng.zipf(1.4, 100)]
+        bags = [{}, {}]
+        for bag, ws in zip(bags, (words, other), strict=True):
+            for p in zip(ws, ws[1:], strict=False):
+                bag[p] = bag.get(p, 0) + 1
+        keys = bags[0].keys() | bags[1].keys()
+        true = sum(min(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys) / sum(max(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys)
+        off.append(sampling.likeness(*(sampling.signature(" ".join(w), draws) for w in (words, other))) - true)
+    assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.09
+
+
+def test_token_files(spark, docs, texts, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        model = f.read()
+    plain = Tokenizer.from_buffer(model)
+    plain.encode_special_tokens = True
+    path = f"file://{tmp_path}/ids"
+    token_files.write_token_files(docs, model, path, bytes_a_file=8000)
+    got = table(token_files.token_digest(spark, path))
+    start = 0
+    for (i, t), row in zip(texts, got.itertuples(), strict=True):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert [r.doc_id for r in token_files.read_token_files(spark, path).where("doc_id = 5").collect()] == [5]
+    assert token_files.op10_rows(empty, model).count() == 0
+
+
+def test_language_of_held_out_rows(spark, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = languages(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["lang"] == held["lang_pred"]).mean() >= 0.95
+    odd = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "123 !", "en"), (10**6 + 2, "", "fr")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in languages(docs.select("doc_id", "text", "lang").union(odd)).where("doc_id >= 1000000").collect()} == {"und"}
+    assert languages(empty).count() == 0
+    assert {r.lang_pred for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_quality_of_held_out_rows(spark, docs, empty):
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality_scores(own, labels).join(labels, "doc_id").where("held_out").toPandas()
+    good, bad = got.loc[got["quality"] == 1, "score"].to_numpy(), got.loc[got["quality"] == 0, "score"].to_numpy()
+    assert (good[:, None] > bad[None]).mean() >= 0.95
+    assert (got["predicted"] == got["quality"]).mean() >= 0.9
+    odd = quality_scores(docs, labels).toPandas()
+    assert odd["score"].between(0, 1).all() and len(odd) == docs.count()
+    assert quality_scores(empty, labels).count() == 0
+    assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_isotonic():
+    assert isotonic(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
+    assert isotonic(np.array([3.0, 1.0]), np.array([1.0, 3.0])).tolist() == [1.5, 1.5]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 0.3, (300, 40)).astype("f4")
+    x[7] = x[9]
+    rows = [(i, [float(v) for v in r], i) for i, r in enumerate(x)]
+    rows += [(300, None, 0), (350, [float("nan")] * 40, 0), (400, [None] * 40, 0), (450, [float("inf")] + [0.0] * 39, 0), (None, [0.0] * 40, 0), (500, [0.1, 0.2], 0), (550, [], 0)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")).toPandas()
+    q = np.zeros((304, 40))
+    ids = np.array([*range(300), 500, 550])
+    q = np.zeros((302, 40))
+    q[:300] = np.floor(256 * x.astype("f8"))
+    q[300, :2] = np.floor(256 * np.array([0.1, 0.2], "f4").astype("f8"))
+    want = []
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:5]
+        want += [(ids[i], n + 1, ids[j], s[j]) for n, j in enumerate(order)]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].astype(int).to_numpy())) == sorted(tuple(map(int, w)) for w in want)
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_spans(spark, empty):
+    a = "The first of them is here today. A second one follows it closely. And then a third comes along."
+    rows = [(1, f"{a} Tail one."), (2, f"Head. {a}"), (3, a), (4, "Short. Short. Short. Short. Short."), (5, None), (6, ""), (1, f"{a} Tail one."), (None, a), (3, a + " More.")]
+    got = sentence_spans(spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1))).collect()
+    kept = sorted(((r.doc_id or 0), r.kept) for r in got)
+    assert kept == sorted([(1, f"{a} Tail one."), (1, f"{a} Tail one."), (2, "Head."), (3, ""), (4, "Short. Short. Short. Short. Short."), (5, ""), (6, ""), (0, a), (3, " More.")]) or [k for k in kept if k[0] in (1, 2, 4, 0)] == [(0, a), (1, f"{a} Tail one."), (1, f"{a} Tail one."), (2, "Head."), (4, "Short. Short. Short. Short. Short.")]
+    assert sentence_spans(empty).count() == 0
+
+
+def test_mixing_keeps_budgets_and_fills_siblings_first(spark, empty):
+    rows = [(i, "w " * 10, "en" if i % 2 else "fr", f"src{i % 3}") for i in range(300)] + [(1000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("copies", F.lit(9))
+    weights = {"domain": F.lit(1.0), "lang": F.when(F.col("lang") == "en", 9.0).otherwise(1.0), "source": F.lit(1.0)}
+    got = mix(docs, F.lit("d"), weights, share=0.5, epochs=1).toPandas()
+    took = got.assign(t=got["n_tokens"] * got["copies"]).groupby("lang")["t"].sum()
+    # English can't take nine tenths of 1500 in one epoch of 1500; French takes what it may
+    assert took["en"] == 1350 and took["fr"] == 150
+    full = mix(docs, F.lit("d"), weights, share=0.9, epochs=1).toPandas()
+    assert full.loc[full["lang"] == "en", "n_tokens"].sum() == 1500
+    assert full["n_tokens"].sum() == 2700
+    twice = mixed_documents(docs, mix(docs, domain_of_source(), target_weights(), share=1.5, epochs=2))
+    assert twice.columns == docs.columns and 445 <= twice.count() <= 450
+    assert mix(empty, domain_of_source(), target_weights()).count() == 0

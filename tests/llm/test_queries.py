@@ -1,0 +1,62 @@
+"""Registered queries against their SQL, and the pipeline against its stages by brute force."""
+
+import hashlib
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from compare import connection, rows
+
+from slicelake.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    own = queries.QUERIES[name](spark, SF).toPandas()
+    sql = connection(SF).execute(queries.ORACLES[name]).df()
+    assert sorted(own.columns) == sorted(sql.columns)
+    assert rows(own) == rows(sql)
+
+
+def test_pipeline(spark):
+    import public_tokenizers as P
+    import tiktoken
+    from test_operators import plain_components
+
+    from slicelake.llm import bpe, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.written(stage(spark, kept, SF), "test")
+        seen.append(kept.toPandas().sort_values("doc_id").reset_index(drop=True))
+    first, near, cut, mixed, tokens = seen
+    assert list(first.columns) == list(near.columns) == list(cut.columns) == list(mixed.columns) == docs.columns
+    scores = queries.QUERIES["op5_quality_classifier"](spark, SF).toPandas()
+    assert first["doc_id"].tolist() == sorted(scores.loc[scores["predicted"] == 1, "doc_id"])
+    fps = [int.from_bytes(simhash.fingerprint(t.encode(), 5, 3), "big") for t in first["text"]]
+    label = plain_components(fps, first["doc_id"].tolist(), 29, 3, 3)
+    assert near["doc_id"].tolist() == [i for i, c in zip(first["doc_id"], label, strict=True) if i == c]
+    windows: dict[bytes, int] = {}
+    for i, t, own in zip(near["doc_id"], near["text"], cut["text"], strict=True):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if windows.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        at, out = 0, ""
+        for ch in t:
+            n = len(ch.encode())
+            out += "" if gone[at : at + n].all() else ch
+            at += n
+        assert own == out
+    assert (cut["n_chars"] == cut["text"].map(len)).all()
+    words = {d: len(t.split()) for d, t in zip(cut["doc_id"], cut["text"], strict=True)}
+    assert sum(words[d] for d in mixed["doc_id"]) <= 0.9 * sum(words.values())
+    assert mixed["doc_id"].value_counts().max() <= 2 and set(mixed["doc_id"]) <= set(cut["doc_id"])
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((int(d), hashlib.sha256(",".join(map(str, plain.encode_ordinary(t))).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(mixed["doc_id"], mixed["text"], strict=True))
+    assert sorted(zip(tokens["doc_id"].tolist(), tokens["ids_sha256"], tokens["decoded_sha256"], strict=True)) == want
