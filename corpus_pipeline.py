@@ -11,7 +11,7 @@ from slicelake.llm import bpe
 from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
 from slicelake.llm.quality import quality_scores
 from slicelake.llm.simhash import simhash_groups
-from slicelake.llm.suffixes import kept_text, removed_spans
+from slicelake.llm.suffixes import kept_text
 from slicelake.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that start in a document of a smaller doc_id too; n_chars follows. A character goes only if all its bytes go."""
     rest = docs.select(F.col("doc_id").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"), "lang", "source").dropDuplicates(["id_", "h_"])
-    joined = kept_text(removed_spans(docs, 50)).join(rest, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
+    joined = kept_text(docs, 50).join(rest, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
     return joined.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

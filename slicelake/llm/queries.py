@@ -61,7 +61,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digest(suffixes.removed_spans(table(spark, sf_dir, "documents"), 50))
+    return suffixes.digest(table(spark, sf_dir, "documents"), 50)
 
 
 @query

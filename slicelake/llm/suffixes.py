@@ -16,7 +16,7 @@ copies of a whole text are found first, by a hash of it, and send no records.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from slicelake.scratch import written
 
 GRAM = 25
 #: Bytes of text in a chunk, and bytes that are hashed at a time.
-CHUNK, STEP = 8 << 20, 1 << 19
+CHUNK, STEP = 4 << 20, 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype="u8") | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -73,6 +73,7 @@ class Chunk:
 
     def __init__(self, ids: np.ndarray, data: list[bytes], sends: np.ndarray, length: int):
         self.ids, self.data, self.sends, self.length = ids, data, sends, length
+        self.hashes: np.ndarray | None = None
         sizes = np.fromiter(map(len, data), "i8", len(data))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -149,10 +150,13 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _chunk(pdf: pd.DataFrame, length: int) -> Chunk:
+    """The chunk of dealt_texts() rows; ``hashes`` are the texts' own."""
     own, copies = (pdf[pdf["kind"] == k].sort_values(["doc_id", "h"], kind="stable") for k in (1, 0))
     copied = set(zip(copies["doc_id"].tolist(), copies["h"].tolist(), strict=True))
     sends = np.array([x not in copied for x in zip(own["doc_id"].tolist(), own["h"].tolist(), strict=True)], bool)
-    return Chunk(own["doc_id"].to_numpy("i8"), own["data"].tolist(), sends, length)
+    out = Chunk(own["doc_id"].to_numpy("i8"), own["data"].tolist(), sends, length)
+    out.hashes = own["h"].to_numpy("i8")
+    return out
 
 
 def dealt_texts(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -166,8 +170,10 @@ def dealt_texts(docs: DataFrame) -> tuple[DataFrame, int]:
     return every.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "chunk"), n
 
 
-def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, data, spans): each text as UTF-8 bytes with its maximal removed runs, as array<struct<start, stop>>.
+def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes], list[list[tuple[int, int]]]], dict[str, list]] | None = None, fields: str = "spans array<struct<start: long, stop: long>>") -> DataFrame:
+    """(doc_id, h, spans): a text's hash and its maximal removed runs of UTF-8 bytes, as array<struct<start, stop>>.
+
+    ``then`` turns the bytes and runs of some texts into other columns, ``fields``, within the same task.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id,
     judged on the input. A null text is empty; rows that share a doc_id don't remove one another; a row with
@@ -274,8 +280,10 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # a chunk needs its flags again to number its records as before
     back = flags.select("chunk", "bucket", "bits", *[F.lit(None).cast("binary").alias(c) for c in ("number", "a", "b", "least")]).union(marks.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "number", "a", "b", "least"))
 
+    finish = then or (lambda data, spans: {"spans": [[{"start": s, "stop": e} for s, e in x] for x in spans]})
+    columns = ["doc_id", "h", *(f.strip().split(" ")[0] for f in (fields.split(", ") if then else ["spans"]))]
+
     def spans(texts_: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "data", "spans"]
         if not len(texts_):
             return pd.DataFrame(columns=columns)
         chunk = _chunk(texts_, length)
@@ -299,56 +307,57 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         whole = copied & (chunk.sizes >= length)
         np.add.at(change, chunk.starts[whole], 1)
         np.add.at(change, chunk.ends[whole], -1)
-        gone = np.cumsum(change)[:-1] > 0
-        out = []
-        for d in range(len(chunk.data)):
-            x = np.diff(np.r_[0, gone[chunk.starts[d] : chunk.ends[d]].view("i1"), 0])
-            out.append([{"start": s, "stop": e} for s, e in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True)])
-        return pd.DataFrame({"doc_id": chunk.ids, "data": chunk.data, "spans": out})
-
-    schema = "doc_id long, data binary, spans array<struct<start: long, stop: long>>"
+        gone = np.cumsum(change, out=change)[:-1] > 0
+        found = []
+        for s, e in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
+            x = np.diff(np.r_[0, gone[s:e].view("i1"), 0])
+            found.append(list(zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True)))
+        return pd.DataFrame({"doc_id": chunk.ids, "h": chunk.hashes} | finish(chunk.data, found))
+
+    def plain(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"]} | finish(pdf["data"].tolist(), [[] for _ in range(len(pdf))]))
+
+    schema = f"doc_id long, h long, {fields}"
     kept = grouped.cogroup(back.groupBy("chunk")).applyInPandas(spans, schema)
-    nameless = texts(docs).where("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("data"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"))
-    return kept.union(nameless)
+    nameless = texts(docs).where("doc_id is null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("data"))
+    return kept.union(nameless.mapInPandas(plain, schema))
 
 
-def kept_bytes(data: bytes, spans) -> bytes:
+def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
-    for s in spans:
-        out.append(data[at : s["start"]])
-        at = s["stop"]
+    for s, e in spans:
+        out.append(data[at:s])
+        at = e
     return b"".join([*out, data[at:]])
 
 
-def kept_text(spans: DataFrame) -> DataFrame:
-    """(doc_id, h, text) of removed_spans(): what is left as text; a character goes only if all its bytes go. h is the hash of the whole text."""
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs drawn in to whole characters: a character goes only if all its bytes go."""
+    out = []
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:  # within a character that began before
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:  # within one that goes on
+            e -= 1
+        out.append((s, e))
+    return out
+
 
-    def whole(data: bytes, spans_) -> str:
-        out, at = [], 0
-        for s in spans_:
-            a, b = s["start"], s["stop"]
-            while a < b and data[a] & 0xC0 == 0x80:  # within a character that began before
-                a += 1
-            while b > a and b < len(data) and data[b] & 0xC0 == 0x80:  # within one that goes on
-                b -= 1
-            out.append(data[at:a])
-            at = b
-        return b"".join([*out, data[at:]]).decode("utf-8", "replace")
+def kept_text(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, h, text): what removed_spans() leaves, as text; h is the hash of the whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "text": [whole(d, s) for d, s in zip(pdf["data"], pdf["spans"], strict=True)]})
+    def then(data: list[bytes], spans: list[list[tuple[int, int]]]) -> dict[str, list]:
+        return {"text": [kept_bytes(d, whole_characters(d, s)).decode("utf-8", "replace") for d, s in zip(data, spans, strict=True)]}
 
-    return spans.withColumn("h", F.xxhash64(F.col("data").cast("string"))).mapInPandas(run, "doc_id long, h long, text string")
+    return removed_spans(docs, length, then, "text string")
 
 
-def digest(spans: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of removed_spans()."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            kept = [kept_bytes(d, s) for d, s in zip(pdf["data"], pdf["spans"], strict=True)]
-            n = pdf["data"].map(len).astype("i8")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": n, "n_removed": n - np.fromiter(map(len, kept), "i8", len(kept)), "n_spans": pdf["spans"].map(len).astype("i8"), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
+    def then(data: list[bytes], spans: list[list[tuple[int, int]]]) -> dict[str, list]:
+        kept = [kept_bytes(d, s) for d, s in zip(data, spans, strict=True)]
+        return {"n_bytes": [len(d) for d in data], "n_removed": [len(d) - len(k) for d, k in zip(data, kept, strict=True)], "n_spans": [len(s) for s in spans], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
 
-    return spans.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs, length, then, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").drop("h")

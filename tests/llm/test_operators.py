@@ -81,23 +81,23 @@ def plain_removed(texts, n=50):
 def test_suffixes(docs, texts, step, parts, monkeypatch):
     monkeypatch.setattr(suffixes, "STEP", step)
     monkeypatch.setattr(suffixes, "CHUNK", parts)
-    got = table(suffixes.digest(suffixes.removed_spans(docs)))
+    got = table(suffixes.digest(docs))
     assert [tuple(r) for r in got.itertuples(index=False)] == plain_removed(texts)
 
 
 def test_suffixes_edges(docs, empty):
-    assert suffixes.digest(suffixes.removed_spans(empty)).count() == 0
+    assert suffixes.digest(empty).count() == 0
     same = docs.where("doc_id = 0")
-    twice = table(suffixes.digest(suffixes.removed_spans(same.union(same))))
+    twice = table(suffixes.digest(same.union(same)))
     assert twice["n_removed"].tolist() == [0, 0]
-    nameless = suffixes.digest(suffixes.removed_spans(same.unionByName(same.withColumn("doc_id", F.lit(None).cast("long")))))
+    nameless = suffixes.digest(same.unionByName(same.withColumn("doc_id", F.lit(None).cast("long"))))
     assert sorted(r.n_removed for r in nameless.collect()) == [0, 0]
 
 
 def test_kept_text_has_whole_characters(spark):
     shared = "é" * 40
     df = spark.createDataFrame([(1, "x" + shared), (2, "yy" + shared + "z")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in suffixes.kept_text(suffixes.removed_spans(df)).collect()} == {1: "x" + shared, 2: "yyz"}
+    assert {r.doc_id: r.text for r in suffixes.kept_text(df).collect()} == {1: "x" + shared, 2: "yyz"}
 
 
 def test_bpe(docs, texts, empty):
