@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies.
 
-    Shingles of five words; the angle of two documents whose shingles have a Jaccard similarity of 0.8 parts
-    0.15 of all bits, so fingerprints of 192 bits are linked at 29 differing bits or fewer.
+    Shingles of five words. Two documents whose shingles have a Jaccard similarity of 0.8 part in 0.15 of all
+    bits on average; fingerprints of 192 bits are linked at 33 differing bits or fewer, so that most such pairs link.
     """
-    groups = simhash_groups(docs, shingle=5, words=3, match=3, max_bits=29)
+    groups = simhash_groups(docs, shingle=5, words=3, match=3, max_bits=33)
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct()
     return docs.join(copies, F.col("doc_id") == F.col("id_"), "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 

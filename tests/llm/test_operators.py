@@ -58,9 +58,9 @@ def test_simhash_of_repeated_rows_null_ids_and_nothing(spark, docs, empty):
 
 
 def test_wide_fingerprints_find_what_all_pairs_find(docs):
-    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=3, max_bits=29))
+    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=3, max_bits=33))
     fps = [int(x, 16) for x in got["fingerprint"]]
-    assert got["component_id"].tolist() == plain_components(fps, got["doc_id"].tolist(), 29, 3, 3)
+    assert got["component_id"].tolist() == plain_components(fps, got["doc_id"].tolist(), 33, 3, 3)
 
 
 def plain_removed(texts, n=50):

@@ -37,7 +37,7 @@ def test_pipeline(spark):
     scores = queries.QUERIES["op5_quality_classifier"](spark, SF).toPandas()
     assert first["doc_id"].tolist() == sorted(scores.loc[scores["predicted"] == 1, "doc_id"])
     fps = [int.from_bytes(simhash.fingerprint(t.encode(), 5, 3), "big") for t in first["text"]]
-    label = plain_components(fps, first["doc_id"].tolist(), 29, 3, 3)
+    label = plain_components(fps, first["doc_id"].tolist(), 33, 3, 3)
     assert near["doc_id"].tolist() == [i for i, c in zip(first["doc_id"], label, strict=True) if i == c]
     windows: dict[bytes, int] = {}
     for i, t, own in zip(near["doc_id"], near["text"], cut["text"], strict=True):
