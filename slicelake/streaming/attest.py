@@ -12,6 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 c = F.col
 LATE = "10 minutes"
+#: After so long without an event of a reader the open segment ends.
+QUIET_MS = 600_000
 
 
 def rejection(min_dwell: float = 400.0, min_scale: float = 1.0, need_focus: bool = True) -> Column:
@@ -50,25 +52,28 @@ class Segments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "sop_uid string, n long, dwell_ms double, scale double, began timestamp, focused boolean")
+        self.open = handle.getValueState("open", "sop_uid string, n long, dwell_ms double, scale double, began timestamp, focused boolean, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         state, out = (self.open.get() if self.open.exists() else None), []
         for e in events.itertuples():
             if state and state[0] == e.sop_uid and state[5]:
-                state = (state[0], state[1] + 1, state[2] + e.dwell_ms, min(state[3], e.scale), state[4], bool(e.focused))
+                state = (*state[:1], state[1] + 1, state[2] + e.dwell_ms, min(state[3], e.scale), state[4], bool(e.focused), int(e.ts.timestamp() * 1000))
             else:
                 if state:
                     out.append((key[0], *state[:5]))
-                state = (e.sop_uid, 1, float(e.dwell_ms), float(e.scale), e.ts, bool(e.focused))
+                state = (e.sop_uid, 1, float(e.dwell_ms), float(e.scale), e.ts, bool(e.focused), int(e.ts.timestamp() * 1000))
         self.open.update(state)
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 600_000)
+        self.handle.registerTimer(state[6] + QUIET_MS)
         yield pd.DataFrame(out, columns=["reader", "sop_uid", "n", "dwell_ms", "scale", "began"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.open.get() if self.open.exists() else None
-        self.open.clear()
+        if state and state[6] + QUIET_MS > expiredTimerInfo.getExpiryTimeInMs():
+            state = None  # a later event has set a later timer
+        else:
+            self.open.clear()
         yield pd.DataFrame([(key[0], *state[:5])] if state else [], columns=["reader", "sop_uid", "n", "dwell_ms", "scale", "began"])
 
     def close(self) -> None:
