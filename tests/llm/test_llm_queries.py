@@ -23,7 +23,7 @@ def test_matches_sql(spark, name):
 def test_pipeline(spark):
     import public_tokenizers as P
     import tiktoken
-    from test_operators import plain_components
+    from test_llm_operators import plain_components
 
     from slicelake.llm import bpe, simhash
 
