@@ -11,83 +11,108 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain, pairwise
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicelake.llm.common import parts, small, text_bytes, texts
+from slicelake.llm.common import small, texts
 from slicelake.scratch import scratch_path
 
 #: Pieces that the tokenizer's normalizer and splitter never join: at white space, and between a Latin
 #: letter and an ASCII mark other than the apostrophe, as runs of letters end there. Each piece is encoded by itself.
 PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)|[^ \t\n\r]+")
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Pieces that a worker remembers.
 MEMORY = 600_000
 
 
-@cache
-def _tokenizer(model: bytes):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_buffer(model)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    ends = np.zeros(made.get_vocab_size(), bool)  # ids that end a word
-    ends[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
-    return made, ends, {}
-
-
-def _learn(pieces: list[str], tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> None:
-    """Encodes pieces into ``known``. Those of letters alone are one word each, so many make one text, cut again where a word ends."""
-    words, others = [], []
-    for p in pieces:
-        (words if LETTERS.match(p) else others).append(p)
-    for i in range(0, len(words), 1000):
-        own = words[i : i + 1000]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) == len(own):
-            at, flat = (4 * np.r_[0, cut]).tolist(), ids.tobytes()
-            known.update((w, flat[s:e]) for w, s, e in zip(own, at[:-1], at[1:], strict=True))
-        else:  # a vocabulary that doesn't mark word ends
-            others += own
-    for i in range(0, len(others), 4096):
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(others[i : i + 4096], tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False), strict=True))
+class _Coder:
+    """A tokenizer with the pieces that it has met: their numbers, and their ids end to end."""
+
+    def __init__(self, model: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(model)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.size = [np.empty(0, "i4")], [np.empty(0, "i8")]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Pieces of letters alone are one word each, so many make one text, cut again where a word ends."""
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        for i in range(0, len(words), 1000):
+            own = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "i4")
+            size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(size) == len(own):
+                self._add(own, ids, size)
+            else:  # a word that the normalizer splits, or a vocabulary that doesn't mark word ends
+                others += own
+        for i in range(0, len(others), 4096):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)]
+            self._add(others[i : i + 4096], np.array(list(chain.from_iterable(own)), "i4"), np.fromiter(map(len, own), "i8", len(own)))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        self.ids.append(ids)
+        self.size.append(size)
+
+    def encode(self, texts_: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts' pieces, and how many each text has."""
+        flat = list(chain.from_iterable(texts_))
+        numbers = np.fromiter(map(self.number.get, flat, repeat(-1)), "i8", len(flat))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            if len(self.number) > MEMORY:
+                self.forget()
+                missing = range(len(flat))
+            self.learn(list({flat[i] for i in missing}))
+            numbers[missing] = [self.number[flat[i]] for i in missing]
+            self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
+            self.start = np.cumsum(self.size[0]) - self.size[0]
+        if not len(numbers):
+            return np.empty(0, "i4"), np.zeros(len(texts_), "i8")
+        k = self.size[0][numbers]
+        after = np.cumsum(k)
+        # the i-th id of a piece stands i places after the piece's first
+        ids = self.ids[0][np.repeat(self.start[numbers] - (after - k), k) + np.arange(after[-1])]
+        cut = np.cumsum([len(t) for t in texts_])
+        return ids, np.diff(np.r_[0, after][cut], prepend=0)
+
+
+_coder = cache(_Coder)
 
 
 def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFrame:
     """(doc_id, ids array<int>) in the order and partitions of ``docs``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, ends, known = _tokenizer(model)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for b in small(batches):
-            split = [PIECE.findall(t) for t in b.column("text").to_pylist()]
-            flat = list(chain.from_iterable(split))
-            found = list(map(known.get, flat))
-            new = {p for p, x in zip(flat, found, strict=True) if x is None}
-            if new:
-                if len(known) > MEMORY:
-                    known.clear()
-                    new = set(flat)
-                _learn(list(new), tokenizer, ends, known)
-                found = list(map(known.__getitem__, flat))
-            cut = [0, *accumulate(map(len, split))]
-            rows = [b"".join(found[i:j]) + end for i, j in pairwise(cut)]
-            offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+        coder = _coder(model)
+        for b in small(batches, 512):
+            ids, size = coder.encode([PIECE.findall(t) for t in b.column("text").to_pylist()])
+            if end_id is not None:
+                ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+            offsets = np.r_[0, np.cumsum(size)].astype("i4")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype("i4")))], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, model: bytes, path: str, end_id: int | None = 1, bytes_a_file: int = 32 << 20) -> None:
-    """Encodes every text and writes (doc_id, seq, ids) as ORC under ``path`` in ascending doc_id, null first, repeated ids by text; seq counts a file's rows."""
+def write_token_files(docs: DataFrame, model: bytes, path: str, end_id: int | None = 1, files: int | None = None) -> None:
+    """Encodes every text and writes (doc_id, seq, ids) as ORC under ``path`` in ascending doc_id, null first, repeated ids by text; seq counts a file's rows.
+
+    There are as many files as ``docs`` has partitions, unless ``files`` says otherwise.
+    """
     docs = texts(docs)
-    n = parts(docs.sparkSession, text_bytes(docs), bytes_a_file)
+    n = files or max(1, docs.rdd.getNumPartitions())
     dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = encode_ids(dealt, model, end_id).select("doc_id", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"), "ids")
     rows.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)

@@ -170,7 +170,7 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     plain = Tokenizer.from_buffer(model)
     plain.encode_special_tokens = True
     path = f"file://{tmp_path}/ids"
-    token_files.write_token_files(docs, model, path, bytes_a_file=8000)
+    token_files.write_token_files(docs, model, path, files=5)
     got = table(token_files.token_digest(spark, path))
     start = 0
     for (i, t), row in zip(texts, got.itertuples(), strict=True):
