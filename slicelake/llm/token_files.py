@@ -88,7 +88,9 @@ class _Coder:
         return ids, np.diff(np.r_[0, after][cut], prepend=0)
 
 
-_coder = cache(_Coder)
+@cache
+def _coder(model: bytes) -> _Coder:
+    return _Coder(model)
 
 
 def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFrame:
