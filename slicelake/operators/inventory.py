@@ -20,18 +20,30 @@ def slice_gaps(instances: DataFrame) -> DataFrame:
     return slice_order(instances).withColumn("gap", c("z") - F.lag("z").over(Window.partitionBy("series_uid").orderBy("k")))
 
 
+def with_spacing(instances: DataFrame) -> DataFrame:
+    """Adds k, gap, and for each series n and dz: the median gap, or the thickness of a single slice. One shuffle, by series."""
+    w = Window.partitionBy("series_uid")
+    rows = slice_gaps(instances).withColumns({"n": F.count("*").over(w), "mid": F.percentile("gap", F.lit(0.5)).over(w), "thick": F.min_by("slice_thickness", "path").over(w)})
+    return rows.withColumn("dz", F.when(c("n") > 1, c("mid")).otherwise(c("thick"))).drop("mid", "thick")
+
+
 def slice_spacing(instances: DataFrame) -> DataFrame:
-    """(series_uid, n, dz): the median gap, or the thickness of a single slice."""
-    rows = slice_gaps(instances).groupBy("series_uid").agg(F.count("*").alias("n"), F.expr("percentile(gap, 0.5D)").alias("gap"), F.min_by("slice_thickness", "path").alias("thickness"))
-    return rows.select("series_uid", "n", F.when(c("n") > 1, c("gap")).otherwise(c("thickness")).alias("dz"))
+    """(series_uid, n, dz) of each series."""
+    return with_spacing(instances).groupBy("series_uid").agg(F.first("n").alias("n"), F.first("dz").alias("dz"))
 
 
-def spacing_gaps(instances: DataFrame) -> DataFrame:
-    """One row for each series: duplicates, missing slices, and irregular spacing by a strict and by an advisory rule."""
-    rows = slice_gaps(instances).join(slice_spacing(instances), "series_uid").groupBy("series_uid", "n", "dz")
+def gap_facts() -> list[Column]:
+    """Aggregates over a series' rows of with_spacing(): duplicates, missing slices, and irregular spacing by a strict and by an advisory rule."""
     off = F.abs(c("gap") - c("dz")) > F.greatest(F.lit(0.05), c("dz") * 0.02)
-    rows = rows.agg(F.count_if(c("gap") <= 1e-4).alias("duplicates"), F.count_if(c("gap") > 1.5 * c("dz")).alias("missing"), F.coalesce(F.bool_or(off), F.lit(False)).alias("strict_bad"), (F.max("gap") - F.min("gap")).alias("spread"))
-    return rows.withColumn("advisory_bad", F.coalesce(c("spread") > 0.05 * c("dz") + 1e-3, F.lit(False))).drop("spread")
+    return [
+        F.first("dz").alias("dz"), F.count_if(c("gap") <= 1e-4).alias("duplicates"), F.count_if(c("gap") > 1.5 * c("dz")).alias("missing"), F.coalesce(F.bool_or(off), F.lit(False)).alias("strict_bad"),
+        F.coalesce(F.max("gap") - F.min("gap") > 0.05 * F.first("dz") + 1e-3, F.lit(False)).alias("advisory_bad"),
+    ]
+
+
+def spacing_gaps(instances: DataFrame) -> DataFrame:
+    """One row for each series: its slices, spacing, and what is wrong with it."""
+    return with_spacing(instances).groupBy("series_uid").agg(F.first("n").alias("n"), *gap_facts())
 
 
 def first_of(column: str) -> Column:
@@ -42,14 +54,14 @@ def first_of(column: str) -> Column:
 def series_inventory(instances: DataFrame) -> DataFrame:
     """One row for each series: counts, matrix, spacing, coverage, acquisition facts by modality, and what is wrong with its geometry."""
     kept = ("study_uid", "modality", "series_number", "n_rows", "n_cols", "row_sp", "slice_thickness", "rescale_slope", "units", "decay_correction", "patient_weight", "te", "tr", "ti", "iop")
-    rows = instances.groupBy("series_uid").agg(
-        *[first_of(x) for x in kept], F.count("*").alias("images"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.bool_or(c("number_of_frames") > 1).alias("multiframe"), F.array_join(F.sort_array(F.collect_set("folder")), ";").alias("folders")
+    rows = with_spacing(instances).groupBy("series_uid").agg(
+        *[first_of(x) for x in kept], F.count("*").alias("images"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.bool_or(c("number_of_frames") > 1).alias("multiframe"), F.array_join(F.sort_array(F.collect_set("folder")), ";").alias("folders"), *gap_facts()
     )
     rows = rows.withColumn("plane", plane_of(c("iop"))).drop("iop")
     rows = rows.withColumn("coverage_mm", c("z_max") - c("z_min"))
     for modality, names in (("CT", ["rescale_slope"]), ("PT", ["units", "decay_correction", "patient_weight"]), ("MR", ["te", "tr", "ti"])):
         rows = rows.withColumns({x: F.when(c("modality") == modality, c(x)) for x in names})
-    return rows.join(spacing_gaps(instances).drop("n"), "series_uid")
+    return rows
 
 
 def common_folder(folders: Column) -> Column:
@@ -128,10 +140,9 @@ def natural_series_order(series: DataFrame) -> DataFrame:
 
 def series_cards(instances: DataFrame) -> DataFrame:
     """A row for each series as a picker shows it: geometry note and whether it can be drawn."""
-    rows = instances.groupBy("series_uid").agg(first_of("study_uid"), first_of("modality"), first_of("series_number"), F.count("*").alias("images"), F.bool_or(c("number_of_frames") > 1).alias("multi"), F.bool_and(c("iop").isNotNull()).alias("placed"))
-    gaps = spacing_gaps(instances).select("series_uid", "advisory_bad", "dz")
+    rows = with_spacing(instances).groupBy("series_uid").agg(first_of("study_uid"), first_of("modality"), first_of("series_number"), F.count("*").alias("images"), F.bool_or(c("number_of_frames") > 1).alias("multi"), F.bool_and(c("iop").isNotNull()).alias("placed"), *gap_facts())
     note = F.when(~c("placed"), "unknown").when(c("advisory_bad") | ~(c("dz") > 0), "irregular").otherwise("regular")
-    return rows.join(gaps, "series_uid").select("series_uid", "study_uid", "modality", "series_number", "images", note.alias("geometry"), (~c("multi") & c("placed")).alias("renderable"))
+    return rows.select("series_uid", "study_uid", "modality", "series_number", "images", note.alias("geometry"), (~c("multi") & c("placed")).alias("renderable"))
 
 
 def tilt_fit(instances: DataFrame) -> DataFrame:
