@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from slicelake.scratch import written
 
 GRAM = 25
 #: Bytes of text in a chunk, and bytes that are hashed at a time.
-CHUNK, STEP = 4 << 20, 1 << 18
+CHUNK, STEP = 4 << 20, 1 << 17
+#: Records whose windows are ordered at a time, and those about one anchor more.
+SLAB = 4096
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype="u8") | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -151,6 +154,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def _chunk(pdf: pd.DataFrame, length: int) -> Chunk:
     """The chunk of dealt_texts() rows; ``hashes`` are the texts' own."""
+    pa.default_memory_pool().release_unused()
     own, copies = (pdf[pdf["kind"] == k].sort_values(["doc_id", "h"], kind="stable") for k in (1, 0))
     copied = set(zip(copies["doc_id"].tolist(), copies["h"].tolist(), strict=True))
     sends = np.array([x not in copied for x in zip(own["doc_id"].tolist(), own["h"].tolist(), strict=True)], bool)
@@ -238,40 +242,48 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
 
     wide = 26 + 2 * length - GRAM
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The remaining digits: windows about equal anchors, by a hash of their bytes; runs of windows with an equal one in a smaller document."""
-        m = [np.frombuffer(x, "u1").reshape(-1, wide) for x in pdf["records"]]
-        own = np.repeat(np.arange(len(m)), [len(x) for x in m])
-        number = np.concatenate([f + np.arange(len(x)) for f, x in zip(pdf["first"].tolist(), m, strict=True)])
-        m = np.concatenate(m)
-        h = np.ascontiguousarray(m[:, :8]).view("<u8").ravel()
-        least, most = np.ascontiguousarray(m[:, 8:16]).view("<i8").ravel(), np.ascontiguousarray(m[:, 16:24]).view("<i8").ravel()
-        low, high, bytes_ = m[:, 24], m[:, 25], m[:, 26:]
-        reach = length - GRAM
-        smaller = np.full((len(m), reach + 1), np.iinfo("i8").max)
-        start = np.arange(reach + 1)  # bytes before the anchor at which a window starts
-        used = (low[:, None] <= start) & (start <= high[:, None])
-        digits = np.concatenate([_rolling_rows(_RANDOM[bytes_[i : i + 4096]], length)[:, ::-1] for i in range(0, len(m), 4096)])
+    reach = length - GRAM
+    start, none = np.arange(reach + 1), np.iinfo("i8").max  # bytes before the anchor at which a window starts
+
+    def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The remaining digits of some records, by a hash of them: rows, first and last start of windows with an equal one in a smaller document, and that document."""
+        h, least, most = (np.ascontiguousarray(m[:, i : i + 8]).view(t).ravel() for i, t in ((0, "<u8"), (8, "<i8"), (16, "<i8")))
+        used = (m[:, 24:25] <= start) & (start <= m[:, 25:26])
+        digits = _rolling_rows(_RANDOM[m[:, 26:]], length)[:, ::-1]
         key = _mix(_mix(digits + _mix(h)[:, None]))[used]
         order = np.argsort(key)
         cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         group = np.minimum.reduceat(np.repeat(least, used.sum(axis=1))[order], cut)
         found = np.empty(len(key), "i8")
         found[order] = np.repeat(group, np.diff(np.r_[cut, len(key)]))
+        smaller = np.full((len(m), reach + 1), none)
         smaller[used] = found
-        smaller[smaller >= most[:, None]] = np.iinfo("i8").max
-        out = []
-        hit = np.flatnonzero((smaller < np.iinfo("i8").max).any(axis=1))
+        smaller[smaller >= most[:, None]] = none
+        hit = np.flatnonzero((smaller < none).any(axis=1))
         s = smaller[hit]
-        change = np.c_[np.ones(len(s), bool), s[:, 1:] != s[:, :-1]]
-        r, a = np.nonzero(change)
-        end = np.r_[np.flatnonzero(change.ravel())[1:], s.size] - r * (reach + 1)
-        keep = s[r, a] < np.iinfo("i8").max
-        r, a, end = r[keep], a[keep], end[keep]
-        rows = hit[r]
-        frame = pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[own[rows]], "number": number[rows].astype("i4"), "a": a.astype("i4"), "b": (end - 1).astype("i4"), "least": s[r, a]})
-        for chunk, x in frame.groupby("chunk"):
-            out.append((chunk, *(x[c].to_numpy(t).tobytes() for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))))
+        r, a = np.nonzero(np.c_[np.ones(len(s), bool), s[:, 1:] != s[:, :-1]])
+        end = np.r_[(r * (reach + 1) + a)[1:], s.size] - r * (reach + 1) if len(r) else r
+        keep = s[r, a] < none
+        return hit[r[keep]], a[keep], end[keep] - 1, s[r[keep], a[keep]]
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Records of a bucket, a few thousand at a time: those about equal anchors together."""
+        m = [np.frombuffer(x, "u1").reshape(-1, wide) for x in pdf["records"]]
+        own = np.repeat(np.arange(len(m)), [len(x) for x in m])
+        number = np.concatenate([f + np.arange(len(x)) for f, x in zip(pdf["first"].tolist(), m, strict=True)])
+        m = np.concatenate(m)
+        h = np.ascontiguousarray(m[:, :8]).view("<u8").ravel()
+        order = np.argsort(h, kind="stable")
+        new = np.r_[np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]), len(h)]
+        cut = np.unique(np.r_[new[np.searchsorted(new, np.arange(0, len(h), SLAB))], len(h)])
+        parts_ = []
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            rows, a, b, least = runs(m[order[s:e]])
+            parts_.append((order[s:e][rows], a, b, least))
+        rows, a, b, least = (np.concatenate(x) for x in zip(*parts_, strict=True))
+        frame = pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[own[rows]], "number": number[rows].astype("i4"), "a": a.astype("i4"), "b": b.astype("i4"), "least": least})
+        out = [(chunk, *(x[c].to_numpy(t).tobytes() for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))) for chunk, x in frame.groupby("chunk")]
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame(out, columns=["chunk", "number", "a", "b", "least"])
 
     grouped = dealt.groupBy("chunk")
