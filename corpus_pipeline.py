@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slicelake.graph import connected_components
 from slicelake.llm import bpe
+from slicelake.llm.jaccard import jaccard_links, shingle_sets
 from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
 from slicelake.llm.quality import quality_scores
 from slicelake.llm.simhash import simhash_groups
@@ -27,10 +29,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies.
 
-    Shingles of five words. Two documents whose shingles have a Jaccard similarity of 0.8 part in 0.15 of all
-    bits on average; fingerprints of 192 bits are linked at 33 differing bits or fewer, so that most such pairs link.
+    Shingles of five words. Documents are linked if their fingerprints of 192 bits part in 33 bits or fewer and meet
+    in the index, and, whatever their fingerprints, if the Jaccard similarity of their shingles is 0.8 or more: an
+    exact join tests the pairs that fingerprints have not put into one group.
     """
-    groups = simhash_groups(docs, shingle=5, words=3, match=3, max_bits=33)
+    groups = written(simhash_groups(docs, shingle=5, words=3, match=3, max_bits=33), "groups")
+    of = groups.groupBy("fingerprint").agg(F.min("component_id").alias("component")).where("component is not null")
+    sets = written(shingle_sets(docs, 5, 3).join(of, "fingerprint"), "sets")
+    named = sets.select("id", "component")
+    found = jaccard_links(sets).join(named.toDF("a", "c"), "a").join(named.toDF("b", "d"), "b").select("c", "d").distinct()
+    joined = connected_components(found, "c", "d").select(F.col("node").alias("component_id"), "component")
+    groups = groups.join(joined, "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct()
     return docs.join(copies, F.col("doc_id") == F.col("id_"), "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 

@@ -32,19 +32,22 @@ from slicelake.scratch import written
 BLOCK = 1024
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
-    """Eight bytes a word, most significant first; a bit is 1 if it is 1 in over half of the hashes. Words after the first mix the same hashes anew."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """A hash of each run of ``shingle`` words, repeated ones too; of all words where there are fewer."""
     tokens = text.lower().split()  # of bytes: lowers A-Z only, splits at \\x20 and \\x09-\\x0D only
-    if not tokens:
-        return bytes(8 * words)
     joined, hash_ = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= shingle:
-        hashes = np.array([hash_(joined, seed)], dtype="u8")
-    else:
-        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(tokens) - shingle + 1].tolist()
-        hashes = np.array([hash_(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="u8")
+        return np.array([hash_(joined, seed)] if tokens else [], dtype="u8")
+    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(tokens) - shingle + 1].tolist()
+    return np.array([hash_(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="u8")
+
+
+def bits(hashes: np.ndarray, words: int = 1) -> bytes:
+    """Eight bytes a word, most significant first; a bit is 1 if it is 1 in over half of the hashes. Words after the first mix the same hashes anew."""
+    if not len(hashes):
+        return bytes(8 * words)
     out = []
     for word in range(words):
         if word:
@@ -58,6 +61,11 @@ def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> by
     return b"".join(out)
 
 
+def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
+    """The bits of a text's shingles."""
+    return bits(shingle_hashes(text, shingle, seed), words)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
     """(doc_id, f0, f1, ...) of each row, the words as longs. A null text is empty, a text without words has fingerprint 0."""
     names = [f"f{i}" for i in range(words)]

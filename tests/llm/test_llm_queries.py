@@ -60,3 +60,24 @@ def test_pipeline(spark):
     plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((int(d), hashlib.sha256(",".join(map(str, plain.encode_ordinary(t))).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(mixed["doc_id"], mixed["text"], strict=True))
     assert sorted(zip(tokens["doc_id"].tolist(), tokens["ids_sha256"], tokens["decoded_sha256"], strict=True)) == want
+
+
+def test_near_dedup_keeps_no_pair_of_similarity_at_least_four_fifths(spark):
+    """Against the Jaccard similarity of all pairs, without any index: edited texts, around 0.8 on both sides."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.005, 0.08)))):
+            other[at] = f"v{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    like = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert sum(0.8 <= x < 0.9 for x in like.values()) >= 10 and sum(x < 0.6 for x in like.values()) >= 1
+    assert [i for i, x in like.items() if x >= 0.8 and i + 1 in kept] == []
+    assert all(i in kept for i in like) and all(i + 1 in kept for i, x in like.items() if x < 0.45)
