@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from slicelake.llm.common import small, texts
 
 WORD = re.compile(r"[^\W\d_]+")
-#: About so many training documents are fitted on, chosen by a hash of doc_id; words and n-grams that the model holds in each language.
-FIT_DOCS, WORDS, GRAMS, LONGEST = 8_000, 20_000, 5_000, 4
+#: About so many training documents of each language are fitted on, chosen by a hash of doc_id, or all where it has fewer; words and n-grams that the model holds in each language.
+FIT_DOCS, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
 #: What is remembered of words by a worker.
 MEMORY = 300_000
 
@@ -123,8 +123,8 @@ def languages(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held)
-    share = min(1.0, fit_docs / max(1, train.count()))
-    model = fit(train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text"))
+    shares = train.groupBy("lang").agg((F.lit(fit_docs) / F.count("*")).alias("share"))  # a row for each language
+    model = fit(train.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text"))
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by WORDS and GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

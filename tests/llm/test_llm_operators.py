@@ -192,6 +192,13 @@ def test_language_of_held_out_rows(spark, empty):
     assert {r.lang_pred for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    common = [(i, ("the house and the river" if i % 2 else "la maison et la rivière") + f" n{i}", "en" if i % 2 else "fr") for i in range(900)]
+    rare = [(1000 + i, "dom oraz rzeka oraz dom", "pl") for i in range(8)]
+    got = languages(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), fit_docs=20).where("doc_id >= 1000").collect()
+    assert {r.held_out for r in got} == {True, False} and {r.lang_pred for r in got} == {"pl"}
+
+
 def test_quality_of_held_out_rows(spark, docs, empty):
     own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
