@@ -3,11 +3,13 @@
 import hashlib
 import hmac
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slicelake import scratch
 from slicelake.functions import geometry as G
 from slicelake.functions import keyed as K
 from slicelake.functions import labels as L
@@ -73,10 +75,21 @@ def test_grid(spark):
     assert (row.cols, row.rows, row.status) == (3, 3, "ok")
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 1001)], "a long, b long"))
+def test_components_of_a_shuffled_chain(spark, monkeypatch):
+    rng, steps, plain = random.Random(1), [], scratch.Tables.written
+    monkeypatch.setattr(scratch.Tables, "written", lambda self, df, name="part": steps.append(name) or plain(self, df, name))
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(10_000)]
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (ids[0], ids[0]), (None, ids[5])], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
-    assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+    assert got == dict.fromkeys(ids, min(ids))
+    assert steps.count("step") < 20
+
+
+def test_components_of_stars_cliques_and_nothing(spark):
+    edges = [(10 * i, 10 * i + k) for i in range(20) for k in range(1, 5)] + [(1000 + i, 1000 + j) for i in range(8) for j in range(i)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    assert got == {10 * i + k: 10 * i for i in range(20) for k in range(5)} | {1000 + i: 1000 for i in range(8)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def volume(spark, a: np.ndarray):
