@@ -8,6 +8,7 @@ filter admit its id.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicelake.llm.common import small, texts
-from slicelake.scratch import scratch_path
+from slicelake.scratch import scratch_path, written
 
 #: Pieces that the tokenizer's normalizer and splitter never join: at white space, and between a Latin
 #: letter and an ASCII mark other than the apostrophe, as runs of letters end there. Each piece is encoded by itself.
 PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)|[^ \t\n\r]+")
 #: Pieces that a worker remembers.
-MEMORY = 600_000
+MEMORY = 450_000
 
 
 class _Coder:
@@ -35,17 +36,34 @@ class _Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added]  # found anywhere in a text, before it is split
+        self.whole = any(x.normalized for x in added)  # or in what the normalizer makes of it
+        self.model = self.tokenizer.model if self._keeps_letters() else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
+    def _keeps_letters(self) -> bool:
+        """Whether a word of ASCII letters reaches the model as it is, but in lower case."""
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for w in (string.ascii_lowercase, string.ascii_uppercase):
+            low = normalizer.normalize_str(w) if normalizer else w
+            if low != w.lower() or splitter is None or [x for x, _ in splitter.pre_tokenize_str(low)] != [low]:
+                return False
+        return True
+
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.size = [np.empty(0, "i4")], [np.empty(0, "i8")]
 
     def learn(self, pieces: list[str]) -> None:
-        """Pieces of letters alone are one word each, so many make one text, cut again where a word ends."""
+        """Words of ASCII letters go to the model itself; other words of letters many to a text, cut again where a word ends."""
+        if self.model:
+            plain = [p for p in pieces if p.isascii() and p.isalpha()]
+            own = [[x.id for x in self.model.tokenize(p.lower())] for p in plain]
+            self._add(plain, np.array(list(chain.from_iterable(own)), "i4"), np.fromiter(map(len, own), "i8", len(own)))
+            pieces = [p for p in pieces if not (p.isascii() and p.isalpha())]
         words = [p for p in pieces if p.isalpha()]
         others = [p for p in pieces if not p.isalpha()]
         for i in range(0, len(words), 1000):
@@ -65,8 +83,18 @@ class _Coder:
         self.ids.append(ids)
         self.size.append(size)
 
-    def encode(self, texts_: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts' pieces, and how many each text has."""
+    def encode(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each text has."""
+        odd = [i for i, t in enumerate(texts_) if self.whole or any(x in t for x in self.added)]
+        ids, size = self._encode_pieces([[] if i in odd else PIECE.findall(t) for i, t in enumerate(texts_)] if odd else list(map(PIECE.findall, texts_)))
+        if not odd:
+            return ids, size
+        split = np.split(ids, np.cumsum(size)[:-1])
+        for i in odd:
+            split[i] = np.array(self.tokenizer.encode(texts_[i], add_special_tokens=False).ids, "i4")
+        return np.concatenate(split), np.fromiter(map(len, split), "i8", len(split))
+
+    def _encode_pieces(self, texts_: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         flat = list(chain.from_iterable(texts_))
         numbers = np.fromiter(map(self.number.get, flat, repeat(-1)), "i8", len(flat))
         missing = np.flatnonzero(numbers < 0).tolist()
@@ -99,7 +127,7 @@ def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
         for b in small(batches, 512):
-            ids, size = coder.encode([PIECE.findall(t) for t in b.column("text").to_pylist()])
+            ids, size = coder.encode(b.column("text").to_pylist())
             if end_id is not None:
                 ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
             offsets = np.r_[0, np.cumsum(size)].astype("i4")
@@ -126,7 +154,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: (doc_id, start, n_tokens, ids_crc32); start counts the ids of all documents before, by file name and row."""
+    """From the files: (doc_id, start, n_tokens, ids_crc32); start counts the ids of all documents before, by the number in the file's name and by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,8 +163,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             crcs = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("seq"), b.column("file"), pa.array(np.diff(offsets).astype("i8")), pa.array(crcs, pa.int64())], ["doc_id", "seq", "file", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, path).select("doc_id", "seq", F.input_file_name().alias("file"), "ids").mapInArrow(run, "doc_id long, seq long, file string, n_tokens long, ids_crc32 long")
-    rows = rows.persist()
+    number = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).cast("long")  # names have five digits or more, so their order as text isn't that of the files
+    rows = read_token_files(spark, path).select("doc_id", "seq", number.alias("file"), "ids").mapInArrow(run, "doc_id long, seq long, file long, n_tokens long, ids_crc32 long")
+    rows = written(rows, "token-counts")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     own = Window.partitionBy("file").orderBy("seq")
@@ -144,6 +173,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_rows(docs: DataFrame, model: bytes) -> DataFrame:
+    """Writes the token files of ``docs`` to the shared folder and reads their digest back; an empty table gives no rows."""
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, model, path)
     return token_digest(docs.sparkSession, path)
