@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ from slicelake.scratch import written
 FEATURES, SEED, PENALTY, BINS = 256, 7, 1e-4, 400
 #: At most about so many labelled rows are fitted on, chosen by a hash of doc_id.
 FIT_ROWS = 200_000
-LETTER = re.compile(r"[^\W\d_]+")
 _CLASS = np.zeros(256, dtype="u1")  # 0 other ASCII punctuation and symbols
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
 _CLASS[48:58] = 2
@@ -51,14 +49,14 @@ def statistics(text: str) -> list[float]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array<double>): the statistics of each whole text; a null text is empty."""
+    """(doc_id, h, x array<double>): a hash and the statistics of each whole text; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             x = [statistics(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "h", "x"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, x array<double>")
 
 
 class Model:
@@ -138,9 +136,9 @@ def held_out(every: int = 5, remainder: int = 0) -> F.Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+    """(doc_id, held_out, score, predicted, h) for every row of ``docs``, repeated ones too; h is a hash of the text.
 
-    Labels are learned from rows whose crc32(doc_id) mod 5 is not 0 and whose quality is 0 or 1; where a
+    A null text is empty; a null doc_id is not held out and has no label; an empty table gives no rows. Labels are learned from rows whose crc32(doc_id) mod 5 is not 0 and whose quality is 0 or 1; where a
     doc_id is labelled twice, the mean rules, and a tie is left out. Without any label every score is 0.5.
     """
     rows = written(features(docs), "statistics")
@@ -154,6 +152,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
         for b in small(batches, 4096):
             x = b.column("x").flatten().to_numpy().reshape(-1, len(NAMES))
             score = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype("i4"))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype("i4")), b.column("h")], ["doc_id", "score", "predicted", "h"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, h long").select("doc_id", held_out().alias("held_out"), "score", "predicted", "h")

@@ -30,7 +30,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4).drop("h")
 
 
 @query
@@ -51,7 +51,7 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
 
 
 @query

@@ -1,16 +1,18 @@
 """Suffix-array dedup by a depth-limited radix sort over anchored suffixes.
 
 Suffixes are ordered only through ``length`` bytes, most significant digit first; suffixes that stay equal
-through all digits are exactly the repeated windows. Digits are not read from the front: the first digit of
-a window is its anchor, the ``GRAM`` bytes of least hash in it, so equal windows have equal anchors at equal
-offsets and the windows about one anchor are one record of the first pass.
+through all digits are exactly the repeated windows. The first digit of a window is its anchor, the ``GRAM``
+bytes of least hash in it, and its place: equal windows have equal anchors at equal offsets, so the windows
+about one anchor are one record of the first pass. The digits after it are the window's bytes, eight at a time.
 
 Pass 1 deals the anchors' hashes by their leading bits and keeps those that occur in two documents or more;
 all other windows are alone after their first digit and are dropped. Pass 2 deals the anchors that are
-left with the bytes around them and orders the windows about each by the remaining digits; each group of
-equal windows knows its smallest document. Texts are dealt once, in chunks by doc_id; a chunk sends each
-distinct record once, so a passage that a third of the documents hold is a record for each chunk. Exact
-copies of a whole text are found first, by a hash of it, and send no records.
+left with the bytes around them and orders the windows about each digit by digit: a pass sorts what is not
+equal yet within each group, and drops groups of one document. Each group that is left knows its smallest
+document. Anchors that occur ``HOT`` times or more in all texts are too many for one task: their windows are dealt one
+by one by a hash of all their bytes, and ordered there. Texts are dealt once, in chunks by doc_id; a chunk
+sends each distinct record or window once, so a passage that a third of the documents hold is sent once by each
+chunk. Exact copies of a whole text are found first, by a hash of it, and send no records.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from slicelake.scratch import written
 GRAM = 25
 #: Bytes of text in a chunk, and bytes that are hashed at a time.
 CHUNK, STEP = 4 << 20, 1 << 17
+#: Bytes of text for each part of the tables that chunks ask, and the occurrences of an anchor whose windows are dealt one by one.
+PART, HOT = 16 << 20, 4096
 #: Records whose windows are ordered at a time, and those about one anchor more.
 SLAB = 4096
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype="u8") | np.uint64(1)
@@ -121,12 +125,13 @@ class Chunk:
         self.hash, self.doc, self.place, self.low, self.high = h[order], join(docs, "i8")[order], join(places, "i8")[order], join(lows, "u1")[order], join(highs, "u1")[order]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes, ascending, and whether each occurs in two documents."""
+        """The distinct hashes, ascending, and a byte for each: its lowest bit is whether it occurs in two documents, the others four times the binary logarithm of how often, rounded up."""
         if not len(self.hash):
-            return self.hash, np.empty(0, bool)
+            return self.hash, np.empty(0, "u1")
         cut = np.flatnonzero(np.r_[True, self.hash[1:] != self.hash[:-1]])
         ids = self.ids[self.doc]
-        return self.hash[cut], np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
+        more = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
+        return self.hash[cut], np.ceil(4 * np.log2(np.diff(np.r_[cut, len(ids)]))).astype("u1") << 1 | more
 
     def around(self, rows: np.ndarray) -> np.ndarray:
         """Bytes about the anchors ``rows``: those of its windows, others 0; a matrix."""
@@ -148,6 +153,45 @@ class Chunk:
         return first, number, around[first]
 
 
+class Windows:
+    """The distinct windows about some anchors of a chunk, dealt to n parts by their bytes."""
+
+    def __init__(self, chunk: Chunk, rows: np.ndarray, n: int):
+        self.chunk, self.rows, length, reach = chunk, rows, chunk.length, chunk.length - GRAM
+        first, self.record, around = chunk.records(rows)
+        ids = chunk.ids[chunk.doc[rows]]
+        order = np.argsort(self.record, kind="stable")
+        cut = np.searchsorted(self.record[order], np.arange(len(first)))
+        least, most = np.minimum.reduceat(ids[order], cut), np.maximum.reduceat(ids[order], cut)
+        low, high = chunk.low[rows[first]].astype("i8"), chunk.high[rows[first]].astype("i8")
+        count = high - low + 1
+        self.start = np.cumsum(count) - count  # of each record's windows
+        rec = np.repeat(np.arange(len(first)), count)
+        a = low[rec] + np.arange(len(rec)) - self.start[rec]
+        bytes_ = np.lib.stride_tricks.sliding_window_view(around, length, axis=1)[rec, reach - a]
+        part = np.concatenate([_mix(_rolling_rows(_RANDOM[bytes_[i : i + 65536]], length)[:, 0]) for i in range(0, len(rec), 65536)]) % np.uint64(n)
+        key = np.ascontiguousarray(np.concatenate([part.astype(">u8").view("u1").reshape(-1, 8), bytes_], axis=1)).view(f"V{8 + length}").ravel()
+        _, one, self.number = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(self.number, kind="stable")
+        cut = np.searchsorted(self.number[order], np.arange(len(one)))
+        self.part = part[one].astype("i8")
+        least, most = np.minimum.reduceat(least[rec][order], cut), np.maximum.reduceat(most[rec][order], cut)
+        self.sent = np.concatenate([least.astype("<i8").view("u1").reshape(-1, 8), most.astype("<i8").view("u1").reshape(-1, 8), bytes_[one]], axis=1)
+
+    def places(self, number: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Where in the chunk's bytes the windows ``number`` start, but in documents up to each one's ``least``."""
+        none = np.iinfo("i8").max
+        smaller = np.full(len(self.part), none)
+        smaller[number] = least
+        low = self.chunk.low[self.rows].astype("i8")
+        count = self.chunk.high[self.rows].astype("i8") - low + 1
+        row = np.repeat(np.arange(len(self.rows)), count)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        found = smaller[self.number[self.start[self.record[row]] + i]] < self.chunk.ids[self.chunk.doc[self.rows[row]]]
+        row, i = row[found], i[found]
+        return self.chunk.place[self.rows[row]] - low[row] - i
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (h >> np.uint64(40)).astype("i8") * n >> 24  # leading bits, so buckets ascend with hashes
 
@@ -164,14 +208,15 @@ def _chunk(pdf: pd.DataFrame, length: int) -> Chunk:
 
 
 def dealt_texts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Texts by chunk (kind 1), and beside them the marks of exact copies of a smaller doc_id's text (kind 0)."""
+    """Texts by chunk (kind 1), and beside them the marks of exact copies of a smaller doc_id's text (kind 0); and the parts of the tables that chunks ask."""
     rows = texts(docs).where("doc_id is not null").withColumn("data", F.col("text").cast("binary")).withColumn("h", F.xxhash64("text"))
-    n = parts(docs.sparkSession, text_bytes(texts(docs)), CHUNK)
+    total = text_bytes(texts(docs))
+    n = parts(docs.sparkSession, total, CHUNK)
     same = written(rows.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n")), "texts")
     groups = written(same.groupBy("h", "g", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "copied")
     copies = same.join(groups, ["h", "g", "n"]).where("doc_id > least").select(F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("data"))
     every = rows.select(F.lit(1).alias("kind"), "doc_id", "h", "data").union(written(copies.distinct(), "copies"))
-    return every.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "chunk"), n
+    return every.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "chunk"), parts(docs.sparkSession, total, PART)
 
 
 def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes], list[list[tuple[int, int]]]], dict[str, list]] | None = None, fields: str = "spans array<struct<start: long, stop: long>>") -> DataFrame:
@@ -186,12 +231,12 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
     dealt, n = dealt_texts(docs)
 
     def hashes(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, more = _chunk(pdf, length).distinct()
+        h, much = _chunk(pdf, length).distinct()
         b = _bucket(h, n)
         cut = np.searchsorted(b, np.arange(n + 1))
         six = np.ascontiguousarray(h.astype("<u8").view("u1").reshape(-1, 8)[:, :6])  # the leading bits are the bucket's
-        out = [(i, int(pdf["chunk"].iloc[0]), six[s:e].tobytes(), np.packbits(more[s:e]).tobytes()) for i, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if e > s]
-        return pd.DataFrame(out, columns=["bucket", "chunk", "hashes", "more"])
+        out = [(i, int(pdf["chunk"].iloc[0]), six[s:e].tobytes(), much[s:e].tobytes()) for i, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if e > s]
+        return pd.DataFrame(out, columns=["bucket", "chunk", "hashes", "much"])
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = []
@@ -199,46 +244,52 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
             wide = np.zeros((len(x) // 6, 8), "u1")
             wide[:, :6] = np.frombuffer(x, "u1").reshape(-1, 6)
             lists.append(wide.view("<u8").ravel())
-        sizes = [len(x) for x in lists]
-        more = np.concatenate([np.unpackbits(np.frombuffer(m, "u1"), count=k).astype(bool) for m, k in zip(pdf["more"], sizes, strict=True)])
-        every = np.concatenate(lists)
-        _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-        kept = (count > 1) | (np.bincount(inverse, weights=more, minlength=len(count)) > 0)
-        kept = kept[inverse]
-        cut = np.cumsum([0, *sizes])
-        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "bits": [np.packbits(kept[s:e]).tobytes() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]})
-
-    flags = dealt.groupBy("chunk").applyInPandas(hashes, "bucket long, chunk long, hashes binary, more binary").groupBy("bucket").applyInPandas(repeated, "chunk long, bucket long, bits binary")
-
-    def chosen(chunk: Chunk, bits: pd.DataFrame) -> np.ndarray:
-        """Rows of the chunk's anchors that pass 1 kept."""
+        much = np.frombuffer(b"".join(pdf["much"]), "u1")
+        _, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        kept = ((count > 1) | (np.bincount(inverse, weights=much & 1, minlength=len(count)) > 0))[inverse]
+        hot = kept & (np.bincount(inverse, weights=2 ** ((much >> 1) / 4), minlength=len(count)) >= HOT)[inverse]
+        cut = np.cumsum([0, *map(len, lists)]).tolist()
+        packed = lambda x: [np.packbits(x[s:e]).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "bits": packed(kept), "hot": packed(hot)})
+
+    flags = dealt.groupBy("chunk").applyInPandas(hashes, "bucket long, chunk long, hashes binary, much binary").groupBy("bucket").applyInPandas(repeated, "chunk long, bucket long, bits binary, hot binary")
+
+    def chosen(chunk: Chunk, bits: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the chunk's anchors that pass 1 kept, and those of hot anchors apart."""
         h, _ = chunk.distinct()
+        if not len(h):
+            return np.empty(0, "i8"), np.empty(0, "i8")
         b = _bucket(h, n)
-        kept = np.zeros(len(h), bool)
-        for bucket, x in zip(bits["bucket"].tolist(), bits["bits"].tolist(), strict=True):
+        kept, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        for bucket, x, y in zip(bits["bucket"].tolist(), bits["bits"].tolist(), bits["hot"].tolist(), strict=True):
             s, e = np.searchsorted(b, [bucket, bucket + 1])
-            kept[s:e] = np.unpackbits(np.frombuffer(x, "u1"), count=e - s).astype(bool)
-        return np.flatnonzero(kept[np.searchsorted(h, chunk.hash)]) if len(h) else np.empty(0, "i8")
+            kept[s:e], hot[s:e] = (np.unpackbits(np.frombuffer(z, "u1"), count=e - s).astype(bool) for z in (x, y))
+        at = np.searchsorted(h, chunk.hash)
+        return np.flatnonzero((kept & ~hot)[at]), np.flatnonzero(hot[at])
+
+    def cut_by(part: np.ndarray, first: int, chunk: int, records: np.ndarray) -> list[tuple]:
+        """Rows (bucket, chunk, first, records) of records that ascend with their parts; buckets count from ``first``."""
+        cut = np.searchsorted(part, np.arange(n + 1)).tolist()
+        return [(first + i, chunk, s, records[s:e].tobytes()) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
 
     def around(texts_: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "chunk", "first", "records"]
-        if not len(texts_):
-            return pd.DataFrame(columns=columns)
-        chunk = _chunk(texts_, length)
-        rows = chosen(chunk, bits)
-        if not len(rows):
-            return pd.DataFrame(columns=columns)
-        first, number, bytes_ = chunk.records(rows)
-        ids = chunk.ids[chunk.doc[rows]]
-        order = np.argsort(number, kind="stable")
-        cut = np.searchsorted(number[order], np.arange(len(first)))
-        least, most = np.minimum.reduceat(ids[order], cut), np.maximum.reduceat(ids[order], cut)
-        head = rows[first]
-        record = np.concatenate([chunk.hash[head].astype("<u8").view("u1").reshape(-1, 8), least.astype("<i8").view("u1").reshape(-1, 8), most.astype("<i8").view("u1").reshape(-1, 8), chunk.low[head][:, None], chunk.high[head][:, None], bytes_], axis=1)
-        b = _bucket(chunk.hash[head], n)
-        cut = np.searchsorted(b, np.arange(n + 1))  # records ascend with their hashes
-        out = [(i, int(texts_["chunk"].iloc[0]), s, record[s:e].tobytes()) for i, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if e > s]
-        return pd.DataFrame(out, columns=columns)
+        out = []
+        if len(texts_):
+            chunk, name = _chunk(texts_, length), int(texts_["chunk"].iloc[0])
+            rows, hot = chosen(chunk, bits)
+            if len(rows):
+                first, number, bytes_ = chunk.records(rows)
+                ids = chunk.ids[chunk.doc[rows]]
+                order = np.argsort(number, kind="stable")
+                cut = np.searchsorted(number[order], np.arange(len(first)))
+                least, most = np.minimum.reduceat(ids[order], cut), np.maximum.reduceat(ids[order], cut)
+                head = rows[first]
+                record = np.concatenate([chunk.hash[head].astype("<u8").view("u1").reshape(-1, 8), least.astype("<i8").view("u1").reshape(-1, 8), most.astype("<i8").view("u1").reshape(-1, 8), chunk.low[head][:, None], chunk.high[head][:, None], bytes_], axis=1)
+                out += cut_by(_bucket(chunk.hash[head], n), 0, name, record)  # records ascend with their hashes
+            if len(hot):
+                windows = Windows(chunk, hot, n)
+                out += cut_by(windows.part, n, name, windows.sent)
+        return pd.DataFrame(out, columns=["bucket", "chunk", "first", "records"])
 
     wide = 26 + 2 * length - GRAM
 
@@ -246,18 +297,33 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
     start, none = np.arange(reach + 1), np.iinfo("i8").max  # bytes before the anchor at which a window starts
 
     def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The remaining digits of some records, by a hash of them: rows, first and last start of windows with an equal one in a smaller document, and that document."""
+        """Orders the windows of some records, ascending by anchor, digit by digit: rows, first and last start of windows with an equal one in a smaller document, and that document."""
         h, least, most = (np.ascontiguousarray(m[:, i : i + 8]).view(t).ravel() for i, t in ((0, "<u8"), (8, "<i8"), (16, "<i8")))
-        used = (m[:, 24:25] <= start) & (start <= m[:, 25:26])
-        digits = _rolling_rows(_RANDOM[m[:, 26:]], length)[:, ::-1]
-        key = _mix(_mix(digits + _mix(h)[:, None]))[used]
-        order = np.argsort(key)
-        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        group = np.minimum.reduceat(np.repeat(least, used.sum(axis=1))[order], cut)
-        found = np.empty(len(key), "i8")
-        found[order] = np.repeat(group, np.diff(np.r_[cut, len(key)]))
+        rec, a = np.nonzero((m[:, 24:25] <= start) & (start <= m[:, 25:26]))
+        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])[rec] * (reach + 1) + a
+        order = np.argsort(group, kind="stable")
+        rec, a, group = rec[order], a[order], group[order]
+        digits = np.ndarray((len(m), wide - 26 - 7), "<u8", m, 26, (wide, 1))  # eight bytes from each place
+        for at in (*range(0, length - 8, 8), length - 8):
+            if not len(rec):
+                break
+            digit = digits[rec, reach - a + at]
+            odd = np.flatnonzero((group[1:] == group[:-1]) & (digit[1:] != digit[:-1]))
+            if len(odd):
+                mixed = np.zeros(int(group[-1]) + 1, bool)
+                mixed[group[odd]] = True
+                i = np.flatnonzero(mixed[group])
+                j = i[np.lexsort((digit[i], group[i]))]
+                rec[i], a[i], digit[i] = rec[j], a[j], digit[j]
+            cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
+            low = np.minimum.reduceat(least[rec], cut)
+            many = low < np.maximum.reduceat(most[rec], cut)
+            size = np.diff(np.r_[cut, len(rec)])
+            keep, low = np.repeat(many, size), low[many]
+            rec, a, group = rec[keep], a[keep], np.repeat(np.arange(len(low)), size[many])
         smaller = np.full((len(m), reach + 1), none)
-        smaller[used] = found
+        if len(rec):
+            smaller[rec, a] = low[group]
         smaller[smaller >= most[:, None]] = none
         hit = np.flatnonzero((smaller < none).any(axis=1))
         s = smaller[hit]
@@ -266,31 +332,45 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
         keep = s[r, a] < none
         return hit[r[keep]], a[keep], end[keep] - 1, s[r[keep], a[keep]]
 
+    def windows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Orders whole windows: rows with an equal one in a smaller document, and that document."""
+        least, most = (np.ascontiguousarray(m[:, i : i + 8]).view("<i8").ravel() for i in (0, 8))
+        _, group = np.unique(np.ascontiguousarray(m[:, 16:]).view(f"V{length}").ravel(), return_inverse=True)
+        low = np.full(int(group.max()) + 1, none)
+        np.minimum.at(low, group, least)
+        rows = np.flatnonzero(low[group] < most)
+        return rows, low[group][rows]
+
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Records of a bucket, a few thousand at a time: those about equal anchors together."""
-        m = [np.frombuffer(x, "u1").reshape(-1, wide) for x in pdf["records"]]
+        """Records of a bucket, a few thousand at a time: those about equal anchors together. Windows of hot anchors have buckets of their own."""
+        hot = int(pdf["bucket"].iloc[0]) >= n
+        m = [np.frombuffer(x, "u1").reshape(-1, 16 + length if hot else wide) for x in pdf["records"]]
         own = np.repeat(np.arange(len(m)), [len(x) for x in m])
         number = np.concatenate([f + np.arange(len(x)) for f, x in zip(pdf["first"].tolist(), m, strict=True)])
         m = np.concatenate(m)
-        h = np.ascontiguousarray(m[:, :8]).view("<u8").ravel()
-        order = np.argsort(h, kind="stable")
-        new = np.r_[np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]), len(h)]
-        cut = np.unique(np.r_[new[np.searchsorted(new, np.arange(0, len(h), SLAB))], len(h)])
-        parts_ = []
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            rows, a, b, least = runs(m[order[s:e]])
-            parts_.append((order[s:e][rows], a, b, least))
-        rows, a, b, least = (np.concatenate(x) for x in zip(*parts_, strict=True))
+        if hot:
+            rows, least = windows(m)
+            a = b = np.zeros(len(rows), "i4")
+        else:
+            h = np.ascontiguousarray(m[:, :8]).view("<u8").ravel()
+            order = np.argsort(h, kind="stable")
+            new = np.r_[np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]), len(h)]
+            cut = np.unique(np.r_[new[np.searchsorted(new, np.arange(0, len(h), SLAB))], len(h)])
+            parts_ = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                rows, a, b, least = runs(m[order[s:e]])
+                parts_.append((order[s:e][rows], a, b, least))
+            rows, a, b, least = (np.concatenate(x) for x in zip(*parts_, strict=True))
         frame = pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[own[rows]], "number": number[rows].astype("i4"), "a": a.astype("i4"), "b": b.astype("i4"), "least": least})
-        out = [(chunk, *(x[c].to_numpy(t).tobytes() for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))) for chunk, x in frame.groupby("chunk")]
+        out = [(chunk, hot, *(x[c].to_numpy(t).tobytes() for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))) for chunk, x in frame.groupby("chunk")]
         pa.default_memory_pool().release_unused()
-        return pd.DataFrame(out, columns=["chunk", "number", "a", "b", "least"])
+        return pd.DataFrame(out, columns=["chunk", "one", "number", "a", "b", "least"])
 
     grouped = dealt.groupBy("chunk")
     records = grouped.cogroup(flags.groupBy("chunk")).applyInPandas(around, "bucket long, chunk long, first long, records binary")
-    marks = records.groupBy("bucket").applyInPandas(ordered, "chunk long, number binary, a binary, b binary, least binary")
+    marks = records.groupBy("bucket").applyInPandas(ordered, "chunk long, one boolean, number binary, a binary, b binary, least binary")
     # a chunk needs its flags again to number its records as before
-    back = flags.select("chunk", "bucket", "bits", *[F.lit(None).cast("binary").alias(c) for c in ("number", "a", "b", "least")]).union(marks.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "number", "a", "b", "least"))
+    back = flags.unionByName(marks, allowMissingColumns=True)
 
     finish = then or (lambda data, spans: {"spans": [[{"start": s, "stop": e} for s, e in x] for x in spans]})
     columns = ["doc_id", "h", *(f.strip().split(" ")[0] for f in (fields.split(", ") if then else ["spans"]))]
@@ -302,18 +382,26 @@ def removed_spans(docs: DataFrame, length: int = 50, then: Callable[[list[bytes]
         change = np.zeros(len(chunk.bytes) + 1, "i4")
         bits, found = sent[sent["bits"].notna()], sent[sent["number"].notna()]
         if len(found):
-            rows = chosen(chunk, bits.assign(bucket=bits["bucket"].astype("i8")))
-            first, number, _ = chunk.records(rows)
-            order = np.argsort(number, kind="stable")
-            cut = np.searchsorted(number[order], np.arange(len(first) + 1))
-            mark, a, b, least = (np.frombuffer(b"".join(found[c]), t) for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))
-            count = cut[mark + 1] - cut[mark]
-            which = np.repeat(np.arange(len(mark)), count)
-            row = rows[order[np.repeat(cut[mark] - (np.cumsum(count) - count), count) + np.arange(count.sum())]]
-            later = chunk.ids[chunk.doc[row]] > least[which]
-            row, which = row[later], which[later]
-            np.add.at(change, chunk.place[row] - b[which], 1)
-            np.add.at(change, chunk.place[row] - a[which] + length, -1)
+            rows, hot = chosen(chunk, bits.assign(bucket=bits["bucket"].astype("i8")))
+            join = lambda x, c, t: np.frombuffer(b"".join(x[c]), t)
+            one = found[found["one"].astype(bool)]
+            found = found[~found["one"].astype(bool)]
+            if len(found):
+                first, number, _ = chunk.records(rows)
+                order = np.argsort(number, kind="stable")
+                cut = np.searchsorted(number[order], np.arange(len(first) + 1))
+                mark, a, b, least = (join(found, c, t) for c, t in (("number", "<i4"), ("a", "<i4"), ("b", "<i4"), ("least", "<i8")))
+                count = cut[mark + 1] - cut[mark]
+                which = np.repeat(np.arange(len(mark)), count)
+                row = rows[order[np.repeat(cut[mark] - (np.cumsum(count) - count), count) + np.arange(count.sum())]]
+                later = chunk.ids[chunk.doc[row]] > least[which]
+                row, which = row[later], which[later]
+                np.add.at(change, chunk.place[row] - b[which], 1)
+                np.add.at(change, chunk.place[row] - a[which] + length, -1)
+            if len(one):
+                at = Windows(chunk, hot, n).places(join(one, "number", "<i4"), join(one, "least", "<i8"))
+                np.add.at(change, at, 1)
+                np.add.at(change, at + length, -1)
         copied = np.ones(len(chunk.data), bool)
         copied[chunk.sends] = False
         whole = copied & (chunk.sizes >= length)

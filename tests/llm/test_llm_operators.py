@@ -1,6 +1,7 @@
 """Operators against brute force on a small table of odd texts."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -28,39 +29,78 @@ def plain_fingerprint(text: str, n: int = 4) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(fps: list[int], ids: list[int], bits: int, words: int = 1, match: int = 0) -> list[int]:
-    def linked(x: int) -> bool:
-        return x.bit_count() <= bits and any(sum(x >> 64 * w + 8 * b & 255 == 0 for b in range(8)) >= match for w in range(words))
-
-    label, near = list(ids), [[j for j in range(len(fps)) if linked(fps[i] ^ fps[j])] for i in range(len(fps))]
+def plain_components(n: int, linked) -> list[int]:
+    """The least place that each of n places reaches over links (i, j)."""
+    label, near = list(range(n)), [[j for j in range(n) if i == j or linked(i, j)] for i in range(n)]
     while True:
-        new = [min(label[j] for j in near[i]) for i in range(len(fps))]
+        new = [min(label[j] for j in near[i]) for i in range(n)]
         if new == label:
             return label
         label = new
 
 
+def plain_shingles(text: str, n: int) -> set:
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_simhash(docs, texts, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
     got = table(simhash.simhash_groups(docs))
     fps = [plain_fingerprint(t or "") for _, t in texts]
     assert got["fingerprint"].tolist() == [f"{f:016x}" for f in fps]
-    assert got["component_id"].tolist() == plain_components(fps, [i for i, _ in texts], 4)
+    assert got["component_id"].tolist() == plain_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+
+
+def test_links_in_lists_longer_than_a_block(spark, monkeypatch):
+    """Several far groups share four bytes, so that most of a list is not near its hub; and bits drift along a chain."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    fps = []
+    for centre in rng.integers(0, 1 << 32, 6):
+        x = int(centre)
+        for _ in range(25):
+            x ^= 1 << int(rng.integers(32))
+            fps.append(0xABCD_0123 << 32 | x)
+    fps = sorted(set(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = spark.createDataFrame([(i, f) for i, f in zip(signed, signed, strict=True)], "id long, f0 long")
+    got = simhash.connected_components(simhash.links(simhash.byte_postings(rows, ["f0"], 4), ["f0"], 4, 4))
+    label = {r.node: r.component for r in got.collect()}
+    want = plain_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    groups = {}
+    for f, w in zip(signed, want, strict=True):
+        groups.setdefault(w, []).append(f)
+    assert label == {f: min(g) for g in groups.values() if len(g) > 1 for f in g}
 
 
 def test_simhash_of_repeated_rows_null_ids_and_nothing(spark, docs, empty):
     twice = docs.union(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
-    got = simhash.simhash_groups(twice)
-    assert got.count() == docs.count() + 4
-    assert got.where("doc_id is null").first().component_id == 0
-    assert simhash.simhash_groups(empty).count() == 0
+    for wide in ({}, {"shingle": 5, "words": 3, "max_bits": 37, "match": 4, "least": "0.8"}):
+        got = simhash.simhash_groups(twice, **wide)
+        assert got.count() == docs.count() + 4
+        assert got.where("doc_id is null").first().component_id == 0
+        assert simhash.simhash_groups(empty, **wide).count() == 0
+    with pytest.raises(ValueError, match="positional"):
+        simhash.simhash_groups(docs, max_bits=8)
 
 
-def test_wide_fingerprints_find_what_all_pairs_find(docs):
-    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=3, max_bits=33))
-    fps = [int(x, 16) for x in got["fingerprint"]]
-    assert got["component_id"].tolist() == plain_components(fps, got["doc_id"].tolist(), 33, 3, 3)
+@pytest.mark.parametrize("block", [1024, 2])
+def test_wide_fingerprints_join_all_that_are_similar_and_near(spark, docs, texts, block, monkeypatch):
+    """What all pairs show: none at 0.8 or more within the bits is missed, and nothing is joined but over near pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    long_ = (1000, "sed ut perspiciatis unde omnis " * 50_000)
+    docs = docs.unionByName(spark.createDataFrame([long_], "doc_id long, text string"), allowMissingColumns=True)
+    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=4, max_bits=37, least="0.8"))
+    fps, sets = [int(x, 16) for x in got["fingerprint"]], [plain_shingles(t, 5) for _, t in [*texts, long_]]
+    place = {int(d): i for i, d in enumerate(got["doc_id"])}
+    own = [place[int(c)] for c in got["component_id"]]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 37
+    fine = plain_components(len(fps), lambda i, j: near(i, j) and (not sets[i] and not sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])))
+    coarse = plain_components(len(fps), near)
+    assert len(set(fine)) < len(fps)
+    assert all(own[i] == own[j] for i, j in enumerate(fine)) and all(coarse[i] == coarse[j] for i, j in enumerate(own))
 
 
 def plain_removed(texts, n=50):
@@ -77,10 +117,11 @@ def plain_removed(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize(("step", "parts"), [(1 << 19, 1 << 23), (120, 4000)])
-def test_suffixes(docs, texts, step, parts, monkeypatch):
+@pytest.mark.parametrize(("step", "parts", "hot"), [(1 << 17, 1 << 23, 4096), (120, 4000, 4096), (120, 4000, 2), (1 << 17, 2000, 4)])
+def test_suffixes(docs, texts, step, parts, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "STEP", step)
     monkeypatch.setattr(suffixes, "CHUNK", parts)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = table(suffixes.digest(docs))
     assert [tuple(r) for r in got.itertuples(index=False)] == plain_removed(texts)
 
@@ -168,7 +209,8 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     with open(P.path("word_bpe_49k.json"), "rb") as f:
         model = f.read()
     plain = Tokenizer.from_buffer(model)
-    plain.encode_special_tokens = True
+    texts = [*texts, (100, "hello <|endoftext|> world"), (101, "x<|startoftext|>y<|endoftext|><|endoftext|>"), (102, "a<|ENDOFTEXT|>b <|end"), (103, "lorem ipsum " * 60_000)]
+    docs = docs.unionByName(spark.createDataFrame(texts[-4:], "doc_id long, text string"), allowMissingColumns=True)
     path = f"file://{tmp_path}/ids"
     token_files.write_token_files(docs, model, path, files=5)
     got = table(token_files.token_digest(spark, path))
@@ -179,6 +221,24 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
         start += len(ids)
     assert [r.doc_id for r in token_files.read_token_files(spark, path).where("doc_id = 5").collect()] == [5]
     assert token_files.op10_rows(empty, model).count() == 0
+    again = docs.where("doc_id in (1, 5)").unionByName(docs.where("doc_id in (5, 38)")).unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = sorted(token_files.op10_rows(again, model).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 5, 5, 38] and rows[2].ids_crc32 == rows[3].ids_crc32 and rows[4].n_tokens == 1
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]]
+
+
+def test_token_files_are_ordered_by_number(spark, docs, tmp_path):
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        model = f.read()
+    path = f"{tmp_path}/ids"
+    token_files.write_token_files(docs.where("doc_id < 9"), model, f"file://{path}", files=3)
+    names = sorted(n for n in os.listdir(path) if n.startswith("part-"))
+    for n, number in zip(names, ("99998", "99999", "100000"), strict=False):
+        os.rename(f"{path}/{n}", f"{path}/part-{number}{n[10:]}")
+        if os.path.exists(f"{path}/.{n}.crc"):
+            os.rename(f"{path}/.{n}.crc", f"{path}/.part-{number}{n[10:]}.crc")
+    got = table(token_files.token_digest(spark, f"file://{path}"))
+    assert len(names) > 1 and got["start"].tolist() == [0, *np.cumsum(got["n_tokens"])[:-1]]
 
 
 def test_language_of_held_out_rows(spark, empty):
