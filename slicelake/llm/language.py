@@ -8,8 +8,10 @@ without any known n-gram scores nothing.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,41 +19,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicelake.llm.common import small, texts
+from slicelake.scratch import tables
 
-WORD = re.compile(r"[^\W\d_]+")
-#: About so many training documents of each language are fitted on, chosen by a hash of doc_id, or all where it has fewer; words and n-grams that the model holds in each language.
-FIT_DOCS, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
-#: What is remembered of words by a worker.
-MEMORY = 300_000
+#: About so many training documents of each language are fitted on, chosen by a hash of doc_id, or all where it has fewer.
+FIT_DOCS = 20_000
+#: The size of the model: words, and n-grams of each length up to LONGEST, of each language, the most frequent ones.
+WORDS, GRAMS, LONGEST = 20_000, 5_000, 4
+#: What a worker remembers of words: so many at most, in so many bytes of scores at most.
+MEMORY, MEMORY_BYTES = 300_000, 64 << 20
+#: Counts that a task holds before it sends them.
+HELD = 200_000
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of lower-cased words, summed a task at a time and then over all."""
+@cache
+def word_pattern() -> re.Pattern:
+    """Runs of letters: what is alphanumeric, but no decimal, and none of the other numbers (as ½, ², Ⅷ)."""
+    others = "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(others)}]+")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+def _batch(counts: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
+    """(lang, size, key, n): size 0 for words, else the letters of an n-gram."""
+    rows = [(lang, size, key, n) for (lang, size), c in counts.items() for key, n in c.items()]
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "size", "key", "n"])
+
+
+COUNTS = "lang string, size int, key string, n long"
+
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+
+
+def _words(train: DataFrame) -> DataFrame:
+    """Counts of lower-cased words, summed a task at a time and then over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, find = {}, word_pattern().findall
         for b in small(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            if sum(map(len, counts.values())) > 200_000:
-                yield out()
+                counts.setdefault((lang, 0), Counter()).update(find(text.lower()))
+            if sum(map(len, counts.values())) > HELD:
+                yield _batch(counts)
                 counts = {}
-        yield out()
+        yield _batch(counts)
 
-    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return _summed(train.select("lang", "text").mapInArrow(run, COUNTS))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """Counts of the n-grams of counted words, a space before and after each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], Counter] = {}
+        for b in small(batches, 4096):
+            for lang, word, n in zip(*(b.column(x).to_pylist() for x in ("lang", "key", "n")), strict=True):
+                padded = f" {word} "
+                for size in range(1, LONGEST + 1):
+                    own = counts.setdefault((lang, size), Counter())
+                    for i in range(len(padded) - size + 1):
+                        own[padded[i : i + size]] += n
+            if sum(map(len, counts.values())) > HELD:
+                yield _batch(counts)
+                counts = {}
+        yield _batch(counts)
+
+    return _summed(words.mapInArrow(run, COUNTS))
 
 
 class Model:
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
         self.langs, self.words, self.grams = langs, words, grams
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((MEMORY, max(len(langs), 1)))
+        self.rows = np.zeros((min(MEMORY, MEMORY_BYTES // 8 // max(len(langs), 1)), max(len(langs), 1)))
 
     def of(self, word: str) -> list[float]:
         """Log scores of a word in each language."""
@@ -70,13 +111,13 @@ class Model:
         return list(map(sum, zip(*found, strict=True))) if found else [0.0] * len(self.langs)
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
+        words = word_pattern().findall(text.lower())
         if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            if len(self.place) > MEMORY - len(part):
+        total, step = np.zeros(len(self.langs)), min(10_000, len(self.rows))
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            if len(self.place) > len(self.rows) - len(part):
                 self.place.clear()
             for w in set(part).difference(self.place):
                 self.rows[len(self.place)] = self.of(w)
@@ -86,45 +127,41 @@ class Model:
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
 
-def fit(train: DataFrame) -> Model:
-    """The model for rows (lang, text). It holds at most WORDS words and GRAMS n-grams of each length for each language, which come to the driver."""
-    counts = _counted(train).persist()
-    sums = dict(counts.groupBy("lang").agg(F.sum("n")).collect())  # a row for each language
-    langs = sorted(sums)
+def fit(train: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """The model for rows (lang, text). It holds at most ``words`` words and ``grams`` n-grams of each length for each language, ties to the smaller; they come to the driver with their counts."""
+    with tables(train.sparkSession) as own:
+        of_words = own.written(_words(train), "words")
+        counts = own.written(of_words.unionByName(_grams(of_words)), "counts")
+        totals = counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows for each language
+        most = F.when(F.col("size") == 0, words).otherwise(grams)
+        nth = lambda *by: F.row_number().over(Window.partitionBy("lang", "size", *by).orderBy(F.col("n").desc(), "key")) <= most
+        # the first of each of 64 parts, then the first of those
+        shares = counts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("best", nth("part")).where("best")
+        chosen = shares.withColumn("best", nth()).where("best").select("size", "key").distinct()
+        found = counts.join(chosen, ["size", "key"]).select("size", "key", "lang", "n").collect()
+    langs = sorted({r.lang for r in totals if r["size"] == 0})
     at = {x: i for i, x in enumerate(langs)}
+    every, held = np.zeros((LONGEST + 1, len(langs))), [{} for _ in range(LONGEST + 1)]
+    for r in totals:
+        every[r["size"], at[r.lang]] = r.n
+    for size, key, lang, n in found:
+        held[size].setdefault(key, np.zeros(len(langs)))[at[lang]] = n
+    scores = [{x: np.log((v + 0.5) / (every[size] + 0.5 * (len(own) + 1))).tolist() for x, v in own.items()} for size, own in enumerate(held)]
+    return Model(langs, scores[0], [{}, *scores[1:]])
+
 
-    def top(rows: DataFrame, key: str, most: int) -> dict[str, list[float]]:
-        best = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.col("n").desc(), key)) <= most
-        shares = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("best", best("part")).where("best")
-        chosen = shares.withColumn("best", best()).where("best").select(key).distinct()
-        totals = dict(rows.groupBy("lang").agg(F.sum("n")).collect())
-        found: dict[str, np.ndarray] = {}
-        for x, lang, n in rows.join(chosen, key).select(key, "lang", "n").collect():
-            found.setdefault(x, np.zeros(len(langs)))[at[lang]] = n
-        every = np.array([totals.get(x, 0) for x in langs], "f8")
-        return {x: np.log((v + 0.5) / (every + 0.5 * (len(found) + 1))).tolist() for x, v in found.items()}
-
-    words = top(counts.where("n > 1"), "word", WORDS)
-    grams: list[dict] = [{}]
-    for n in range(1, LONGEST + 1):
-        padded = F.concat(F.lit(" "), "word", F.lit(" "))
-        places = F.sequence(F.lit(1), F.length(padded) - n + 1)
-        cut = F.when(F.length(padded) >= n, F.transform(places, lambda i, n=n: F.substr(padded, i, F.lit(n))))
-        grams.append(top(counts.select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", GRAMS))
-    counts.unpersist()
-    return Model(langs, words, grams)
-
-
-def languages(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+def languages(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams: int = GRAMS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row: the language of highest score and its share of the likelihood.
 
     Learned from rows with a text and a lang whose crc32(doc_id) mod 3 is not 1. A text that is null or has no
-    letter, or one met by a model without languages, is ``und`` with score 0.
+    letter, or one met by a model without languages, is ``und`` with score 0. A row with a null doc_id is not held
+    out and teaches nothing; repeated rows are learned as often as they stand, and each has a row; an empty table
+    gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held)
     shares = train.groupBy("lang").agg((F.lit(fit_docs) / F.count("*")).alias("share"))  # a row for each language
-    model = fit(train.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text"))
+    model = fit(train.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text"), words, grams)
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by WORDS and GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,29 @@ from slicelake.llm.common import parts, text_bytes, texts
 from slicelake.scratch import written
 
 SAMPLES = 64
-#: Draws are rows of three tables of so many rows each, picked by three independent hashes of a term.
-ROWS = 4096
+#: Steps of the distributions' quantiles: a term's draws are picked by bits of a hash of the term and the sample.
+STEPS = 1 << 16
 
 
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(20240601))
-    shape = (ROWS, SAMPLES)
-    return rng.gamma(2, 1, shape).astype("f4"), np.log(rng.gamma(2, 1, shape)).astype("f4"), rng.random(shape).astype("f4")
+@cache
+def _quantiles() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), their logarithms, those of Uniform(0, 1), and a salt for each sample."""
+    q = (np.arange(STEPS) + 0.5) / STEPS
+    low, high = np.zeros(STEPS), np.full(STEPS, 40.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        less = 1 - (1 + x) * np.exp(-x) < q
+        low, high = np.where(less, x, low), np.where(less, high, x)
+    salts = _mix(np.arange(1, SAMPLES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+    return x.astype("f4"), np.log(x).astype("f4"), q.astype("f4"), salts
+
+
+def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and b of each term (a row) for each sample (a column)."""
+    gamma, log_gamma, uniform, salts = _quantiles()
+    h = _mix(terms[:, None] ^ salts)
+    part = lambda shift: ((h >> np.uint64(shift)) & np.uint64(STEPS - 1)).astype("i4")
+    return gamma[part(0)], log_gamma[part(16)], uniform[part(32)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -38,7 +54,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def signature(text: str, draws: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def signature(text: str) -> np.ndarray:
     """A 16-bit code for each sample; all 0 for a text without words, else none 0."""
     hash_ = xxhash.xxh64_intdigest
     h = np.array([hash_(w) for w in text.split()], dtype="u8")
@@ -47,14 +63,12 @@ def signature(text: str, draws: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np
     if len(h) > 1:
         h = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     term, weight = np.unique(h, return_counts=True)
-    r_, lnc_, b_ = draws
     best, code = np.full(SAMPLES, np.inf, "f4"), np.zeros(SAMPLES, "u8")
-    for i in range(0, len(term), 2048):
-        x = term[i : i + 2048]
-        r = r_[x % np.uint64(ROWS)]
-        b = b_[(x >> np.uint64(40)) % np.uint64(ROWS)]
-        t = np.floor(np.log(weight[i : i + 2048]).astype("f4")[:, None] / r + b)
-        a = lnc_[(x >> np.uint64(20)) % np.uint64(ROWS)] - r * (t - b + 1)
+    for i in range(0, len(term), 1024):
+        x = term[i : i + 1024]
+        r, log_c, b = draws(x)
+        t = np.floor(np.log(weight[i : i + 1024]).astype("f4")[:, None] / r + b)
+        a = log_c - r * (t - b + 1)
         at = a.argmin(axis=0)
         own = a[at, np.arange(SAMPLES)]
         found = own < best
@@ -71,9 +85,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint): 64 samples as 256 hex digits. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = _draws()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([signature(t, draws).tobytes().hex() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([signature(t).tobytes().hex() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -82,10 +95,10 @@ COLUMNS = ["doc_id", "n_chars", "edited_sha256", "own", "edited", "near_edited",
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, own binary, edited binary, near_edited double, near_next double"
 
 
-def _row(doc_id, text: str, sign: np.ndarray, after: str, next_sign: np.ndarray, draws) -> tuple:
+def _row(doc_id, text: str, sign: np.ndarray, after: str, next_sign: np.ndarray) -> tuple:
     q = len(text) // 4
     changed = text[: len(text) - q] + after[:q]
-    own = sign if changed == text else signature(changed, draws)
+    own = sign if changed == text else signature(changed)
     return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), sign.tobytes(), own.tobytes(), likeness(sign, own), likeness(sign, next_sign)
 
 
@@ -94,7 +107,8 @@ def edited_fingerprints(docs: DataFrame, bytes_a_part: int = 16 << 20) -> DataFr
 
     Next is by ascending doc_id (null first, repeated ids by text), after the last the first; a lone document
     follows itself. Documents are dealt by ranges of doc_id and read in order, each beside its next; the last
-    of a part meets the first of the next part in a join of as many rows as there are parts.
+    of a part meets the first of the next part in a join of as many rows as there are parts. A null text is empty;
+    every row gives a row, repeated ones too; an empty table gives none.
     """
     docs = texts(docs)
     n = parts(docs.sparkSession, text_bytes(docs), bytes_a_part)
@@ -103,7 +117,7 @@ def edited_fingerprints(docs: DataFrame, bytes_a_part: int = 16 << 20) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, draws, held, out = TaskContext.get().partitionId(), None, None, []
+        part, held, out = TaskContext.get().partitionId(), None, []
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -111,13 +125,12 @@ def edited_fingerprints(docs: DataFrame, bytes_a_part: int = 16 << 20) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*COLUMNS, "part", "first", "last"])
 
         for b in batches:
-            draws = draws or _draws()
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                sign = held[2] if held and held[1] == text else signature(text, draws)
+                sign = held[2] if held and held[1] == text else signature(text)
                 if held is None:
                     out.append((*[None] * len(COLUMNS), part, text, None))
                 else:
-                    out.append((*_row(*held, text, sign, draws), part, None, None))
+                    out.append((*_row(*held, text, sign), part, None, None))
                 held = doc_id, text, sign
                 if len(out) >= 256:
                     yield batch(out)
@@ -126,16 +139,16 @@ def edited_fingerprints(docs: DataFrame, bytes_a_part: int = 16 << 20) -> DataFr
             yield batch([*out, (held[0], *[None] * (len(COLUMNS) - 1), part, None, held[1])])
 
     rows = written(dealt.mapInArrow(run, SCHEMA + ", part int, first string, last string"), "sampled")
-    order = Window.orderBy("part")  # a row for each part
     firsts = rows.where("first is not null").select("part", "first")
-    firsts = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("after"))
-    ends = rows.where("last is not null").select("doc_id", "last", "part").join(firsts, "part").select("doc_id", "last", "after")
+    order = Window.orderBy("part")  # a number for each part, no texts
+    follows = firsts.select("part").select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    ends = rows.where("last is not null").select("doc_id", "last", "part").join(follows, "part")
+    ends = ends.join(firsts.toDF("next", "after"), "next").select("doc_id", "last", "after")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = _draws()
         for b in batches:
             for doc_id, text, after in zip(*(b.column(c).to_pylist() for c in ("doc_id", "last", "after")), strict=True):
-                row = _row(doc_id, text, signature(text, draws), after, signature(after, draws), draws)
+                row = _row(doc_id, text, signature(text), after, signature(after))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], COLUMNS)
 

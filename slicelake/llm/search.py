@@ -9,21 +9,30 @@ dropped before the next block.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicelake.scratch import written
+
 QUERY_BLOCK, ROW_BLOCK, GROUPS, DIMENSIONS = 512, 8192, 32, 16
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, q array<long>): floor(scale * x), x as double. Null ids, null vectors and vectors with a null, NaN or infinite component take no part."""
+    """(vec_id, q array<double>): floor(scale * x), x as double; a product too large for a double is its largest. Null ids, null vectors and vectors with a null, NaN or infinite component take no part."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * float(scale))).alias("q"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v * float(scale))).alias("q"))
+
+
+def _floor(v: Column) -> Column:
+    """The largest whole number that isn't above v, as a double: floor() gives longs, and doubles of 2**52 or more are whole."""
+    most = sys.float_info.max
+    return F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(F.least(F.greatest(v, F.lit(-most)), F.lit(most)))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -37,13 +46,16 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 def bounded_top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (column of ``queries``) its id, the ids of its k best rows and their scores; ties to the smaller id.
 
-    Products of integers stay exact in doubles below 2**53; larger ones are added as Python integers.
+    Products of integers stay exact in doubles below 2**53; larger ones are added as Python integers, and scores
+    that no 64-bit integer holds are those nearest to them.
     """
     width, n = rows.shape
     if max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * max(width, 1) >= 2**52:
-        queries, rows = queries.astype(np.int64).astype(object), rows.astype(np.int64).astype(object)
+        whole = np.vectorize(int, otypes=[object])
+        queries, rows = (whole(x) if x.size else x.astype(object) for x in (queries, rows))
         for j, query in enumerate(query_ids.tolist()):
             scores = (queries[:, j : j + 1] * rows).sum(axis=0) if width else np.zeros(n, dtype=object)
+            scores = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in scores], dtype=object)
             best = sorted((i for i in range(n) if row_ids[i] != query), key=lambda i: (-scores[i], row_ids[i]))[:k]
             yield query, row_ids[best], scores[best]
         return
@@ -73,7 +85,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     A query with fewer other rows has fewer; an empty table has none. Rows that repeat a vec_id are rows of
     their own, but none is a candidate for a query of its id.
     """
-    rows = quantised(vectors, scale).persist()
+    rows = written(quantised(vectors, scale), "vectors")
     count, width = rows.agg(F.count("*"), F.max(F.size("q"))).first()
     width = width or 0
     each = min(ROW_BLOCK, max(256, count // GROUPS))  # small tables are cut finer, so that all cores have a block

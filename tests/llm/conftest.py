@@ -31,3 +31,12 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def hard(spark, docs):
+    """docs, and beside them: rows without an id, rows that stand twice, one id with two texts, nulls in every column, a text of a megabyte."""
+    one = docs.where("doc_id = 1")
+    rows = [(1, "Another text of the same id stands here, in words that no other has.", None, None, None), (None, None, None, None, None), (500, "the river ran " * 80_000, "en", "src1", 1_120_000)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.unionByName(one).unionByName(one).unionByName(one.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(more, allowMissingColumns=True)

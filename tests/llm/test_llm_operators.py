@@ -1,8 +1,11 @@
 """Operators against brute force on a small table of odd texts."""
 
 import hashlib
+import math
 import os
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -10,8 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from slicelake.llm import bpe, sampling, simhash, suffixes, token_files
-from slicelake.llm.language import languages
+from slicelake.llm import bpe, quality, sampling, simhash, suffixes, token_files
+from slicelake.llm.language import languages, word_pattern
 from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
 from slicelake.llm.quality import isotonic, quality_scores
 from slicelake.llm.search import top_k
@@ -167,39 +170,68 @@ def test_words_are_cut_where_no_match_goes_on(text):
     assert [i for w in words for i in plain.encode_ordinary(w)] == plain.encode_ordinary(text)
 
 
+def plain_signature(text: str) -> list:
+    """The samples term by term: the formulas of consistent weighted sampling over the counted pairs of words."""
+    words = [xxhash.xxh64_intdigest(w) for w in text.split()]
+    mix = lambda x: int(sampling._mix(np.array([x & (1 << 64) - 1], "u8"))[0])
+    terms = [mix(a * 0x9E3779B97F4A7C15 + b) for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else words
+    gamma, _, uniform, salts = sampling._quantiles()
+    out = []
+    for salt in salts.tolist():
+        best = None
+        for term in sorted(set(terms)):
+            h = mix(term ^ salt)
+            r, c, b = (np.float32(q[h >> shift & 65535]) for q, shift in ((gamma, 0), (gamma, 16), (uniform, 32)))
+            t = np.floor(np.log(terms.count(term)).astype("f4") / r + b)
+            a = np.log(c.astype("f8")) - r * (t - b + 1)
+            if best is None or a < best[0] - 1e-5:
+                best = a, term, int(t)
+        out.append(best and best[1:])
+    return out
+
+
+def test_samples_are_those_of_the_formulas(texts):
+    raw = [t or "" for _, t in texts if len(t or "") < 400]
+    plain = [plain_signature(t) for t in raw]
+    own = [sampling.signature(t) for t in raw]
+    for i in range(len(raw)):
+        for j in range(i):
+            want = np.mean([x == y for x, y in zip(plain[i], plain[j], strict=True)])
+            assert abs(sampling.likeness(own[i], own[j]) - want) <= 1 / 64
+
+
 def test_sampling(docs, texts, empty):
     got = table(sampling.edited_fingerprints(docs))
-    draws = sampling._draws()
     raw = [t or "" for _, t in texts]
     for i, (t, after) in enumerate(zip(raw, raw[1:] + raw[:1], strict=True)):
         q = len(t) // 4
         edit = t[: len(t) - q] + after[:q]
         row = got.iloc[i]
         assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
-        own, other = sampling.signature(t, draws), sampling.signature(edit, draws)
+        own, other = sampling.signature(t), sampling.signature(edit)
         assert (row.fingerprint, row.edited_fingerprint) == (own.tobytes().hex(), other.tobytes().hex())
         assert row.near_edited == sampling.likeness(own, other)
-        assert row.near_next == sampling.likeness(own, sampling.signature(after, draws))
+        assert row.near_next == sampling.likeness(own, sampling.signature(after))
     assert got.loc[0, "fingerprint"] == got.loc[30, "fingerprint"]
     assert sampling.edited_fingerprints(empty).count() == 0
     one = sampling.edited_fingerprints(docs.where("doc_id = 7")).first()
     assert one.near_next == 1
 
 
-def test_samples_collide_as_generalised_jaccard(texts):
-    draws = sampling._draws()
+def test_samples_collide_as_generalised_jaccard():
+    """Over a vocabulary of far more terms than any table of draws would have rows."""
     rng = np.random.default_rng(1)
     off = []
-    for _ in range(60):
-        words = [f"w{x}" for x in rng.zipf(1.4, 300)]
-        other = words[:200] + [f"v{x}" for x in rng.zipf(1.4, 100)]
+    for k in range(60):
+        words = [f"w{k}-{x}" for x in rng.zipf(1.2, 3000)]
+        other = words[:2000] + [f"v{k}-{x}" for x in rng.zipf(1.2, 1000)]
         bags = [{}, {}]
         for bag, ws in zip(bags, (words, other), strict=True):
             for p in zip(ws, ws[1:], strict=False):
                 bag[p] = bag.get(p, 0) + 1
         keys = bags[0].keys() | bags[1].keys()
         true = sum(min(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys) / sum(max(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys)
-        off.append(sampling.likeness(*(sampling.signature(" ".join(w), draws) for w in (words, other))) - true)
+        off.append(sampling.likeness(*(sampling.signature(" ".join(w)) for w in (words, other))) - true)
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.09
 
 
@@ -252,6 +284,60 @@ def test_language_of_held_out_rows(spark, empty):
     assert {r.lang_pred for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_languages(rows: list[tuple], n_words: int, n_grams: int) -> list[tuple[str, float]]:
+    """Predictions for the texts of (learned, lang, text) by plain counters."""
+    words: dict[str, Counter] = {}
+    find = lambda t: re.findall(r"[a-zà-ÿœ]+", (t or "").lower())  # noqa: E731  letters of these texts
+    for learned, lang, text in rows:
+        if learned:
+            words.setdefault(lang, Counter()).update(find(text))
+    grams = [{x: Counter() for x in words} for _ in range(5)]
+    for x, c in words.items():
+        for w, n in c.items():
+            for size in range(1, 5):
+                for i in range(len(w) + 3 - size):
+                    grams[size][x][f" {w} "[i : i + size]] += n
+    langs = sorted(words)
+
+    def scores(counts: dict[str, Counter], most: int) -> dict[str, list[float]]:
+        held = {k for c in counts.values() for k, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most]}
+        return {k: [math.log((counts[x][k] + 0.5) / (counts[x].total() + 0.5 * (len(held) + 1))) for x in langs] for k in held}
+
+    known, parts = scores(words, n_words), [None, *(scores(grams[size], n_grams) for size in range(1, 5))]
+    out = []
+    for _, _, text in rows:
+        total = [0.0] * len(langs)
+        for w in find(text):
+            i, padded, add = 0, f" {w} ", []
+            if w in known:
+                add, i = [known[w]], len(padded)
+            while i < len(padded):
+                size = next((k for k in range(4, 0, -1) if i + k <= len(padded) and padded[i : i + k] in parts[k]), 0)
+                if size:
+                    add.append(parts[size][padded[i : i + size]])
+                i += size or 1
+            for x in add:
+                total = [a + b for a, b in zip(total, x, strict=True)]
+        likely = [math.exp(x - max(total)) for x in total]
+        out.append((langs[likely.index(1.0)], 1 / sum(likely)) if find(text) else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize(("words", "grams"), [(20_000, 5_000), (60, 40)])
+def test_language_against_plain_counters(spark, words, grams):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "regexp_replace(substr(text, 1, 300), '[^ A-Za-z]', ' ') AS text", "lang").where("doc_id < 120")
+    got = table(languages(docs, words=words, grams=grams))
+    rows = docs.orderBy("doc_id").collect()
+    want = plain_languages([(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None, r.lang, r.text) for r in rows], words, grams)
+    assert got["lang_pred"].tolist() == [x for x, _ in want]
+    assert np.allclose(got["score"], [y for _, y in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("text", ["½", "²", "①", "Ⅷ", "123", "_", "٣", " . "])
+def test_numbers_are_no_letters(text):
+    assert word_pattern().findall(text) == [] and word_pattern().findall(f"a{text}é") == ["a", "é"]
+
+
 def test_every_language_is_learned(spark):
     common = [(i, ("the house and the river" if i % 2 else "la maison et la rivière") + f" n{i}", "en" if i % 2 else "fr") for i in range(900)]
     rare = [(1000 + i, "dom oraz rzeka oraz dom", "pl") for i in range(8)]
@@ -259,6 +345,72 @@ def test_every_language_is_learned(spark):
     assert {r.held_out for r in got} == {True, False} and {r.lang_pred for r in got} == {"pl"}
 
 
+def test_quality_against_dense_equations(spark):
+    """Features, ridge and calibration once more, in one matrix and with isotonic levels by their min-max formula."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = table(quality_scores(docs, labels))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.orderBy("doc_id").collect()
+    x = np.array([quality.statistics(r.text or "") for r in rows])
+    fit = [i for i, r in enumerate(rows) if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5]
+    y = np.array([known[rows[i].doc_id] for i in fit], "f8")
+    mean, scale = x[fit].mean(axis=0), np.maximum(x[fit].std(axis=0), 1e-6)
+    rng = np.random.Generator(np.random.PCG64(quality.SEED))
+    w, b = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.c_[np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / scale, -6, 6) @ w + b), np.ones(len(x))]
+    raw = z @ np.linalg.solve(z[fit].T @ z[fit] + quality.PENALTY * len(fit) * np.eye(z.shape[1]), z[fit].T @ y)
+    bins = np.minimum((np.clip((raw[fit] + 1) / 3, 0, 1) * quality.BINS).astype(int), quality.BINS - 1)
+    used = np.unique(bins)
+    weight, level = np.array([(bins == k).sum() for k in used], "f8"), np.array([y[bins == k].mean() for k in used])
+    mean_of = lambda i, j: (weight[i : j + 1] * level[i : j + 1]).sum() / weight[i : j + 1].sum()
+    levels = [max(min(mean_of(i, j) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    want = np.interp(raw, (used + 0.5) / quality.BINS * 3 - 1, levels)
+    assert np.mean(np.abs(got["score"] - want) < 1e-6) > 0.99  # a raw score at the edge of a bin may fall on either side
+    assert (got["held_out"] == [zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows]).all()
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
+def test_operators_on_rows_without_ids_repeated_rows_and_a_long_text(spark, hard):
+    """Every row gives a row, equal rows equal ones, rows of one id each by its own text."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    n, raw = hard.count(), hard.select("doc_id", "text").collect()
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        model = f.read()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 36)], "doc_id long, quality int")
+    vectors = hard.select("doc_id", "text").where("doc_id is not null or text is not null")
+    assert vectors.count() == n - 1
+    by_text = lambda rows, f: Counter((r.doc_id, f(r.text or "")) for r in rows)
+
+    prints = Counter((r.doc_id, int(r.fingerprint, 16)) for r in simhash.simhash_groups(hard).collect())
+    assert prints == by_text(raw, plain_fingerprint)
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert Counter((r.doc_id, r.ids_sha256) for r in bpe.digest(hard, ranks, P.PATTERN).collect()) == by_text(raw, lambda t: digest(plain.encode_ordinary(t)))
+    assert Counter((r.doc_id, r.fingerprint) for r in sampling.edited_fingerprints(hard).collect()) == by_text(raw, lambda t: sampling.signature(t).tobytes().hex())
+    tokenizer = Tokenizer.from_buffer(model)
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in token_files.op10_rows(hard, model).collect()) == by_text(raw, crc)
+    scores = quality_scores(hard, labels).collect()
+    assert len(scores) == n and len({r.score for r in scores if r.doc_id == 1}) <= 2 and all(0 <= r.score <= 1 for r in scores)
+    assert not any(r.held_out for r in scores if r.doc_id is None)
+    found = languages(hard).collect()
+    assert len(found) == n and {r.lang_pred for r in found} <= {"en", "fr", "und"} and sum(r.lang_pred == "und" for r in found) >= 4
+    chosen = mix(hard, domain_of_source(), target_weights(), share=2.0, epochs=2)
+    tokens = lambda t: len(re.findall(r"[^ \t-\r]+", t))
+    assert chosen.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] == 2 * sum(tokens(r.text or "") for r in raw)
+    assert mixed_documents(hard, chosen).count() == 2 * n
+    spans = sentence_spans(hard).collect()
+    assert len(spans) == n and sum(r.n_removed for r in spans if r.doc_id is None) == 0
+    removed = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.digest(hard).collect()}
+    by_id = sorted({(r.doc_id, r.text or "") for r in raw if r.doc_id is not None})
+    assert {k: v for k, v in removed.items() if k[0] is not None and k[0] != 500} == {(i, b): g for i, b, g, _, _ in plain_removed([x for x in by_id if x[0] != 500])}
+    assert {k: v for k, v in removed.items() if k[0] is None} == {(None, 0): 0, (None, next(len(r.text.encode()) for r in raw if r.doc_id is None and r.text)): 0}
+
+
 def test_quality_of_held_out_rows(spark, docs, empty):
     own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -298,12 +450,27 @@ def test_top_k(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_ties_repeated_ids_and_vast_numbers(spark):
+    rows = [(0, [1.0, 2.0])] + [(i, [1.0, 1.0]) for i in (9, 8, 7, 6, 5, 4, 3)] + [(8, [1.0, 1.0])]
+    rows += [(50, [1e18, -1e300]), (51, [1e18, 0.0]), (52, [-1e18, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(df).collect()}
+    assert [got[0, k] for k in range(1, 6)] == [(51, 256**2 * 10**18 // 1 if 256**2 * 10**18 < 2**63 else 2**63 - 1), (3, 3 * 65536), (4, 3 * 65536), (5, 3 * 65536), (6, 3 * 65536)]
+    assert got[50, 1] == (51, 2**63 - 1) and (50, 5) in got
+    few = top_k(spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in few] == [(0, 1, 1, 256 * 128)]
+
+
 def test_spans(spark, empty):
     a = "The first of them is here today. A second one follows it closely. And then a third comes along."
-    rows = [(1, f"{a} Tail one."), (2, f"Head. {a}"), (3, a), (4, "Short. Short. Short. Short. Short."), (5, None), (6, ""), (1, f"{a} Tail one."), (None, a), (3, a + " More.")]
+    b = "This one sentence goes on and on over so many words that it stands for a passage all by itself, as it has more than five and twenty of them in all."
+    rows = [(1, f"{a} Tail one."), (2, f"Head. {a}"), (3, a), (4, "Short. Short. Short. Short. Short."), (5, None), (6, ""), (1, f"{a} Tail one."), (None, a), (3, a + " More."), (7, b), (8, f"Ahead of it. {b}"), (9, b), (10, "A text of one sentence, of forty letters or more"), (11, "A text of one sentence, of forty letters or more"), (12, "Short one"), (13, "Short one")]
     got = sentence_spans(spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1))).collect()
-    kept = sorted(((r.doc_id or 0), r.kept) for r in got)
-    assert kept == sorted([(1, f"{a} Tail one."), (1, f"{a} Tail one."), (2, "Head."), (3, ""), (4, "Short. Short. Short. Short. Short."), (5, ""), (6, ""), (0, a), (3, " More.")]) or [k for k in kept if k[0] in (1, 2, 4, 0)] == [(0, a), (1, f"{a} Tail one."), (1, f"{a} Tail one."), (2, "Head."), (4, "Short. Short. Short. Short. Short.")]
+    kept = {(r.doc_id, t): r.kept for r, t in ((r, r.kept) for r in got)}
+    assert sorted(k for i, k in kept if i == 1) == [f"{a} Tail one."] and sum(r.doc_id == 1 for r in got) == 2
+    assert {i: sorted(k for j, k in kept if j == i) for i in (2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, None)} == {
+        2: ["Head."], 4: ["Short. Short. Short. Short. Short."], 5: [""], 6: [""], 7: [b], 8: ["Ahead of it."], 9: [""], 10: ["A text of one sentence, of forty letters or more"], 11: [""], 12: ["Short one"], 13: ["Short one"], None: [a]}
+    assert sorted(k for i, k in kept if i == 3) == ["", " More."]
     assert sentence_spans(empty).count() == 0
 
 
