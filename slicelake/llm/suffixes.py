@@ -33,7 +33,7 @@ GRAM = 25
 #: Bytes of text in a chunk, and bytes that are hashed at a time.
 CHUNK, STEP = 4 << 20, 1 << 17
 #: Bytes of text for each part of the tables that chunks ask, and the occurrences of an anchor whose windows are dealt one by one.
-PART, HOT = 16 << 20, 4096
+PART, HOT = 4 << 20, 4096
 #: Records whose windows are ordered at a time, and those about one anchor more.
 SLAB = 4096
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype="u8") | np.uint64(1)
@@ -166,17 +166,25 @@ class Windows:
         low, high = chunk.low[rows[first]].astype("i8"), chunk.high[rows[first]].astype("i8")
         count = high - low + 1
         self.start = np.cumsum(count) - count  # of each record's windows
-        rec = np.repeat(np.arange(len(first)), count)
-        a = low[rec] + np.arange(len(rec)) - self.start[rec]
-        bytes_ = np.lib.stride_tricks.sliding_window_view(around, length, axis=1)[rec, reach - a]
-        part = np.concatenate([_mix(_rolling_rows(_RANDOM[bytes_[i : i + 65536]], length)[:, 0]) for i in range(0, len(rec), 65536)]) % np.uint64(n)
-        key = np.ascontiguousarray(np.concatenate([part.astype(">u8").view("u1").reshape(-1, 8), bytes_], axis=1)).view(f"V{8 + length}").ravel()
-        _, one, self.number = np.unique(key, return_index=True, return_inverse=True)
-        order = np.argsort(self.number, kind="stable")
-        cut = np.searchsorted(self.number[order], np.arange(len(one)))
-        self.part = part[one].astype("i8")
-        least, most = np.minimum.reduceat(least[rec][order], cut), np.maximum.reduceat(most[rec][order], cut)
-        self.sent = np.concatenate([least.astype("<i8").view("u1").reshape(-1, 8), most.astype("<i8").view("u1").reshape(-1, 8), bytes_[one]], axis=1)
+        rec = np.repeat(np.arange(len(first), dtype="i4"), count)
+        at = (reach - low[rec] - np.arange(len(rec)) + self.start[rec]).astype("i4")  # where a window starts in its record's bytes
+        every = np.lib.stride_tricks.sliding_window_view(around, length, axis=1)
+        part = np.empty(len(rec), "i4")
+        for i in range(0, len(rec), 65536):
+            part[i : i + 65536] = _mix(_rolling_rows(_RANDOM[every[rec[i : i + 65536], at[i : i + 65536]]], length)[:, 0]) % np.uint64(n)
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+        self.number, parts_, sent = np.empty(len(rec), "i4"), [], []
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(rec)], strict=True):  # a part at a time, so that few windows are bytes at once
+            own = order[s:e]
+            key, number = np.unique(every[rec[own], at[own]].view(f"V{length}").ravel(), return_inverse=True)
+            self.number[own] = number + sum(map(len, parts_))
+            ends = np.full((2, len(key)), np.iinfo("i8").max)
+            np.minimum.at(ends[0], number, least[rec[own]])
+            np.minimum.at(ends[1], number, -most[rec[own]])
+            parts_.append(np.full(len(key), part[own[0]], "i8"))
+            sent.append(np.concatenate([ends[0].astype("<i8").view("u1").reshape(-1, 8), (-ends[1]).astype("<i8").view("u1").reshape(-1, 8), key.view("u1").reshape(-1, length)], axis=1))
+        self.part, self.sent = np.concatenate(parts_), np.concatenate(sent)
 
     def places(self, number: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Where in the chunk's bytes the windows ``number`` start, but in documents up to each one's ``least``."""
