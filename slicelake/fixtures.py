@@ -52,9 +52,9 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_cu
 """
 
 GRID_VOXELS = """
-SELECT CAST(l_suppkey % 8 AS INT) AS series, CAST(l_linenumber AS INT) AS k, CAST(l_partkey % 64 AS INT) AS r, CAST(l_orderkey % 64 AS INT) AS c,
+SELECT CAST(l_suppkey % 8 + 8 * floor(l_orderkey / CAST(16384 AS DOUBLE)) AS INT) AS series, CAST(l_linenumber AS INT) AS k, CAST(l_partkey % 64 AS INT) AS r, CAST(l_orderkey % 64 AS INT) AS c,
   CAST(round(avg(l_quantity) * 40 - 1000, 4) AS DOUBLE) + CAST(0 AS DOUBLE) AS v
-FROM {lineitem} GROUP BY l_suppkey % 8, l_linenumber, l_partkey % 64, l_orderkey % 64
+FROM {lineitem} GROUP BY l_suppkey % 8 + 8 * floor(l_orderkey / CAST(16384 AS DOUBLE)), l_linenumber, l_partkey % 64, l_orderkey % 64
 """
 
 VIEW_EVENTS = """

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicelake.graph import connected_components as components_of
+from slicelake.scratch import written
 
 c = F.col
 KEY = ("series", "k", "r", "c")
-#: Bits of each coordinate within a node's number.
-BITS = 14
+#: Bits of each of k, r and c within a voxel's number.
+BITS = 21
 
 
 def offsets(conn: int) -> list[tuple[int, int, int]]:
@@ -22,10 +23,10 @@ def offsets(conn: int) -> list[tuple[int, int, int]]:
     return {4: [o for o in every if o[0] == 0 and n(o) == 1], 8: [o for o in every if o[0] == 0], 6: [o for o in every if n(o) == 1], 18: [o for o in every if n(o) <= 2], 26: every}[conn]
 
 
-def node(series: Column, k: Column, r: Column, col: Column) -> Column:
-    """A voxel's number; numbers ascend in (series, k, r, c)."""
-    out = series.cast("long")
-    for x in (k, r, col):
+def node(k: Column, r: Column, col: Column) -> Column:
+    """A voxel's number within its series; numbers ascend in (k, r, c)."""
+    out = k.cast("long")
+    for x in (r, col):
         out = F.shiftleft(out, BITS) + x.cast("long")
     return out
 
@@ -42,31 +43,35 @@ def threshold(voxels: DataFrame, lo: float, hi: float | None = None, strict: boo
     return voxels.where((c("v") > lo) & (c("v") < hi)) if strict else voxels.where(c("v") >= lo)
 
 
-def neighbour_pairs(mask: DataFrame, conn: int) -> DataFrame:
-    """Adjacent voxels, each pair once: (series, a, b) as voxel numbers with a < b."""
+def neighbour_pairs(mask: DataFrame, conn: int, by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Adjacent voxels, each pair once: (*by, a, b) as voxel numbers with a < b. Voxels that differ in ``by`` are never adjacent."""
     half = [o for o in offsets(conn) if o > (0, 0, 0)]
-    reach = shifted(mask, half)
-    pairs = reach.join(mask.select(*KEY), list(KEY))
-    return pairs.select("series", node(c("series"), c("k0"), c("r0"), c("c0")).alias("a"), node(*map(c, KEY)).alias("b"))
+    table = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("kre", o, strict=True)]) for o in half]))
+    reach = mask.select(*by, node(c("k"), c("r"), c("c")).alias("a"), "k", "r", "c", table.alias("o"))
+    reach = reach.select(*by, "a", *[(c(x) + c(f"o.{n}")).alias(x) for n, x in zip("kre", ("k", "r", "c"), strict=True)])
+    keys = list(dict.fromkeys([*by, "k", "r", "c"]))
+    if "k" in by:  # pairs of one slice
+        reach = mask.select(*by, node(c("k"), c("r"), c("c")).alias("a"), "r", "c", table.alias("o")).select(*by, "a", (c("r") + c("o.r")).alias("r"), (c("c") + c("o.e")).alias("c"))
+    return reach.join(mask.select(*keys), keys).select(*by, "a", node(c("k"), c("r"), c("c")).alias("b"))
 
 
-def connected_components(mask: DataFrame, conn: int = 26, min_size: int = 1) -> DataFrame:
-    """Adds component, the smallest voxel number of each component, and size; components below ``min_size`` go.
+def connected_components(mask: DataFrame, conn: int = 26, min_size: int = 1, by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Adds component, the smallest voxel number of each component of a series, and size; components below ``min_size`` go.
 
-    Neighbours meet in an equi-join of a voxel's six to twenty-six half offsets; labels then settle in rounds
-    that are written to the shared folder.
+    Components of voxels that differ in ``by`` are apart, and so are equal numbers of theirs: (*by, component) names
+    one. Neighbours meet in an equi-join of a voxel's two to thirteen half offsets.
     """
-    rows = mask.withColumn("node", node(*map(c, KEY)))
-    labels = components_of(neighbour_pairs(mask, conn)).withColumnRenamed("component", "found")
-    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found", "node")
-    size = rows.groupBy("component").agg(F.count("*").alias("size")).where(c("size") >= min_size)
-    return rows.join(size, "component")
+    rows = mask.withColumn("node", node(c("k"), c("r"), c("c")))
+    labels = components_of(neighbour_pairs(mask, conn, by), by=by).withColumnRenamed("component", "found")
+    rows = rows.join(labels, [*by, "node"], "left").withColumn("component", F.coalesce("found", "node")).drop("found", "node")
+    size = rows.groupBy(*by, "component").agg(F.count("*").alias("size")).where(c("size") >= min_size)
+    return rows.join(size, [*by, "component"])
 
 
 def grow_region(seeds: DataFrame, voxels: DataFrame, lo: float | None, hi: float | None, radius_mm: float, conn: int, spacing: tuple[float, float, float]) -> DataFrame:
     """(seed, series, k, r, c, v) of the voxels that a seed reaches within the band and within ``radius_mm`` of itself, in a straight line.
 
-    Without limits the seeds' own columns lo and hi are the band. Seeds (seed, series, sk, sr, sc) meet candidates by series and by coarse blocks of columns and rows, so no
+    Without limits the seeds' own columns lo and hi are the band. ``seed`` tells the seeds of all series apart. Seeds (seed, series, sk, sr, sc) meet candidates by series and by coarse blocks of columns and rows, so no
     pair further apart than a block is looked at. A seed outside the band gives no rows.
     """
     band = voxels if lo is None else threshold(voxels, lo, hi)
@@ -78,10 +83,7 @@ def grow_region(seeds: DataFrame, voxels: DataFrame, lo: float | None, hi: float
     rows = band.withColumns({"br": F.floor(c("r") / step), "bc": F.floor(c("c") / step)})
     d2 = sum(F.pow((c(a) - c(b)) * s, F.lit(2)) for a, b, s in zip(("k", "r", "c"), ("sk", "sr", "sc"), spacing, strict=True))
     ball = rows.join(asked, ["series", "br", "bc"]).where((d2 <= radius_mm**2) & (c("v") > c("lo")) & (c("v") < c("hi"))).select("seed", "sk", "sr", "sc", *KEY, "v")
-    # each seed is a series of its own for the labelling
-    apart = ball.select(c("seed").alias("series"), "k", "r", "c")
-    found = connected_components(apart, conn).select(c("series").alias("seed"), "k", "r", "c", "component")
-    own = ball.join(found, ["seed", "k", "r", "c"])
+    own = connected_components(ball, conn, by=("seed",))
     at = own.where("k = sk and r = sr and c = sc").select("seed", c("component").alias("chosen"))
     return own.join(at, "seed").where("component = chosen").select("seed", *KEY, "v")
 
@@ -113,21 +115,13 @@ def closed(mask: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
     return erode(dilate(mask, steps), steps)
 
 
-def slices_of(mask: DataFrame) -> DataFrame:
-    """A mask's slices as series of their own, by number; ``series_of`` undoes it."""
-    return mask.withColumn("series", F.shiftleft(c("series").cast("long"), BITS) + c("k")).withColumn("k", F.lit(0))
-
-
-def series_of(mask: DataFrame) -> DataFrame:
-    return mask.withColumn("k", c("series").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).withColumn("series", F.shiftright("series", BITS).cast("int"))
-
-
 def enclosed(mask: DataFrame, rows: int, cols: int, min_area: int = 1) -> DataFrame:
     """Components of a mask, slice by slice over edges, that don't touch the border of the image."""
-    parts = connected_components(slices_of(mask.select(*KEY)), 4, min_area)
+    own = ("series", "k")
+    parts = connected_components(mask.select(*KEY), 4, min_area, own)
     edge = (c("r") == 0) | (c("c") == 0) | (c("r") == rows - 1) | (c("c") == cols - 1)
-    touching = parts.where(edge).select("component").distinct()
-    return series_of(parts.join(touching, "component", "left_anti").select(*KEY))
+    touching = parts.where(edge).select(*own, "component").distinct()
+    return parts.join(touching, [*own, "component"], "left_anti").select(*KEY)
 
 
 def full_grid(mask: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -149,13 +143,21 @@ def aerated_fraction(voxels: DataFrame, rows: int, cols: int, air: float = -500,
     return voxels.select("series", "k").distinct().join(hit, ["series", "k"], "left").select("series", "k", (F.coalesce("n", F.lit(0)) / (rows * cols)).alias("fraction"))
 
 
-def lung_mask(voxels: DataFrame, rows: int, cols: int, thr: float = -400, min_area: int = 2) -> DataFrame:
-    """Enclosed air, opened, closed, filled; the two largest components of each series."""
+def lung_mask(voxels: DataFrame, rows: int, cols: int, thr: float = -320, keep: int = 2) -> DataFrame:
+    """Air that a slice encloses, opened and closed twice over, beside all that it was before, filled; the ``keep`` largest components of each series over faces, ties to the later."""
     disc = offsets(4)
-    mask = closed(opened(enclosed(voxels.where(c("v") < thr), rows, cols, min_area), disc), disc)
-    parts = connected_components(fill_holes(mask, rows, cols), 26)
-    rank = F.dense_rank().over(Window.partitionBy("series").orderBy(c("size").desc(), "component"))
-    return parts.withColumn("rank", rank).where("rank <= 2").select(*KEY)
+    image = c("r").between(0, rows - 1) & c("c").between(0, cols - 1)
+    inside = written(enclosed(voxels.where(c("v") < thr), rows, cols), "inside")
+    wide = opened(inside, disc)
+    for _ in range(2):
+        wide = dilate(wide, disc, image)
+    for _ in range(2):
+        wide = erode(wide, disc)
+    filled = fill_holes(inside.union(wide).distinct(), rows, cols)
+    parts = written(connected_components(filled, 6), "parts")
+    sizes = parts.select("series", "component", "size").distinct()
+    rank = F.row_number().over(Window.partitionBy("series").orderBy(c("size").desc(), c("component").desc()))
+    return parts.join(sizes.withColumn("rank", rank).where(c("rank") <= keep).select("series", "component"), ["series", "component"]).select(*KEY)
 
 
 def feret(mask: DataFrame, row_sp: float, col_sp: float) -> DataFrame:
@@ -320,7 +322,7 @@ def local_maxima(features: DataFrame, tau: float, reach: int = 2) -> DataFrame:
         rows = rows.withColumn("m", F.max(source).over(Window.partitionBy(*others).orderBy(axis).rangeBetween(-reach, reach)))
     peaks = rows.where((c("v") >= tau) & (c("v") == c("m"))).select(*KEY, "v")
     parts = connected_components(peaks, 26)
-    return parts.groupBy("component").agg(F.min_by(F.struct(*KEY, "v"), F.struct(*KEY)).alias("p")).select("p.*")
+    return parts.groupBy("series", "component").agg(F.min_by(F.struct(*KEY, "v"), F.struct(*KEY)).alias("p")).select("p.*")
 
 
 def deshear(voxels: DataFrame, dr: float, dc: float, rows: int, cols: int) -> DataFrame:
@@ -350,6 +352,6 @@ def robust_band(balls: DataFrame) -> DataFrame:
 
 def component_summary(parts: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
     """A row for each component: size, volume, values, extent, and the first of its largest voxels."""
-    return parts.groupBy("component").agg(
+    return parts.groupBy("series", "component").agg(
         F.count("*").alias("voxels"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.max_by(F.struct("k", "r", "c"), F.struct("v", -c("k"), -c("r"), -c("c"))).alias("p")
-    ).select("component", "voxels", (c("voxels") * voxel_ml).alias("ml"), "most", "mean", "k0", "k1", ((c("k1") - c("k0") + 1) * dz).alias("extent_mm"), c("p.k").alias("pk"), c("p.r").alias("pr"), c("p.c").alias("pc"))
+    ).select("series", "component", "voxels", (c("voxels") * voxel_ml).alias("ml"), "most", "mean", "k0", "k1", ((c("k1") - c("k0") + 1) * dz).alias("extent_mm"), c("p.k").alias("pk"), c("p.r").alias("pr"), c("p.c").alias("pc"))

@@ -8,7 +8,7 @@ from slicelake import fixtures as X
 from slicelake.operators import features as E
 from slicelake.operators import voxels as V
 from slicelake.plans.registry import query
-from slicelake.plans.voxels import GROW, grown, vmask
+from slicelake.plans.voxels import GROW, grown, seeds_of
 from slicelake.scratch import scratch_path, written
 from slicelake.sources import files as S
 
@@ -33,9 +33,23 @@ def _(s, d):
     return resampled(s, d).where("k % 2 = 0").groupBy("series", "k").agg(F.max("v").alias("peak"))
 
 
+SHAPE = (10, 50, 64)
+
+
+def volumes(s, d):
+    """The vectors' slices in volumes of ten, a millimetre apart."""
+    return X.vector_voxels(s, d).withColumn("series", F.floor(c("k") / 10).cast("int")).withColumn("k", (c("k") % 10).cast("int"))
+
+
 def features(s, d):
-    x = X.vector_voxels(s, d).withColumn("series", F.floor(c("k") / 10).cast("int")).withColumn("k", (c("k") % 10).cast("int"))
-    return E.hessian_features(x, (10, 50, 64), (1.0,), 200.0)
+    x = volumes(s, d)
+    return E.hessian_features(x, SHAPE, mask=x.where("v > -400"))
+
+
+def slices(s, d):
+    """Source slices 2 mm apart with pixels of 0.7 by 0.9 mm."""
+    own = volumes(s, d).select("series", "k").distinct().where("k < 5")
+    return own.select("series", "k", F.concat_ws(".", F.lit("1.2"), "series", "k").alias("sop_uid"), *[F.lit(x).alias(n) for n, x in (("dz", 2.0), ("dy", 0.7), ("dx", 0.9), ("z0", -100.0), ("y0", -25.0), ("x0", -32.0))])
 
 
 @query("v12_hessian_features")
@@ -43,34 +57,30 @@ def _(s, d):
     return features(s, d).withColumns({x: F.round(x, 6) for x in ("blob", "vessel")})
 
 
-@query("v09_suppress_neighbours")
+GREEDY = """p AS (SELECT series, k, r, c, v, row_number() OVER (PARTITION BY series ORDER BY v DESC, k, r, c) AS nth FROM vvoxels WHERE v >= 150),
+g(nth, kept) AS (SELECT 0::BIGINT, []::STRUCT(k INT, r INT, c INT)[] UNION ALL SELECT p.nth, CASE WHEN len(kept) < 40 AND len(list_filter(kept, lambda o : greatest(abs(o.k - p.k), abs(o.r - p.r), abs(o.c - p.c)) <= 2)) = 0 THEN list_append(kept, {'k': p.k, 'r': p.r, 'c': p.c}) ELSE kept END FROM g JOIN p ON p.nth = g.nth + 1 WHERE len(kept) < 40),
+l AS (SELECT kept FROM g ORDER BY nth DESC LIMIT 1), u AS (SELECT unnest(kept) AS o, CAST(unnest(range(1, len(kept) + 1)) AS INT) AS place FROM l)"""
+
+
+@query("v09_suppress_neighbours", "vvoxels", f"{GREEDY} SELECT p.series, p.k, p.r, p.c, p.v, place FROM u JOIN p ON p.k = o.k AND p.r = o.r AND p.c = o.c")
 def _(s, d):
     return E.suppress_neighbours(X.vector_voxels(s, d).where("v >= 150"), 40)
 
 
 @query("o03_top_candidates")
 def _(s, d):
-    return E.top_candidates(written(features(s, d), "features"), 0.15, 20)
+    return E.top_candidates(features(s, d))
 
 
 @query("v24_candidate_passport")
 def _(s, d):
-    return E.candidate_passport(written(features(s, d), "features"), 0.15, 20, (2.0, 1.0, 1.0))
-
-
-@query("v08_lung_mask")
-def _(s, d):
-    x = X.vector_voxels(s, d)
-    return V.lung_mask(x.withColumn("v", -c("v")), 50, 64, thr=60.0)
+    return E.candidate_passport(features(s, d), slices(s, d))
 
 
 @query("v18_threshold_lesions")
 def _(s, d):
-    from pyspark.sql import Window
-
     x = X.vector_voxels(s, d)
-    seeds = x.where("v >= 330").select(F.row_number().over(Window.orderBy("k", "r", "c")).alias("seed"), "series", c("k").alias("sk"), c("r").alias("sr"), c("c").alias("sc"))
-    return E.threshold_lesions(seeds, x, 6.0, (2.0, 1.0, 1.0))
+    return E.threshold_lesions(seeds_of(x), x, 6.0, (2.0, 1.0, 1.0))
 
 
 @query("v19_internal_chord", "vvoxels", f"""{GROW}, m AS (SELECT seed AS series, k, r, c FROM g), ed AS (SELECT DISTINCT a.* FROM m a, (SELECT unnest(list_value(1, -1, 0, 0)) AS dr, unnest(list_value(0, 0, 1, -1)) AS dc) o WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.series = a.series AND b.k = a.k AND b.r = a.r + dr AND b.c = a.c + dc)),

@@ -12,17 +12,18 @@ c = F.col
 K = "series, k, r, c"
 
 
-def comp(mask: str, out: str, conn: int = 26, keys: str = K) -> str:
-    """SQL of the connected components of a mask: ``out`` has its columns and component, the least voxel in order."""
-    near = {26: "abs(a.k - b.k) <= 1 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1", 4: "a.k = b.k AND abs(a.r - b.r) + abs(a.c - b.c) = 1", 6: "abs(a.k - b.k) + abs(a.r - b.r) + abs(a.c - b.c) = 1"}[conn]
-    num = "(((series::BIGINT << 14) + k << 14) + r << 14) + c"
-    return f"""{out}_m AS (SELECT *, {num} AS id FROM {mask}),
-{out}_o AS (SELECT a.k, b.r, d.c FROM (SELECT unnest(list_value(-1, 0, 1)) AS k) a, (SELECT unnest(list_value(-1, 0, 1)) AS r) b, (SELECT unnest(list_value(-1, 0, 1)) AS c) d),
-{out}_s AS (SELECT m.id, m.series, m.k + o.k AS k, m.r + o.r AS r, m.c + o.c AS c, m.k AS k0, m.r AS r0, m.c AS c0 FROM {out}_m m, {out}_o o),
-{out}_e AS (SELECT s.id AS a, b.id AS b FROM {out}_s s JOIN {out}_m b ON s.series = b.series AND s.k = b.k AND s.r = b.r AND s.c = b.c WHERE {near.replace('a.k', 's.k0').replace('a.r', 's.r0').replace('a.c', 's.c0')}),
-{out}_cc(id, root) AS (SELECT id, id FROM {out}_m UNION SELECT e.b, cc.root FROM {out}_cc cc JOIN {out}_e e ON e.a = cc.id),
-{out}_l AS (SELECT id, min(root) AS component FROM {out}_cc GROUP BY id),
-{out} AS (SELECT m.* EXCLUDE (id), component, count(*) OVER (PARTITION BY component) AS size FROM {out}_m m JOIN {out}_l USING (id))"""
+NUM = "((k::BIGINT << 21) + r << 21) + c"
+
+
+def comp(mask: str, out: str, conn: int = 26) -> str:
+    """SQL of the connected components of a mask, series by series: ``out`` has its columns and component, the least voxel number, and size."""
+    near = {26: "greatest(abs(k), abs(r), abs(c)) = 1", 4: "k = 0 AND abs(r) + abs(c) = 1", 6: "abs(k) + abs(r) + abs(c) = 1"}[conn]
+    return f"""{out}_m AS (SELECT *, {NUM} AS num, hash(series, k, r, c) AS id FROM {mask}),
+{out}_o AS (SELECT * FROM (SELECT a.k, b.r, d.c FROM (SELECT unnest(list_value(-1, 0, 1)) AS k) a, (SELECT unnest(list_value(-1, 0, 1)) AS r) b, (SELECT unnest(list_value(-1, 0, 1)) AS c) d) WHERE {near}),
+{out}_s AS (SELECT m.id, m.series, m.k + o.k AS k, m.r + o.r AS r, m.c + o.c AS c FROM {out}_m m, {out}_o o),
+{out}_e AS (SELECT s.id AS a, b.id AS b FROM {out}_s s JOIN {out}_m b USING (series, k, r, c)),
+{out}_cc(id, root) USING KEY (id) AS (SELECT id, num FROM {out}_m UNION SELECT e.b, min(cc.root) FROM {out}_cc cc JOIN {out}_e e ON e.a = cc.id JOIN recurring.{out}_cc l ON l.id = e.b WHERE cc.root < l.root GROUP BY e.b),
+{out} AS (SELECT m.* EXCLUDE (id, num), root AS component, count(*) OVER (PARTITION BY series, root) AS size FROM {out}_m m JOIN {out}_cc USING (id))"""
 
 
 def big(s, d):
@@ -115,7 +116,7 @@ def _(s, d):
     return V.extent(boxed(s, d), -400, 600, 2, 1.5)
 
 
-@query("j08_neighbour_pairs", "voxels", "m AS (SELECT * FROM voxels WHERE v > 300) SELECT a.series, ((((a.series::BIGINT << 14) + a.k << 14) + a.r) << 14) + a.c AS a, ((((b.series::BIGINT << 14) + b.k << 14) + b.r) << 14) + b.c AS b FROM m a JOIN m b ON a.series = b.series AND b.k BETWEEN a.k AND a.k + 1 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE (a.k, a.r, a.c) < (b.k, b.r, b.c)")
+@query("j08_neighbour_pairs", "voxels", "m AS (SELECT * FROM voxels WHERE v > 300) SELECT a.series, ((a.k::BIGINT << 21) + a.r << 21) + a.c AS a, ((b.k::BIGINT << 21) + b.r << 21) + b.c AS b FROM m a JOIN m b ON a.series = b.series AND b.k BETWEEN a.k AND a.k + 1 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE (a.k, a.r, a.c) < (b.k, b.r, b.c)")
 def _(s, d):
     return V.neighbour_pairs(X.grid_voxels(s, d).where("v > 300"), 26)
 
@@ -125,7 +126,7 @@ def _(s, d):
     return V.connected_components(big(s, d).where("v >= 200"), 26, 2).select(*V.KEY, "component", "size")
 
 
-HOT = f"m AS (SELECT * FROM vvoxels WHERE v >= 200), {comp('m', 'cc')}, pk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY v DESC, k, r, c) AS rn FROM cc), h AS (SELECT component, count(*) AS voxels, count(*) * 0.008::DOUBLE AS ml, max(v) AS most, avg(v) AS mean, min(k) AS k0, max(k) AS k1, (max(k) - min(k) + 1) * 2.0::DOUBLE AS extent_mm, max(CASE WHEN rn = 1 THEN k END) AS pk, max(CASE WHEN rn = 1 THEN r END) AS pr, max(CASE WHEN rn = 1 THEN c END) AS pc FROM pk WHERE size >= 3 GROUP BY component)"
+HOT = f"m AS (SELECT * FROM vvoxels WHERE v >= 200), {comp('m', 'cc')}, pk AS (SELECT *, row_number() OVER (PARTITION BY series, component ORDER BY v DESC, k, r, c) AS rn FROM cc), h AS (SELECT component, count(*) AS voxels, count(*) * 0.008::DOUBLE AS ml, max(v) AS most, avg(v) AS mean, min(k) AS k0, max(k) AS k1, (max(k) - min(k) + 1) * 2.0::DOUBLE AS extent_mm, max(CASE WHEN rn = 1 THEN k END) AS pk, max(CASE WHEN rn = 1 THEN r END) AS pr, max(CASE WHEN rn = 1 THEN c END) AS pc FROM pk WHERE size >= 3 GROUP BY series, component)"
 
 
 def hotspots(s, d):
@@ -134,7 +135,7 @@ def hotspots(s, d):
 
 @query("a07_hotspots", "vvoxels", f"{HOT} SELECT component, voxels, round(ml, 6) AS ml, most, round(mean, 6) AS mean, k0, k1, extent_mm, pk, pr, pc, CASE WHEN pc < 32 THEN 'R' ELSE 'L' END AS side FROM h")
 def _(s, d):
-    return hotspots(s, d).withColumns({"ml": F.round("ml", 6), "mean": F.round("mean", 6), "side": F.when(c("pc") < 32, "R").otherwise("L")})
+    return hotspots(s, d).drop("series").withColumns({"ml": F.round("ml", 6), "mean": F.round("mean", 6), "side": F.when(c("pc") < 32, "R").otherwise("L")})
 
 
 @query("o02_top_hotspots", "vvoxels", f"{HOT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k0 ORDER BY most DESC, pk, pr, pc) AS INT) AS place FROM h) SELECT component, k0, most, place FROM r WHERE place <= 3")
@@ -144,17 +145,19 @@ def _(s, d):
     return hotspots(s, d).withColumn("place", F.row_number().over(Window.partitionBy("k0").orderBy(c("most").desc(), "pk", "pr", "pc"))).where("place <= 3").select("component", "k0", "most", "place")
 
 
-GROW = f"""seeds AS (SELECT (row_number() OVER (ORDER BY k, r, c))::INT AS seed, series, k AS sk, r AS sr, c AS sc FROM vvoxels WHERE v >= 330),
+GROW = f"""seeds AS (SELECT {NUM} AS seed, series, k AS sk, r AS sr, c AS sc FROM vvoxels WHERE v >= 330),
 b AS (SELECT seed AS series, v.k, v.r, v.c, v, sk, sr, sc FROM seeds s JOIN vvoxels v ON s.series = v.series AND abs(v.k - sk) <= 6 AND abs(v.r - sr) <= 6 AND abs(v.c - sc) <= 6 WHERE v > 80 AND v < 2000 AND pow((v.k - sk) * 2.0::DOUBLE, 2) + pow((v.r - sr) * 1.0::DOUBLE, 2) + pow((v.c - sc) * 1.0::DOUBLE, 2) <= 36),
 {comp('b', 'gc')}, g AS (SELECT gc.series AS seed, gc.k, gc.r, gc.c, gc.v FROM gc JOIN gc s ON gc.series = s.series AND gc.component = s.component WHERE s.k = s.sk AND s.r = s.sr AND s.c = s.sc)"""
 
 
-def grown(s, d):
-    from pyspark.sql import Window
+def seeds_of(x):
+    """Voxels of 330 or more as seeds, by their numbers: the fixture has one series."""
+    return x.where("v >= 330").select(V.node(c("k"), c("r"), c("c")).alias("seed"), "series", c("k").alias("sk"), c("r").alias("sr"), c("c").alias("sc"))
 
+
+def grown(s, d):
     x = big(s, d)
-    seeds = x.where("v >= 330").select(F.row_number().over(Window.orderBy("k", "r", "c")).alias("seed"), "series", c("k").alias("sk"), c("r").alias("sr"), c("c").alias("sc"))
-    return V.grow_region(seeds, x, 80, 2000, 6.0, 26, (2.0, 1.0, 1.0))
+    return V.grow_region(seeds_of(x), x, 80, 2000, 6.0, 26, (2.0, 1.0, 1.0))
 
 
 @query("v02_grow_region", "vvoxels", f"{GROW} SELECT seed, k, r, c, v FROM g")
@@ -210,7 +213,13 @@ def vmask(s, d):
     return big(s, d).where("v > -60").select(*V.KEY)
 
 
-HOLES = f"em AS (SELECT v.series, v.k, v.r, v.c FROM vvoxels v ANTI JOIN m USING (series, k, r, c)), {comp('em', 'ec', 4)}, tc AS (SELECT DISTINCT component FROM ec WHERE r = 0 OR c = 0 OR r = 49 OR c = 63), hole AS (SELECT {K} FROM ec WHERE component NOT IN (SELECT component FROM tc))"
+def inner(mask: str, out: str) -> str:
+    """SQL of the voxels of a mask that no path over edges within a slice joins to the image's border."""
+    return f"""{out}_m AS (SELECT {K}, hash(series, k, r, c) AS id FROM {mask}), {out}_e AS (SELECT m.id AS a, hash(series, k, r + o.dr, c + o.dc) AS b FROM {out}_m m, (SELECT unnest(list_value(1, -1, 0, 0)) AS dr, unnest(list_value(0, 0, 1, -1)) AS dc) o),
+{out}_r(id) AS (SELECT id FROM {out}_m WHERE r = 0 OR c = 0 OR r = 49 OR c = 63 UNION SELECT m.id FROM {out}_r t JOIN {out}_e e ON e.a = t.id JOIN {out}_m m ON m.id = e.b), {out} AS (SELECT {K} FROM {out}_m ANTI JOIN {out}_r USING (id))"""
+
+
+HOLES = f"em AS (SELECT v.series, v.k, v.r, v.c FROM vvoxels v ANTI JOIN m USING (series, k, r, c)), {inner('em', 'hole')}"
 
 
 @query("v05_enclosed_air", "vvoxels", f"{VM}, {HOLES} SELECT {K} FROM hole")
@@ -219,6 +228,19 @@ def _(s, d):
     return V.enclosed(x.join(vmask(s, d), list(V.KEY), "left_anti").select(*V.KEY), 50, 64)
 
 
+ERODED = "SELECT series, k, r - dr AS r, c - dc AS c FROM {}, st GROUP BY ALL HAVING count(*) = 5"
+DILATED = "SELECT DISTINCT series, k, r + dr AS r, c + dc AS c FROM {}, st WHERE r + dr BETWEEN 0 AND 49 AND c + dc BETWEEN 0 AND 63"
+LUNG = f"""st AS (SELECT unnest(list_value(0, 1, -1, 0, 0)) AS dr, unnest(list_value(0, 0, 0, 1, -1)) AS dc), air AS (SELECT {K} FROM vvoxels WHERE -v < -100), {inner('air', 'ins')},
+er AS ({ERODED.format('ins')}), op AS (SELECT DISTINCT series, k, r + dr AS r, c + dc AS c FROM er, st), d1 AS ({DILATED.format('op')}), d2 AS ({DILATED.format('d1')}), e1 AS ({ERODED.format('d2')}), e2 AS ({ERODED.format('e1')}), un AS (SELECT {K} FROM ins UNION SELECT {K} FROM e2),
+bg AS (SELECT v.series, v.k, v.r, v.c FROM vvoxels v SEMI JOIN un USING (series, k) ANTI JOIN un USING (series, k, r, c)), {inner('bg', 'hl')}, fl AS (SELECT {K} FROM un UNION ALL SELECT {K} FROM hl), {comp('fl', 'fc', 6)},
+sz AS (SELECT series, component, row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, component DESC) AS place FROM fc GROUP BY series, component)"""
+
+
+@query("v08_lung_mask", "vvoxels", f"{LUNG} SELECT {K} FROM fc JOIN sz USING (series, component) WHERE place <= 2")
+def _(s, d):
+    return V.lung_mask(big(s, d).withColumn("v", -c("v")), 50, 64, thr=-100.0)
+
+
 @query("v06_fill_holes", "vvoxels", f"{VM}, {HOLES} SELECT {K} FROM m UNION ALL SELECT {K} FROM hole")
 def _(s, d):
     return V.fill_holes(vmask(s, d), 50, 64)
@@ -404,7 +426,7 @@ def _(s, d):
 
 
 @query("v13_local_maxima", "vvoxels", f"""w1 AS (SELECT {K}, v, max(v) OVER (PARTITION BY series, r, c ORDER BY k RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM vvoxels), w2 AS (SELECT {K}, v, max(m) OVER (PARTITION BY series, k, c ORDER BY r RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM w1), w3 AS (SELECT {K}, v, max(m) OVER (PARTITION BY series, k, r ORDER BY c RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM w2),
-p AS (SELECT {K}, v FROM w3 WHERE v >= 150 AND v = m), {comp('p', 'pc')}, z AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY {K}) AS rn FROM pc) SELECT {K}, v FROM z WHERE rn = 1""")
+p AS (SELECT {K}, v FROM w3 WHERE v >= 150 AND v = m), {comp('p', 'pc')}, z AS (SELECT *, row_number() OVER (PARTITION BY series, component ORDER BY {K}) AS rn FROM pc) SELECT {K}, v FROM z WHERE rn = 1""")
 def _(s, d):
     return V.local_maxima(big(s, d), 150)
 

@@ -108,14 +108,61 @@ def phantom() -> np.ndarray:
 def test_features_rank_a_sphere_over_a_cylinder_and_ignore_blocks(spark):
     df = volume(spark, phantom())
     order = ["k", "r", "c"]
-    whole = E.hessian_features(df, (20, 24, 40), (2.0,), block=64).toPandas().sort_values(order)
-    parts = E.hessian_features(df, (20, 24, 40), (2.0,), block=8).toPandas().sort_values(order)
+    whole = E.hessian_features(df, (20, 24, 40), (2.0,), 200.0, block=64).toPandas().sort_values(order)
+    parts = E.hessian_features(df, (20, 24, 40), (2.0,), 200.0, block=8).toPandas().sort_values(order)
     assert np.allclose(whole[["blob", "vessel"]], parts[["blob", "vessel"]], atol=1e-9)
     at = whole.set_index(order)
     assert at.loc[(10, 12, 10), "blob"] > 3 * at.loc[(10, 12, 30), "blob"]
     assert at.loc[(10, 12, 30), "vessel"] > at.loc[(10, 12, 10), "vessel"]
 
 
+def plain_responses(a: np.ndarray, sigma: float, contrast: float) -> tuple[np.ndarray, np.ndarray]:
+    """Blob and vessel of every voxel from sums over whole kernels in space and a general eigenvalue solver."""
+    n = int(4 * sigma + 0.5)
+    t = np.arange(-n, n + 1)
+    g = np.exp(-(t**2) / (2 * sigma**2)) / np.exp(-(t**2) / (2 * sigma**2)).sum()
+    d1, d2 = -t / sigma**2 * g, (t**2 / sigma**4 - 1 / sigma**2) * g
+    d2 = d2 - d2.sum() * g
+    wide = np.pad(a, n, mode="symmetric")
+    cubes = np.lib.stride_tricks.sliding_window_view(wide, (2 * n + 1,) * 3)
+    h = np.empty((*a.shape, 3, 3))
+    for i in range(3):
+        for j in range(3):
+            w = [(g, d1, d2)[(x == i) + (x == j)] for x in range(3)]
+            h[..., i, j] = np.einsum("abcxyz,x,y,z->abc", cubes, *w) * sigma**2
+    e = np.linalg.eigvalsh(h)
+    e = np.take_along_axis(e, np.abs(e).argsort(axis=-1), axis=-1)
+    l1, l2, l3 = np.moveaxis(e, -1, 0)
+    s = 1 - np.exp(-(l1**2 + l2**2 + l3**2) / (2 * contrast**2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        blob = np.where((e < -1e-6).all(axis=-1), np.abs(l1 * l2 / l3) * s, 0)
+        vessel = np.where((e[..., 1:] < -1e-6).all(axis=-1), (1 - np.exp(-2 * (l2 / l3) ** 2)) * np.exp(-2 * l1**2 / np.abs(l2 * l3)) * s, 0)
+    return blob, vessel
+
+
+def test_features_against_whole_kernels(spark):
+    a = np.random.default_rng(3).normal(-500, 200, (6, 9, 11))
+    scales = (1.0, 1.5)
+    got = E.hessian_features(volume(spark, a), a.shape, scales, 50.0, block=4).toPandas().sort_values(["k", "r", "c"])
+    blobs, vessels = (np.stack(x) for x in zip(*(plain_responses(a, s, 50.0) for s in scales), strict=True))
+    best = blobs.max(axis=0)
+    assert np.allclose(got["blob"], (best / best.max()).ravel(), atol=1e-6)
+    assert np.allclose(got["vessel"], vessels.max(axis=0).ravel(), atol=1e-6)
+    assert (got["scale"].to_numpy() == np.where(best > 0, np.array(scales)[blobs.argmax(axis=0)], 0).ravel()).all()
+
+
+def test_candidates_of_a_sphere_say_where_it_lies(spark):
+    df = volume(spark, phantom())
+    inside = df.where("not (k < 4)")
+    features = E.hessian_features(df, (20, 24, 40), block=16, mask=inside)
+    assert features.count() == inside.count()
+    slices = spark.createDataFrame([(0, k, f"1.{k}", 2.0, 0.5, 0.8, -50.0, 1.0, 2.0) for k in range(10)], "series int, k int, sop_uid string, dz double, dy double, dx double, z0 double, y0 double, x0 double")
+    row = E.candidate_passport(features, slices).orderBy("place").first()
+    assert (row.id, row.k, row.r, row.c, row.score, row.sop_uid, row.near_k) == ("N01", 10, 12, 10, 1.0, "1.5", 5)
+    assert (row.z, row.y, row.x, row.source_k, row.source_r, row.source_c) == (-40.0, 13.0, 12.0, 5.0, 24.0, 12.5)
+    assert row.scale in E.SCALES and 4 <= row.diameter_mm <= 9
+
+
 def test_suppression_is_greedy_and_bounded(spark):
     rows = [(0, 0, 0, i, float(100 - i)) for i in range(50)]
     got = E.suppress_neighbours(spark.createDataFrame(rows, "series int, k int, r int, c int, v double"), 4).toPandas().sort_values("place")
@@ -138,13 +185,35 @@ def test_lesion_drafts_and_lung(spark):
     a[1:5, 5:9, 5:9] = -800.0
     a[1:5, 11:15, 11:15] = -800.0
     df = volume(spark, a)
-    mask = V.lung_mask(df, 20, 20, min_area=2)
-    assert mask.count() == 2 * 4 * 12  # the opening by a cross takes the corners of each square
+    assert V.lung_mask(df, 20, 20).count() == 2 * 4 * 16  # the opening takes the corners of each square, what was there before gives them back
+    a[2, 6, 6] = 40.0  # a nodule within
+    a[4, 17, 4] = -1000.0
+    a[5, 6:8, 6:8] = -350.0
+    smaller = {tuple(r) for r in V.lung_mask(volume(spark, a), 20, 20).select("k", "r", "c").collect()}
+    assert smaller == {(k, r, q) for k in range(1, 5) for r in (*range(5, 9), *range(11, 15)) for q in range(5 if r < 9 else 11, 9 if r < 9 else 15)} | {(5, r, q) for r in (6, 7) for q in (6, 7)}
     seeds = spark.createDataFrame([(1, 0, 3, 6, 6)], "seed int, series int, sk int, sr int, sc int")
     row = E.threshold_lesions(seeds, df, 3.0, (1.0, 1.0, 1.0)).first()
     assert row.voxels > 10 and row["mean"] == -800 and row.status == "needs-review"
 
 
+def test_series_of_any_number_stay_apart(spark):
+    """300 series, with numbers that differ by powers of two, each with a ring about one voxel and, in every other one, a gap in it."""
+    ids = [0, 256, 1 << 14, 1 << 22, (1 << 31) - 1, *range(1, 256), *range(257, 297)]
+    ring = [(r, q) for r in range(2, 5) for q in range(2, 5) if (r, q) != (3, 3)]
+    mask = spark.createDataFrame([(s, 0, r, q) for i, s in enumerate(ids) for r, q in ring if not (i % 2 and (r, q) == (2, 3))], "series int, k int, r int, c int")
+    whole = {s for i, s in enumerate(ids) if i % 2 == 0}
+    filled = V.fill_holes(mask, 8, 8).join(mask, list(V.KEY), "left_anti")
+    assert {tuple(r) for r in filled.collect()} == {(s, 0, 3, 3) for s in whole}
+    sizes = V.connected_components(mask, 4).select("series", "size").distinct().collect()
+    assert {r.series: r["size"] for r in sizes} == {s: 8 if s in whole else 7 for s in ids} and len(sizes) == len(ids)
+    volume_ = V.full_grid(mask, 8, 8).join(mask.withColumn("in", F.lit(True)), list(V.KEY), "left").select(*V.KEY, F.when(F.col("in"), 40.0).otherwise(-1000.0).alias("v"))
+    assert {(r.series, r.fraction) for r in V.aerated_fraction(volume_, 8, 8).collect()} == {(s, 1 / 64 if s in whole else 0.0) for s in ids}
+    assert {tuple(r) for r in V.lung_mask(volume_, 8, 8).collect()} == {(s, 0, 3, 3) for s in whole}
+    seeds = mask.where("r = 4 and c = 4").select((F.col("series").cast("long") * 1000).alias("seed"), "series", F.lit(0).alias("sk"), F.lit(4).alias("sr"), F.lit(4).alias("sc"))
+    grown = V.grow_region(seeds, volume_, 0, 100, 9.0, 4, (1.0, 1.0, 1.0)).groupBy("seed").count().collect()
+    assert {r.seed: r["count"] for r in grown} == {s * 1000: 8 if s in whole else 7 for s in ids}
+
+
 def test_row_runs_round_trip(spark):
     mask = spark.createDataFrame([(0, 0, 1, c) for c in (1, 2, 3, 7, 9, 10)], "series int, k int, r int, c int")
     runs = V.row_runs(mask)
