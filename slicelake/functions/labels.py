@@ -17,7 +17,7 @@ TISSUES = [
 PROFILES = [("efüzyon|effusion|plevral sıvı", "effusion"), ("(^|[ ,(])bül([ ,.)]|$)|bulla", "bulla"), ("kist|cyst", "cyst"), ("kitle|nodül|nodule|mass|solid", "solid")]
 
 
-def expected_tissue(text: Column) -> Column:
+def tissue_of(text: Column) -> Column:
     """struct(label, lo, hi) of the first family of words that a text holds; null if none."""
     low, out = F.lower(text), F.lit(None).cast("struct<label: string, lo: int, hi: int>")
     for words, label, lo, hi in reversed(TISSUES):
@@ -25,6 +25,11 @@ def expected_tissue(text: Column) -> Column:
     return out
 
 
+def expected_tissue(headline: Column, technical: Column) -> Column:
+    """The tissue that the headline names; where it names none, what the technical wording with the headline names."""
+    return F.coalesce(tissue_of(headline), tissue_of(F.concat_ws(" ", technical, headline)))
+
+
 def tissue_profile(text: Column) -> Column:
     low, out = F.lower(text), F.lit("auto")
     for words, label in reversed(PROFILES):
@@ -38,27 +43,44 @@ def seed_profile(hu: Column, profile: Column) -> tuple[Column, Column]:
     return chosen, ((chosen == "bulla") & (hu >= -650)) | (chosen.isin("solid", "effusion") & (hu < -650))
 
 
-def mr_guess(image_type: Column, scanning: Column, te: Column, tr: Column, ti: Column, name: Column, thickness: Column, contrast: Column) -> Column:
-    """A sequence's likely label from its image type, timing and name; a hint, not a fact."""
-    has = lambda x: F.array_contains(image_type, x)
-    name = F.lower(F.coalesce(name, F.lit("")))
+def mr_guess(image_type: Column, scanning: Column, te: Column, tr: Column, ti: Column, name: Column, thickness: Column, contrast: Column, protocol: Column | None = None) -> Column:
+    """A sequence's likely label from its image type, timing and name, or the protocol's name where it has none; a hint, not a fact. A timing of 0 is none."""
+    kinds = F.transform(image_type, F.upper)
+    has = lambda x: F.coalesce(F.array_contains(kinds, x), F.lit(False))
+    te, tr, ti = (F.nullif(x, F.lit(0.0)) for x in (te, tr, ti))
+    name = F.lower(F.coalesce(F.nullif(name, F.lit("")), protocol if protocol is not None else F.lit(None).cast("string"), F.lit("")))
+    spin, gradient = (F.array_contains(scanning, x) for x in ("SE", "GR"))
+    thin = F.coalesce(F.nullif(thickness, F.lit(0.0)), F.lit(9.0)) <= 1.5
+    timed = [
+        ((ti > 1500) & (te > 80), F.concat(F.lit("T2 FLAIR"), F.when(name.contains("spc") | thin, " 3D").otherwise(""))),
+        (ti.between(600, 1300) & (te < 10), F.lit("T1 MPRAGE/3D GRE")),
+        (spin & (te >= 70), F.lit("T2 TSE")),
+        (spin & (te < 30) & (tr < 900), F.lit("T1 SE")),
+        (gradient & (te < 6) & (tr < 60), F.lit("T1 GRE (localizer / fast)")),
+        (gradient & (te > 15), F.lit("T2* GRE")),
+    ]
+    notes = F.array(F.when(has("DERIVED") & has("PARALLEL"), "reformat of 3D acquisition"), F.concat(F.lit("contrast agent tag: "), F.nullif(contrast, F.lit(""))))
+    notes = F.array_join(F.filter(notes, lambda x: x.isNotNull()), "; ")
+    by_time = F.concat(_first(timed, F.lit("unclassified")), F.when(notes != "", F.concat(F.lit(" ["), notes, F.lit("]"))).otherwise(""))
     b = F.regexp_extract(name, "b([0-9]+)", 1)
-    base = (
-        F.when((ti > 1500) & (te > 80), F.concat(F.lit("T2 FLAIR"), F.when(name.contains("spc") | (F.coalesce(thickness, F.lit(9.0)) <= 1.5), " 3D").otherwise("")))
-        .when(ti.between(600, 1300) & (te < 10), "T1 MPRAGE/3D GRE")
-        .when(F.array_contains(scanning, "SE") & (te >= 70), "T2 TSE")
-        .when(F.array_contains(scanning, "SE") & (te < 30) & (tr < 900), "T1 SE")
-        .when(F.array_contains(scanning, "GR") & (te < 6) & (tr < 60), "T1 GRE (localizer / fast)")
-        .when(F.array_contains(scanning, "GR") & (te > 15), "T2* GRE")
-        .otherwise("unclassified")
-    )
-    tags = F.array_join(F.filter(F.array(F.when(has("DERIVED") & has("PARALLEL"), "reformat of 3D acquisition"), F.concat(F.lit("contrast agent tag: "), contrast)), lambda x: x.isNotNull()), "; ")
-    plain = F.concat(base, F.when(tags != "", F.concat(F.lit(" ["), tags, F.lit("]"))).otherwise(""))
     swi = name.contains("swi")
-    return (
-        F.when(has("DIFFUSION") & has("ADC"), "DWI ADC map").when(has("DIFFUSION"), F.concat(F.lit("DWI trace"), F.when(b != "", F.concat(F.lit(" b="), b)).otherwise("")))
-        .when(has("SWI"), "SWI (magnitude/processed)").when(has("MNIP") | has("MINIP"), "SWI minIP").when(has("P") & swi, "SWI phase").when(has("M") & swi, "SWI raw magnitude").when(has("MIP"), "MIP reformat").otherwise(plain)
-    )
+    typed = [
+        (has("DIFFUSION") & has("ADC"), F.lit("DWI ADC map")),
+        (has("DIFFUSION"), F.concat(F.lit("DWI trace"), F.when(b != "", F.concat(F.lit(" b="), b)).otherwise(""))),
+        (has("SWI"), F.lit("SWI (magnitude/processed)")),
+        (has("MNIP") | has("MINIP"), F.lit("SWI minIP")),
+        (has("P") & swi, F.lit("SWI phase")),
+        (has("M") & swi, F.lit("SWI raw magnitude")),
+        (has("MIP"), F.lit("MIP reformat")),
+    ]
+    return _first(typed, by_time)
+
+
+def _first(cases: list[tuple[Column, Column]], other: Column) -> Column:
+    """The value of the first case that holds."""
+    for test, value in reversed(cases):
+        other = F.when(test, value).otherwise(other)
+    return other
 
 
 def mentions(value: Column, needles: Column) -> Column:
@@ -108,16 +130,42 @@ def presence(status: Column, has_ref: Column) -> Column:
     return F.coalesce(known, F.when(has_ref, "present").otherwise("not_covered"))
 
 
-#: Where each kind of message is fixed, in the order in which kinds are shown.
-BLOCKERS = [("page", "pages"), ("series", "series"), ("region", "regions"), ("claim", "findings"), ("measure", "findings"), ("reader|language|disclosure", "session")]
+#: The validator's messages, by where each is fixed. A message of a series, region or claim begins with its name.
+SESSION_MESSAGES = (
+    "Reading not complete", "Record model/reader", "Disclose prior context/leakage, even when none", "Record actual coverage and sensitivity limitations", "Explain examination scope in plain language (patient_context)",
+    "Explain limitations in plain language (patient_limitations)", "Invalid blind status", "Unsupported report language",
+)
+COMPARISON_MESSAGES = ("Comparison not completed", "Comparison limitations/method missing", "Plain-language comparison explanation missing")
+PAGE_MESSAGES = ("No rendered pages registered", "Page purpose missing", "Page needs valid study and series UID")
+PAGE_STARTS = ("Unreviewed page: ", "Missing/changed input: ", "page marked reviewed without a view attestation: ")
+SERIES_MESSAGES = ("disposition pending", "excluded/unsupported series needs reason", "read series geometry not checked", "read image series needs declared exhaustive passes", "read series has no pages")
+REGION_MESSAGES = (
+    "explanation missing", "patient-friendly explanation missing", "unresolved region", "source references missing", "inspected image pages missing", "coordinates out of range", "unknown source SOP/series/study", "unregistered page",
+    "page belongs to another study", "wrong study reference", "referenced series has not been read",
+)
+CLAIM_MESSAGES = (
+    "text missing", "confidence missing", "priority missing", "measurement method missing", "invalid measurement unit", "invalid measured value", "measurement needs native row/column coordinates", "measurement tool output missing",
+    "measurement output hash missing", "measurement output changed",
+)
+CLAIM_COMPARISONS = (
+    "comparison status missing", "comparison rationale missing", "comparison endpoints reversed", "change claim needs explicit distinct comparison endpoints", "change claim needs both endpoint studies' evidence", "timeline must cover every supplied study",
+    "timepoint needs professional and plain-language descriptions", "timepoint source belongs to a different study", "invalid timepoint",
+)
+#: Places in the order in which they are shown; what no rule knows comes last.
+PLACES = ("session", "series", "pages", "region", "claim", "comparison")
 
 
 def classify_blocker(message: Column) -> Column:
-    """Where a validation message is fixed; unknown ones are other."""
-    out = F.lit("other")
-    for words, place in reversed(BLOCKERS):
-        out = F.when(F.lower(message).rlike(words), place).otherwise(out)
-    return out
+    """Where a validation message is fixed; null for one that no rule knows."""
+    after, one_word = F.regexp_extract(message, "^(.+?): (.+)$", 2), message.rlike("^[^ \\t\\r\\n]+: ")
+    rest = F.regexp_extract(message, "^.+: (.+)$", 1)  # a region's name may hold a colon
+    return (
+        F.when(message.isin(*SESSION_MESSAGES), "session").when(message == "Claim IDs must be unique", "claim").when(message.isin(*COMPARISON_MESSAGES), "comparison")
+        .when(message.isin(*PAGE_MESSAGES) | F.coalesce(*[F.when(message.startswith(x) & (F.length(message) > len(x)), True) for x in PAGE_STARTS], F.lit(False)), "pages")
+        .when(message.rlike("^Series [^ ]+: ") & after.isin(*SERIES_MESSAGES), "series").when(message.rlike("^Series [^ ]+ [^ ]+: [0-9]+ unread/unrendered slices$"), "series")
+        .when(rest.isin(*REGION_MESSAGES), "region")
+        .when(one_word & (after.isin(*CLAIM_MESSAGES) | after.rlike("^patient explanation [^ ]+ missing$")), "claim").when(one_word & after.isin(*CLAIM_COMPARISONS), "comparison")
+    )
 
 
 def fit_grid(w: Column, h: Column, grid: Column, max_side: Column, pad: int = 2) -> dict[str, Column]:

@@ -210,26 +210,29 @@ def _(s, d):
     return X.instances(s, d).select("series_uid", F.explode(F.filter(hints, lambda x: x.isNotNull())).alias("hint")).groupBy("series_uid", "hint").agg(F.count("*").alias("n"))
 
 
-TEXTS = "t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'kalsifiye granülom' WHEN 1 THEN 'sağda bül, amfizem' WHEN 2 THEN 'plevral sıvı effusion' WHEN 3 THEN 'solid nodül' WHEN 4 THEN 'damar' WHEN 5 THEN 'basit kist' ELSE left(text, 60) END AS x, doc_id % 2000 - 1000 AS hu FROM documents)"
+PHRASES = "list_value('kalsifiye granülom', 'sağda BÜL, amfizem', 'plevral sıvı effusion', 'solid nodül', 'damar', 'basit kist', 'A bulla', 'no word of these')"
+#: Whole texts, each with a phrase after it, under a headline that is a source's name or a phrase.
+TEXTS = f"t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {PHRASES}[1 + (doc_id // 3) % 8] ELSE source END AS headline, text || ' ' || {PHRASES}[1 + doc_id % 8] AS technical, doc_id % 2000 - 1000 AS hu FROM documents)"
+#: Patterns written out once more, so that a slip in the library's table shows.
+TISSUE_SQL = """SELECT *, CASE WHEN regexp_matches({0}, 'kalsifi|granülom|granulom|kireç|stapler|klips') THEN 1 WHEN regexp_matches({0}, 'bül|amfizem|hava kist|pnömotoraks') THEN 2 WHEN regexp_matches({0}, 'efüzyon|plevral sıvı|basit kist|kortikal kist|su kesesi|sıvı dansite') THEN 3
+WHEN regexp_matches({0}, 'kitle|solid nodül|lenf nod|güdük|stump|herni|jinekomasti|yumuşak doku') THEN 4 WHEN regexp_matches({0}, 'damar|vasküler|vaskuler') THEN 5 END AS {1} FROM {2}"""
 
 
 def finding_texts(s, d):
-    x = F.expr("CASE doc_id % 7 WHEN 0 THEN 'kalsifiye granülom' WHEN 1 THEN 'sağda bül, amfizem' WHEN 2 THEN 'plevral sıvı effusion' WHEN 3 THEN 'solid nodül' WHEN 4 THEN 'damar' WHEN 5 THEN 'basit kist' ELSE left(text, 60) END")
-    return X.load(s, d, "documents").select("doc_id", x.alias("x"), (c("doc_id") % 2000 - 1000).alias("hu"))
+    phrases = F.expr(f"{PHRASES}".replace("list_value", "array"))
+    pick = lambda i: F.get(phrases, (i % 8).cast("int"))
+    return X.load(s, d, "documents").select("doc_id", F.when(c("doc_id") % 3 == 0, pick(F.floor(c("doc_id") / 3))).otherwise(c("source")).alias("headline"), F.concat("text", F.lit(" "), pick(c("doc_id"))).alias("technical"), (c("doc_id") % 2000 - 1000).alias("hu"))
 
 
-def _cascade(pairs, column: str, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN {v}" for p, v in pairs) + f" ELSE {default} END"
-
-
-@query("f24_expected_tissue", "", f"{TEXTS}, e AS (SELECT doc_id, hu, {_cascade([(p, chr(39) + v + chr(39)) for p, v, _, _ in L.TISSUES], 'x', 'NULL')} AS label, {_cascade([(p, str(a)) for p, _, a, _ in L.TISSUES], 'x', 'NULL')} AS lo, {_cascade([(p, str(b)) for p, _, _, b in L.TISSUES], 'x', 'NULL')} AS hi FROM t) SELECT doc_id, label, lo, hi, hu BETWEEN lo AND hi AS agrees FROM e")
+@query("f24_expected_tissue", "", f"""{TEXTS}, a AS ({TISSUE_SQL.format("lower(headline)", "h", "t")}), b AS ({TISSUE_SQL.format("lower(technical || ' ' || headline)", "w", "a")}), e AS (SELECT doc_id, hu, coalesce(h, w) AS i FROM b), f(i, label, lo, hi) AS (VALUES (1, 'kalsifik', 120, 3200), (2, 'hava', -1024, -650), (3, 'sıvı', -30, 45), (4, 'yumuşak doku', -30, 180), (5, 'damar', -20, 400))
+SELECT doc_id, label, lo, hi, hu BETWEEN lo AND hi AS agrees FROM e LEFT JOIN f USING (i)""")
 def _(s, d):
-    return finding_texts(s, d).withColumn("t", L.expected_tissue(c("x"))).select("doc_id", "t.label", "t.lo", "t.hi", c("hu").between(c("t.lo"), c("t.hi")).alias("agrees"))
+    return finding_texts(s, d).withColumn("t", L.expected_tissue(c("headline"), c("technical"))).select("doc_id", "t.label", "t.lo", "t.hi", c("hu").between(c("t.lo"), c("t.hi")).alias("agrees"))
 
 
-@query("f25_tissue_profile", "", f"{TEXTS} SELECT doc_id, {_cascade([(p, chr(39) + v + chr(39)) for p, v in L.PROFILES], 'x', chr(39) + 'auto' + chr(39))} AS profile FROM t")
+@query("f25_tissue_profile", "", f"{TEXTS} SELECT doc_id, CASE WHEN regexp_matches(lower(technical), 'efüzyon|effusion|plevral sıvı') THEN 'effusion' WHEN regexp_matches(lower(technical), '(^|[ ,(])bül([ ,.)]|$)|bulla') THEN 'bulla' WHEN regexp_matches(lower(technical), 'kist|cyst') THEN 'cyst' WHEN regexp_matches(lower(technical), 'kitle|nodül|nodule|mass|solid') THEN 'solid' ELSE 'auto' END AS profile FROM t")
 def _(s, d):
-    return finding_texts(s, d).select("doc_id", L.tissue_profile(c("x")).alias("profile"))
+    return finding_texts(s, d).select("doc_id", L.tissue_profile(c("technical")).alias("profile"))
 
 
 @query("f26_mentions", "", "SELECT doc_id, len(list_filter(list_value(lang, source, 'tion'), lambda n : length(n) >= 3 AND contains(lower(text), lower(n)))) > 0 AS mentioned FROM documents")
@@ -237,11 +240,13 @@ def _(s, d):
     return X.load(s, d, "documents").select("doc_id", L.mentions(c("text"), F.array("lang", "source", F.lit("tion"))).alias("mentioned"))
 
 
-@query("f27_instance_uid_keyword", "", "k AS (SELECT p_partkey, list_value('SOPInstanceUID', 'SOPClassUID', 'FrameOfReferenceUID', 'ReferencedSOPClassUID', 'TransferSyntaxUID')[1 + p_partkey % 5] AS keyword FROM part) SELECT p_partkey, keyword, regexp_matches(keyword, 'Instance|FrameOfReference|Concatenation|Referenced') AND NOT contains(keyword, 'Class') AS is_instance FROM k")
+KEYWORDS = "list_value('SOPInstanceUID', 'SOPClassUID', 'FrameOfReferenceUID', 'ReferencedSOPClassUID', 'TransferSyntaxUID', '')"
+
+
+@query("f27_instance_uid_keyword", "", f"k AS (SELECT conv_id, turn, text || {KEYWORDS}[1 + (conv_id + turn) % 6] AS keyword FROM conversations) SELECT conv_id, turn, regexp_matches(keyword, 'Instance|FrameOfReference|Concatenation|Referenced') AND NOT contains(keyword, 'Class') AS is_instance FROM k")
 def _(s, d):
-    words = F.array(*map(F.lit, ("SOPInstanceUID", "SOPClassUID", "FrameOfReferenceUID", "ReferencedSOPClassUID", "TransferSyntaxUID")))
-    k = F.element_at(words, (1 + c("p_partkey") % 5).cast("int"))
-    return X.load(s, d, "part").select("p_partkey", k.alias("keyword"), L.looks_like_instance_uid(k).alias("is_instance"))
+    k = F.concat("text", F.get(F.expr(KEYWORDS.replace("list_value", "array")), ((c("conv_id") + c("turn")) % 6).cast("int")))
+    return X.load(s, d, "conversations").select("conv_id", "turn", L.looks_like_instance_uid(k).alias("is_instance"))
 
 
 @query("f28_valid_patterns", "instances", "SELECT sop_uid, regexp_full_match(sop_uid, '[0-9.]{1,64}') AS uid_ok, regexp_full_match(frame_uid, '[0-9.]{1,64}') AS frame_ok, regexp_full_match(sha256(path), '[0-9a-f]{64}') AS sha_ok, regexp_full_match(patient_name, '[a-z_]+(:[a-z_]+)?') AS pass_ok FROM instances")
@@ -249,10 +254,17 @@ def _(s, d):
     return X.instances(s, d).select("sop_uid", L.valid_uid(c("sop_uid")).alias("uid_ok"), L.valid_uid(c("frame_uid")).alias("frame_ok"), L.valid_sha(F.sha2("path", 256)).alias("sha_ok"), c("patient_name").rlike("^[a-z_]+(:[a-z_]+)?$").alias("pass_ok"))
 
 
-@query("f29_classify_blocker", "", f"m AS (SELECT event_id, list_value('page 3 not reviewed', 'series pending', 'region lung unresolved', 'claim text missing', 'measurement without unit', 'reader missing', 'unknown trouble')[1 + event_id % 7] AS message FROM events) SELECT event_id, {_cascade([(p, chr(39) + v + chr(39)) for p, v in L.BLOCKERS], 'message', chr(39) + 'other' + chr(39))} AS place FROM m")
+#: Messages about real rows, and texts that are none.
+MESSAGES = """CASE conv_id % 16 WHEN 0 THEN 'Reading not complete' WHEN 1 THEN 'Series ' || turn || ': disposition pending' WHEN 2 THEN 'Series ' || turn || ' lung: ' || conv_id || ' unread/unrendered slices' WHEN 3 THEN 'Unreviewed page: pages/' || turn || '.png' WHEN 4 THEN role || ' lobe: unresolved region'
+WHEN 5 THEN 'C' || turn || ': text missing' WHEN 6 THEN 'C' || turn || ': patient explanation ' || role || ' missing' WHEN 7 THEN 'C' || turn || ': timeline must cover every supplied study' WHEN 8 THEN 'Comparison not completed' WHEN 9 THEN role || ': ' || turn || ': coordinates out of range' WHEN 10 THEN 'C ' || turn || ': text missing'
+WHEN 11 THEN 'No rendered pages registered' WHEN 12 THEN 'Claim IDs must be unique' WHEN 13 THEN 'C' || turn || ': comparison endpoints reversed' WHEN 14 THEN 'Series ' || turn || ' lung: unread/unrendered slices' ELSE text END"""
+
+
+@query("f29_classify_blocker", "", f"""m AS (SELECT conv_id, turn, {MESSAGES} AS x FROM conversations) SELECT conv_id, turn, CASE WHEN x = 'Reading not complete' THEN 'session' WHEN x = 'Claim IDs must be unique' THEN 'claim' WHEN x = 'Comparison not completed' THEN 'comparison' WHEN x = 'No rendered pages registered' OR regexp_full_match(x, 'Unreviewed page: .+') THEN 'pages'
+WHEN regexp_full_match(x, 'Series \\S+: disposition pending') OR regexp_full_match(x, 'Series \\S+ \\S+: \\d+ unread/unrendered slices') THEN 'series' WHEN regexp_full_match(x, '.+: (unresolved region|coordinates out of range)') THEN 'region' WHEN regexp_full_match(x, '\\S+: (text missing|patient explanation \\S+ missing)') THEN 'claim'
+WHEN regexp_full_match(x, '\\S+: (timeline must cover every supplied study|comparison endpoints reversed)') THEN 'comparison' END AS place FROM m""")
 def _(s, d):
-    words = F.array(*map(F.lit, ("page 3 not reviewed", "series pending", "region lung unresolved", "claim text missing", "measurement without unit", "reader missing", "unknown trouble")))
-    return X.load(s, d, "events").select("event_id", L.classify_blocker(F.element_at(words, (1 + c("event_id") % 7).cast("int"))).alias("place"))
+    return X.load(s, d, "conversations").select("conv_id", "turn", L.classify_blocker(F.expr(MESSAGES)).alias("place"))
 
 
 @query("f30_distance_mm", "instances", "SELECT sop_uid, round(sqrt(pow((3 - ipp_x) * row_sp, 2) + pow((4 - ipp_y) * col_sp, 2)), 6) AS mm FROM instances")

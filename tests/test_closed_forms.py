@@ -69,6 +69,24 @@ def test_keyed_digest_is_hmac(spark):
     assert uid == "2.25." + str(int(hmac.new(b"k", b"1.2", hashlib.sha256).hexdigest()[:32], 16))
 
 
+def test_labels_of_texts(spark):
+    one = spark.range(1)
+    tissue = lambda *x: one.select(L.expected_tissue(*map(F.lit, x)).alias("t")).first().t
+    assert tissue("sağda kitle", "bül komşuluğunda kitle").label == "yumuşak doku"  # the headline decides
+    assert tissue("sağ üst lob", "BÜL komşuluğunda").label == "hava"
+    assert tissue("sağ üst lob", "değişmedi") is None
+    place = lambda x: one.select(L.classify_blocker(F.lit(x)).alias("p")).first().p
+    assert place("Series 4: read series has no pages") == "series" and place("Series 4 5: read series has no pages") is None
+    assert place("lung, right: source references missing") == "region" and place("C1: measurement output changed") == "claim"
+    assert place("C1: invalid timepoint") == "comparison" and place("Record model/reader") == "session" and place("page") is None
+    assert place("page marked reviewed without a view attestation: a.png (S1)") == "pages"
+    guess = lambda **x: one.select(L.mr_guess(*[F.lit(x.get(n)).cast(t) for n, t in (("image_type", "array<string>"), ("scanning", "array<string>"), ("te", "double"), ("tr", "double"), ("ti", "double"), ("name", "string"), ("thickness", "double"), ("contrast", "string"), ("protocol", "string"))]).alias("g")).first().g
+    assert guess(image_type=["original", "diffusion"], name="", protocol="EP_b1000") == "DWI trace b=1000"
+    assert guess(scanning=["SE"], te=20.0, tr=0.0) == "unclassified"  # no repetition time
+    assert guess(scanning=["SE"], te=20.0, tr=500.0, contrast="") == "T1 SE"
+    assert guess(ti=1800.0, te=90.0, thickness=0.0) == "T2 FLAIR" and guess(ti=1800.0, te=90.0, thickness=1.0) == "T2 FLAIR 3D"
+
+
 def test_grid(spark):
     g = L.fit_grid(F.lit(512), F.lit(512), F.lit("auto"), F.lit(1568))
     row = spark.range(1).select(*[v.alias(k) for k, v in g.items()]).first()
