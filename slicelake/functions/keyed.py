@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def hmac_sha256(key: str, value: Column) -> Column:
@@ -31,10 +30,16 @@ def pseudo_name(key: str, value: Column) -> Column:
     return F.concat(F.lit("ANON^"), F.upper(F.substring(hmac_sha256(key, value), 1, 8)))
 
 
-@F.pandas_udf(StringType())
-def decimal_of_hex(x: pd.Series) -> pd.Series:
-    """128-bit integers don't fit a decimal column, so their digits are made here."""
-    return x.map(lambda h: None if h is None else str(int(h, 16)))
+def decimal_of_hex(h: Column) -> Column:
+    """Thirty-two hexadecimal digits as a decimal number. It may have 39 digits, one more than a decimal column, so its last ten are made apart."""
+    high, low = (F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+    ten, word = F.lit(Decimal(10**10)), F.lit(Decimal(2**64))
+    upper, lower = ((high - high % ten) / ten).cast("decimal(10,0)"), high % ten
+    below = lower * word + low
+    last = below % ten
+    above = upper * word + ((below - last) / ten).cast("decimal(22,0)")
+    digits = lambda x: x.cast("decimal(38,0)").cast("string")
+    return F.when(above > 0, F.concat(digits(above), F.lpad(digits(last), 10, "0"))).otherwise(digits(last))
 
 
 def pseudo_uid(key: str, value: Column) -> Column:

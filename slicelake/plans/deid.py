@@ -36,7 +36,7 @@ def pid_sql(v: str) -> str:
     return f"'OR-' || upper(left({hmac_sql(KEY, v)}, 12))"
 
 
-ACT = "ac AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{a}')" for a, ts in E.ACTIONS.items() for t in ts.split()) + ") v(tag, action))"
+ACT = "ac AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{a}')" for t, a in E.ACTIONS) + ") v(tag, action))"
 
 
 def outcome_sql(strict: bool) -> str:
@@ -97,7 +97,7 @@ def _(s, d):
 
 @query("d06_burned_in_gate", "instances", "SELECT sop_uid, CASE WHEN burned_in = 'YES' AND modality <> 'CT' THEN 'refused' ELSE 'ok' END AS status FROM instances")
 def _(s, d):
-    return X.instances(s, d).select("sop_uid", F.when((F.upper("burned_in") == "YES") & (c("modality") != "CT"), "refused").otherwise("ok").alias("status"))
+    return E.burned_in_gate(X.instances(s, d))
 
 
 @query("d07_pixel_integrity", "instances", "SELECT DISTINCT sop_uid, instance_number % 5 <> 0 AS same FROM instances")
@@ -108,9 +108,7 @@ def _(s, d):
 
 @query("d08_reidentification_map", "instances", f"SELECT DISTINCT patient_id, {pid_sql('patient_id')} AS pseudonym FROM instances")
 def _(s, d):
-    from slicelake.functions.keyed import pseudo_patient_id
-
-    return X.instances(s, d).select("patient_id").distinct().select("patient_id", pseudo_patient_id(KEY, c("patient_id")).alias("pseudonym"))
+    return E.reidentification_map(X.instances(s, d), KEY)
 
 
 @query("s08_target_paths", "instances", """p AS (SELECT sop_uid, study_uid, CASE WHEN TRY_CAST(series_number AS INT) IS NOT NULL THEN 'S' || lpad(series_number, 3, '0') ELSE 'S' || left(sha256(series_uid), 8) END AS series_dir, lpad(CAST(instance_number AS VARCHAR), 5, '0') AS stem FROM instances)

@@ -69,6 +69,13 @@ def test_keyed_digest_is_hmac(spark):
     assert uid == "2.25." + str(int(hmac.new(b"k", b"1.2", hashlib.sha256).hexdigest()[:32], 16))
 
 
+def test_decimals_of_128_bits(spark):
+    rng = random.Random(2)
+    numbers = [0, 1, 10**10 - 1, 10**10, 2**64 - 1, 2**64, 10**38, 2**128 - 1, *(rng.getrandbits(rng.randint(1, 128)) for _ in range(200))]
+    rows = spark.createDataFrame([(f"{n:032x}", str(n)) for n in numbers], "h string, want string")
+    assert rows.select(K.decimal_of_hex(F.col("h")).alias("got"), "want").where("got <> want or got is null").collect() == []
+
+
 def test_labels_of_texts(spark):
     one = spark.range(1)
     tissue = lambda *x: one.select(L.expected_tissue(*map(F.lit, x)).alias("t")).first().t
