@@ -46,18 +46,18 @@ def spacing_gaps(instances: DataFrame) -> DataFrame:
     return with_spacing(instances).groupBy("series_uid").agg(F.first("n").alias("n"), *gap_facts())
 
 
-def first_of(column: str) -> Column:
-    """An attribute of a series, from its first header in path order."""
-    return F.min_by(column, F.struct("path", "sop_uid")).alias(column)
+def first_header(*columns: str) -> Column:
+    """Attributes of a series as a struct, from its first header in path order."""
+    return F.min_by(F.struct(*columns), F.struct("path", "sop_uid")).alias("header")
 
 
 def series_inventory(instances: DataFrame) -> DataFrame:
     """One row for each series: counts, matrix, spacing, coverage, acquisition facts by modality, and what is wrong with its geometry."""
     kept = ("study_uid", "modality", "series_number", "n_rows", "n_cols", "row_sp", "slice_thickness", "rescale_slope", "units", "decay_correction", "patient_weight", "te", "tr", "ti", "iop")
     rows = with_spacing(instances).groupBy("series_uid").agg(
-        *[first_of(x) for x in kept], F.count("*").alias("images"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.bool_or(c("number_of_frames") > 1).alias("multiframe"), F.array_join(F.sort_array(F.collect_set("folder")), ";").alias("folders"), *gap_facts()
+        first_header(*kept), F.count("*").alias("images"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.bool_or(c("number_of_frames") > 1).alias("multiframe"), F.array_join(F.sort_array(F.collect_set("folder")), ";").alias("folders"), *gap_facts()
     )
-    rows = rows.withColumn("plane", plane_of(c("iop"))).drop("iop")
+    rows = rows.select("*", "header.*").withColumn("plane", plane_of(c("iop"))).drop("iop", "header")
     rows = rows.withColumn("coverage_mm", c("z_max") - c("z_min"))
     for modality, names in (("CT", ["rescale_slope"]), ("PT", ["units", "decay_correction", "patient_weight"]), ("MR", ["te", "tr", "ti"])):
         rows = rows.withColumns({x: F.when(c("modality") == modality, c(x)) for x in names})
@@ -140,9 +140,9 @@ def natural_series_order(series: DataFrame) -> DataFrame:
 
 def series_cards(instances: DataFrame) -> DataFrame:
     """A row for each series as a picker shows it: geometry note and whether it can be drawn."""
-    rows = with_spacing(instances).groupBy("series_uid").agg(first_of("study_uid"), first_of("modality"), first_of("series_number"), F.count("*").alias("images"), F.bool_or(c("number_of_frames") > 1).alias("multi"), F.bool_and(c("iop").isNotNull()).alias("placed"), *gap_facts())
+    rows = with_spacing(instances).groupBy("series_uid").agg(first_header("study_uid", "modality", "series_number"), F.count("*").alias("images"), F.bool_or(c("number_of_frames") > 1).alias("multi"), F.bool_and(c("iop").isNotNull()).alias("placed"), *gap_facts())
     note = F.when(~c("placed"), "unknown").when(c("advisory_bad") | ~(c("dz") > 0), "irregular").otherwise("regular")
-    return rows.select("series_uid", "study_uid", "modality", "series_number", "images", note.alias("geometry"), (~c("multi") & c("placed")).alias("renderable"))
+    return rows.select("series_uid", "header.study_uid", "header.modality", "header.series_number", "images", note.alias("geometry"), (~c("multi") & c("placed")).alias("renderable"))
 
 
 def tilt_fit(instances: DataFrame) -> DataFrame:

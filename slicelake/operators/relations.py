@@ -23,11 +23,19 @@ def unread_slices(sops: DataFrame, passes: DataFrame, covered: DataFrame, skippe
 def nearest_slice(requests: DataFrame, slices: DataFrame, key: str = "series_uid") -> DataFrame:
     """For each (request, key, at) the slice nearest in z, the first of equal ones; none further out than half a spacing.
 
-    ``slices`` has key, k, z and dz. The requests of a series meet its slices by an equi-join.
+    ``slices`` has key, k, z and dz. Requests and slices of a series are ordered together, and each request takes the
+    last slice before it or the first after it, so that the work is that of sorting them, not of all their pairs.
     """
-    ends = slices.groupBy(key).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    rows = requests.join(slices, key).join(ends, key).where((c("at") >= c("lo") - c("dz") / 2) & (c("at") <= c("hi") + c("dz") / 2))
-    return rows.groupBy("request", key, "at").agg(F.min_by("k", F.struct(F.abs(c("z") - c("at")), "k")).alias("k"))
+    places = slices.groupBy(key, c("z").alias("at")).agg(F.min("k").alias("k"), F.max("dz").alias("dz"))
+    asked = requests.select("request", key, "at").distinct().withColumn("asks", F.lit(1))
+    rows = places.withColumn("asks", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    of, slice_ = Window.partitionBy(key), F.when(c("asks") == 0, F.struct("at", "k"))
+    so_far = lambda *order: F.last(slice_, ignorenulls=True).over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"low": so_far("at", "asks"), "high": so_far(c("at").desc(), "asks"), "first": F.min(slice_["at"]).over(of), "last": F.max(slice_["at"]).over(of), "half": F.max("dz").over(of) / 2})
+    rows = rows.where((c("asks") == 1) & (c("at") >= c("first") - c("half")) & (c("at") <= c("last") + c("half")))
+    below, above = c("at") - c("low.at"), c("high.at") - c("at")
+    k = F.when(c("low").isNull() | (above < below), c("high.k")).when(c("high").isNull() | (below < above), c("low.k")).otherwise(F.least("low.k", "high.k"))
+    return rows.select("request", key, "at", k.alias("k"))
 
 
 def pair_modalities(series: DataFrame, a: str = "PT", b: str = "CT") -> DataFrame:

@@ -67,7 +67,7 @@ def _(s, d):
 
 def series_of(instances):
     """(study_uid, series_uid, modality, series_number) of each series."""
-    return instances.groupBy("series_uid").agg(*[I.first_of(x) for x in ("study_uid", "modality", "series_number", "frame_uid", "sequence_name", "tr", "te", "ti")], F.array_join(I.first_of("image_type"), "/").alias("image_types"))
+    return instances.groupBy("series_uid").agg(I.first_header("study_uid", "modality", "series_number", "frame_uid", "sequence_name", "tr", "te", "ti", F.array_join("image_type", "/").alias("image_types"))).select("series_uid", "header.*")
 
 
 SER = FIRST + ", ser AS (SELECT series_uid, study_uid, modality, series_number, frame_uid, sequence_name, tr, te, ti, array_to_string(image_type, '/') AS image_types FROM first_row)"

@@ -105,7 +105,7 @@ def _(s, d):
 @query("j10_pair_sequences", "instances", f"{FIRST}, m AS (SELECT * FROM first_row WHERE modality = 'MR' AND iop IS NOT NULL) SELECT a.series_uid AS pre, b.series_uid AS post FROM m a JOIN m b ON a.patient_id = b.patient_id AND a.n_rows = b.n_rows AND a.n_cols = b.n_cols WHERE (a.study_date, a.series_uid) < (b.study_date, b.series_uid) AND abs(a.row_sp - b.row_sp) <= 1e-4 AND len(list_filter(list_zip(a.iop, b.iop), lambda t : abs(t[1] - t[2]) > 1e-4)) = 0")
 def _(s, d):
     cols = ("patient_id", "n_rows", "n_cols", "row_sp", "iop", "study_date", "modality")
-    m = X.instances(s, d).groupBy("series_uid").agg(*[I.first_of(x) for x in cols]).where("modality = 'MR' and iop is not null").withColumn("frame_uid", F.lit("one"))
+    m = X.instances(s, d).groupBy("series_uid").agg(I.first_header(*cols)).select("series_uid", "header.*").where("modality = 'MR' and iop is not null").withColumn("frame_uid", F.lit("one"))
     return R.pair_sequences(m)
 
 
