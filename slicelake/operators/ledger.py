@@ -18,6 +18,116 @@ def filled(x: str) -> Column:
     return F.coalesce(c(x), F.lit("")) != ""
 
 
+#: What fields of a ledger may hold.
+BLIND = ("not_claimed", "partial", "blinded")
+REGION_STATUSES = ("finding", "no_finding", "limited", "not_covered")
+PRIORITIES = ("important", "routine", "incidental")
+CONFIDENCES = ("low", "moderate", "high")
+UNITS = ("mm", "HU", "SUVbw", "mL", "mm2", "mm3")
+COMPARISONS = ("new", "increased", "decreased", "stable", "resolved", "indeterminate", "not_comparable")
+CHANGES = ("new", "increased", "decreased", "stable", "resolved")
+TIMEPOINTS = ("present", "not_seen", "not_covered", "indeterminate")
+OVERALL = ("compared", "limited", "not_comparable")
+PATIENT_FIELDS = ("meaning", "importance", "uncertainty", "discuss_with_doctor")
+
+
+def validate_session(sessions: DataFrame, languages: tuple[str, ...] = ("en", "tr")) -> DataFrame:
+    """Rules of a session's own fields: rows (session, complete, reader, disclosure, blind, limits, patient_context, patient_limits, language, pages, mode, compared, compared_reason, compared_text)."""
+    single = c("mode") != "comparison"
+    return violations(sessions, c("session"), {
+        "Reading not complete": c("complete"), "Record model/reader": filled("reader"), "Disclose prior context/leakage, even when none": filled("disclosure"), "Invalid blind status": c("blind").isin(*BLIND),
+        "Record actual coverage and sensitivity limitations": filled("limits"), "Explain examination scope in plain language (patient_context)": filled("patient_context"), "Explain limitations in plain language (patient_limitations)": filled("patient_limits"),
+        "Unsupported report language": c("language").isin(*languages), "No rendered pages registered": c("pages") > 0,
+        "Comparison not completed": single | c("compared").isin(*OVERALL), "Comparison limitations/method missing": single | filled("compared_reason"), "Plain-language comparison explanation missing": single | filled("compared_text"),
+    })
+
+
+def validate_pages(pages: DataFrame, series: DataFrame) -> DataFrame:
+    """Rules of pages (path, study, series, purpose, reviewed) against the known series (study, series)."""
+    known = series.select("study", "series").distinct().withColumn("known", F.lit(True))
+    return violations(pages.join(known, ["study", "series"], "left"), c("path"), {"Unreviewed page": c("reviewed"), "Page needs valid study and series UID": c("known"), "Page purpose missing": filled("purpose")})
+
+
+def validate_series(series: DataFrame, pages: DataFrame, unread: DataFrame) -> DataFrame:
+    """Rules of series (study, series, modality, disposition, checked, reason, passes); pages (study, series); and of each pass (study, series, purpose, n, scoped, basis) the slices that nothing covers."""
+    shown = pages.select("study", "series").distinct().withColumn("shown", F.lit(True))
+    other, image = c("disposition") != "read", c("modality").isin("CT", "MR", "PT")
+    own = violations(series.join(shown, ["study", "series"], "left"), c("series"), {
+        "disposition pending": c("disposition").isin("read", "excluded", "unsupported"), "read series geometry not checked": other | c("checked"), "read series has no pages": other | c("shown"),
+        "read image series needs declared exhaustive passes": other | ~image | (c("passes") > 0), "excluded/unsupported series needs reason": (c("disposition") == "read") | filled("reason"),
+    })
+    read = unread.join(series.where("disposition = 'read'").select("study", "series"), ["study", "series"], "left_semi")
+    return own.unionByName(violations(read, F.concat_ws(" ", "series", "purpose"), {"pass scope needs a stated basis": ~F.coalesce("scoped", F.lit(False)) | filled("basis"), "unread/unrendered slices": c("n") == 0}))
+
+
+def validate_refs(owners: DataFrame, refs: DataFrame, series: DataFrame, slices: DataFrame) -> DataFrame:
+    """Rules of the references (owner, study, series, sop, row_at, col_at) of all ``owners`` (owner), against series (study, series, disposition) and slices (study, series, sop, n_rows, n_cols)."""
+    none = owners.select("owner").distinct().join(refs.select("owner"), "owner", "left_anti").select("owner", F.lit("source references missing").alias("rule"))
+    rows = refs.join(series.select("study", "series", "disposition"), ["study", "series"], "left").join(slices.withColumn("known", F.lit(True)), ["study", "series", "sop"], "left")
+    placed = c("known") & c("row_at").isNotNull() & c("col_at").isNotNull()
+    inside = (c("row_at") >= 0) & (c("row_at") < c("n_rows")) & (c("col_at") >= 0) & (c("col_at") < c("n_cols"))
+    found = violations(rows, c("owner"), {"unknown source SOP/series/study": c("known"), "referenced series has not been read": c("disposition").isNull() | (c("disposition") == "read"), "coordinates out of range": ~F.coalesce(placed, F.lit(False)) | inside})
+    return none.unionByName(found)
+
+
+def validate_owner_pages(owners: DataFrame, shown: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rules of the pages (owner, path) that ``owners`` (owner, study; null for any) stand on, against the registered ones (path, study)."""
+    none = owners.join(shown.select("owner"), "owner", "left_anti").select("owner", F.lit("inspected image pages missing").alias("rule"))
+    rows = owners.join(shown, "owner").join(pages.select("path", c("study").alias("of")).withColumn("known", F.lit(True)), "path", "left")
+    return none.unionByName(violations(rows, c("owner"), {"unregistered page": c("known"), "page belongs to another study": c("study").isNull() | c("known").isNull() | (c("of") == c("study"))}))
+
+
+def validate_regions(regions: DataFrame, refs: DataFrame, shown: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rules of regions (owner, study, status, text, explanation); of those that claim to know, also of the studies of their references (owner, study) and of their pages."""
+    own = violations(regions, c("owner"), {"unresolved region": c("status").isin(*REGION_STATUSES), "explanation missing": filled("text"), "patient-friendly explanation missing": filled("explanation")})
+    known = regions.where(c("status").isin("finding", "no_finding")).select("owner", "study")
+    bare = known.join(refs.select("owner"), "owner", "left_anti").select("owner", F.lit("source references missing").alias("rule"))
+    studies = known.join(refs.select("owner", c("study").alias("of")), "owner").groupBy("owner").agg(F.bool_and(c("of").eqNullSafe(c("study"))).alias("same"))
+    return own.unionByName(bare).unionByName(violations(studies, c("owner"), {"wrong study reference": c("same")})).unionByName(validate_owner_pages(known, shown.select("owner", "path"), pages))
+
+
+def validate_claims(claims: DataFrame) -> DataFrame:
+    """Rules of claims (session, claim, text, priority, confidence, and the four patient fields); a claim's id stands once in its session."""
+    n = F.count("*").over(Window.partitionBy("session", "claim"))
+    rules = {"Claim IDs must be unique": filled("claim") & (c("n") == 1), "text missing": filled("text"), "priority missing": c("priority").isin(*PRIORITIES), "confidence missing": c("confidence").isin(*CONFIDENCES)}
+    rules |= {f"patient explanation {x} missing": filled(x) for x in PATIENT_FIELDS}
+    return violations(claims.withColumn("n", n), F.concat_ws("/", "session", "claim"), rules)
+
+
+def validate_measurements(measurements: DataFrame, files: DataFrame) -> DataFrame:
+    """Rules of measurements (owner, unit, value, method, row_at, col_at, file, hash) against a manifest of evidence files (file, now)."""
+    rows = measurements.join(files.select("file", "now"), "file", "left")
+    number = c("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    return violations(rows, c("owner"), {
+        "measurement needs native row/column coordinates": c("row_at").isNotNull() & c("col_at").isNotNull(), "invalid measurement unit": c("unit").isin(*UNITS), "invalid measured value": number, "measurement method missing": filled("method"),
+        "measurement tool output missing": c("now").isNotNull(), "measurement output hash missing": filled("hash"), "measurement output changed": c("now").isNull() | (c("now") == c("hash")),
+    })
+
+
+def validate_comparison(claims: DataFrame, studies: DataFrame, timeline: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rules of a comparison: claims (session, claim, status, reason, from_study, to_study), a session's studies in order (session, study, place), timepoints (claim, study, status, text, explanation, ref_study) and evidence (claim, study)."""
+    counts = studies.groupBy("session").agg(F.count_distinct("study").alias("studies"))
+    points = timeline.join(claims.select("session", "claim"), "claim").join(studies.select("session", "study", F.lit(True).alias("of_session")), ["session", "study"], "left")
+    covered = points.groupBy("claim").agg(F.count("*").alias("points"), F.count_distinct("study").alias("distinct"), F.bool_and(F.coalesce("of_session", F.lit(False))).alias("all_known"))
+    at = lambda x: studies.select("session", c("study").alias(f"{x}_study"), c("place").alias(f"{x}_place"))
+    seen = lambda x: refs.select("claim", c("study").alias(f"{x}_study"), F.lit(True).alias(f"{x}_seen")).distinct()
+    rows = claims.join(counts, "session", "left").join(covered, "claim", "left")
+    for x in ("from", "to"):
+        rows = rows.join(at(x), ["session", f"{x}_study"], "left").join(seen(x), ["claim", f"{x}_study"], "left")
+    still = ~F.coalesce(c("status").isin(*CHANGES), F.lit(False))
+    own = violations(rows, c("claim"), {
+        "comparison status missing": c("status").isin(*COMPARISONS), "comparison rationale missing": filled("reason"),
+        "timeline must cover every supplied study": c("all_known") & (c("points") == c("studies")) & (c("distinct") == c("studies")),
+        "change claim needs explicit distinct comparison endpoints": still | (c("from_place").isNotNull() & c("to_place").isNotNull() & (c("from_study") != c("to_study"))),
+        "comparison endpoints reversed": still | c("from_place").isNull() | c("to_place").isNull() | (c("from_place") < c("to_place")), "change claim needs both endpoint studies' evidence": still | (c("from_seen") & c("to_seen")),
+    })
+    seen_ = ~F.coalesce(c("status").isin("present", "not_seen"), F.lit(False))
+    return own.unionByName(violations(timeline, F.concat_ws("/", "claim", "study"), {
+        "invalid timepoint": c("status").isin(*TIMEPOINTS), "timepoint needs professional and plain-language descriptions": filled("text") & filled("explanation"),
+        "timepoint source belongs to a different study": seen_ | c("ref_study").isNull() | (c("ref_study") == c("study")),
+    }))
+
+
 def prepare_checks(instances: DataFrame) -> DataFrame:
     """Per folder: one study, one identity, one valid date, no repeated slice; and no study in two folders."""
     rows = instances.groupBy("folder").agg(
@@ -74,3 +184,9 @@ def locks(reviews: DataFrame) -> DataFrame:
     """The first seal of each review (hash, size, time); later ones are refused."""
     place = F.row_number().over(Window.partitionBy("review").orderBy("at", "hash"))
     return reviews.withColumn("status", F.when(place == 1, "locked").otherwise("refused"))
+
+
+def verify_locks(sealed: DataFrame, now: DataFrame) -> DataFrame:
+    """(review, status) of locked reviews (review, hash, size) against what stands there now: ok, changed or missing."""
+    rows = sealed.select("review", "hash", "size").join(now.select("review", c("hash").alias("h"), c("size").alias("n")), "review", "left")
+    return rows.select("review", F.when(c("h").isNull(), "missing").when((c("h") == c("hash")) & (c("n") == c("size")), "ok").otherwise("changed").alias("status"))

@@ -65,21 +65,33 @@ def _(s, d):
     return L.locks(X.view_events(s, d).select(c("session_id").alias("review"), c("ts").alias("at"), F.struct(F.sha2("sop_uid", 256), "event_id").alias("hash"), "event_id")).select("review", "event_id", "status")
 
 
-SESS = "ss AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS reader, max(CASE WHEN role = 'system' THEN text END) AS disclosure, CASE conv_id % 4 WHEN 0 THEN 'blinded' WHEN 1 THEN 'partial' WHEN 2 THEN 'unknown' ELSE 'not_claimed' END AS blind, CASE conv_id % 3 WHEN 0 THEN 'xx' WHEN 1 THEN 'tr' ELSE 'en' END AS language, max(turn) >= 3 AS complete, max(CASE WHEN turn = 1 THEN text END) AS limits FROM conversations GROUP BY conv_id)"
+PICK = "max(CASE WHEN {} THEN text END)"
+#: A session's fields are what its turns say; its language is that of the document of its number, its pages those of its number.
+SESS = f"""cv AS (SELECT conv_id, {PICK.format("role = 'user'")} AS reader, {PICK.format("role = 'system'")} AS disclosure, {PICK.format("turn = 1")} AS limits, {PICK.format("turn = 2 AND role = 'user'")} AS patient_context, {PICK.format("turn = 3")} AS patient_limits, max(turn) >= 3 AS complete, CASE max(turn) WHEN 1 THEN 'blinded' WHEN 3 THEN 'partial' WHEN 5 THEN 'unknown' ELSE 'not_claimed' END AS blind,
+CASE WHEN count(*) > 4 THEN 'comparison' ELSE 'single' END AS mode, CASE WHEN max(turn) > 5 THEN 'limited' END AS compared, {PICK.format("turn = 6")} AS compared_reason, {PICK.format("turn = 7")} AS compared_text FROM conversations GROUP BY conv_id),
+ss AS (SELECT cv.*, lang AS language, coalesce(n, 0) AS pages FROM cv LEFT JOIN documents ON doc_id = conv_id LEFT JOIN (SELECT page_id + 5 AS page_of, count(*) AS n FROM pages GROUP BY ALL) ON page_of = conv_id)"""
 
 
 def session_rows(s, d):
-    pick = lambda f: F.max(F.when(f, c("text")))
-    k = c("conv_id")
-    return X.load(s, d, "conversations").groupBy("conv_id").agg(pick(c("role") == "user").alias("reader"), pick(c("role") == "system").alias("disclosure"), (F.max("turn") >= 3).alias("complete"), pick(c("turn") == 1).alias("limits")).withColumns({"blind": F.when(k % 4 == 0, "blinded").when(k % 4 == 1, "partial").when(k % 4 == 2, "unknown").otherwise("not_claimed"), "language": F.when(k % 3 == 0, "xx").when(k % 3 == 1, "tr").otherwise("en")})
+    pick = lambda f: F.max(F.when(F.expr(f), c("text")))
+    rows = X.load(s, d, "conversations").groupBy(c("conv_id").alias("session")).agg(
+        pick("role = 'user'").alias("reader"), pick("role = 'system'").alias("disclosure"), pick("turn = 1").alias("limits"), pick("turn = 2 and role = 'user'").alias("patient_context"), pick("turn = 3").alias("patient_limits"), (F.max("turn") >= 3).alias("complete"),
+        F.when(F.max("turn") == 1, "blinded").when(F.max("turn") == 3, "partial").when(F.max("turn") == 5, "unknown").otherwise("not_claimed").alias("blind"), F.when(F.count("*") > 4, "comparison").otherwise("single").alias("mode"), F.when(F.max("turn") > 5, "limited").alias("compared"),
+        pick("turn = 6").alias("compared_reason"), pick("turn = 7").alias("compared_text"),
+    )
+    pages = X.load(s, d, "pages").groupBy((c("page_id") + 5).alias("session")).agg(F.count("*").alias("pages"))
+    return rows.join(X.load(s, d, "documents").select(c("doc_id").alias("session"), c("lang").alias("language")), "session", "left").join(pages, "session", "left").fillna(0, ["pages"])
 
 
-L04 = {"reading not complete": "complete", "reader missing": "coalesce(reader, '') <> ''", "disclosure missing": "coalesce(disclosure, '') <> ''", "blind status invalid": "blind IN ('not_claimed', 'partial', 'blinded')", "limitations missing": "coalesce(limits, '') <> ''", "language unsupported": "language IN ('en', 'tr')"}
+L04 = {
+    "Reading not complete": "complete", "Record model/reader": "coalesce(reader, '') <> ''", "Disclose prior context/leakage, even when none": "coalesce(disclosure, '') <> ''", "Invalid blind status": "blind IN ('not_claimed', 'partial', 'blinded')", "Record actual coverage and sensitivity limitations": "coalesce(limits, '') <> ''",
+    "Explain examination scope in plain language (patient_context)": "coalesce(patient_context, '') <> ''", "Explain limitations in plain language (patient_limitations)": "coalesce(patient_limits, '') <> ''", "Unsupported report language": "language IN ('en', 'tr')", "No rendered pages registered": "pages > 0",
+    "Comparison not completed": "mode = 'single' OR compared IN ('compared', 'limited', 'not_comparable')", "Comparison limitations/method missing": "mode = 'single' OR coalesce(compared_reason, '') <> ''", "Plain-language comparison explanation missing": "mode = 'single' OR coalesce(compared_text, '') <> ''",
+}
 
 
 def session_errors(s, d):
-    rules = {"reading not complete": c("complete"), "reader missing": L.filled("reader"), "disclosure missing": L.filled("disclosure"), "blind status invalid": c("blind").isin("not_claimed", "partial", "blinded"), "limitations missing": L.filled("limits"), "language unsupported": c("language").isin("en", "tr")}
-    return L.violations(session_rows(s, d), c("conv_id"), rules)
+    return L.validate_session(session_rows(s, d))
 
 
 @query("l04_validate_session_fields", "", f"{SESS} {rules_sql('conv_id', L04, 'ss')}")
@@ -89,13 +101,13 @@ def _(s, d):
 
 @query("l19_finish_gate", "", f"{SESS}, er AS ({rules_sql('conv_id', L04, 'ss')}) SELECT conv_id FROM ss WHERE conv_id NOT IN (SELECT owner FROM er)")
 def _(s, d):
-    return session_rows(s, d).select("conv_id").join(session_errors(s, d).select(c("owner").alias("conv_id")), "conv_id", "left_anti")
+    return session_rows(s, d).select(c("session").alias("conv_id")).join(session_errors(s, d).select(c("owner").alias("conv_id")), "conv_id", "left_anti")
 
 
 @query("l21_session_status", "", f"{SESS}, er AS ({rules_sql('conv_id', L04, 'ss')}), g AS (SELECT owner, count(*) AS n, array_to_string(list_sort(list(rule))[1:3], ';') AS sample FROM er GROUP BY owner) SELECT conv_id, coalesce(n, 0) AS errors, coalesce(sample, '') AS sample FROM ss LEFT JOIN g ON owner = conv_id")
 def _(s, d):
     g = session_errors(s, d).groupBy(c("owner").alias("conv_id")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("rule")), 1, 3), ";").alias("sample"))
-    return session_rows(s, d).select("conv_id").join(g, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit(0)).cast("long").alias("errors"), F.coalesce("sample", F.lit("")).alias("sample"))
+    return session_rows(s, d).select(c("session").alias("conv_id")).join(g, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit(0)).cast("long").alias("errors"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 @query("l17_session_cards", "claims", "SELECT session_id, count(DISTINCT claim_id) AS claims, count(*) AS points, max(study_date) AS newest, count(DISTINCT claim_id) > 0 AS readable, count(*) FILTER (verdict = 'increased') AS worse FROM claims GROUP BY session_id")
@@ -103,70 +115,117 @@ def _(s, d):
     return X.claims(s, d).groupBy("session_id").agg(F.count_distinct("claim_id").alias("claims"), F.count("*").alias("points"), F.max("study_date").alias("newest"), (F.count_distinct("claim_id") > 0).alias("readable"), F.count_if(c("verdict") == "increased").alias("worse"))
 
 
-PAGES = "pg AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN '' ELSE 'lung:native' END AS purpose, page_id % 4 <> 0 AS reviewed, page_id % 9 AS series FROM pages)"
+#: A page's purpose is its title's first word if that is long, its series its host; hosts of two pages or more are known; a page that an event shows is reviewed.
+PAGES = "pg0 AS (SELECT page_id, CASE WHEN length(regexp_extract(html, '<title>([^ <]*)', 1)) > 4 THEN 'lung:native' ELSE '' END AS purpose, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages), kn AS (SELECT host FROM pg0 GROUP BY host HAVING count(*) > 1), sh AS (SELECT DISTINCT page_path FROM view_events WHERE dwell_ms > 500), pg AS (SELECT page_id, purpose, kn.host IS NOT NULL AS known, page_path IS NOT NULL AS reviewed FROM pg0 LEFT JOIN kn USING (host) LEFT JOIN sh ON page_path = 'pages/' || page_id || '.png')"
 
 
-@query("l05_validate_pages", "", f"{PAGES} " + rules_sql("page_id", {"page not reviewed": "reviewed", "page purpose missing": "purpose <> ''", "page of unknown series": "series < 7"}, "pg"))
+@query("l05_validate_pages", "view_events", f"{PAGES} " + rules_sql("page_id", {"Unreviewed page": "reviewed", "Page purpose missing": "purpose <> ''", "Page needs valid study and series UID": "known"}, "pg"))
 def _(s, d):
-    p = X.load(s, d, "pages").select("page_id", F.when(c("page_id") % 6 == 0, "").otherwise("lung:native").alias("purpose"), (c("page_id") % 4 != 0).alias("reviewed"), (c("page_id") % 9).alias("series"))
-    return L.violations(p, c("page_id"), {"page not reviewed": c("reviewed"), "page purpose missing": L.filled("purpose"), "page of unknown series": c("series") < 7})
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    shown = X.view_events(s, d).where("dwell_ms > 500").select(c("page_path").alias("file")).distinct().withColumn("reviewed", F.lit(True))
+    p = X.load(s, d, "pages").select(c("page_id").alias("path"), F.lit("s").alias("study"), host.alias("series"), F.when(F.length(F.regexp_extract("html", "<title>([^ <]*)", 1)) > 4, "lung:native").otherwise("").alias("purpose"), F.concat(F.lit("pages/"), "page_id", F.lit(".png")).alias("file"))
+    return L.validate_pages(p.join(shown, "file", "left"), p.groupBy("study", "series").count().where("count > 1"))
 
 
-L06 = {"disposition pending": "disposition <> 'pending'", "geometry not checked": "disposition <> 'read' OR checked", "reason missing": "disposition <> 'excluded' OR reason <> ''", "unread slices": "disposition <> 'read' OR unread = 0", "passes missing": "disposition <> 'read' OR passes > 0"}
+#: A series of one slice is pending, one of PET excluded, for the reason that its units tell; a page shows it if an event of a page has its slices' number; passes of the bone window are scoped, with the station of their study as basis.
+L06 = {"disposition pending": "disposition IN ('read', 'excluded', 'unsupported')", "read series geometry not checked": "disposition <> 'read' OR checked", "read series has no pages": "disposition <> 'read' OR shown", "read image series needs declared exhaustive passes": "disposition <> 'read' OR modality NOT IN ('CT', 'MR', 'PT') OR passes > 0", "excluded/unsupported series needs reason": "disposition = 'read' OR coalesce(reason, '') <> ''"}
+L06P = {"pass scope needs a stated basis": "NOT scoped OR coalesce(basis, '') <> ''", "unread/unrendered slices": "n = 0"}
+UNREAD = f"""{PASSES}, {SER}, ur AS (SELECT series_uid, purpose, count(*) AS n FROM (SELECT * FROM need ANTI JOIN cv USING (series_uid, sop_uid, purpose) ANTI JOIN sk USING (series_uid, sop_uid, purpose)) GROUP BY ALL), np AS (SELECT series_uid, count(*) AS passes FROM ps GROUP BY series_uid),
+fx AS (SELECT series_uid, count(*) AS images, min(units) AS units, min(frame_uid) AS frame, bool_and(iop IS NOT NULL) AS checked, bool_or(slice_location > 25) AS shown FROM instances GROUP BY series_uid),
+sx AS (SELECT ser.study_uid, ser.series_uid, modality, CASE WHEN images = 1 THEN 'pending' WHEN modality = 'PT' THEN 'excluded' ELSE 'read' END AS disposition, checked, shown, CASE WHEN units <> 'BQML' THEN units END AS reason, coalesce(passes, 0) AS passes, frame FROM ser JOIN fx USING (series_uid) LEFT JOIN np USING (series_uid)),
+px AS (SELECT series_uid || ' ' || ps.purpose AS owner, coalesce(n, 0) AS n, ps.purpose = 'bone:native' AS scoped, frame AS basis FROM (SELECT DISTINCT series_uid, purpose FROM ps) ps JOIN sx USING (series_uid) LEFT JOIN ur USING (series_uid, purpose) WHERE disposition = 'read')"""
 
 
-@query("l06_validate_series", "instances", f"{PASSES}, {SER}, ur AS (SELECT series_uid, count(*) AS unread FROM (SELECT * FROM need ANTI JOIN cv USING (series_uid, sop_uid, purpose) ANTI JOIN sk USING (series_uid, sop_uid, purpose)) GROUP BY series_uid), np AS (SELECT series_uid, count(*) AS passes FROM ps GROUP BY series_uid), sx AS (SELECT ser.series_uid, CASE WHEN length(ser.series_uid) % 5 = 0 THEN 'pending' WHEN modality = 'PT' THEN 'excluded' ELSE 'read' END AS disposition, length(ser.series_uid) % 3 <> 0 AS checked, CASE WHEN length(study_uid) % 2 = 0 THEN 'no attenuation' ELSE '' END AS reason, coalesce(unread, 0) AS unread, coalesce(passes, 0) AS passes FROM ser LEFT JOIN ur USING (series_uid) LEFT JOIN np USING (series_uid)) " + rules_sql("series_uid", L06, "sx"))
+@query("l06_validate_series", "instances", f"{UNREAD} {rules_sql('series_uid', L06, 'sx')} UNION ALL {rules_sql('owner', L06P, 'px')}")
 def _(s, d):
     i = X.instances(s, d)
     passes, covered, skipped = passes_of(i)
-    unread = R.unread_slices(i.select("series_uid", "sop_uid").distinct(), passes, covered, skipped).groupBy("series_uid").agg(F.count("*").alias("unread"))
-    n = F.length("series_uid")
-    rows = series_of(i).join(unread, "series_uid", "left").join(passes.groupBy("series_uid").agg(F.count("*").alias("passes")), "series_uid", "left")
-    rows = rows.withColumns({"disposition": F.when(n % 5 == 0, "pending").when(c("modality") == "PT", "excluded").otherwise("read"), "checked": n % 3 != 0, "reason": F.when(F.length("study_uid") % 2 == 0, "no attenuation").otherwise(""), "unread": F.coalesce("unread", F.lit(0)), "passes": F.coalesce("passes", F.lit(0))})
-    read = c("disposition") != "read"
-    return L.violations(rows, c("series_uid"), {"disposition pending": c("disposition") != "pending", "geometry not checked": read | c("checked"), "reason missing": (c("disposition") != "excluded") | L.filled("reason"), "unread slices": read | (c("unread") == 0), "passes missing": read | (c("passes") > 0)})
+    unread = R.unread_slices(i.select("series_uid", "sop_uid").distinct(), passes, covered, skipped).groupBy("series_uid", "purpose").agg(F.count("*").alias("n"))
+    facts = i.groupBy("series_uid").agg(F.count("*").alias("images"), F.min("units").alias("units"), F.min("frame_uid").alias("basis"), F.bool_and(c("iop").isNotNull()).alias("checked"), F.bool_or(c("slice_location") > 25).alias("shown"))
+    rows = series_of(i).join(facts, "series_uid").join(passes.groupBy("series_uid").agg(F.count("*").alias("passes")), "series_uid", "left").fillna(0, ["passes"])
+    rows = rows.withColumns({"disposition": F.when(c("images") == 1, "pending").when(c("modality") == "PT", "excluded").otherwise("read"), "reason": F.when(c("units") != "BQML", c("units"))})
+    rows = rows.withColumnsRenamed({"study_uid": "study", "series_uid": "series"})
+    each = passes.select("series_uid", "purpose").distinct().join(unread, ["series_uid", "purpose"], "left").fillna(0, ["n"]).withColumnRenamed("series_uid", "series").join(rows.select("study", "series", "basis"), "series").withColumn("scoped", c("purpose") == "bone:native")
+    return L.validate_series(rows.select("study", "series", "modality", "disposition", "checked", "reason", "passes"), rows.where("shown").select("study", "series"), each)
 
 
-L07 = {"region unresolved": "status <> 'pending'", "text missing": "text <> ''", "refs missing": "status NOT IN ('finding', 'no_finding') OR refs > 0", "wrong study": "status <> 'finding' OR own"}
+#: A document is a region: its labels are the status, its language the study, benchmark's item of its number the plain words, the next document of its source a reference, the page of its number its page.
+REGIONS = """rg AS (SELECT d.doc_id AS owner, d.lang AS study, CASE WHEN toxic = 1 THEN 'limited' WHEN quality = 1 THEN 'finding' WHEN quality = 0 THEN 'no_finding' ELSE 'pending' END AS status, d.text, b.text AS explanation FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN benchmark b ON item_id = d.doc_id),
+rf AS (SELECT a.doc_id AS owner, b.lang AS study FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.source = b.source), pg AS (SELECT page_id AS path, regexp_extract(url, 'org/([a-z]+)/', 1) AS study FROM pages WHERE length(html) > 3000), ow AS (SELECT owner, study FROM rg WHERE status IN ('finding', 'no_finding')), sh AS (SELECT page_id AS owner, page_id AS path FROM pages)"""
+L07 = {"unresolved region": "status IN ('finding', 'no_finding', 'limited', 'not_covered')", "explanation missing": "coalesce(text, '') <> ''", "patient-friendly explanation missing": "coalesce(explanation, '') <> ''"}
 
 
-@query("l07_validate_regions", "", "rg AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'finding' WHEN 2 THEN 'no_finding' ELSE 'not_covered' END AS status, CASE WHEN doc_id % 8 = 0 THEN '' ELSE text END AS text, doc_id % 3 AS refs, doc_id % 7 <> 0 AS own FROM documents) " + rules_sql("doc_id", L07, "rg"))
+@query("l07_validate_regions", "", f"""{REGIONS} {rules_sql('owner', L07, 'rg')} UNION ALL SELECT owner, 'source references missing' FROM ow ANTI JOIN rf USING (owner) UNION ALL SELECT owner, 'wrong study reference' FROM ow JOIN rf USING (owner) WHERE ow.study <> rf.study UNION ALL SELECT owner, 'inspected image pages missing' FROM ow ANTI JOIN sh USING (owner)
+UNION ALL SELECT owner, 'unregistered page' FROM ow JOIN sh USING (owner) ANTI JOIN pg USING (path) UNION ALL SELECT owner, 'page belongs to another study' FROM ow JOIN sh USING (owner) JOIN pg USING (path) WHERE ow.study <> pg.study""")
 def _(s, d):
-    k = c("doc_id")
-    rows = X.load(s, d, "documents").select("doc_id", F.when(k % 5 == 0, "pending").when(k % 5 == 1, "finding").when(k % 5 == 2, "no_finding").otherwise("not_covered").alias("status"), F.when(k % 8 == 0, "").otherwise(c("text")).alias("text"), (k % 3).alias("refs"), (k % 7 != 0).alias("own"))
-    return L.violations(rows, k, {"region unresolved": c("status") != "pending", "text missing": L.filled("text"), "refs missing": ~c("status").isin("finding", "no_finding") | (c("refs") > 0), "wrong study": (c("status") != "finding") | c("own")})
+    docs, pages = X.load(s, d, "documents"), X.load(s, d, "pages")
+    status = F.when(c("toxic") == 1, "limited").when(c("quality") == 1, "finding").when(c("quality") == 0, "no_finding").otherwise("pending")
+    regions = docs.join(X.load(s, d, "labels"), "doc_id", "left").join(X.load(s, d, "benchmark").select(c("item_id").alias("doc_id"), c("text").alias("explanation")), "doc_id", "left").select(c("doc_id").alias("owner"), c("lang").alias("study"), status.alias("status"), "text", "explanation")
+    refs = docs.select(c("doc_id").alias("owner"), "source").join(docs.select((c("doc_id") - 1).alias("owner"), "source", c("lang").alias("study")), ["owner", "source"]).select("owner", "study")
+    registered = pages.where("length(html) > 3000").select(c("page_id").alias("path"), F.regexp_extract("url", "org/([a-z]+)/", 1).alias("study"))
+    return L.validate_regions(regions, refs, pages.select(c("page_id").alias("owner"), c("page_id").alias("path")), registered)
 
 
-@query("l08_validate_refs", "instances", "rf AS (SELECT sop_uid AS ref, CASE WHEN instance_number % 4 = 0 THEN sop_uid || '.x' ELSE sop_uid END AS sop_uid, CAST(slice_location * 2 AS INT) AS row_at, n_rows FROM instances), j AS (SELECT ref, i.sop_uid IS NOT NULL AS known, row_at >= 0 AND row_at < rf.n_rows AS inside FROM rf LEFT JOIN (SELECT DISTINCT sop_uid FROM instances) i ON rf.sop_uid = i.sop_uid) " + rules_sql("ref", {"unknown source": "known", "coordinates out of range": "inside"}, "j"))
+#: A study refers to its slices beyond 20 mm, by a row of twice their location; those of coloured pixels under a wrong name. A series with a multi-frame object is not read.
+REFS = """sl AS (SELECT DISTINCT study_uid AS study, series_uid AS series, sop_uid AS sop, n_rows, n_cols FROM instances), se AS (SELECT study_uid AS study, series_uid AS series, CASE WHEN bool_or(number_of_frames > 1) THEN 'unsupported' ELSE 'read' END AS disposition FROM instances GROUP BY ALL),
+rf AS (SELECT study_uid AS owner, study_uid AS study, series_uid AS series, CASE WHEN photometric = 'RGB' THEN sop_uid || '.x' ELSE sop_uid END AS sop, CAST(slice_location * 2 AS INT) AS row_at, CAST(ipp_y AS INT) AS col_at FROM instances WHERE slice_location > 20),
+j AS (SELECT rf.*, disposition, n_rows, n_cols FROM rf LEFT JOIN se USING (study, series) LEFT JOIN sl USING (study, series, sop))"""
+
+
+@query("l08_validate_refs", "instances", f"{REFS} SELECT DISTINCT study AS owner, 'source references missing' AS rule FROM sl WHERE study NOT IN (SELECT owner FROM rf) UNION ALL " + rules_sql("owner", {"unknown source SOP/series/study": "n_rows IS NOT NULL", "referenced series has not been read": "disposition IS NULL OR disposition = 'read'", "coordinates out of range": "n_rows IS NULL OR (row_at >= 0 AND row_at < n_rows AND col_at >= 0 AND col_at < n_cols)"}, "j"))
 def _(s, d):
     i = X.instances(s, d)
-    refs = i.select(c("sop_uid").alias("ref"), F.when(c("instance_number") % 4 == 0, F.concat("sop_uid", F.lit(".x"))).otherwise(c("sop_uid")).alias("sop_uid"), (c("slice_location") * 2).cast("int").alias("row_at"), "n_rows")
-    known = i.select("sop_uid").distinct().withColumn("known", F.lit(True))
-    return L.violations(refs.join(known, "sop_uid", "left"), c("ref"), {"unknown source": c("known"), "coordinates out of range": (c("row_at") >= 0) & (c("row_at") < c("n_rows"))})
+    of = i.withColumnsRenamed({"study_uid": "study", "series_uid": "series", "sop_uid": "sop"})
+    refs = of.where("slice_location > 20").select(c("study").alias("owner"), "study", "series", F.when(c("photometric") == "RGB", F.concat("sop", F.lit(".x"))).otherwise(c("sop")).alias("sop"), (c("slice_location") * 2).cast("int").alias("row_at"), c("ipp_y").cast("int").alias("col_at"))
+    series = of.groupBy("study", "series").agg(F.when(F.bool_or(c("number_of_frames") > 1), "unsupported").otherwise("read").alias("disposition"))
+    return L.validate_refs(of.select(c("study").alias("owner")), refs, series, of.select("study", "series", "sop", "n_rows", "n_cols").distinct())
+
 
+#: A claim is a turn, named by its role; what the following turns say is its patient's explanation.
+TURNS = "cl AS (SELECT conv_id || '/' || role AS owner, text, CASE turn WHEN 0 THEN 'important' WHEN 1 THEN 'routine' END AS priority, CASE role WHEN 'user' THEN 'high' END AS confidence, lead(text, 1) OVER w AS meaning, lead(text, 2) OVER w AS importance, lead(text, 3) OVER w AS uncertainty, lag(text, 1) OVER w AS discuss_with_doctor, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
 
-@query("l09_validate_claims", "", "cl AS (SELECT conv_id || ':' || turn AS id, text, CASE turn WHEN 0 THEN 'high' WHEN 1 THEN 'routine' END AS priority, CASE role WHEN 'user' THEN 'sure' END AS confidence, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations) " + rules_sql("id", {"id not unique": "n = 1", "text missing": "text <> ''", "priority missing": "priority IS NOT NULL", "confidence missing": "confidence IS NOT NULL"}, "cl"))
+
+@query("l09_validate_claims", "", f"{TURNS} " + rules_sql("owner", {"Claim IDs must be unique": "n = 1", "text missing": "text <> ''", "priority missing": "priority IS NOT NULL", "confidence missing": "confidence IS NOT NULL"} | {f"patient explanation {x} missing": f"coalesce({x}, '') <> ''" for x in ("meaning", "importance", "uncertainty", "discuss_with_doctor")}, "cl"))
 def _(s, d):
-    n = F.count("*").over(Window.partitionBy("conv_id", "role"))
-    rows = X.load(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text", F.when(c("turn") == 0, "high").when(c("turn") == 1, "routine").alias("priority"), F.when(c("role") == "user", "sure").alias("confidence"), n.alias("n"))
-    return L.violations(rows, c("id"), {"id not unique": c("n") == 1, "text missing": L.filled("text"), "priority missing": c("priority").isNotNull(), "confidence missing": c("confidence").isNotNull()})
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = X.load(s, d, "conversations").select(
+        c("conv_id").alias("session"), c("role").alias("claim"), "text", F.when(c("turn") == 0, "important").when(c("turn") == 1, "routine").alias("priority"), F.when(c("role") == "user", "high").alias("confidence"),
+        F.lead("text", 1).over(w).alias("meaning"), F.lead("text", 2).over(w).alias("importance"), F.lead("text", 3).over(w).alias("uncertainty"), F.lag("text", 1).over(w).alias("discuss_with_doctor"),
+    )
+    return L.validate_claims(rows)
+
+
+#: The evidence of a claim's measurement is the document of its study's number; the recorded hash is that of its first 400 characters.
+MEASURES = """fl AS (SELECT doc_id AS study_key, sha256(text) AS now, CASE WHEN source <> 'src1' THEN sha256(left(text, 400)) ELSE '' END AS hash FROM documents), ms AS (SELECT study_uid AS owner, unit, value, CASE status WHEN 'present' THEN 'caliper' WHEN 'indeterminate' THEN 'estimate' ELSE '' END AS method, CASE WHEN priority <> 'low' THEN 1 END AS row_at, now, coalesce(hash, '') AS hash FROM claims LEFT JOIN fl USING (study_key))"""
 
 
-@query("l10_validate_measurements", "claims", rules_sql("study_uid", {"unit invalid": "unit IN ('mm', 'SUV')", "value invalid": "isfinite(value) AND value < 300000", "evidence changed": "study_key % 10 <> 0"}, "claims"))
+@query("l10_validate_measurements", "claims", f"{MEASURES} " + rules_sql("owner", {"measurement needs native row/column coordinates": "row_at IS NOT NULL", "invalid measurement unit": "unit IN ('mm', 'HU', 'SUVbw', 'mL', 'mm2', 'mm3')", "invalid measured value": "isfinite(value)", "measurement method missing": "method <> ''", "measurement tool output missing": "now IS NOT NULL", "measurement output hash missing": "hash <> ''", "measurement output changed": "now IS NULL OR now = hash"}, "ms"))
 def _(s, d):
-    ok = c("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
-    return L.violations(X.claims(s, d), c("study_uid"), {"unit invalid": c("unit").isin("mm", "SUV"), "value invalid": ok & (c("value") < 300000), "evidence changed": c("study_key") % 10 != 0})
+    docs = X.load(s, d, "documents").select(c("doc_id").alias("file"), F.sha2("text", 256).alias("now"), F.when(c("source") != "src1", F.sha2(F.left("text", F.lit(400)), 256)).otherwise("").alias("hash"))
+    rows = X.claims(s, d).select(c("study_uid").alias("owner"), "unit", "value", F.when(c("status") == "present", "caliper").when(c("status") == "indeterminate", "estimate").otherwise("").alias("method"), F.when(c("priority") != "low", 1).alias("row_at"), F.when(c("priority") != "low", 1).alias("col_at"), c("study_key").alias("file"))
+    return L.validate_measurements(rows.join(docs.select("file", "hash"), "file", "left").fillna("", ["hash"]), docs)
 
 
-CMP = "e AS (SELECT claim_id, first_value(study_key) OVER w AS a, last_value(study_key) OVER w AS b, first_value(study_date) OVER w AS da, last_value(study_date) OVER w AS db, last_value(verdict) OVER w AS verdict, count(*) OVER (PARTITION BY claim_id) AS n FROM claims WINDOW w AS (PARTITION BY claim_id ORDER BY study_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), f AS (SELECT DISTINCT * FROM e)"
+#: A claim changes from its dearest study to its last one; its points are its studies of a price, described by their verdict; urgent ones refer to the study before.
+CMP = """pt AS (SELECT claim_id, study_uid, CASE WHEN status = 'resolved' THEN 'gone' ELSE status END AS status, verdict AS text, CASE WHEN unit = 'mm' THEN verdict ELSE '' END AS explanation, CASE WHEN status = 'present' THEN lag(study_uid) OVER (PARTITION BY claim_id ORDER BY study_key) END AS ref_study FROM claims WHERE value > 50000),
+st AS (SELECT claim_id, study_uid, row_number() OVER (PARTITION BY claim_id ORDER BY study_date, study_key) AS place FROM claims WHERE priority <> 'low'), cl AS (SELECT claim_id, arg_max(verdict, study_key) AS status, max(CASE WHEN priority = 'high' THEN verdict END) AS reason, arg_max(study_uid, value) AS a, arg_max(study_uid, study_key) AS b FROM claims GROUP BY claim_id),
+ev AS (SELECT DISTINCT claim_id, study_uid FROM claims WHERE value > 100000), ct AS (SELECT claim_id, count(*) AS studies FROM st GROUP BY claim_id), cv AS (SELECT pt.claim_id, count(*) AS points, bool_and(st.study_uid IS NOT NULL) AS known FROM pt LEFT JOIN st USING (claim_id, study_uid) GROUP BY pt.claim_id),
+f AS (SELECT cl.*, studies, points, known, x.place AS pa, y.place AS pb, u.study_uid IS NOT NULL AND v.study_uid IS NOT NULL AS seen, status NOT IN ('new', 'increased', 'decreased', 'stable', 'resolved') AS still FROM cl LEFT JOIN ct USING (claim_id) LEFT JOIN cv USING (claim_id) LEFT JOIN st x ON x.claim_id = cl.claim_id AND x.study_uid = a LEFT JOIN st y ON y.claim_id = cl.claim_id AND y.study_uid = b LEFT JOIN ev u ON u.claim_id = cl.claim_id AND u.study_uid = a LEFT JOIN ev v ON v.claim_id = cl.claim_id AND v.study_uid = b)"""
+L11 = {
+    "comparison status missing": "status IN ('new', 'increased', 'decreased', 'stable', 'resolved', 'indeterminate', 'not_comparable')", "comparison rationale missing": "coalesce(reason, '') <> ''", "timeline must cover every supplied study": "known AND points = studies",
+    "change claim needs explicit distinct comparison endpoints": "still OR (pa IS NOT NULL AND pb IS NOT NULL AND a <> b)", "comparison endpoints reversed": "still OR pa IS NULL OR pb IS NULL OR pa < pb", "change claim needs both endpoint studies'' evidence": "still OR seen",
+}
+L11P = {"invalid timepoint": "status IN ('present', 'not_seen', 'not_covered', 'indeterminate')", "timepoint needs professional and plain-language descriptions": "text <> '' AND explanation <> ''", "timepoint source belongs to a different study": "status NOT IN ('present', 'not_seen') OR ref_study IS NULL OR ref_study = study_uid"}
 
 
-@query("l11_validate_comparison", "claims", f"{CMP} " + rules_sql("claim_id", {"endpoints equal": "verdict NOT IN ('increased', 'decreased') OR a <> b", "endpoints reversed": "verdict NOT IN ('increased', 'decreased') OR da <= db", "one study only": "n > 1"}, "f"))
+@query("l11_validate_comparison", "claims", f"{CMP} {rules_sql('claim_id', L11, 'f')} UNION ALL {rules_sql('claim_id || chr(47) || study_uid', L11P, 'pt')}")
 def _(s, d):
-    by = c("study_key")
-    g = X.claims(s, d).groupBy("claim_id").agg(F.min("study_key").alias("a"), F.max("study_key").alias("b"), F.min_by("study_date", by).alias("da"), F.max_by("study_date", by).alias("db"), F.max_by("verdict", by).alias("verdict"), F.count("*").alias("n"))
-    change = c("verdict").isin("increased", "decreased")
-    return L.violations(g, c("claim_id"), {"endpoints equal": ~change | (c("a") != c("b")), "endpoints reversed": ~change | (c("da") <= c("db")), "one study only": c("n") > 1})
+    x = X.claims(s, d).withColumnsRenamed({"claim_id": "claim", "study_uid": "study"})
+    w = Window.partitionBy("claim").orderBy("study_key")
+    points = x.where("value > 50000").select("claim", "study", F.when(c("status") == "resolved", "gone").otherwise(c("status")).alias("status"), c("verdict").alias("text"), F.when(c("unit") == "mm", c("verdict")).otherwise("").alias("explanation"), F.when(c("status") == "present", F.lag("study").over(w)).alias("ref_study"))
+    studies = x.where("priority <> 'low'").select(c("claim").alias("session"), "study", F.row_number().over(Window.partitionBy("claim").orderBy("study_date", "study_key")).alias("place"))
+    claims = x.groupBy("claim").agg(F.max_by("verdict", "study_key").alias("status"), F.max(F.when(c("priority") == "high", c("verdict"))).alias("reason"), F.max_by("study", "value").alias("from_study"), F.max_by("study", "study_key").alias("to_study")).withColumn("session", c("claim"))
+    return L.validate_comparison(claims, studies, points, x.where("value > 100000").select("claim", "study").distinct())
 
 
 COV = f"{PASSES}, sl AS (SELECT study_uid, i.series_uid, purpose, sop_uid, instance_number % 3 <> 0 AS rendered, instance_number % 3 <> 0 AND slice_location > 25 AS reviewed FROM instances i JOIN ps USING (series_uid))"
