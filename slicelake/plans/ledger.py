@@ -42,7 +42,12 @@ def sources_of(s, d):
 
 @query("s07_page_index", "view_events", f"{SRCS} SELECT * FROM ix")
 def _(s, d):
-    return S.page_index(sources_of(s, d).select("page_id", "sop_uid").distinct())
+    from slicelake.scratch import scratch_path
+
+    rows, path = sources_of(s, d).select("page_id", "sop_uid").distinct(), scratch_path(s, "index")
+    S.write_page_index(rows.where("page_id < 'S2'"), path)
+    S.write_page_index(rows, path)
+    return s.read.parquet(path)
 
 
 @query("l03_register_pages", "view_events", f"{SRCS}, o AS (SELECT page_id, sha256(string_agg(sop_uid, '|' ORDER BY sop_uid)) AS hash FROM (SELECT DISTINCT session_id || '/' || reader AS page_id, sop_uid FROM view_events WHERE event_id % 50 <> 0) GROUP BY page_id HAVING length(page_id) % 3 <> 0) SELECT ix.page_id, CASE WHEN o.hash IS NULL THEN 'new' WHEN o.hash <> ix.hash THEN 'changed' ELSE 'known' END AS status FROM ix LEFT JOIN o USING (page_id)")
@@ -333,7 +338,12 @@ def _(s, d):
 
 @query("s06_evidence", "claims", "SELECT study_uid AS evidence_id, sha256('{\"claim_id\":\"' || claim_id || '\",\"unit\":\"' || unit || '\"}') AS hash FROM claims")
 def _(s, d):
-    return S.evidence(X.claims(s, d).select(c("study_uid").alias("evidence_id"), "claim_id", "unit")).select("evidence_id", "hash")
+    from slicelake.scratch import scratch_path
+
+    rows, path = X.claims(s, d).select(c("study_uid").alias("evidence_id"), "claim_id", "unit"), scratch_path(s, "evidence")
+    S.write_evidence_once(rows.where("claim_id < 'C5'"), path)
+    S.write_evidence_once(rows, path)
+    return s.read.parquet(path).select("evidence_id", "hash")
 
 
 @query("s10_json_documents", "claims", "SELECT '{\"claim_id\":\"' || claim_id || '\",\"status\":\"' || status || '\"}' AS document FROM claims")
@@ -351,7 +361,14 @@ def _(s, d):
 
 @query("t02_attest_batch", "view_events", f"SELECT reader, count(*) FILTER (({WHY}) IS NULL) AS accepted, count(*) FILTER (({WHY}) IS NOT NULL) AS rejected FROM view_events GROUP BY reader")
 def _(s, d):
-    return X.view_events(s, d).withColumn("why", T.rejection()).groupBy("reader").agg(F.count_if(c("why").isNull()).alias("accepted"), F.count_if(c("why").isNotNull()).alias("rejected"))
+    from slicelake.scratch import scratch_path
+
+    arrived, yes, no = (scratch_path(s, x) for x in ("arrived", "accepted", "rejected"))
+    events = X.view_events(s, d)
+    events.write.parquet(arrived)
+    T.attest_stream(T.event_stream(s, arrived, events.schema), yes, no, scratch_path(s, "offsets")).awaitTermination()
+    of = lambda path, name: s.read.parquet(path).groupBy("reader").agg(F.count("*").alias(name))
+    return of(yes, "accepted").join(of(no, "rejected"), "reader", "full_outer").fillna(0, ["accepted", "rejected"])
 
 
 @query("t03_dwell_segments", "view_events", "a AS (SELECT *, CASE WHEN coalesce(sop_uid <> lag(sop_uid) OVER w OR NOT lag(focused) OVER w, true) THEN 1 ELSE 0 END AS st FROM view_events WINDOW w AS (PARTITION BY reader ORDER BY ts, event_id)), b AS (SELECT *, sum(st) OVER (PARTITION BY reader ORDER BY ts, event_id) AS segment FROM a) SELECT reader, CAST(segment AS BIGINT) AS segment, min(sop_uid) AS sop_uid, count(*) AS n, round(sum(dwell_ms), 4) AS dwell_ms, min(scale) AS scale, min(ts) AS began FROM b GROUP BY reader, segment")

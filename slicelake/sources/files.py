@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slicelake.scratch import written
+
 c = F.col
 SESSION = "id string, reader string, mode string, studies array<struct<uid: string, date: string, series: array<struct<uid: string, modality: string, disposition: string>>>>, claims array<struct<id: string, text: string, priority: string>>, pages array<struct<path: string, reviewed: boolean, purpose: string>>"
 ATTESTATION = "ts timestamp, reader string, session_id string, series_uid string, sop_uid string, dwell_ms double, scale double, focused boolean, visible boolean, source string, page_path string"
@@ -50,21 +52,34 @@ def evidence(df: DataFrame) -> DataFrame:
     return df.select("evidence_id", F.sha2(body, 256).alias("hash"), body.alias("payload"))
 
 
-def write_evidence_once(df: DataFrame, path: str) -> int:
-    """Appends evidence that isn't there yet and returns how many rows there were; raises if an id is there with another hash. Nothing is overwritten."""
-    spark, new = df.sparkSession, evidence(df)
+def append_once(new: DataFrame, path: str, key: str, what: str) -> int:
+    """Appends rows (key, hash, ...) whose key isn't there yet, equal ones once, and returns how many there were.
+
+    Raises, and writes nothing, if a key stands there, or among the new rows, with another hash. One writer at a time.
+    """
+    spark = new.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        old = spark.read.schema("evidence_id string, hash string, payload string").parquet(path)
-        changed = new.join(old.select("evidence_id", c("hash").alias("was")), "evidence_id").where("hash <> was")
-        if not changed.isEmpty():
-            raise ValueError("evidence exists with other content")
-        new = new.join(old.select("evidence_id"), "evidence_id", "left_anti")
-    new = new.persist()
-    n = new.count()
-    new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    known = new.select(key, "hash")
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    if there:
+        old = spark.read.schema(new.schema).parquet(path)
+        known = known.unionByName(old.select(key, "hash"))
+    if not known.groupBy(key).agg(F.count_distinct("hash").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{what} exists with other content")
+    rows = new.dropDuplicates([key])
+    rows = written(rows.join(old.select(key), key, "left_anti") if there else rows, "once")
+    rows.write.mode("append").parquet(path)
+    return rows.count()
+
+
+def write_evidence_once(df: DataFrame, path: str) -> int:
+    """Appends evidence that isn't there yet and returns how many rows there were; raises if an id has two contents. Nothing is overwritten."""
+    return append_once(evidence(df), path, "evidence_id", "evidence")
+
+
+def write_page_index(sources: DataFrame, path: str) -> int:
+    """Appends the index of pages (page_id, sop_uid) that isn't there yet; raises if a page stands there with other sources: a changed page needs a new name."""
+    return append_once(page_index(sources), path, "page_id", "page")
 
 
 def page_index(sources: DataFrame) -> DataFrame:

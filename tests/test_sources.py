@@ -14,6 +14,27 @@ def test_evidence_is_written_once(spark, tmp_path):
     with pytest.raises(ValueError, match="other content"):
         S.write_evidence_once(rows.selectExpr("evidence_id", "value + 1 as value"), path)
     assert spark.read.parquet(path).count() == 2
+    twice = spark.createDataFrame([("c", 1.0), ("c", 1.0)], "evidence_id string, value double")
+    assert S.write_evidence_once(twice, path) == 1
+    with pytest.raises(ValueError, match="other content"):
+        S.write_evidence_once(spark.createDataFrame([("d", 1.0), ("d", 2.0)], "evidence_id string, value double"), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_changed_page_needs_a_new_name(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    pages = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "1")], "page_id string, sop_uid string")
+    assert (S.write_page_index(pages, path), S.write_page_index(pages, path)) == (2, 0)
+    with pytest.raises(ValueError, match="page exists"):
+        S.write_page_index(pages.where("sop_uid = '1'"), path)
+
+
+def test_seals(spark):
+    from slicelake.operators.ledger import verify_locks
+
+    sealed = spark.createDataFrame([("a", "h", 1), ("b", "h", 1), ("c", "h", 1)], "review string, hash string, size int")
+    now = spark.createDataFrame([("a", "h", 1), ("b", "x", 1)], "review string, hash string, size int")
+    assert {tuple(r) for r in verify_locks(sealed, now).collect()} == {("a", "ok"), ("b", "changed"), ("c", "missing")}
 
 
 def test_sessions_and_manifest(spark, tmp_path):
