@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from slicelake.llm import bpe, quality, sampling, simhash, suffixes, token_files
-from slicelake.llm.language import languages, word_pattern
+from slicelake.llm.language import RUN, Model, languages, letters
 from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
 from slicelake.llm.quality import isotonic, quality_scores
 from slicelake.llm.search import top_k
@@ -335,7 +335,11 @@ def test_language_against_plain_counters(spark, words, grams):
 
 @pytest.mark.parametrize("text", ["½", "²", "①", "Ⅷ", "123", "_", "٣", " . "])
 def test_numbers_are_no_letters(text):
-    assert word_pattern().findall(text) == [] and word_pattern().findall(f"a{text}é") == ["a", "é"]
+    words = lambda t: [w for run in RUN.findall(t) for w in letters(run)]
+    assert words(text) == [] and words(f"a{text}é") == ["a", "é"]
+    model = Model(["x", "y"], {"a": [-1.0, -2.0], "é": [-3.0, -1.0]}, [{}] * 5)
+    assert model.predict(text) == ("und", 0.0)
+    assert model.predict(f"a{text}é") == model.predict("a é")
 
 
 def test_every_language_is_learned(spark):

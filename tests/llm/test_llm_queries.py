@@ -87,3 +87,30 @@ def test_near_dedup_finds_pairs_of_similarity_four_fifths(spark):
     found = [i + 1 not in kept for i, x in like.items() if x >= 0.8]
     assert len(found) > 40 and sum(found) >= 0.95 * len(found)
     assert all(i in kept for i in like) and all(i + 1 in kept for i, x in like.items() if x < 0.55)
+
+
+def test_stages_on_rows_without_ids_repeated_rows_and_nothing(spark, hard, empty):
+    from collections import Counter
+
+    of = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = of(hard)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, hard, SF)
+        assert stage(spark, empty, SF).count() == 0
+        if name == "byte-level BPE encoding and decoding":
+            assert Counter((r.doc_id, r.decoded_sha256) for r in got.collect()) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in hard.collect())
+            continue
+        rows = of(got)
+        assert got.columns == corpus_pipeline.COLUMNS
+        if name == "quality classifier":  # equal rows alike
+            assert all(n == every[x] for x, n in rows.items()) and rows
+        elif name == "SimHash near-dedup":
+            assert set(rows.values()) == {1} and {x for x in every if x[0] is None} <= set(rows)
+            texts = [t for _, t in rows if t and len(t) > 100]
+            assert (0, next(t for i, t in every if i == 0)) in rows and not any(i in (30, 31) for i, _ in rows) and len(texts) > 20
+            assert sum(i == 1 for i, _ in rows) == 2  # two texts of one id
+        elif name == "suffix-array dedup":
+            assert Counter(i for i, _ in rows.elements()) == Counter(r.doc_id for r in hard.collect())
+            assert {x for x in rows if x[0] is None} == {(None, t or "") for i, t in every if i is None}
+        else:
+            assert set(rows) <= set(every) and all(n <= 2 * every[x] for x, n in rows.items())
