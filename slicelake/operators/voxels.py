@@ -161,11 +161,13 @@ def lung_mask(voxels: DataFrame, rows: int, cols: int, thr: float = -320, keep:
 
 
 def feret(mask: DataFrame, row_sp: float, col_sp: float) -> DataFrame:
-    """Longest distance between boundary pixels of each (series, k), and the extent across it; both with half a pixel more at each end.
+    """Longest distance between pixels of each (series, k), and the extent across it; both with half a pixel more at each end.
 
-    All boundary pairs of one region are compared, none is sampled.
+    Both are between corners of the convex hull, and those are first or last in their rows; pairs of these are
+    compared, as many as the square of a region's rows, not of its boundary.
     """
-    edge = boundary(mask, 4).select("series", "k", (c("r") * row_sp).alias("y"), (c("c") * col_sp).alias("x"))
+    ends = mask.groupBy("series", "k", "r").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    edge = ends.select("series", "k", (c("r") * row_sp).alias("y"), F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).withColumn("x", c("x") * col_sp)
     a, b = edge.select("series", "k", c("y").alias("y1"), c("x").alias("x1")), edge.select("series", "k", c("y").alias("y2"), c("x").alias("x2"))
     pairs = a.join(b, ["series", "k"]).where("(y1, x1) <= (y2, x2)")
     longest = pairs.groupBy("series", "k").agg(F.max_by(F.struct("y1", "x1", "y2", "x2"), F.struct(F.round(F.hypot(c("y1") - c("y2"), c("x1") - c("x2")), 9), -c("y1"), -c("x1"), -c("y2"), -c("x2"))).alias("p"))

@@ -72,7 +72,7 @@ def _(s, d):
 
 PICK = "max(CASE WHEN {} THEN text END)"
 #: A session's fields are what its turns say; its language is that of the document of its number, its pages those of its number.
-SESS = f"""cv AS (SELECT conv_id, {PICK.format("role = 'user'")} AS reader, {PICK.format("role = 'system'")} AS disclosure, {PICK.format("turn = 1")} AS limits, {PICK.format("turn = 2 AND role = 'user'")} AS patient_context, {PICK.format("turn = 3")} AS patient_limits, max(turn) >= 3 AS complete, CASE max(turn) WHEN 1 THEN 'blinded' WHEN 3 THEN 'partial' WHEN 5 THEN 'unknown' ELSE 'not_claimed' END AS blind,
+SESS = f"""cv AS (SELECT conv_id, {PICK.format("role = 'user'")} AS reader, {PICK.format("role = 'system'")} AS disclosure, {PICK.format("turn = 1")} AS limits, {PICK.format('turn = 2')} AS patient_context, {PICK.format("turn = 3")} AS patient_limits, max(turn) >= 3 AS complete, CASE max(turn) WHEN 1 THEN 'blinded' WHEN 3 THEN 'partial' WHEN 5 THEN 'unknown' ELSE 'not_claimed' END AS blind,
 CASE WHEN count(*) > 4 THEN 'comparison' ELSE 'single' END AS mode, CASE WHEN max(turn) > 5 THEN 'limited' END AS compared, {PICK.format("turn = 6")} AS compared_reason, {PICK.format("turn = 7")} AS compared_text FROM conversations GROUP BY conv_id),
 ss AS (SELECT cv.*, lang AS language, coalesce(n, 0) AS pages FROM cv LEFT JOIN documents ON doc_id = conv_id LEFT JOIN (SELECT page_id + 5 AS page_of, count(*) AS n FROM pages GROUP BY ALL) ON page_of = conv_id)"""
 
@@ -80,7 +80,7 @@ ss AS (SELECT cv.*, lang AS language, coalesce(n, 0) AS pages FROM cv LEFT JOIN
 def session_rows(s, d):
     pick = lambda f: F.max(F.when(F.expr(f), c("text")))
     rows = X.load(s, d, "conversations").groupBy(c("conv_id").alias("session")).agg(
-        pick("role = 'user'").alias("reader"), pick("role = 'system'").alias("disclosure"), pick("turn = 1").alias("limits"), pick("turn = 2 and role = 'user'").alias("patient_context"), pick("turn = 3").alias("patient_limits"), (F.max("turn") >= 3).alias("complete"),
+        pick("role = 'user'").alias("reader"), pick("role = 'system'").alias("disclosure"), pick("turn = 1").alias("limits"), pick("turn = 2").alias("patient_context"), pick("turn = 3").alias("patient_limits"), (F.max("turn") >= 3).alias("complete"),
         F.when(F.max("turn") == 1, "blinded").when(F.max("turn") == 3, "partial").when(F.max("turn") == 5, "unknown").otherwise("not_claimed").alias("blind"), F.when(F.count("*") > 4, "comparison").otherwise("single").alias("mode"), F.when(F.max("turn") > 5, "limited").alias("compared"),
         pick("turn = 6").alias("compared_reason"), pick("turn = 7").alias("compared_text"),
     )
