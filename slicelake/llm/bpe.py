@@ -31,6 +31,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\\[-`{{-~{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A chunk is closed at so many characters.
 CHUNK = 8 << 20
+#: Bytes of text for each part of the table of words. A chunk sends a row to each part that it has words of.
+PART = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,8 +107,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then: Callabl
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(tuple(ranks.items()))
-    n = parts(spark, text_bytes(texts(docs)), CHUNK)
-    dealt = chunks(docs).repartition(n, "chunk")
+    total = text_bytes(texts(docs))
+    n = parts(spark, total, PART)
+    dealt = chunks(docs).repartition(parts(spark, total, CHUNK), "chunk")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         packed = pdf["words"].dropna()
