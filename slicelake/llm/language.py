@@ -8,10 +8,8 @@ without any known n-gram scores nothing.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +29,18 @@ MEMORY, MEMORY_BYTES = 300_000, 64 << 20
 HELD = 200_000
 
 
-@cache
-def word_pattern() -> re.Pattern:
-    """Runs of letters: what is alphanumeric, but no decimal, and none of the other numbers (as ½, ², Ⅷ)."""
-    others = "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(others)}]+")
+#: Runs of what is alphanumeric, but no decimal: letters, and here and there another number, as ½, ², Ⅷ.
+RUN = re.compile(r"[^\W\d_]+")
+
+
+def letters(run: str) -> list[str]:
+    """The runs of letters within a run."""
+    return [run] if run.isalpha() else "".join(x if x.isalpha() else " " for x in run).split()
 
 
 def _batch(counts: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
     """(lang, size, key, n): size 0 for words, else the letters of an n-gram."""
-    rows = [(lang, size, key, n) for (lang, size), c in counts.items() for key, n in c.items()]
+    rows = [(lang, size, x, n) for (lang, size), c in counts.items() for key, n in c.items() for x in (letters(key) if size == 0 else (key,))]
     columns = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "size", "key", "n"])
 
@@ -56,10 +56,10 @@ def _words(train: DataFrame) -> DataFrame:
     """Counts of lower-cased words, summed a task at a time and then over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, find = {}, word_pattern().findall
+        counts: dict[tuple[str, int], Counter] = {}
         for b in small(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts.setdefault((lang, 0), Counter()).update(find(text.lower()))
+                counts.setdefault((lang, 0), Counter()).update(RUN.findall(text.lower()))
             if sum(map(len, counts.values())) > HELD:
                 yield _batch(counts)
                 counts = {}
@@ -94,8 +94,13 @@ class Model:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((min(MEMORY, MEMORY_BYTES // 8 // max(len(langs), 1)), max(len(langs), 1)))
 
-    def of(self, word: str) -> list[float]:
-        """Log scores of a word in each language."""
+    def of(self, run: str) -> list[float]:
+        """Log scores of a run in each language: those of its words."""
+        if run.isalpha():
+            return self.of_word(run)
+        return [sum(x) for x in zip([0.0] * len(self.langs), *map(self.of_word, letters(run)), strict=True)]
+
+    def of_word(self, word: str) -> list[float]:
         known = self.words.get(word)
         if known is not None:
             return known
@@ -111,8 +116,8 @@ class Model:
         return list(map(sum, zip(*found, strict=True))) if found else [0.0] * len(self.langs)
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = word_pattern().findall(text.lower())
-        if not words or not self.langs:
+        words = RUN.findall(text.lower())
+        if not self.langs or not any(map(letters, words)):
             return "und", 0.0
         total, step = np.zeros(len(self.langs)), min(10_000, len(self.rows))
         for i in range(0, len(words), step):
