@@ -43,6 +43,41 @@ def threshold(voxels: DataFrame, lo: float, hi: float | None = None, strict: boo
     return voxels.where((c("v") > lo) & (c("v") < hi)) if strict else voxels.where(c("v") >= lo)
 
 
+def crop(voxels: DataFrame, row: int, col: int, half: int, rows: int, cols: int) -> DataFrame:
+    """Voxels of the square about a place, cut at the image's borders."""
+    inside = lambda x, at, n: (c(x) >= max(0, at - half)) & (c(x) < min(n, at + half))
+    return voxels.where(inside("r", row, rows) & inside("c", col, cols))
+
+
+def context_slices(slices: DataFrame, reach: int, step: int, ends: DataFrame) -> DataFrame:
+    """(series, k, place) of the slices about each (series, k), ``step`` apart and ``reach`` away at most, that the series (series, lo, hi) has."""
+    places = F.explode(F.sequence(c("k") - reach, c("k") + reach, F.lit(step)))
+    return slices.select("series", "k", places.alias("place")).join(ends, "series").where("place between lo and hi").select("series", "k", "place")
+
+
+def series_ends(voxels: DataFrame) -> DataFrame:
+    return voxels.groupBy("series").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+
+
+def box_voxels(boxes: DataFrame, voxels: DataFrame, block: int = 16) -> DataFrame:
+    """(box, series, k, r, c, v) within each box (box, series, r0, r1, c0, c1; ends left out); they meet by series and coarse blocks of rows."""
+    asked = boxes.withColumn("br", F.explode(F.sequence(F.floor(c("r0") / block), F.floor((c("r1") - 1) / block))))
+    near = voxels.withColumn("br", F.floor(c("r") / block)).join(asked, ["series", "br"])
+    return near.where("r >= r0 and r < r1 and c >= c0 and c < c1").select("box", *KEY, "v")
+
+
+def percentile_window(voxels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """(series, lo, hi): exact percentiles of each series' values."""
+    return voxels.groupBy("series").agg(*[F.percentile("v", F.lit(x)).alias(n) for n, x in (("lo", low), ("hi", high))])
+
+
+def value_range(voxels: DataFrame) -> DataFrame:
+    """Least and greatest value of each series, whether all are finite, and whether 16-bit integers hold them without loss."""
+    finite = F.bool_and(~F.isnan("v") & (F.abs("v") != float("inf")))
+    whole = F.bool_and(c("v") == F.floor("v")) & (F.min("v") >= -32768) & (F.max("v") <= 32767)
+    return voxels.groupBy("series").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), finite.alias("finite"), whole.alias("lossless_int16"))
+
+
 def neighbour_pairs(mask: DataFrame, conn: int, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Adjacent voxels, each pair once: (*by, a, b) as voxel numbers with a < b. Voxels that differ in ``by`` are never adjacent."""
     half = [o for o in offsets(conn) if o > (0, 0, 0)]
@@ -352,6 +387,30 @@ def robust_band(balls: DataFrame) -> DataFrame:
     return rows.select("point", "median", spread.alias("spread"), (c("median") - 2.5 * spread).alias("lo"), (c("median") + 2.5 * spread).alias("hi"))
 
 
+def region_3d(grown: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
+    """A row for each seed's region (seed, k, ...): size, volume, extent, and the slice with most of it, the first of equal ones."""
+    each = grown.groupBy("seed", "k").agg(F.count("*").alias("n"))
+    return each.groupBy("seed").agg(
+        F.sum("n").alias("voxels"), (F.sum("n") * voxel_ml).alias("ml"), F.min("k").alias("k0"), F.max("k").alias("k1"), ((F.max("k") - F.min("k")) * dz + dz).alias("craniocaudal_mm"), F.min_by("k", F.struct(-c("n"), "k")).alias("largest_k")
+    )
+
+
+def region_2d(grown: DataFrame, pixel_mm2: float, rows: int, cols: int) -> DataFrame:
+    """A row for each slice of each seed's region: area, equivalent diameter, box, values, and whether it touches the image's border."""
+    n = F.count("*")
+    edge = (F.min("r") == 0) | (F.min("c") == 0) | (F.max("r") == rows - 1) | (F.max("c") == cols - 1)
+    return grown.groupBy("seed", "k").agg(
+        n.alias("px"), (n * pixel_mm2).alias("area_mm2"), (2 * F.sqrt(n * pixel_mm2 / F.pi())).alias("equivalent_mm"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"),
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"), edge.alias("at_edge"),
+    )
+
+
+def top_hotspots(summary: DataFrame, n: int) -> DataFrame:
+    """The n hottest components that begin in each slice of a series, with their place."""
+    w = Window.partitionBy("series", "k0").orderBy(c("most").desc(), "pk", "pr", "pc")
+    return summary.withColumn("place", F.row_number().over(w)).where(c("place") <= n)
+
+
 def component_summary(parts: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
     """A row for each component: size, volume, values, extent, and the first of its largest voxels."""
     return parts.groupBy("series", "component").agg(

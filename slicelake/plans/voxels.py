@@ -38,8 +38,7 @@ def _(s, d):
 
 @query("p05_crop", "voxels", f"SELECT {K}, v FROM voxels WHERE r >= greatest(0, 20 - 16) AND r < least(64, 20 + 16) AND c >= greatest(0, 60 - 16) AND c < least(64, 60 + 16)")
 def _(s, d):
-    lo, hi = (lambda x: F.greatest(F.lit(0), F.lit(x - 16))), (lambda x: F.least(F.lit(64), F.lit(x + 16)))
-    return X.grid_voxels(s, d).where((c("r") >= lo(20)) & (c("r") < hi(20)) & (c("c") >= lo(60)) & (c("c") < hi(60)))
+    return V.crop(X.grid_voxels(s, d), 20, 60, 16, 64, 64)
 
 
 @query("p08_tile_positions", "", "b AS (SELECT p_partkey, p_size AS lo, p_size * 3 AS hi FROM part), i AS (SELECT *, unnest(generate_series(0, 5)) AS i FROM b) SELECT p_partkey, CAST(i AS INT) AS i, CAST(trunc(round(lo + (hi - lo) * 0.06::DOUBLE + ((hi - lo) * 0.88::DOUBLE) * i / 5, 9)) AS INT) AS at FROM i")
@@ -51,8 +50,7 @@ def _(s, d):
 @query("p10_context_slices", "voxels", "n AS (SELECT series, max(k) AS hi, min(k) AS lo FROM voxels GROUP BY series), q AS (SELECT DISTINCT series, k FROM voxels WHERE r = 3), i AS (SELECT series, k, k + unnest(list_value(-4, -2, 0, 2, 4)) AS place FROM q) SELECT i.series, i.k, CAST(place AS INT) AS place FROM i JOIN n USING (series) WHERE place BETWEEN lo AND hi")
 def _(s, d):
     x = X.grid_voxels(s, d)
-    ends = x.groupBy("series").agg(F.max("k").alias("hi"), F.min("k").alias("lo"))
-    return x.where("r = 3").select("series", "k").distinct().withColumn("place", F.explode(F.sequence(c("k") - 4, c("k") + 4, F.lit(2)))).join(ends, "series").where("place between lo and hi").select("series", "k", "place")
+    return V.context_slices(x.where("r = 3").select("series", "k").distinct(), 4, 2, V.series_ends(x))
 
 
 @query("p11_tiled_regions", "", "s AS (SELECT p_partkey, 32 + p_size * 4 AS side FROM part), o AS (SELECT p_partkey, side, list_distinct(list_concat(range(0, side - 32 + 1, 24), list_value(side - 32))) AS o FROM s) SELECT p_partkey, CAST(a AS INT) AS r0, CAST(b AS INT) AS c0 FROM (SELECT p_partkey, a, unnest(o) AS b FROM (SELECT p_partkey, o, unnest(o) AS a FROM o))")
@@ -102,8 +100,7 @@ BOXES = "boxes AS (SELECT p_partkey AS box, p_partkey % 8 AS series, p_size AS r
 
 def boxed(s, d):
     b = X.load(s, d, "part").select(c("p_partkey").alias("box"), (c("p_partkey") % 8).cast("int").alias("series"), c("p_size").alias("r0"), (c("p_size") + 10).alias("r1"), (c("p_partkey") % 40).alias("c0"), (c("p_partkey") % 40 + 12).alias("c1"))
-    b = b.withColumn("br", F.explode(F.sequence(F.floor(c("r0") / 16), F.floor((c("r1") - 1) / 16))))
-    return X.grid_voxels(s, d).withColumn("br", F.floor(c("r") / 16)).join(b, ["series", "br"]).where("r >= r0 and r < r1 and c >= c0 and c < c1").select("box", *V.KEY, "v")
+    return V.box_voxels(b, X.grid_voxels(s, d))
 
 
 @query("j06_box_voxels", "voxels", f"{BOXES} SELECT box, {K}, v FROM bv")
@@ -140,9 +137,7 @@ def _(s, d):
 
 @query("o02_top_hotspots", "vvoxels", f"{HOT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k0 ORDER BY most DESC, pk, pr, pc) AS INT) AS place FROM h) SELECT component, k0, most, place FROM r WHERE place <= 3")
 def _(s, d):
-    from pyspark.sql import Window
-
-    return hotspots(s, d).withColumn("place", F.row_number().over(Window.partitionBy("k0").orderBy(c("most").desc(), "pk", "pr", "pc"))).where("place <= 3").select("component", "k0", "most", "place")
+    return V.top_hotspots(hotspots(s, d), 3).select("component", "k0", "most", "place")
 
 
 GROW = f"""seeds AS (SELECT {NUM} AS seed, series, k AS sk, r AS sr, c AS sc FROM vvoxels WHERE v >= 330),
@@ -167,16 +162,12 @@ def _(s, d):
 
 @query("a09_region_3d", "vvoxels", f"{GROW}, p AS (SELECT seed, k, count(*) AS n FROM g GROUP BY ALL) SELECT seed, CAST(sum(n) AS BIGINT) AS voxels, round(sum(n) * 0.002, 6)::DOUBLE AS ml, min(k) AS k0, max(k) AS k1, (max(k) - min(k)) * 2.0::DOUBLE + 2.0::DOUBLE AS craniocaudal_mm, arg_min(k, (-n, k)) AS largest_k FROM p GROUP BY seed")
 def _(s, d):
-    p = grown(s, d).groupBy("seed", "k").agg(F.count("*").alias("n"))
-    return p.groupBy("seed").agg(F.sum("n").alias("voxels"), F.round(F.sum("n") * 0.002, 6).alias("ml"), F.min("k").alias("k0"), F.max("k").alias("k1"), ((F.max("k") - F.min("k")) * 2.0 + 2.0).alias("craniocaudal_mm"), F.min_by("k", F.struct(-c("n"), "k")).alias("largest_k"))
+    return V.region_3d(grown(s, d), 0.002, 2.0).withColumn("ml", F.round("ml", 6))
 
 
 @query("a08_region_2d", "vvoxels", f"{GROW} SELECT seed, k, count(*) AS px, count(*) * 1.0::DOUBLE AS area_mm2, round(2 * sqrt(count(*) / 3.141592653589793::DOUBLE), 6) AS equivalent_mm, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, min(v) AS least, max(v) AS most, min(r) = 0 OR min(c) = 0 OR max(r) = 49 OR max(c) = 63 AS at_edge FROM g GROUP BY seed, k")
 def _(s, d):
-    return grown(s, d).groupBy("seed", "k").agg(
-        F.count("*").alias("px"), (F.count("*") * 1.0).alias("area_mm2"), F.round(2 * F.sqrt(F.count("*") / F.lit(3.141592653589793)), 6).alias("equivalent_mm"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"),
-        ((F.min("r") == 0) | (F.min("c") == 0) | (F.max("r") == 49) | (F.max("c") == 63)).alias("at_edge"),
-    )
+    return V.region_2d(grown(s, d), 1.0, 50, 64).withColumns({x: F.round(x, 6) for x in ("equivalent_mm", "mean", "sd")})
 
 
 MASK = "m AS (SELECT series, k, r, c FROM voxels WHERE v > 0)"
@@ -308,7 +299,7 @@ def _(s, d):
 
 @query("a11_percentile_window", "voxels", "SELECT series, round(quantile_cont(v, 0.005), 6) AS lo, round(quantile_cont(v, 0.995), 6) AS hi FROM voxels GROUP BY series")
 def _(s, d):
-    return X.grid_voxels(s, d).groupBy("series").agg(F.round(F.expr("percentile(v, 0.005D)"), 6).alias("lo"), F.round(F.expr("percentile(v, 0.995D)"), 6).alias("hi"))
+    return V.percentile_window(X.grid_voxels(s, d)).withColumns({x: F.round(x, 6) for x in ("lo", "hi")})
 
 
 @query("a12_suggested_windows", "voxels", """n AS (SELECT series, count(DISTINCT k) AS n FROM voxels GROUP BY series), p AS (SELECT v.series, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM voxels v JOIN n USING (series) WHERE k % greatest(1, n // 8) = 0 GROUP BY v.series)
@@ -359,7 +350,7 @@ def _(s, d):
 
 @query("a22_value_range", "voxels", "SELECT series, min(v) AS lo, max(v) AS hi, bool_and(isfinite(v)) AS finite, bool_and(v = floor(v)) AND min(v) >= -32768 AND max(v) <= 32767 AS lossless_int16 FROM voxels GROUP BY series")
 def _(s, d):
-    return X.grid_voxels(s, d).groupBy("series").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_and(~F.isnan("v") & (F.abs("v") != float("inf"))).alias("finite"), (F.bool_and(c("v") == F.floor("v")) & (F.min("v") >= -32768) & (F.max("v") <= 32767)).alias("lossless_int16"))
+    return V.value_range(X.grid_voxels(s, d))
 
 
 @query("a26_lesion_summary", "vvoxels", f"""{GROW}, a AS (SELECT seed, count(*) AS voxels, avg(k) AS ck, avg(r) AS cr, avg(c) AS cc, quantile_cont(v, 0.02) AS heat_lo, quantile_cont(v, 0.98) AS heat_hi, min(k) AS k0, max(k) AS k1, left(sha256(string_agg(k || '.' || r || '.' || c, ';' ORDER BY k, r, c)), 16) AS id FROM g GROUP BY seed),
