@@ -38,6 +38,34 @@ def nearest_slice(requests: DataFrame, slices: DataFrame, key: str = "series_uid
     return rows.select("request", key, "at", k.alias("k"))
 
 
+def attach_series(refs: DataFrame, series: DataFrame) -> DataFrame:
+    """References with their series' study and modality."""
+    return refs.join(series, "series_uid").select("sop_uid", "study_uid", "modality")
+
+
+def slice_by_instance(slices: DataFrame, wanted: list[int]) -> DataFrame:
+    """(series_uid, wanted, k, status) for each series and wanted instance number: the first slice of that number."""
+    asked = slices.select("series_uid").distinct().withColumn("wanted", F.explode(F.array(*map(F.lit, wanted))))
+    found = slices.groupBy("series_uid", c("instance_number").alias("wanted")).agg(F.min("k").alias("k"))
+    return asked.join(found, ["series_uid", "wanted"], "left").withColumn("status", F.when(c("k").isNull(), "missing").otherwise("ok"))
+
+
+def locate_point(nearest: DataFrame, points: DataFrame) -> DataFrame:
+    """(request, k, row_at, col_at) of points (request, ipp_x, ipp_y, row_sp, col_sp) on their nearest slices."""
+    return nearest.select("request", "k").join(points, "request").select("request", "k", F.bround(c("ipp_y") / c("row_sp")).cast("int").alias("row_at"), F.bround(c("ipp_x") / c("col_sp")).cast("int").alias("col_at"))
+
+
+def fusion_positions(pairs: DataFrame, slices: DataFrame, step: float = 1.0) -> DataFrame:
+    """(a_uid, b_uid, z, ka, kb): places ``step`` apart from the top of what two series share, and the slice of each that is nearest."""
+    places = F.transform(F.sequence(F.lit(0), F.floor((c("hi") - c("lo")) / step).cast("int")), lambda i: c("hi") - i * step)
+    rows = pairs.withColumn("z", F.explode(places)).select("a_uid", "b_uid", "z")
+    for key, name in (("a_uid", "ka"), ("b_uid", "kb")):
+        asked = rows.select(c("z").alias("request"), key, c("z").alias("at"))
+        near = nearest_slice(asked, slices.select(c("series_uid").alias(key), "k", "z", F.lit(0.0).alias("dz")), key)
+        rows = rows.join(near.select(key, c("at").alias("z"), c("k").alias(name)), [key, "z"])
+    return rows.select("a_uid", "b_uid", "z", "ka", "kb")
+
+
 def pair_modalities(series: DataFrame, a: str = "PT", b: str = "CT") -> DataFrame:
     """Series of two modalities with the same study and the same non-empty frame, whose z ranges overlap."""
     x = series.where((c("modality") == a) & (c("frame_uid") != "")).select("study_uid", "frame_uid", c("series_uid").alias("a_uid"), c("z_min").alias("a_lo"), c("z_max").alias("a_hi"))

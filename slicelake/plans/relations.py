@@ -23,7 +23,7 @@ def refs_of(i):
 @query("j01_attach_series", "instances", f"{BAD}, {SER} SELECT rf.sop_uid, study_uid, modality FROM rf JOIN ser USING (series_uid)")
 def _(s, d):
     i = X.instances(s, d)
-    return refs_of(i).join(series_of(i), "series_uid").select("sop_uid", "study_uid", "modality")
+    return R.attach_series(refs_of(i), series_of(i))
 
 
 @query("j02_dangling_refs", "instances", f"{BAD} SELECT series_uid, sop_uid FROM rf ANTI JOIN instances USING (series_uid, sop_uid)")
@@ -53,7 +53,7 @@ NEAR = f"{SPC}, e AS (SELECT series_uid, min(z) AS lo, max(z) AS hi FROM so GROU
 
 def nearest(s, d):
     i = X.instances(s, d)
-    slices = I.slice_order(i).select("series_uid", "k", "z").join(I.slice_spacing(i).select("series_uid", "dz"), "series_uid")
+    slices = I.with_spacing(i).select("series_uid", "k", "z", "dz")
     return R.nearest_slice(i.select(c("sop_uid").alias("request"), "series_uid", (c("slice_location") / 6).alias("at")), slices)
 
 
@@ -65,15 +65,12 @@ def _(s, d):
 @query("j15_locate_point", "instances", f"{NEAR} SELECT request, k, CAST(round_even(ipp_y / row_sp, 0) AS INT) AS row_at, CAST(round_even(ipp_x / col_sp, 0) AS INT) AS col_at FROM n JOIN instances ON request = sop_uid")
 def _(s, d):
     i = X.instances(s, d).withColumnRenamed("sop_uid", "request")
-    return nearest(s, d).select("request", "k").join(i, "request").select("request", "k", F.bround(c("ipp_y") / c("row_sp")).cast("int").alias("row_at"), F.bround(c("ipp_x") / c("col_sp")).cast("int").alias("col_at"))
+    return R.locate_point(nearest(s, d), i)
 
 
 @query("j21_slice_by_instance", "instances", f"{ORD}, q AS (SELECT DISTINCT series_uid, unnest(list_value(1, 3, 9)) AS wanted FROM instances), m AS (SELECT q.series_uid, wanted, min(k) AS k FROM q LEFT JOIN so ON q.series_uid = so.series_uid AND instance_number = wanted GROUP BY ALL) SELECT series_uid, wanted, k, CASE WHEN k IS NULL THEN 'missing' ELSE 'ok' END AS status FROM m")
 def _(s, d):
-    i = I.slice_order(X.instances(s, d))
-    q = i.select("series_uid").distinct().withColumn("wanted", F.explode(F.expr("array(1, 3, 9)")))
-    m = q.join(i.select("series_uid", c("instance_number").alias("wanted"), "k"), ["series_uid", "wanted"], "left").groupBy("series_uid", "wanted").agg(F.min("k").alias("k"))
-    return m.withColumn("status", F.when(c("k").isNull(), "missing").otherwise("ok"))
+    return R.slice_by_instance(I.slice_order(X.instances(s, d)), [1, 3, 9])
 
 
 ZS = f"{SER}, zs AS (SELECT series_uid, min(z) AS z_min, max(z) AS z_max FROM instances GROUP BY series_uid), sz AS (SELECT * FROM ser JOIN zs USING (series_uid))"
@@ -94,12 +91,7 @@ def _(s, d):
 
 @query("p12_fusion_positions", "instances", f"{PAIRS}, g AS (SELECT a_uid, b_uid, hi - unnest(generate_series(0, CAST(floor(hi - lo) AS INT))) AS z FROM pm), {ORD} SELECT a_uid, b_uid, z, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = a_uid) AS ka, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = b_uid) AS kb FROM g")
 def _(s, d):
-    g = R.pair_modalities(ranged(s, d)).withColumn("z", F.explode(F.transform(F.sequence(F.lit(0), F.floor(c("hi") - c("lo")).cast("int")), lambda i: c("hi") - i))).select("a_uid", "b_uid", "z")
-    slices = I.slice_order(X.instances(s, d)).select("series_uid", "k", c("z").alias("sz"))
-    for key, name in (("a_uid", "ka"), ("b_uid", "kb")):
-        best = g.select(key, "z").distinct().join(slices.withColumnRenamed("series_uid", key), key).groupBy(key, "z").agg(F.min_by("k", F.struct(F.abs(c("sz") - c("z")), "k")).alias(name))
-        g = g.join(best, [key, "z"])
-    return g.select("a_uid", "b_uid", "z", "ka", "kb")
+    return R.fusion_positions(R.pair_modalities(ranged(s, d)), I.slice_order(X.instances(s, d)))
 
 
 @query("j10_pair_sequences", "instances", f"{FIRST}, m AS (SELECT * FROM first_row WHERE modality = 'MR' AND iop IS NOT NULL) SELECT a.series_uid AS pre, b.series_uid AS post FROM m a JOIN m b ON a.patient_id = b.patient_id AND a.n_rows = b.n_rows AND a.n_cols = b.n_cols WHERE (a.study_date, a.series_uid) < (b.study_date, b.series_uid) AND abs(a.row_sp - b.row_sp) <= 1e-4 AND len(list_filter(list_zip(a.iop, b.iop), lambda t : abs(t[1] - t[2]) > 1e-4)) = 0")
