@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicelake.llm import bpe, mixing, search, spans, suffixes
+from slicelake.llm import bpe, mixing, search, spans, suffixes, urls
 from slicelake.llm.common import table
 from slicelake.llm.language import languages
 from slicelake.llm.mixing import domain_of_source, mix, target_weights
@@ -18,6 +18,7 @@ from slicelake.llm.search import top_k
 from slicelake.llm.simhash import simhash_groups
 from slicelake.llm.spans import sentence_spans
 from slicelake.llm.token_files import op10_rows
+from slicelake.llm.urls import PATTERNS, RULES, filter_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +81,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op10_rows(table(spark, sf_dir, "documents"), f.read())
 
 
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES, PATTERNS))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -90,3 +96,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_sentence_span_dedup"] = spans.SQL
 ORACLES["op6_source_mixing"] = mixing.SQL
 ORACLES["op9_exact_top_k"] = search.SQL
+ORACLES["op13_url_filters"] = urls.SQL
