@@ -19,6 +19,7 @@ from slicelake.llm.simhash import simhash_groups
 from slicelake.llm.spans import sentence_spans
 from slicelake.llm.token_files import op10_rows
 from slicelake.llm.urls import PATTERNS, RULES, filter_urls, rule_table
+from slicelake.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op10_rows(table(spark, sf_dir, "documents"), f.read())
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES, PATTERNS))
