@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicelake.llm import bpe, mixing, search, spans, suffixes, urls
+from slicelake.llm import bpe, mixing, negatives, search, spans, suffixes, urls
 from slicelake.llm.common import table
 from slicelake.llm.language import languages
 from slicelake.llm.mixing import domain_of_source, mix, target_weights
+from slicelake.llm.negatives import hard_negatives
 from slicelake.llm.quality import quality_scores
 from slicelake.llm.sampling import edited_fingerprints
 from slicelake.llm.search import top_k
@@ -82,6 +83,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op10_rows(table(spark, sf_dir, "documents"), f.read())
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
@@ -103,3 +109,4 @@ ORACLES["op2_sentence_span_dedup"] = spans.SQL
 ORACLES["op6_source_mixing"] = mixing.SQL
 ORACLES["op9_exact_top_k"] = search.SQL
 ORACLES["op13_url_filters"] = urls.SQL
+ORACLES["op11_hard_negatives"] = negatives.SQL

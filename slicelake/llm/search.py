@@ -22,11 +22,11 @@ from slicelake.scratch import written
 QUERY_BLOCK, ROW_BLOCK, GROUPS, DIMENSIONS = 512, 8192, 32, 16
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, q array<double>): floor(scale * x), x as double; a product too large for a double is its largest. Null ids, null vectors and vectors with a null, NaN or infinite component take no part."""
+def quantised(vectors: DataFrame, scale: int = 256, *more: Column) -> DataFrame:
+    """(vec_id, q array<double>, *more): floor(scale * x), x as double; a product too large for a double is its largest. Null ids, null vectors and vectors with a null, NaN or infinite component take no part."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v * float(scale))).alias("q"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v * float(scale))).alias("q"), *more)
 
 
 def _floor(v: Column) -> Column:
