@@ -85,10 +85,10 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: floa
 
 def mixed_documents(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` (from mix) holds, each as often as it has copies."""
-    own = docs.withColumn("h_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    of = chosen.select(F.col("doc_id").alias("id_"), F.col("h").alias("of_"), "copies").groupBy("id_", "of_").agg(F.max("copies").alias("copies_"))
-    joined = own.join(of, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h_") == F.col("of_")))
-    return joined.withColumn("epoch_", F.explode(F.sequence(F.lit(1).cast("long"), "copies_"))).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_h"))
+    of = chosen.select("doc_id", "h", "copies").groupBy("doc_id", "h").agg(F.max("copies").alias("copies"))
+    joined = own.join(of, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")))
+    return joined.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def domain_of_source() -> Column:

@@ -10,7 +10,8 @@ That guarantee ends where near copies differ in more bits than a word has bytes,
 have a Jaccard similarity of 0.8 (about 10 of 64). For them (``least``) a fingerprint is posted under shingles
 too: two sets with a similarity of t or more share, in any one order of all shingles, one of the first
 n - ceil(t n) + 1 of each. The order is by how often a shingle occurs, so that common passages are hardly ever
-posted. Pairs that meet there are verified by their differing bits like the others.
+posted. Pairs that meet there and differ in ``max_bits`` or fewer are candidates; the sets of shingles of what candidates join
+are then compared themselves (``jaccard``), and only pairs at ``least`` or more are links.
 
 A list is read in the order of ids. What is linked to its first member, the hub, is one component, so in a list
 longer than ``BLOCK`` only the rows that the hub does not link are compared with others, block by block of
@@ -33,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicelake.graph import connected_components
+from slicelake.llm import jaccard
 from slicelake.llm.common import small, texts
-from slicelake.scratch import written
+from slicelake.scratch import tables, written
 
 BLOCK = 1024
 #: Slots of the table of counts by which shingles are ordered, and parts that it is summed in. They decide what is posted, never what is found.
@@ -78,9 +80,9 @@ def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> by
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, least: str | None = None) -> DataFrame:
-    """(doc_id, h, f0, f1, ..., keys) of each row: a hash of its text, and the words as longs. A null text is empty, a text without words has fingerprint 0.
+    """(doc_id, h, f0, f1, ..., keys, own) of each row: a hash of its text, and the words as longs. A null text is empty, a text without words has fingerprint 0.
 
-    ``keys`` are the shingles to post for a Jaccard similarity of ``least``; none without it.
+    ``keys`` are the shingles to post for a Jaccard similarity of ``least``, ``own`` a hash of all that differ; none without it.
     """
     names = [f"f{i}" for i in range(words)]
     classes = docs.sparkSession.sparkContext.broadcast(_classes(docs, shingle)) if least else None  # one byte a slot
@@ -88,20 +90,21 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, least: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            fps, keys = [], []
+            fps, keys, owns = [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_hashes(text, shingle)
                 fps.append(bits(h, words))
                 if classes:
                     own = np.unique(h)
+                    owns.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                     most = len(own) - -(-t.numerator * len(own) // t.denominator) + 1 if len(own) else 0
                     keys.append(own[np.lexsort((own, classes.value[_slot(own)]))[:most]].view("i8"))
             m = np.frombuffer(b"".join(fps), dtype=">i8").astype("i8").reshape(-1, words)
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype("i4") if keys else np.zeros(b.num_rows + 1, "i4")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, "i8")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *(pa.array(m[:, i]) for i in range(words)), lists], ["doc_id", "h", *names, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *(pa.array(m[:, i]) for i in range(words)), lists, pa.array(np.array(owns or [0] * b.num_rows, "u8").view("i8"))], ["doc_id", "h", *names, "keys", "own"])
 
-    return _raw(docs).mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    return _raw(docs).mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>, own long")
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -319,23 +322,30 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, words:
     """(doc_id, fingerprint, component_id, h): component_id is the smallest doc_id reachable over links, its own included; h is a hash of the text.
 
     Fingerprints are linked that are equal, or differ in ``max_bits`` or fewer and share ``match`` positional bytes
-    of their first word (by default the guaranteed minimum, 8 - max_bits) or, with ``least``, a posted shingle,
-    which all do whose shingles have a Jaccard similarity of ``least`` or more. Every row of ``docs`` gives a row,
-    repeated ones too. A row whose doc_id is null has a component only if it is linked to others. An empty table
-    gives no rows; columns besides doc_id and text are ignored.
+    of their first word (by default the guaranteed minimum, 8 - max_bits). With ``least``, texts are linked instead whose
+    sets of shingles are equal or have a Jaccard similarity of ``least`` or more, exactly; ``max_bits`` then says which pairs
+    that share a posted shingle or ``match`` positional bytes are candidates. Every row of ``docs`` gives a row,
+    repeated ones too. A row whose doc_id is null has a component only if it is linked to others; with ``least`` it joins
+    none. An empty table gives no rows; columns besides doc_id and text are ignored.
     """
     names = [f"f{i}" for i in range(words)]
     match = 8 - max_bits if match is None else match
     if match < 1:
         raise ValueError("no positional byte is sure to be shared at so many differing bits")
-    prints = written(fingerprints(docs, shingle, words, least).withColumn("id", F.col("f0") if words == 1 else F.xxhash64(*names)), "prints")
+    number = F.col("own") if least else F.col("f0") if words == 1 else F.xxhash64(*names)
+    prints = written(fingerprints(docs, shingle, words, least).withColumn("id", number), "prints")
     distinct = written(prints.groupBy("id", *names).agg(F.min("doc_id").alias("least_id")), "distinct")
     postings = byte_postings(distinct, names, match)
     if least:
-        once = prints.select("id", *names, "keys", F.xxhash64("keys").alias("of")).dropDuplicates(["id", "of"])
+        once = prints.select("id", *names, "keys").dropDuplicates(["id"])
         postings = postings.union(once.select(F.explode("keys").alias("key"), "id", *names))
     components = connected_components(links(postings, names, max_bits, 0 if least else match))
-    named = distinct.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    if least:
+        with tables(docs.sparkSession) as own:
+            members = prints.where("doc_id is not null").join(components.withColumnRenamed("node", "id"), "id").groupBy("id").agg(F.first("component").alias("component"), F.min(F.struct("doc_id", "h")).alias("p"))
+            sets = own.written(jaccard.shingle_sets(docs, members.select("component", "id", "p.*"), shingle), "sets")
+            components = connected_components(jaccard.links_within(sets, Fraction(least), own))
+    named = distinct.groupBy("id").agg(F.min("least_id").alias("least_id")).join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     of = named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("id", "component_id")
     digits = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
     return prints.join(of, "id").select("doc_id", digits.alias("fingerprint"), "component_id", "h")

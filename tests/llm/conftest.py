@@ -25,7 +25,7 @@ def docs(spark, texts):
     rows = [(i, t, "en" if i % 2 else "fr", f"src{i % 5}", None if t is None else len(t)) for i, t in texts]
     # columns that clash with names the operators use
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({x: F.lit("clash") for x in ("fp", "component_id", "chunk", "h", "kind", "score", "copies", "id", "word")}).repartition(3)
+    return df.withColumns({x: F.lit("clash") for x in ("fp", "component_id", "chunk", "h", "kind", "score", "copies", "id", "word", "id_", "h_", "of_", "copies_", "row", "own")}).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -90,20 +91,31 @@ def test_simhash_of_repeated_rows_null_ids_and_nothing(spark, docs, empty):
 
 
 @pytest.mark.parametrize("block", [1024, 2])
-def test_wide_fingerprints_join_all_that_are_similar_and_near(spark, docs, texts, block, monkeypatch):
-    """What all pairs show: none at 0.8 or more within the bits is missed, and nothing is joined but over near pairs."""
+def test_wide_fingerprints_join_exactly_what_is_similar(spark, docs, texts, block, monkeypatch):
+    """Components by the Jaccard similarity of all pairs; with cells of two texts, all ways that large groups take."""
     monkeypatch.setattr(simhash, "BLOCK", block)
-    long_ = (1000, "sed ut perspiciatis unde omnis " * 50_000)
-    docs = docs.unionByName(spark.createDataFrame([long_], "doc_id long, text string"), allowMissingColumns=True)
-    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=4, max_bits=37, least="0.8"))
-    fps, sets = [int(x, 16) for x in got["fingerprint"]], [plain_shingles(t, 5) for _, t in [*texts, long_]]
+    monkeypatch.setattr(simhash.jaccard, "CELL_TEXTS", block)
+    rng, words = random.Random(9), [f"w{i}" for i in range(120)]
+    more = [(1000, "sed ut perspiciatis unde omnis " * 50_000)]
+    for i in range(40):  # a large group about one text, whose members are often less similar to one another
+        own = list(words)
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            own[at] = f"v{i}.{at}"
+        more.append((2000 + i, " ".join(own)))
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    got = table(simhash.simhash_groups(docs, shingle=5, words=3, match=4, max_bits=48, least="0.8"))
+    sets = [plain_shingles(t, 5) for _, t in [*texts, *more]]
     place = {int(d): i for i, d in enumerate(got["doc_id"])}
     own = [place[int(c)] for c in got["component_id"]]
-    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 37
-    fine = plain_components(len(fps), lambda i, j: near(i, j) and (not sets[i] and not sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])))
-    coarse = plain_components(len(fps), near)
-    assert len(set(fine)) < len(fps)
-    assert all(own[i] == own[j] for i, j in enumerate(fine)) and all(coarse[i] == coarse[j] for i, j in enumerate(own))
+    want = plain_components(len(sets), lambda i, j: not sets[i] and not sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert own == want and 30 < len(set(want)) < len(sets)
+
+
+def test_similar():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(60, rng.integers(0, 60), replace=False)).astype("u8") for _ in range(30)]
+    plain = np.array([[len(set(a) & set(b)) for b in map(np.ndarray.tolist, sets)] for a in map(np.ndarray.tolist, sets)])
+    assert (simhash.jaccard.common(sets) == plain).all() and (simhash.jaccard.common(sets[:2]) == plain[:2, :2]).all()
 
 
 def plain_removed(texts, n=50):
