@@ -16,15 +16,15 @@ from slicelake.scratch import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Differing bits of 192 at which fingerprints of five-word shingles are linked: 29 is the mean at a Jaccard similarity of 0.8, with a deviation of 5.
-MAX_BITS = 37
+#: Differing bits of 192 up to which texts are candidates: 29 is the mean at a Jaccard similarity of 0.8, with a deviation of 5, so about one such pair in 10,000 is none.
+MAX_BITS = 48
 
 
 def own_rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` by doc_id and hash of the text, with (semi) or without (anti) a row in ``chosen`` (doc_id, h)."""
     ids = chosen.select(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("h_"))
-    return docs.join(ids, same, how).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, same, how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +39,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies.
 
-    Fingerprints of five-word shingles, linked at MAX_BITS of 192 bits or fewer. They meet in the index of positional
-    bytes, which is sure to find all that differ in four bits of their first word or fewer, and in lists of shingles,
-    which are sure to find all at a Jaccard similarity of 0.8 or more. Texts without words are near copies of one
-    another, null ones too; rows without a doc_id stay; equal rows are one.
+    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more, or are joined by a chain of such
+    pairs. Candidates meet by fingerprints in the index of positional bytes and in lists of shingles, in MAX_BITS of 192 bits
+    or fewer, and are verified by the sets themselves. Texts without words are near copies of one
+    another, null ones too; rows without a doc_id stay; of rows with one doc_id and text the least (lang, source) stays.
     """
     groups = simhash_groups(docs, shingle=5, max_bits=MAX_BITS, words=3, match=4, least="0.8")
-    return own_rows(docs, groups.where("doc_id <> component_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return own_rows(docs, groups.where("doc_id <> component_id"), "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("one")).select("doc_id", "text", "one.*").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 50-byte strings that start in a document of a smaller doc_id too; n_chars follows. A character goes only if all its bytes go."""
-    rest = docs.select(F.col("doc_id").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"), "lang", "source").dropDuplicates(["id_", "h_"])
+    """Texts without the bytes of 50-byte strings that start in a document of a smaller doc_id too; n_chars follows. A character goes only if all its bytes go.
+
+    A null text is empty, and stays as an empty one, as does a text of which nothing is left. Rows without a doc_id stay as
+    they are; rows with one doc_id and text each stay, with the least (lang, source) of them; texts of any length are
+    judged whole; an empty table stays empty.
+    """
+    names = F.min(F.struct("lang", "source")).alias("one")
+    rest = docs.select(F.col("doc_id").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h_"), "lang", "source").groupBy("id_", "h_").agg(names).select("id_", "h_", "one.*")
     joined = kept_text(docs, 50).join(rest, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
     return joined.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
