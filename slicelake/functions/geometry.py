@@ -12,6 +12,10 @@ def normal_of(iop: Column) -> list[Column]:
     return [r[1] * c[2] - r[2] * c[1], r[2] * c[0] - r[0] * c[2], r[0] * c[1] - r[1] * c[0]]
 
 
+def dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
 def plane_of(iop: Column) -> Column:
     """AX, COR or SAG by the largest component of the normal, the first of equal ones; ? without an orientation."""
     x, y, z = (F.abs(v) for v in normal_of(iop))

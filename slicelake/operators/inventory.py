@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelake.functions.geometry import plane_of
+from slicelake.functions.geometry import dot, normal_of, plane_of
 
 c = F.col
 
@@ -145,18 +145,42 @@ def series_cards(instances: DataFrame) -> DataFrame:
     return rows.select("series_uid", "header.study_uid", "header.modality", "header.series_number", "images", note.alias("geometry"), (~c("multi") & c("placed")).alias("renderable"))
 
 
-def tilt_fit(instances: DataFrame) -> DataFrame:
-    """Shear and tilt of each series from its slice origins: least squares of the residual to the normal line, and whether the line fits to 0.1 mm."""
-    w = Window.partitionBy("series_uid").orderBy("k")
-    rows = slice_order(instances.where("iop is not null")).withColumns({f"{a}0": F.first(f"ipp_{a}").over(w) for a in "xyz"} | {"z0": F.first("ipp_z").over(w), "first_z": F.first("z").over(w)})
-    dz = c("z") - c("first_z")
-    # fixtures place z along the third axis, so the normal line keeps x and y
-    rows = rows.withColumns({"dz": dz, "rx": c("ipp_x") - c("x0"), "ry": c("ipp_y") - c("y0")})
-    fit = rows.groupBy("series_uid").agg(F.sum(c("dz") * c("dz")).alias("ss"), F.sum(c("dz") * c("rx")).alias("sx"), F.sum(c("dz") * c("ry")).alias("sy"))
-    fit = fit.select("series_uid", F.when(c("ss") > 0, c("sx") / c("ss")).otherwise(0.0).alias("shear_x"), F.when(c("ss") > 0, c("sy") / c("ss")).otherwise(0.0).alias("shear_y"))
-    good = rows.join(fit, "series_uid").groupBy("series_uid", "shear_x", "shear_y").agg(F.max(F.greatest(F.abs(c("rx")), F.abs(c("ry")))).alias("off"), F.bool_and((F.abs(c("rx") - c("dz") * c("shear_x")) <= 0.1) & (F.abs(c("ry") - c("dz") * c("shear_y")) <= 0.1)).alias("linear"))
-    tilted = c("off") > 0.1
-    return good.select("series_uid", F.when(tilted, F.degrees(F.atan(F.hypot("shear_x", "shear_y")))).otherwise(0.0).alias("tilt_deg"), F.when(tilted, F.when(c("linear"), "tilted").otherwise("not a line")).otherwise("straight").alias("status"))
+def tilt_fit(instances: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """(series_uid, shear_x, shear_y, shear_z, tilt_deg, row_drift, col_drift, status): how far the slice origins of each series stray from the line along its own normal.
+
+    Positions are the origins' projections on the normal of the first header in path order; the residual of a slice is the
+    3-vector from the normal line through the first position to its origin. Shear, in mm a mm, is the least-squares
+    solution of residual = distance * shear by summed normal equations. Drifts are pixels a slice along columns (row_drift)
+    and rows (col_drift) of the image at the median spacing. A series whose residuals all lie within ``tolerance``
+    in each coordinate is straight and has no shear; one whose residuals are a line to within it is tilted, any other not a line; one whose
+    headers differ in orientation is mixed. Headers without orientation or position take no part. One shuffle, by series.
+    """
+    w = Window.partitionBy("series_uid")
+    kept = instances.where("iop is not null and ipp_x is not null and ipp_y is not null and ipp_z is not null")
+    head = F.min_by(F.struct("iop", "row_sp", "col_sp"), F.struct("path", "sop_uid")).over(w)
+    rows = kept.select("series_uid", "sop_uid", "iop", F.array("ipp_x", "ipp_y", "ipp_z").alias("at"), head.alias("head"))
+    n = normal_of(c("head.iop"))
+    rows = rows.withColumn("along", dot([c("at")[i] for i in range(3)], n))
+    first = F.min_by("at", F.struct("along", "sop_uid")).over(w)
+    in_order = w.orderBy("along", "sop_uid")
+    turned = F.exists(F.zip_with("iop", "head.iop", lambda x, y: F.abs(x - y)), lambda x: x > 1e-4)
+    rows = rows.withColumns({"d": c("along") - F.min("along").over(w), "first": first, "gap": c("along") - F.lag("along").over(in_order), "turned": turned})
+    rows = rows.withColumns({f"r{i}": c("at")[i] - c("first")[i] - c("d") * n[i] for i in range(3)})
+    ss = F.sum(c("d") * c("d")).over(w)
+    rows = rows.withColumns({f"s{i}": F.when(ss > 0, F.sum(c("d") * c(f"r{i}")).over(w) / ss).otherwise(0.0) for i in range(3)})
+    off = lambda f: F.greatest(*[F.abs(f(i)) for i in range(3)])
+    fit = rows.groupBy("series_uid").agg(
+        F.first("head").alias("head"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(3)], F.bool_or("turned").alias("turned"), F.max(off(lambda i: c(f"r{i}"))).alias("off"),
+        F.max(off(lambda i: c(f"r{i}") - c("d") * c(f"s{i}"))).alias("rest"), F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.0)).alias("dz"),
+    )
+    tilted = c("off") > tolerance
+    status = F.when(c("turned"), "mixed").when(~tilted, "straight").when(c("rest") <= tolerance, "tilted").otherwise("not a line")
+    shear = [F.when(tilted, c(f"s{i}")).otherwise(0.0) for i in range(3)]
+    drift = lambda at, spacing: dot(shear, [c("head.iop")[at + i] for i in range(3)]) * c("dz") / c(spacing) + 0.0
+    return fit.select(
+        "series_uid", *[x.alias(f"shear_{a}") for x, a in zip(shear, "xyz", strict=True)], F.degrees(F.atan(F.sqrt(dot(shear, shear)))).alias("tilt_deg"),
+        drift(3, "head.row_sp").alias("row_drift"), drift(0, "head.col_sp").alias("col_drift"), status.alias("status"),
+    )
 
 
 def inventory_lines(inventory: DataFrame) -> DataFrame:

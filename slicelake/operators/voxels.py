@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicelake.graph import connected_components as components_of
+from slicelake.operators import dense
 from slicelake.scratch import written
 
 c = F.col
 KEY = ("series", "k", "r", "c")
 #: Bits of each of k, r and c within a voxel's number.
 BITS = 21
+#: Slices that one task labels together.
+SLAB = 8
 
 
 def offsets(conn: int) -> list[tuple[int, int, int]]:
@@ -90,37 +96,108 @@ def neighbour_pairs(mask: DataFrame, conn: int, by: tuple[str, ...] = ("series",
     return reach.join(mask.select(*keys), keys).select(*by, "a", node(c("k"), c("r"), c("c")).alias("b"))
 
 
+def per_group(rows: DataFrame, by: tuple[str, ...], f: Callable[[dict[str, np.ndarray], pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` over the rows of each group, as arrays by name and as they are; a group is a slice, a slab or what lies within reach of a seed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f({x: table.column(x).to_numpy() for x in ("k", "r", "c") if x in table.column_names}, table)
+
+    return rows.groupBy(*by).applyInArrow(run, schema)
+
+
+def labelled(mask: DataFrame, conn: int, by: tuple[str, ...]) -> DataFrame:
+    """Adds component and size within each group of ``by``, each in one task: runs of a row are joined where they touch."""
+
+    def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        found = dense.components(at["k"], at["r"], at["c"], conn)
+        _, of, n = np.unique(found, return_inverse=True, return_counts=True)
+        return table.append_column("component", pa.array(found)).append_column("size", pa.array(n[of].astype("i8") if len(n) else n.astype("i8")))
+
+    return per_group(mask, by, run, f"{_columns(mask)}, component long, size long")
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _touching_labels(at: dict[str, np.ndarray], component: np.ndarray, conn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components of two neighbouring slices that touch."""
+    order = np.lexsort((at["c"], at["r"], at["k"]))
+    k, r, c = (at[x][order].astype("i8") for x in ("k", "r", "c"))
+    _, start = dense.runs_of(k, r, c)
+    last = c[np.r_[start[1:], len(c)] - 1] if len(c) else c
+    sides = [(r[start[m]], c[start[m]], last[m], component[order][start[m]]) for m in (k[start] == k.min(), k[start] != k.min())]
+    low, high = sides
+    a, b = [], []
+    for dk, dr, reach in dense.half_lines(conn):
+        if dk:
+            x, y = dense.touching(*low[:3], dr, reach, high[:3])
+            a.append(low[3][x])
+            b.append(high[3][y])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pairs[0], pairs[1]
+
+
 def connected_components(mask: DataFrame, conn: int = 26, min_size: int = 1, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Adds component, the smallest voxel number of each component of a series, and size; components below ``min_size`` go.
 
     Components of voxels that differ in ``by`` are apart, and so are equal numbers of theirs: (*by, component) names
-    one. Neighbours meet in an equi-join of a voxel's two to thirteen half offsets.
+    one. Two levels: SLAB slices are labelled in one task, then the labels that touch across the faces of slabs, and no
+    voxels, are joined in rounds. Where ``by`` holds k no component leaves its slice, and there are no rounds.
     """
-    rows = mask.withColumn("node", node(c("k"), c("r"), c("c")))
-    labels = components_of(neighbour_pairs(mask, conn, by), by=by).withColumnRenamed("component", "found")
-    rows = rows.join(labels, [*by, "node"], "left").withColumn("component", F.coalesce("found", "node")).drop("found", "node")
-    size = rows.groupBy(*by, "component").agg(F.count("*").alias("size")).where(c("size") >= min_size)
-    return rows.join(size, [*by, "component"])
+    if "k" in by:
+        return labelled(mask, conn, by).where(c("size") >= min_size)
+    slab = F.floor(c("k") / SLAB).cast("int")
+    parts = written(labelled(mask.withColumn("slab", slab), conn, (*by, "slab")), "parts")
+    place = F.pmod(c("k"), F.lit(SLAB))
+    faces = parts.withColumn("face", F.explode(F.array_compact(F.array(F.when(place == 0, c("slab")), F.when(place == SLAB - 1, c("slab") + 1)))))
+    keys = (*by, "face")
+
+    def pairs(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        a, b = _touching_labels(at, table.column("component").to_numpy(), conn) if len(set(at["k"].tolist())) == 2 else (np.zeros(0, "i8"),) * 2
+        return pa.Table.from_arrays([*(pa.chunked_array([table.column(x).combine_chunks().take(pa.array(np.zeros(len(a), "i8")))]) for x in by), pa.array(a), pa.array(b)], [*by, "a", "b"])
+
+    edges = per_group(faces.select(*dict.fromkeys([*by, "k", "r", "c"]), "face", "component"), keys, pairs, f"{_columns(mask.select(*by))}, a long, b long")
+    roots = components_of(edges, by=by).toDF(*by, "component", "root")
+    sizes = parts.groupBy(*by, "component").agg(F.first("size").alias("size")).join(roots, [*by, "component"], "left").withColumn("root", F.coalesce("root", "component"))
+    whole = sizes.groupBy(*by, "root").agg(F.sum("size").alias("size")).where(c("size") >= min_size)
+    named = sizes.drop("size").join(whole, [*by, "root"])
+    return parts.drop("size", "slab").join(named, [*by, "component"]).drop("component").withColumnRenamed("root", "component")
+
+
+def seed_balls(seeds: DataFrame, voxels: DataFrame, radius_mm: float, spacing: tuple[float, float, float]) -> DataFrame:
+    """Voxels within ``radius_mm`` of each seed (seed, series, sk, sr, sc, ...), with the seed's columns. They meet by series and by coarse blocks of rows and columns, so no pair further apart than a block is looked at."""
+    step = max(1, int(radius_mm / min(spacing[1:])) + 1)
+    near = F.explode(F.expr("array(-1, 0, 1)"))
+    asked = seeds.withColumn("br", near).withColumn("bc", near).withColumns({"br": c("br") + F.floor(c("sr") / step), "bc": c("bc") + F.floor(c("sc") / step)})
+    rows = voxels.withColumns({"br": F.floor(c("r") / step), "bc": F.floor(c("c") / step)})
+    d2 = sum(F.pow((c(a) - c(b)) * s, F.lit(2)) for a, b, s in zip(("k", "r", "c"), ("sk", "sr", "sc"), spacing, strict=True))
+    return rows.join(asked, ["series", "br", "bc"]).where(d2 <= radius_mm**2).drop("br", "bc")
 
 
 def grow_region(seeds: DataFrame, voxels: DataFrame, lo: float | None, hi: float | None, radius_mm: float, conn: int, spacing: tuple[float, float, float]) -> DataFrame:
     """(seed, series, k, r, c, v) of the voxels that a seed reaches within the band and within ``radius_mm`` of itself, in a straight line.
 
-    Without limits the seeds' own columns lo and hi are the band. ``seed`` tells the seeds of all series apart. Seeds (seed, series, sk, sr, sc) meet candidates by series and by coarse blocks of columns and rows, so no
-    pair further apart than a block is looked at. A seed outside the band gives no rows.
+    Without limits the seeds' own columns lo and hi are the band. ``seed`` tells the seeds of all series apart. What lies
+    within a seed's reach is labelled in one task. A seed outside the band gives no rows: seed_status() says so.
     """
-    band = voxels if lo is None else threshold(voxels, lo, hi)
     if lo is not None:
         seeds = seeds.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
-    step = max(1, int(radius_mm / min(spacing[1:])) + 1)
-    near = F.explode(F.expr("array(-1, 0, 1)"))
-    asked = seeds.withColumn("br", near).withColumn("bc", near).withColumns({"br": c("br") + F.floor(c("sr") / step), "bc": c("bc") + F.floor(c("sc") / step)})
-    rows = band.withColumns({"br": F.floor(c("r") / step), "bc": F.floor(c("c") / step)})
-    d2 = sum(F.pow((c(a) - c(b)) * s, F.lit(2)) for a, b, s in zip(("k", "r", "c"), ("sk", "sr", "sc"), spacing, strict=True))
-    ball = rows.join(asked, ["series", "br", "bc"]).where((d2 <= radius_mm**2) & (c("v") > c("lo")) & (c("v") < c("hi"))).select("seed", "sk", "sr", "sc", *KEY, "v")
-    own = connected_components(ball, conn, by=("seed",))
-    at = own.where("k = sk and r = sr and c = sc").select("seed", c("component").alias("chosen"))
-    return own.join(at, "seed").where("component = chosen").select("seed", *KEY, "v")
+    ball = seed_balls(seeds, voxels, radius_mm, spacing).where((c("v") > c("lo")) & (c("v") < c("hi"))).select("seed", "sk", "sr", "sc", *KEY, "v")
+
+    def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        found = dense.components(at["k"], at["r"], at["c"], conn)
+        own = np.logical_and.reduce([at[x] == table.column(f"s{x}").to_numpy() for x in ("k", "r", "c")])
+        return table.filter(pa.array(np.isin(found, found[own]))).select(["seed", *KEY, "v"])
+
+    return per_group(ball, ("seed",), run, _columns(ball.select("seed", *KEY, "v")))
+
+
+def seed_status(seeds: DataFrame, voxels: DataFrame, lo: float, hi: float) -> DataFrame:
+    """(seed, v, status) of each seed: grown, outside the band, or outside the image where no voxel is."""
+    at = voxels.select("series", c("k").alias("sk"), c("r").alias("sr"), c("c").alias("sc"), "v")
+    status = F.when(c("v").isNull(), "outside the image").when((c("v") > lo) & (c("v") < hi), "grown").otherwise("outside the band")
+    return seeds.join(at, ["series", "sk", "sr", "sc"], "left").select("seed", "v", status.alias("status"))
 
 
 def boundary(mask: DataFrame, conn: int = 4) -> DataFrame:
@@ -150,13 +227,41 @@ def closed(mask: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
     return erode(dilate(mask, steps), steps)
 
 
+def per_slice(mask: DataFrame, f: Callable[[np.ndarray], np.ndarray], rows: int, cols: int) -> DataFrame:
+    """The mask that ``f`` makes of each slice's mask, an array of the image's size; slices without a voxel have none."""
+
+    def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        image = np.zeros((rows, cols), bool)
+        image[at["r"], at["c"]] = True
+        r, k = np.nonzero(f(image))
+        own = table.select(["series", "k"]).combine_chunks().take(pa.array(np.zeros(len(r), "i8")))
+        return own.append_column("r", pa.array(r, table.schema.field("r").type)).append_column("c", pa.array(k, table.schema.field("c").type))
+
+    return per_group(mask.select(*KEY), ("series", "k"), run, _columns(mask.select(*KEY)))
+
+
+def _inner(image: np.ndarray, min_area: int = 1) -> np.ndarray:
+    """Places of an image's components over edges that don't touch its border."""
+    r, k = np.nonzero(image)
+    found = dense.components(np.zeros(len(r), "i8"), r, k, 4)
+    edge = (r == 0) | (k == 0) | (r == image.shape[0] - 1) | (k == image.shape[1] - 1)
+    _, of, n = np.unique(found, return_inverse=True, return_counts=True)
+    ok = ~np.isin(found, found[edge])
+    ok[ok] = n[of[ok]] >= min_area
+    out = np.zeros_like(image)
+    out[r[ok], k[ok]] = True
+    return out
+
+
+def _cross(image: np.ndarray, f: Callable, outside: bool = False) -> np.ndarray:
+    """``f`` of each place and its four neighbours; what lies outside the image counts as ``outside``."""
+    x = np.pad(image, 1, constant_values=outside)
+    return f.reduce([x[1:-1, 1:-1], x[:-2, 1:-1], x[2:, 1:-1], x[1:-1, :-2], x[1:-1, 2:]])
+
+
 def enclosed(mask: DataFrame, rows: int, cols: int, min_area: int = 1) -> DataFrame:
-    """Components of a mask, slice by slice over edges, that don't touch the border of the image."""
-    own = ("series", "k")
-    parts = connected_components(mask.select(*KEY), 4, min_area, own)
-    edge = (c("r") == 0) | (c("c") == 0) | (c("r") == rows - 1) | (c("c") == cols - 1)
-    touching = parts.where(edge).select(*own, "component").distinct()
-    return parts.join(touching, [*own, "component"], "left_anti").select(*KEY)
+    """Components of a mask, slice by slice over edges, that don't touch the border of the image; those below ``min_area`` go. A slice is one task."""
+    return per_slice(mask, lambda x: _inner(x, min_area), rows, cols)
 
 
 def full_grid(mask: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -166,37 +271,45 @@ def full_grid(mask: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def fill_holes(mask: DataFrame, rows: int, cols: int) -> DataFrame:
-    """The mask and the background that it encloses in a slice."""
-    empty = full_grid(mask, rows, cols).join(mask.select(*KEY), list(KEY), "left_anti")
-    return mask.select(*KEY).union(enclosed(empty, rows, cols).select(*KEY))
+    """The mask and the background that it encloses in a slice; the background is made within the slice's task."""
+    return per_slice(mask, lambda x: x | _inner(~x), rows, cols)
 
 
 def aerated_fraction(voxels: DataFrame, rows: int, cols: int, air: float = -500, body: float = -500) -> DataFrame:
-    """(series, k, fraction): the share of each slice that lies within the filled body and below ``air``."""
-    inside = fill_holes(voxels.where(c("v") > body), rows, cols)
-    hit = voxels.where(c("v") < air).join(inside, list(KEY)).groupBy("series", "k").agg(F.count("*").alias("n"))
-    return voxels.select("series", "k").distinct().join(hit, ["series", "k"], "left").select("series", "k", (F.coalesce("n", F.lit(0)) / (rows * cols)).alias("fraction"))
+    """(series, k, fraction): the share of each slice that lies within the filled body and below ``air``. One shuffle, by slice."""
+
+    def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        v = table.column("v").to_numpy()
+        image, low = np.zeros((rows, cols), bool), np.zeros((rows, cols), bool)
+        image[at["r"][v > body], at["c"][v > body]] = True
+        low[at["r"][v < air], at["c"][v < air]] = True
+        share = ((image | _inner(~image)) & low).sum() / (rows * cols) if image.any() else 0.0
+        return table.select(["series", "k"]).slice(0, 1).append_column("fraction", pa.array([float(share)]))
+
+    return per_group(voxels.select(*KEY, "v"), ("series", "k"), run, f"{_columns(voxels.select('series', 'k'))}, fraction double")
+
+
+def lung_slices(inside: np.ndarray) -> np.ndarray:
+    """Air that an image encloses, opened and closed twice over, beside all that it was before, filled."""
+    inside = _inner(inside)
+    wide = _cross(_cross(inside, np.logical_and), np.logical_or)
+    for f in (np.logical_or, np.logical_or, np.logical_and, np.logical_and):
+        wide = _cross(wide, f)
+    whole = inside | wide
+    return whole | _inner(~whole) if whole.any() else whole
 
 
 def lung_mask(voxels: DataFrame, rows: int, cols: int, thr: float = -320, keep: int = 2) -> DataFrame:
-    """Air that a slice encloses, opened and closed twice over, beside all that it was before, filled; the ``keep`` largest components of each series over faces, ties to the later."""
-    disc = offsets(4)
-    image = c("r").between(0, rows - 1) & c("c").between(0, cols - 1)
-    inside = written(enclosed(voxels.where(c("v") < thr), rows, cols), "inside")
-    wide = opened(inside, disc)
-    for _ in range(2):
-        wide = dilate(wide, disc, image)
-    for _ in range(2):
-        wide = erode(wide, disc)
-    filled = fill_holes(inside.union(wide).distinct(), rows, cols)
+    """The ``keep`` largest components of each series over faces, ties to the later, of what lung_slices() makes of its air. Slices are tasks of their own; only their touching components are joined in rounds."""
+    filled = per_slice(voxels.where(c("v") < thr), lung_slices, rows, cols)
     parts = written(connected_components(filled, 6), "parts")
-    sizes = parts.select("series", "component", "size").distinct()
+    sizes = parts.groupBy("series", "component").agg(F.first("size").alias("size"))
     rank = F.row_number().over(Window.partitionBy("series").orderBy(c("size").desc(), c("component").desc()))
     return parts.join(sizes.withColumn("rank", rank).where(c("rank") <= keep).select("series", "component"), ["series", "component"]).select(*KEY)
 
 
 def feret(mask: DataFrame, row_sp: float, col_sp: float) -> DataFrame:
-    """Longest distance between pixels of each (series, k), and the extent across it; both with half a pixel more at each end.
+    """Longest distance between pixels of each (series, k) with its ends, the first of equal ones, and the extent across it; both with half a pixel more at each end.
 
     Both are between corners of the convex hull, and those are first or last in their rows; pairs of these are
     compared, as many as the square of a region's rows, not of its boundary.
@@ -210,7 +323,8 @@ def feret(mask: DataFrame, row_sp: float, col_sp: float) -> DataFrame:
     ux, uy = F.when(c("long") > 0, (c("x2") - c("x1")) / c("long")).otherwise(1.0), F.when(c("long") > 0, (c("y2") - c("y1")) / c("long")).otherwise(0.0)
     across = edge.join(longest, ["series", "k"]).withColumn("t", c("y") * ux - c("x") * uy)
     pixel = (row_sp + col_sp) / 2
-    return across.groupBy("series", "k", "long").agg((F.max("t") - F.min("t")).alias("short")).select("series", "k", (c("long") + pixel).alias("long_mm"), (c("short") + pixel).alias("short_mm"))
+    ends = [F.round(c(x) / s).cast("int").alias(n) for x, s, n in (("y1", row_sp, "r1"), ("x1", col_sp, "c1"), ("y2", row_sp, "r2"), ("x2", col_sp, "c2"))]
+    return across.groupBy("series", "k", "long", "y1", "x1", "y2", "x2").agg((F.max("t") - F.min("t")).alias("short")).select("series", "k", (c("long") + pixel).alias("long_mm"), (c("short") + pixel).alias("short_mm"), *ends)
 
 
 def row_runs(mask: DataFrame) -> DataFrame:
@@ -315,10 +429,15 @@ def dice(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def layer_thickness(mask: DataFrame) -> DataFrame:
-    """Twice the depth of the deepest pixel of each slice, by its nearest boundary pixel of the same slice."""
-    edge = boundary(mask, 4).select("series", "k", c("r").alias("r2"), c("c").alias("c2"))
-    near = mask.join(edge, ["series", "k"]).groupBy(*KEY).agg(F.min(F.hypot(c("r") - c("r2"), c("c") - c("c2"))).alias("depth"))
-    return near.groupBy("series", "k").agg((2 * F.max("depth")).alias("thickness"))
+    """Twice the depth of the deepest pixel of each slice, by its nearest boundary pixel of the same slice: an exact distance transform in the slice's task."""
+
+    def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
+        image, _ = dense.grid([at["r"], at["c"]], pad=1)
+        edge = image & ~_cross(image, np.logical_and)
+        depth = np.sqrt(dense.squared_distance(edge, (1.0, 1.0))[image].max())
+        return table.select(["series", "k"]).slice(0, 1).append_column("thickness", pa.array([2 * float(depth)]))
+
+    return per_group(mask.select(*KEY), ("series", "k"), run, f"{_columns(mask.select('series', 'k'))}, thickness double")
 
 
 def resample(voxels: DataFrame, grid: DataFrame) -> DataFrame:

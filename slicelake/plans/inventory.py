@@ -125,13 +125,21 @@ def _(s, d):
     return X.instances(s, d).select("sop_uid", F.row_number().over(Window.partitionBy("series_uid").orderBy(c("z").desc(), "sop_uid")).alias("place"))
 
 
-@query("v14_tilt_fit", "instances", """i AS (SELECT *, row_number() OVER (PARTITION BY series_uid ORDER BY z, sop_uid) AS rn FROM instances WHERE iop IS NOT NULL),
-r AS (SELECT series_uid, z - first_value(z) OVER w AS dz, ipp_x - first_value(ipp_x) OVER w AS rx, ipp_y - first_value(ipp_y) OVER w AS ry FROM i WINDOW w AS (PARTITION BY series_uid ORDER BY rn)),
-f AS (SELECT series_uid, CASE WHEN sum(dz * dz) > 0 THEN sum(dz * rx) / sum(dz * dz) ELSE 0 END AS sx, CASE WHEN sum(dz * dz) > 0 THEN sum(dz * ry) / sum(dz * dz) ELSE 0 END AS sy FROM r GROUP BY series_uid),
-g AS (SELECT series_uid, sx, sy, max(greatest(abs(rx), abs(ry))) AS off, bool_and(abs(rx - dz * sx) <= 0.1::DOUBLE AND abs(ry - dz * sy) <= 0.1::DOUBLE) AS linear FROM r JOIN f USING (series_uid) GROUP BY ALL)
-SELECT series_uid, round(CASE WHEN off > 0.1::DOUBLE THEN degrees(atan(sqrt(sx * sx + sy * sy))) ELSE 0 END, 6) AS tilt_deg, CASE WHEN off > 0.1::DOUBLE THEN CASE WHEN linear THEN 'tilted' ELSE 'not a line' END ELSE 'straight' END AS status FROM g""")
+TILT = """h AS (SELECT *, row_number() OVER (PARTITION BY series_uid ORDER BY path, sop_uid) AS rn FROM instances WHERE iop IS NOT NULL), q AS (SELECT series_uid, iop AS o, row_sp AS rs, col_sp AS cs FROM h WHERE rn = 1),
+n AS (SELECT *, list_value(o[2] * o[6] - o[3] * o[5], o[3] * o[4] - o[1] * o[6], o[1] * o[5] - o[2] * o[4]) AS n FROM q),
+a AS (SELECT i.series_uid, sop_uid, iop, list_value(ipp_x, ipp_y, ipp_z) AS p, n, o, rs, cs, list_dot_product(list_value(ipp_x, ipp_y, ipp_z), n) AS z FROM instances i JOIN n USING (series_uid) WHERE iop IS NOT NULL),
+f AS (SELECT *, first_value(p) OVER w AS p0, z - first_value(z) OVER w AS d, z - lag(z) OVER w AS gap, len(list_filter(list_zip(iop, o), lambda t : abs(t[1] - t[2]) > 1e-4)) > 0 AS turned FROM a WINDOW w AS (PARTITION BY series_uid ORDER BY z, sop_uid)),
+r AS (SELECT *, p[1] - p0[1] - d * n[1] AS r1, p[2] - p0[2] - d * n[2] AS r2, p[3] - p0[3] - d * n[3] AS r3 FROM f),
+s AS (SELECT series_uid, CASE WHEN sum(d * d) > 0 THEN sum(d * r1) / sum(d * d) ELSE 0 END AS s1, CASE WHEN sum(d * d) > 0 THEN sum(d * r2) / sum(d * d) ELSE 0 END AS s2, CASE WHEN sum(d * d) > 0 THEN sum(d * r3) / sum(d * d) ELSE 0 END AS s3, coalesce(quantile_cont(gap, 0.5), 0) AS dz, bool_or(turned) AS turned FROM r GROUP BY series_uid),
+g AS (SELECT series_uid, any_value(o) AS o, any_value(rs) AS rs, any_value(cs) AS cs, s1, s2, s3, dz, s.turned, max(greatest(abs(r1), abs(r2), abs(r3))) AS off, max(greatest(abs(r1 - d * s1), abs(r2 - d * s2), abs(r3 - d * s3))) AS rest FROM r JOIN s USING (series_uid) GROUP BY series_uid, s1, s2, s3, dz, s.turned),
+t AS (SELECT series_uid, o, rs, cs, dz, CASE WHEN off > 0.1::DOUBLE THEN s1 ELSE 0 END AS x, CASE WHEN off > 0.1::DOUBLE THEN s2 ELSE 0 END AS y, CASE WHEN off > 0.1::DOUBLE THEN s3 ELSE 0 END AS z, CASE WHEN turned THEN 'mixed' WHEN off <= 0.1::DOUBLE THEN 'straight' WHEN rest <= 0.1::DOUBLE THEN 'tilted' ELSE 'not a line' END AS status FROM g)
+SELECT series_uid, round(x, 6) + 0.0::DOUBLE AS shear_x, round(y, 6) + 0.0::DOUBLE AS shear_y, round(z, 6) + 0.0::DOUBLE AS shear_z, round(degrees(atan(sqrt(x * x + y * y + z * z))), 6) AS tilt_deg, round((x * o[4] + y * o[5] + z * o[6]) * dz / rs, 6) + 0.0::DOUBLE AS row_drift, round((x * o[1] + y * o[2] + z * o[3]) * dz / cs, 6) + 0.0::DOUBLE AS col_drift, status FROM t"""
+
+
+@query("v14_tilt_fit", "instances", TILT)
 def _(s, d):
-    return I.tilt_fit(X.instances(s, d)).withColumn("tilt_deg", F.round("tilt_deg", 6))
+    rounded = {x: F.round(x, 6) + 0.0 for x in ("shear_x", "shear_y", "shear_z", "tilt_deg", "row_drift", "col_drift")}
+    return I.tilt_fit(X.instances(s, d)).withColumns(rounded)
 
 
 @query("s09_inventory_lines", "instances", f"""{INV} SELECT series_uid, '| ' || concat_ws(' | ', series_number, modality, CAST(images AS VARCHAR), plane, CASE modality WHEN 'CT' THEN 'slope ' || coalesce(CAST(CAST(rescale_slope AS INT) AS VARCHAR), '?') WHEN 'PT' THEN concat_ws(' ', units, decay_correction) ELSE 'TE ' || coalesce(CAST(CAST(te AS INT) AS VARCHAR), '?') END) || ' |' AS line FROM inv""")

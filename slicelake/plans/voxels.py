@@ -160,6 +160,12 @@ def _(s, d):
     return grown(s, d).select("seed", "k", "r", "c", "v")
 
 
+@query("v02_seed_status", "vvoxels", f"seeds AS (SELECT {NUM} AS seed, series, k AS sk, r AS sr, c + 20 AS sc FROM vvoxels WHERE v >= 330) SELECT seed, v, CASE WHEN v IS NULL THEN 'outside the image' WHEN v > 80 AND v < 2000 THEN 'grown' ELSE 'outside the band' END AS status FROM seeds s LEFT JOIN vvoxels v ON s.series = v.series AND sk = k AND sr = r AND sc = c")
+def _(s, d):
+    x = big(s, d)
+    return V.seed_status(seeds_of(x).withColumn("sc", c("sc") + 20), x, 80, 2000)
+
+
 @query("a09_region_3d", "vvoxels", f"{GROW}, p AS (SELECT seed, k, count(*) AS n FROM g GROUP BY ALL) SELECT seed, CAST(sum(n) AS BIGINT) AS voxels, round(sum(n) * 0.002, 6)::DOUBLE AS ml, min(k) AS k0, max(k) AS k1, (max(k) - min(k)) * 2.0::DOUBLE + 2.0::DOUBLE AS craniocaudal_mm, arg_min(k, (-n, k)) AS largest_k FROM p GROUP BY seed")
 def _(s, d):
     return V.region_3d(grown(s, d), 0.002, 2.0).withColumn("ml", F.round("ml", 6))
@@ -188,8 +194,8 @@ def _(s, d):
 MASK2 = "m AS (SELECT series, k, r, c FROM voxels WHERE v > 450)"
 FERET = f"""{MASK2}, {EDGE}, q AS (SELECT series, k, r * 0.7::DOUBLE AS y, c * 0.9::DOUBLE AS x FROM ed), pr AS (SELECT a.series, a.k, a.y AS y1, a.x AS x1, b.y AS y2, b.x AS x2, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d FROM q a JOIN q b ON a.series = b.series AND a.k = b.k AND (a.y, a.x) <= (b.y, b.x)),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, k ORDER BY round(d, 9) DESC, y1, x1, y2, x2) AS rn FROM pr) WHERE rn = 1),
-t AS (SELECT w.series, w.k, d, q.y * CASE WHEN d > 0 THEN (x2 - x1) / d ELSE 1 END - q.x * CASE WHEN d > 0 THEN (y2 - y1) / d ELSE 0 END AS t FROM w JOIN q ON q.series = w.series AND q.k = w.k)
-SELECT series, k, round(d + 0.8::DOUBLE, 5) AS long_mm, round(max(t) - min(t) + 0.8::DOUBLE, 5) AS short_mm FROM t GROUP BY series, k, d"""
+t AS (SELECT w.series, w.k, d, y1, x1, y2, x2, q.y * CASE WHEN d > 0 THEN (x2 - x1) / d ELSE 1 END - q.x * CASE WHEN d > 0 THEN (y2 - y1) / d ELSE 0 END AS t FROM w JOIN q ON q.series = w.series AND q.k = w.k)
+SELECT series, k, round(d + 0.8::DOUBLE, 5) AS long_mm, round(max(t) - min(t) + 0.8::DOUBLE, 5) AS short_mm, CAST(round(y1 / 0.7::DOUBLE) AS INT) AS r1, CAST(round(x1 / 0.9::DOUBLE) AS INT) AS c1, CAST(round(y2 / 0.7::DOUBLE) AS INT) AS r2, CAST(round(x2 / 0.9::DOUBLE) AS INT) AS c2 FROM t GROUP BY series, k, d, y1, x1, y2, x2"""
 
 
 @query("v03_feret", "voxels", FERET)
