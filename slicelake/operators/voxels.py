@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from slicelake.graph import connected_components as components_of
 from slicelake.operators import dense
+from slicelake.operators.bricks import Brick, over_bricks, packed, voxel_rows
 from slicelake.scratch import written
 
 c = F.col
@@ -20,6 +21,9 @@ KEY = ("series", "k", "r", "c")
 BITS = 21
 #: Slices that one task labels together.
 SLAB = 8
+#: Places of a brick along k, r and c.
+SIDE = (16, 64, 64)
+VOXELS = "series int, k int, r int, c int, v double"
 
 
 def offsets(conn: int) -> list[tuple[int, int, int]]:
@@ -440,62 +444,107 @@ def layer_thickness(mask: DataFrame) -> DataFrame:
     return per_group(mask.select(*KEY), ("series", "k"), run, f"{_columns(mask.select('series', 'k'))}, thickness double")
 
 
-def resample(voxels: DataFrame, grid: DataFrame) -> DataFrame:
-    """Trilinear values at (series, k, r, c, z, y, x): target places and their source coordinates; corners that don't exist weigh nothing.
+def resample_iso(voxels: DataFrame, step: float, rows: int, cols: int) -> DataFrame:
+    """(series, k, r, c, v): trilinear values ``step`` source places apart along each axis, from the first slice of a series to the last and over the whole image.
 
-    Each target asks for at most eight corners by equal integer keys, so the join is an equi-join of its own grid.
+    A brick gives the targets whose lower corner it holds, with one place more on each side; corners without a voxel weigh
+    as zeros, and bricks without any give no targets.
     """
-    corners = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("a", "b", "e"), strict=True)]) for o in itertools.product((0, 1), repeat=3)])
-    rows = grid.withColumn("o", F.explode(corners))
-    weight = F.lit(1.0)
-    for axis, n in (("z", "a"), ("y", "b"), ("x", "e")):
-        low = F.floor(axis)
-        rows = rows.withColumn(f"s{n}", (low + c(f"o.{n}")).cast("int"))
-        weight = weight * F.when(c(f"o.{n}") == 0, 1 - (c(axis) - low)).otherwise(c(axis) - low)
-    rows = rows.withColumn("w", weight).where("w > 0")
-    source = voxels.select("series", c("k").alias("sa"), c("r").alias("sb"), c("c").alias("se"), "v")
-    return rows.join(source, ["series", "sa", "sb", "se"], "left").groupBy(*KEY).agg(F.sum(c("w") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    ends = voxels.groupBy("series").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    halo = (1, 1, 1)
+
+    def run(brick: Brick) -> dict[str, np.ndarray]:
+        x, at, low, share = np.nan_to_num(brick.values, nan=0.0), [], [], []
+        for first, side, start, last in zip(brick.first, SIDE, (brick.facts["k0"], 0, 0), (brick.facts["k1"], rows - 1, cols - 1), strict=True):
+            t = np.arange(max(0, int((first - start) / step) - 2), max(0, int((first + side - start) / step) + 3))
+            t = t[(t <= np.floor((last - start) / step)) & (np.floor(start + t * step) >= first) & (np.floor(start + t * step) < first + side)]
+            z = start + t * step
+            at.append(t)
+            low.append(np.floor(z).astype(int) - first + 1)
+            share.append(z - np.floor(z))
+        out = 0.0
+        for a, b, e in itertools.product((0, 1), repeat=3):
+            w = [f if o else 1 - f for f, o in zip(share, (a, b, e), strict=True)]
+            out = out + x[np.ix_(low[0] + a, low[1] + b, low[2] + e)] * (w[0][:, None, None] * w[1][:, None] * w[2])
+        k, r, k2 = np.meshgrid(*at, indexing="ij")
+        return {"series": np.full(k.size, brick.series), "k": k.ravel(), "r": r.ravel(), "c": k2.ravel(), "v": np.ravel(out)}
+
+    return over_bricks(packed(voxels, SIDE, halo).join(ends, "series"), SIDE, halo, run, VOXELS)
 
 
 def separable_filter(voxels: DataFrame, kernel: list[float], axis: str, size: int) -> DataFrame:
-    """Correlation along an axis of a dense grid of ``size`` places, with borders reflected."""
-    half = len(kernel) // 2
-    table = F.explode(F.array(*[F.struct(F.lit(i - half).alias("o"), F.lit(float(w)).alias("w")) for i, w in enumerate(kernel)]))
-    at = c(axis) + c("t.o")
-    mirrored = F.when(at < 0, -at - 1).when(at >= size, 2 * size - 1 - at).otherwise(at)
-    rows = voxels.select(*KEY).withColumn("t", table).withColumn("at", mirrored.cast("int")).withColumn("w", c("t.w"))
-    others = [x for x in KEY if x != axis]
-    source = voxels.select(*others, c(axis).alias("at"), "v")
-    return rows.join(source, [*others, "at"]).groupBy(*KEY).agg(F.sum(c("w") * c("v")).alias("v"))
+    """Correlation along an axis of a dense grid of ``size`` places, with borders reflected; places without a voxel add nothing."""
+    half, at = len(kernel) // 2, KEY.index(axis) - 1
+    halo = tuple(half if i == at else 0 for i in range(3))
+
+    def run(brick: Brick) -> dict[str, np.ndarray]:
+        first, n = brick.first[at], SIDE[at]
+        x = np.moveaxis(np.nan_to_num(brick.values, nan=0.0), at, 0)
+        place = np.arange(first - half, first + n + half)
+        mirrored = np.where(place < 0, -place - 1, np.where(place >= size, 2 * size - 1 - place, place)) - first + half
+        x = x[np.clip(mirrored, 0, len(x) - 1)]
+        out = sum(w * x[i : i + n] for i, w in enumerate(map(float, kernel)))
+        return voxel_rows(brick, np.moveaxis(out, 0, at))
+
+    return over_bricks(packed(voxels, SIDE, halo), SIDE, halo, run, VOXELS)
 
 
 def local_maxima(features: DataFrame, tau: float, reach: int = 2) -> DataFrame:
     """Voxels of score v >= tau that equal the maximum of the cube about them; one, the smallest, of each plateau."""
-    rows = features
-    for axis in ("k", "r", "c"):
-        others = [x for x in KEY if x != axis]
-        source = "v" if axis == "k" else "m"
-        rows = rows.withColumn("m", F.max(source).over(Window.partitionBy(*others).orderBy(axis).rangeBetween(-reach, reach)))
-    peaks = rows.where((c("v") >= tau) & (c("v") == c("m"))).select(*KEY, "v")
+    halo = (reach,) * 3
+
+    def run(brick: Brick) -> dict[str, np.ndarray]:
+        most = np.nan_to_num(brick.values, nan=-np.inf)
+        for axis, n in enumerate(SIDE):
+            x = np.moveaxis(most, axis, 0)
+            most = np.moveaxis(np.maximum.reduce([x[i : i + n] for i in range(2 * reach + 1)]), 0, axis)
+        own = brick.own()
+        return voxel_rows(brick, own, (own >= tau) & (own == most))
+
+    peaks = over_bricks(packed(features, SIDE, halo), SIDE, halo, run, VOXELS)
     parts = connected_components(peaks, 26)
     return parts.groupBy("series", "component").agg(F.min_by(F.struct(*KEY, "v"), F.struct(*KEY)).alias("p")).select("p.*")
 
 
-def deshear(voxels: DataFrame, dr: float, dc: float, rows: int, cols: int) -> DataFrame:
-    """Each slice moved by its rounded drift; what it leaves empty holds the least value of the series."""
-    moved = voxels.select("series", "k", (c("r") + F.bround(c("k") * dr).cast("int")).alias("r"), (c("c") + F.bround(c("k") * dc).cast("int")).alias("c"), "v")
+def over_slices(voxels: DataFrame, rows: int, cols: int, f: Callable[[Brick], dict[str, np.ndarray]], schema: str, facts: DataFrame | None = None) -> DataFrame:
+    """Rows that ``f`` gives for each slice, an array of the image's size; ``facts`` (series, ...) are joined to slices, not to voxels."""
+    side = (1, rows, cols)
+    pieces = packed(voxels, side)
+    return over_bricks(pieces if facts is None else pieces.join(facts, "series"), side, (0, 0, 0), f, schema)
+
+
+def deshear(voxels: DataFrame, drifts: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Each slice k of a series (series, row_drift, col_drift; as tilt_fit gives them) moved by its drift times k, rounded to pixels; what it leaves empty holds the least value of the series."""
     floor = voxels.groupBy("series").agg(F.min("v").alias("floor"))
-    return full_grid(voxels, rows, cols).join(moved, list(KEY), "left").join(floor, "series").select(*KEY, F.coalesce("v", "floor").alias("v"))
+
+    def run(brick: Brick) -> dict[str, np.ndarray]:
+        k, image = brick.first[0], brick.values[0]
+        dr, dc = (int(np.round(k * brick.facts[x])) for x in ("row_drift", "col_drift"))
+        r, c_ = np.nonzero(~np.isnan(image))
+        inside = (r + dr >= 0) & (r + dr < rows) & (c_ + dc >= 0) & (c_ + dc < cols)
+        out = np.full((1, rows, cols), brick.facts["floor"])
+        out[0, r[inside] + dr, c_[inside] + dc] = image[r[inside], c_[inside]]
+        return voxel_rows(brick, out, np.ones_like(out, bool))
+
+    return over_slices(voxels, rows, cols, run, VOXELS, floor.join(drifts.select("series", "row_drift", "col_drift"), "series"))
 
 
 def rotate_mip(voxels: DataFrame, degrees: list[int], rows: int, cols: int) -> DataFrame:
     """Maximum along rows of each slice turned about its centre, by nearest source pixel; places without one hold 0."""
     cy, cx = (rows - 1) / 2, (cols - 1) / 2
-    grid = full_grid(voxels, rows, cols).withColumn("deg", F.explode(F.array(*map(F.lit, degrees))))
-    t = F.radians(c("deg"))
-    grid = grid.withColumns({"sr": F.bround(F.round((c("r") - cy) * F.cos(t) + (c("c") - cx) * F.sin(t) + cy, 6)).cast("int"), "sc": F.bround(F.round((c("c") - cx) * F.cos(t) - (c("r") - cy) * F.sin(t) + cx, 6)).cast("int")})
-    source = voxels.select("series", "k", c("r").alias("sr"), c("c").alias("sc"), "v")
-    return grid.join(source, ["series", "k", "sr", "sc"], "left").groupBy("deg", "series", "k", "c").agg(F.max(F.coalesce("v", F.lit(0.0))).alias("v"))
+
+    def run(brick: Brick) -> dict[str, np.ndarray]:
+        image, r, at = np.nan_to_num(brick.values[0], nan=0.0), np.arange(rows)[:, None] - cy, np.arange(cols)[None] - cx
+        out = []
+        for t in np.radians(degrees):
+            sr = np.round(np.round(r * np.cos(t) + at * np.sin(t) + cy, 6)).astype(int)
+            sc = np.round(np.round(at * np.cos(t) - r * np.sin(t) + cx, 6)).astype(int)
+            inside = (sr >= 0) & (sr < rows) & (sc >= 0) & (sc < cols)
+            out.append(np.where(inside, image[np.clip(sr, 0, rows - 1), np.clip(sc, 0, cols - 1)], 0.0).max(axis=0))
+        n = len(degrees) * cols
+        return {"deg": np.repeat(degrees, cols), "series": np.full(n, brick.series), "k": np.full(n, brick.first[0]), "c": np.tile(np.arange(cols), len(degrees)), "v": np.concatenate(out)}
+
+    return over_slices(voxels, rows, cols, run, "deg int, series int, k int, c int, v double")
 
 
 def robust_band(balls: DataFrame) -> DataFrame:

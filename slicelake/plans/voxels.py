@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slicelake import fixtures as X
 from slicelake.operators import voxels as V
+from slicelake.operators.inventory import tilt_fit
 from slicelake.plans.registry import query
 
 c = F.col
@@ -388,13 +389,6 @@ def _(s, d):
     return V.layer_thickness(vmask(s, d)).withColumn("thickness", F.round("thickness", 6))
 
 
-def target_grid(x, f: float, rows: int, cols: int):
-    n = x.groupBy("series").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
-    seq = lambda hi: F.explode(F.sequence(F.lit(0), F.floor(hi / f).cast("int")))
-    g = n.withColumn("k", seq(c("k1") - c("k0"))).withColumn("r", seq(F.lit(rows - 1))).withColumn("c", seq(F.lit(cols - 1)))
-    return g.select("series", "k", "r", "c", (c("k0") + c("k") * f).alias("z"), (c("r") * f).alias("y"), (c("c") * f).alias("x"))
-
-
 def trilinear(f: float, rows: int, cols: int, name: str) -> str:
     return f"""n AS (SELECT series, min(k) AS k0, max(k) AS k1 FROM {name} GROUP BY series), tk AS (SELECT series, k0, unnest(generate_series(0, CAST(floor((k1 - k0) / {f}::DOUBLE) AS INT))) AS k FROM n), tr AS (SELECT unnest(generate_series(0, CAST(floor({rows - 1} / {f}::DOUBLE) AS INT))) AS r), tc AS (SELECT unnest(generate_series(0, CAST(floor({cols - 1} / {f}::DOUBLE) AS INT))) AS c),
 g AS (SELECT series, k, r, c, k0 + k * {f}::DOUBLE AS z, r * {f}::DOUBLE AS y, c * {f}::DOUBLE AS x FROM tk, tr, tc), o AS (SELECT a.a, b.b, e.e FROM (SELECT unnest(list_value(0, 1)) AS a) a, (SELECT unnest(list_value(0, 1)) AS b) b, (SELECT unnest(list_value(0, 1)) AS e) e),
@@ -404,14 +398,12 @@ SELECT w.series, CAST(w.k AS INT) AS k, CAST(w.r AS INT) AS r, CAST(w.c AS INT)
 
 @query("v10_resample_iso", "vvoxels", trilinear(0.75, 50, 64, "vvoxels"))
 def _(s, d):
-    x = big(s, d)
-    return V.resample(x, target_grid(x, 0.75, 50, 64)).withColumn("v", F.round("v", 6) + 0.0)
+    return V.resample_iso(big(s, d), 0.75, 50, 64).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query("v17_preview", "vvoxels", trilinear(2.5, 50, 64, "vvoxels"))
 def _(s, d):
-    x = big(s, d)
-    return V.resample(x, target_grid(x, 2.5, 50, 64)).withColumn("v", F.round("v", 6) + 0.0)
+    return V.resample_iso(big(s, d), 2.5, 50, 64).withColumn("v", F.round("v", 6) + 0.0)
 
 
 KERNEL = [0.25, 0.5, 0.25]
@@ -428,9 +420,15 @@ def _(s, d):
     return V.local_maxima(big(s, d), 150)
 
 
-@query("v15_deshear", "vvoxels", f"f AS (SELECT series, min(v) AS f FROM vvoxels GROUP BY series) SELECT g.series, g.k, g.r, g.c, coalesce(v.v, f) AS v FROM vvoxels g JOIN f USING (series) LEFT JOIN vvoxels v ON v.series = g.series AND v.k = g.k AND g.r = v.r + CAST(round_even(v.k * 0.7::DOUBLE, 0) AS INT) AND g.c = v.c + CAST(round_even(v.k * -0.3::DOUBLE, 0) AS INT)")
+@query("v15_deshear", "vvoxels", f"f AS (SELECT series, min(v) AS f FROM vvoxels GROUP BY series) SELECT g.series, g.k, g.r, g.c, coalesce(v.v, f) AS v FROM vvoxels g JOIN f USING (series) LEFT JOIN vvoxels v ON v.series = g.series AND v.k = g.k AND g.r = v.r + CAST(round_even(v.k * 0.63::DOUBLE, 0) AS INT) AND g.c = v.c + CAST(round_even(v.k * -0.27::DOUBLE, 0) AS INT)")
 def _(s, d):
-    return V.deshear(big(s, d), 0.7, -0.3, 50, 64)
+    # the slices' headers: 1 mm apart, pixels of 0.7 by 0.9 mm, origins that drift by 0.63 and -0.27 pixels a slice
+    x = big(s, d)
+    headers = x.select("series", "k").distinct().select(
+        c("series").alias("series_uid"), c("k").cast("string").alias("sop_uid"), c("k").cast("string").alias("path"), F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0)]).alias("iop"),
+        (c("k") * 0.9 * -0.27).alias("ipp_x"), (c("k") * 0.7 * 0.63).alias("ipp_y"), c("k").cast("double").alias("ipp_z"), F.lit(0.7).alias("row_sp"), F.lit(0.9).alias("col_sp"),
+    )
+    return V.deshear(x, tilt_fit(headers).withColumnRenamed("series_uid", "series"), 50, 64)
 
 
 @query("v16_rotate_mip", "vvoxels", """g AS (SELECT series, k, r, c, unnest(list_value(0, 30, 75)) AS deg FROM vvoxels), a AS (SELECT *, CAST(round_even(round((r - 24.5::DOUBLE) * cos(radians(deg)) + (c - 31.5::DOUBLE) * sin(radians(deg)) + 24.5::DOUBLE, 6), 0) AS INT) AS sr, CAST(round_even(round((c - 31.5::DOUBLE) * cos(radians(deg)) - (r - 24.5::DOUBLE) * sin(radians(deg)) + 31.5::DOUBLE, 6), 0) AS INT) AS sc FROM g)
