@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from slicelake.graph import connected_components as components_of
 from slicelake.operators import dense
 from slicelake.operators.bricks import Brick, over_bricks, packed, voxel_rows
+from slicelake.operators.quantiles import exact_quantiles
+from slicelake.operators.relations import nearest_slice
 from slicelake.scratch import written
 
 c = F.col
@@ -77,8 +79,8 @@ def box_voxels(boxes: DataFrame, voxels: DataFrame, block: int = 16) -> DataFram
 
 
 def percentile_window(voxels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """(series, lo, hi): exact percentiles of each series' values."""
-    return voxels.groupBy("series").agg(*[F.percentile("v", F.lit(x)).alias(n) for n, x in (("lo", low), ("hi", high))])
+    """(series, lo, hi): exact percentiles of each series' values, by radix selection: no buffer grows with its voxels."""
+    return exact_quantiles(voxels, ("series",), "v", {"lo": low, "hi": high})
 
 
 def value_range(voxels: DataFrame) -> DataFrame:
@@ -432,13 +434,12 @@ def dice(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("series").agg((2 * F.count_if(c("a").isNotNull() & c("b").isNotNull()) / (F.count("a") + F.count("b"))).alias("dice"))
 
 
-def layer_thickness(mask: DataFrame) -> DataFrame:
-    """Twice the depth of the deepest pixel of each slice, by its nearest boundary pixel of the same slice: an exact distance transform in the slice's task."""
+def layer_thickness(mask: DataFrame, spacing: tuple[float, float]) -> DataFrame:
+    """(series, k, thickness): twice the largest distance in mm from a pixel of each slice to the nearest place outside the mask; an exact distance transform in the slice's task. Places beyond the image are outside."""
 
     def run(at: dict[str, np.ndarray], table: pa.Table) -> pa.Table:
         image, _ = dense.grid([at["r"], at["c"]], pad=1)
-        edge = image & ~_cross(image, np.logical_and)
-        depth = np.sqrt(dense.squared_distance(edge, (1.0, 1.0))[image].max())
+        depth = np.sqrt(dense.squared_distance(~image, spacing).max())
         return table.select(["series", "k"]).slice(0, 1).append_column("thickness", pa.array([2 * float(depth)]))
 
     return per_group(mask.select(*KEY), ("series", "k"), run, f"{_columns(mask.select('series', 'k'))}, thickness double")
@@ -547,12 +548,32 @@ def rotate_mip(voxels: DataFrame, degrees: list[int], rows: int, cols: int) -> D
     return over_slices(voxels, rows, cols, run, "deg int, series int, k int, c int, v double")
 
 
+#: Tissues that a band is made for, by the words of a seed's profile; any other is solid.
+PROFILES = ("bulla", "effusion", "cyst", "solid")
+
+
+def tissue_band(profile: Column, centre: Column, noise: Column) -> tuple[Column, Column]:
+    """Limits in HU of the band about a seed's median by its tissue: fixed values of the published profiles."""
+    g, least = F.greatest, F.least
+    lit = lambda x: F.lit(float(x))
+    lo = (
+        F.when(profile == "bulla", lit(-1100)).when(profile == "effusion", g(lit(-40), centre - 45)).when(profile == "cyst", g(lit(-200), centre - g(lit(70), 3 * noise)))
+        .when(centre > 450, lit(150)).otherwise(g(lit(-450), centre - g(lit(180), 4 * noise)))
+    )
+    hi = (
+        F.when(profile == "bulla", least(lit(-450), centre + g(lit(100), 3 * noise))).when(profile == "effusion", least(lit(75), centre + 45)).when(profile == "cyst", centre + g(lit(80), 3 * noise))
+        .when(centre > 450, lit(4000)).otherwise(centre + g(lit(250), 4 * noise))
+    )
+    return lo, hi
+
+
 def robust_band(balls: DataFrame) -> DataFrame:
-    """(point, median, spread, lo, hi): median and scaled absolute deviation, at least 15, of each ball's values."""
-    medians = balls.groupBy("point").agg(F.expr("percentile(v, 0.5D)").alias("median"))
-    rows = balls.join(medians, "point").groupBy("point", "median").agg(F.expr("percentile(abs(v - median), 0.5D)").alias("mad"))
-    spread = F.greatest(F.lit(15.0), 1.4826 * c("mad"))
-    return rows.select("point", "median", spread.alias("spread"), (c("median") - 2.5 * spread).alias("lo"), (c("median") + 2.5 * spread).alias("hi"))
+    """(point, profile, median, spread, lo, hi): median and scaled absolute deviation, at least 15, of the values (point, profile, v) of each seed's ball, and the band that its tissue gives; a ball's size is fixed."""
+    medians = balls.groupBy("point", "profile").agg(F.expr("percentile(v, 0.5D)").alias("median"))
+    rows = balls.join(medians.drop("profile"), "point").groupBy("point", "profile", "median").agg(F.expr("percentile(abs(v - median), 0.5D)").alias("mad"))
+    rows = rows.withColumn("spread", F.greatest(F.lit(15.0), 1.4826 * c("mad")))
+    lo, hi = tissue_band(c("profile"), c("median"), c("spread"))
+    return rows.select("point", "profile", "median", "spread", lo.alias("lo"), hi.alias("hi"))
 
 
 def region_3d(grown: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
@@ -573,14 +594,56 @@ def region_2d(grown: DataFrame, pixel_mm2: float, rows: int, cols: int) -> DataF
     )
 
 
-def top_hotspots(summary: DataFrame, n: int) -> DataFrame:
-    """The n hottest components that begin in each slice of a series, with their place."""
-    w = Window.partitionBy("series", "k0").orderBy(c("most").desc(), "pk", "pr", "pc")
-    return summary.withColumn("place", F.row_number().over(w)).where(c("place") <= n)
-
-
 def component_summary(parts: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
     """A row for each component: size, volume, values, extent, and the first of its largest voxels."""
     return parts.groupBy("series", "component").agg(
         F.count("*").alias("voxels"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.max_by(F.struct("k", "r", "c"), F.struct("v", -c("k"), -c("r"), -c("c"))).alias("p")
     ).select("series", "component", "voxels", (c("voxels") * voxel_ml).alias("ml"), "most", "mean", "k0", "k1", ((c("k1") - c("k0") + 1) * dz).alias("extent_mm"), c("p.k").alias("pk"), c("p.r").alias("pr"), c("p.c").alias("pc"))
+
+
+def hotspots(parts: DataFrame, slices: DataFrame, ct: DataFrame, voxel_ml: float, dz: float) -> DataFrame:
+    """component_summary() with the peak's place in mm, its side, and the CT image nearest to it.
+
+    ``slices`` (series, k, study_uid, z, ipp_x, ipp_y, row_sp, col_sp) place the volume, ``ct`` (study_uid, k, z, instance) its
+    study's CT. The right of the patient is where x is negative. A peak outside the range of z that both share has no CT image.
+    """
+    place = slices.select("series", c("k").alias("pk"), "study_uid", "z", "ipp_x", "ipp_y", "row_sp", "col_sp")
+    rows = component_summary(parts, voxel_ml, dz).join(place, ["series", "pk"])
+    rows = rows.withColumns({"z_mm": c("z"), "x_mm": c("ipp_x") + c("pc") * c("col_sp"), "y_mm": c("ipp_y") + c("pr") * c("row_sp")}).withColumn("side", F.when(c("x_mm") < 0, "R").otherwise("L"))
+    own = slices.groupBy("study_uid").agg(F.min("z").alias("a"), F.max("z").alias("b"))
+    common = ct.groupBy("study_uid").agg(F.min("z").alias("d"), F.max("z").alias("e")).join(own, "study_uid").select("study_uid", F.greatest("a", "d").alias("low"), F.least("b", "e").alias("high"))
+    asked = rows.join(common, "study_uid").where(c("z_mm").between(c("low"), c("high"))).select(c("z_mm").alias("request"), "study_uid", c("z_mm").alias("at")).distinct()
+    near = nearest_slice(asked, ct.select("study_uid", "k", "z", F.lit(0.0).alias("dz")), "study_uid").select("study_uid", c("at").alias("z_mm"), c("k").alias("ct_k"))
+    near = near.join(ct.select("study_uid", c("k").alias("ct_k"), c("instance").alias("ct_instance")), ["study_uid", "ct_k"]).drop("ct_k")
+    return rows.join(near, ["study_uid", "z_mm"], "left").drop("z", "ipp_x", "ipp_y", "row_sp", "col_sp")
+
+
+def top_hotspots(summary: DataFrame, n: int) -> DataFrame:
+    """The n hottest components of each study, with their place; ties by series and place of the peak."""
+    w = Window.partitionBy("study_uid").orderBy(c("most").desc(), "series", "pk", "pr", "pc")
+    return summary.withColumn("place", F.row_number().over(w)).where(c("place") <= n)
+
+
+def mask_digest(masks: DataFrame, by: str) -> DataFrame:
+    """(by, id): a digest of each mask's runs that doesn't depend on their order: the sum of 48 bits of each run's hash."""
+    runs = row_runs(masks.select(c(by).alias("series"), "k", "r", "c"))
+    own = F.conv(F.substring(F.md5(F.concat_ws(".", "k", "r", "c0", "c1")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return runs.groupBy(c("series").alias(by)).agg(F.concat(F.lit("M"), F.sum(own).cast("string")).alias("id"))
+
+
+def lesion_summary(masks: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+    """A row for each mask (seed, k, r, c, v): size, volume, extent, the physical centroid in mm, the voxel of the mask nearest to it, the range of its values from the 2nd to the 98th percentile, and an id by its content.
+
+    The focus lies in the mask where the centroid doesn't, in a crescent; of equally near voxels it is the first.
+    """
+    ml = spacing[0] * spacing[1] * spacing[2] / 1000
+    mm = dict(zip(("k", "r", "c"), spacing, strict=True))
+    rows = masks.groupBy("seed").agg(
+        F.count("*").alias("voxels"), (F.count("*") * ml).alias("ml"), F.min("k").alias("k0"), F.max("k").alias("k1"), ((F.max("k") - F.min("k") + 1) * spacing[0]).alias("craniocaudal_mm"), F.avg("v").alias("mean"),
+        *[(F.avg(x) * s).alias(f"{x}_mm") for x, s in mm.items()],
+    )
+    d2 = F.round(sum(F.pow(c(x) * s - c(f"{x}_mm"), F.lit(2)) for x, s in mm.items()), 6)
+    focus = masks.join(rows.select("seed", *[f"{x}_mm" for x in mm]), "seed").groupBy("seed").agg(F.min_by(F.struct("k", "r", "c"), F.struct(d2, "k", "r", "c")).alias("f"))
+    heat = exact_quantiles(masks, ("seed",), "v", {"heat_lo": 0.02, "heat_hi": 0.98})
+    out = rows.join(focus.select("seed", c("f.k").alias("focus_k"), c("f.r").alias("focus_r"), c("f.c").alias("focus_c")), "seed")
+    return out.join(heat, "seed").join(mask_digest(masks, "seed"), "seed")

@@ -8,7 +8,7 @@ from slicelake import fixtures as X
 from slicelake.operators import features as E
 from slicelake.operators import voxels as V
 from slicelake.plans.registry import query
-from slicelake.plans.voxels import GROW, grown, seeds_of
+from slicelake.plans.voxels import BAND, GROW, NUM, comp, grown, rounded_summary, seeds_of, summary_sql
 from slicelake.scratch import scratch_path, written
 from slicelake.sources import files as S
 
@@ -77,10 +77,20 @@ def _(s, d):
     return E.candidate_passport(features(s, d), slices(s, d))
 
 
-@query("v18_threshold_lesions")
+LESIONS = f"""seeds AS (SELECT {NUM} AS seed, series, k AS sk, r AS sr, c AS sc FROM vvoxels WHERE v >= 330), nb AS (SELECT seed, 'solid' AS profile, v.series, v.k, v.r, v.c, v, sk, sr, sc, pow((v.k - sk) * 2.0::DOUBLE, 2) + pow((v.r - sr) * 1.0::DOUBLE, 2) + pow((v.c - sc) * 1.0::DOUBLE, 2) AS d2 FROM seeds s JOIN vvoxels v ON s.series = v.series AND abs(v.k - sk) <= 6 AND abs(v.r - sr) <= 6 AND abs(v.c - sc) <= 6),
+b AS (SELECT seed AS point, profile, v FROM nb WHERE d2 <= 9), {BAND}, ib AS (SELECT seed AS series, k, r, c, v, sk, sr, sc, sqrt(d2) > 5 AS edge FROM nb JOIN bd ON seed = point WHERE d2 <= 36 AND v > lo AND v < hi), {comp('ib', 'gc')},
+ow AS (SELECT series, component FROM gc WHERE k = sk AND r = sr AND c = sc), gr AS (SELECT gc.* FROM gc SEMI JOIN ow USING (series, component)), ca AS (SELECT series, any_value(sk) AS sk, any_value(sr) AS sr, any_value(sc) AS sc, least(3, greatest(1, 0.12::DOUBLE * 2 * pow(3 * count(*) * 2.0::DOUBLE / (4 * pi()), 1 / 3.0::DOUBLE))) AS cal FROM gr GROUP BY series),
+of AS (SELECT a AS dk, b AS dr, e AS dc, sqrt(pow(a * 2.0::DOUBLE, 2) + b * b + e * e) AS d FROM (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-4, 5)) AS b), (SELECT unnest(range(-4, 5)) AS e)),
+ne AS (SELECT DISTINCT p.series, p.k, p.r, p.c FROM (SELECT gr.series, k, r, c, k + dk AS k2, r + dr AS r2, c + dc AS c2 FROM gr JOIN ca USING (series), of WHERE cal > 1 AND d < cal) p ANTI JOIN gr x ON x.series = p.series AND x.k = k2 AND x.r = r2 AND x.c = c2), er AS (SELECT gr.series, k, r, c FROM gr JOIN ca USING (series) ANTI JOIN ne USING (series, k, r, c) WHERE cal > 1),
+wi AS (SELECT DISTINCT er.series, k + dk AS k, r + dr AS r, c + dc AS c FROM er JOIN ca USING (series), of WHERE d <= cal), wn AS (SELECT w.series, w.k + 8 AS k, w.r + 8 AS r, w.c + 8 AS c, sk + 8 AS sk, sr + 8 AS sr, sc + 8 AS sc FROM wi w JOIN ca USING (series)), {comp('wn', 'wc', 6)}, wo AS (SELECT series, component FROM wc WHERE k = sk AND r = sr AND c = sc), core AS (SELECT series, k - 8 AS k, r - 8 AS r, c - 8 AS c FROM wc SEMI JOIN wo USING (series, component)),
+kp AS (SELECT DISTINCT core.series, k + dk AS k, r + dr AS r, c + dc AS c FROM core JOIN ca USING (series), of WHERE d <= cal + 1), g AS (SELECT series AS seed, k, r, c, v, edge FROM gr SEMI JOIN kp USING (series, k, r, c) UNION ALL SELECT series, k, r, c, v, edge FROM gr ANTI JOIN core USING (series) UNION ALL SELECT gr.series, k, r, c, v, edge FROM gr SEMI JOIN core USING (series) ANTI JOIN kp USING (series, k, r, c) WHERE k = sk AND r = sr AND c = sc),
+{summary_sql('g')}, st AS (SELECT seed, CASE WHEN bool_or(edge) THEN 'needs-review' ELSE 'draft' END AS status FROM g GROUP BY seed)"""
+
+
+@query("v18_threshold_lesions", "vvoxels", f"{LESIONS} SELECT * FROM ls JOIN st USING (seed)")
 def _(s, d):
     x = X.vector_voxels(s, d)
-    return E.threshold_lesions(seeds_of(x), x, 6.0, (2.0, 1.0, 1.0))
+    return rounded_summary(E.threshold_lesions(seeds_of(x).withColumn("profile", F.lit("solid")), x, 6.0, (2.0, 1.0, 1.0)))
 
 
 @query("v19_internal_chord", "vvoxels", f"""{GROW}, m AS (SELECT seed AS series, k, r, c FROM g), ed AS (SELECT DISTINCT a.* FROM m a, (SELECT unnest(list_value(1, -1, 0, 0)) AS dr, unnest(list_value(0, 0, 1, -1)) AS dc) o WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.series = a.series AND b.k = a.k AND b.r = a.r + dr AND b.c = a.c + dc)),

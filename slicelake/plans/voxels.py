@@ -124,21 +124,32 @@ def _(s, d):
     return V.connected_components(big(s, d).where("v >= 200"), 26, 2).select(*V.KEY, "component", "size")
 
 
-HOT = f"m AS (SELECT * FROM vvoxels WHERE v >= 200), {comp('m', 'cc')}, pk AS (SELECT *, row_number() OVER (PARTITION BY series, component ORDER BY v DESC, k, r, c) AS rn FROM cc), h AS (SELECT component, count(*) AS voxels, count(*) * 0.008::DOUBLE AS ml, max(v) AS most, avg(v) AS mean, min(k) AS k0, max(k) AS k1, (max(k) - min(k) + 1) * 2.0::DOUBLE AS extent_mm, max(CASE WHEN rn = 1 THEN k END) AS pk, max(CASE WHEN rn = 1 THEN r END) AS pr, max(CASE WHEN rn = 1 THEN c END) AS pc FROM pk WHERE size >= 3 GROUP BY series, component)"
+def hot_sql(voxels: str, least: int) -> str:
+    return f"m AS (SELECT * FROM {voxels} WHERE v >= {least}), {comp('m', 'cc')}, pk AS (SELECT *, row_number() OVER (PARTITION BY series, component ORDER BY v DESC, k, r, c) AS rn FROM cc), h AS (SELECT series, component, count(*) AS voxels, count(*) * 0.008::DOUBLE AS ml, max(v) AS most, avg(v) AS mean, min(k) AS k0, max(k) AS k1, (max(k) - min(k) + 1) * 2.0::DOUBLE AS extent_mm, max(CASE WHEN rn = 1 THEN k END) AS pk, max(CASE WHEN rn = 1 THEN r END) AS pr, max(CASE WHEN rn = 1 THEN c END) AS pc FROM pk WHERE size >= 3 GROUP BY series, component)"
 
 
-def hotspots(s, d):
-    return V.component_summary(V.connected_components(big(s, d).where("v >= 200"), 26, 3), 0.008, 2.0)
+def placed(x):
+    """Slices of the volumes 2 mm apart, and of a CT of every study 3 mm apart that begins later."""
+    k = x.select("series", "k").distinct()
+    study = F.concat(F.lit("S"), (c("series") % 3).cast("string")).alias("study_uid")
+    pet = k.select("series", "k", study, (c("k") * 2.0 + 0.5).alias("z"), *[F.lit(v).alias(n) for n, v in (("ipp_x", -25.6), ("ipp_y", -20.0), ("row_sp", 0.7), ("col_sp", 0.9))])
+    return pet, k.select(study, "k").distinct().select("study_uid", "k", (c("k") * 3.0 + 5.0).alias("z"), (c("k") + 1).alias("instance"))
 
 
-@query("a07_hotspots", "vvoxels", f"{HOT} SELECT component, voxels, round(ml, 6) AS ml, most, round(mean, 6) AS mean, k0, k1, extent_mm, pk, pr, pc, CASE WHEN pc < 32 THEN 'R' ELSE 'L' END AS side FROM h")
+@query("a07_hotspots", "vvoxels", f"""{hot_sql('vvoxels', 200)}, ct AS (SELECT DISTINCT k, k * 3.0::DOUBLE + 5 AS z, k + 1 AS instance FROM vvoxels), co AS (SELECT greatest((SELECT min(z) FROM ct), min(k) * 2.0::DOUBLE + 0.5) AS low, least((SELECT max(z) FROM ct), max(k) * 2.0::DOUBLE + 0.5) AS high FROM vvoxels),
+z AS (SELECT *, pk * 2.0::DOUBLE + 0.5 AS z_mm, -25.6::DOUBLE + pc * 0.9::DOUBLE AS x_mm, -20.0::DOUBLE + pr * 0.7::DOUBLE AS y_mm FROM h), i AS (SELECT z_mm, arg_min(instance, (abs(ct.z - z_mm), ct.k)) AS ct_instance FROM (SELECT DISTINCT z_mm FROM z), ct, co WHERE z_mm BETWEEN low AND high GROUP BY z_mm)
+SELECT component, voxels, round(ml, 6) AS ml, most, round(mean, 6) AS mean, k0, k1, extent_mm, pk, pr, pc, z.z_mm, round(x_mm, 6) AS x_mm, round(y_mm, 6) AS y_mm, CASE WHEN x_mm < 0 THEN 'R' ELSE 'L' END AS side, ct_instance FROM z LEFT JOIN i USING (z_mm)""")
 def _(s, d):
-    return hotspots(s, d).drop("series").withColumns({"ml": F.round("ml", 6), "mean": F.round("mean", 6), "side": F.when(c("pc") < 32, "R").otherwise("L")})
+    x = big(s, d)
+    h = V.hotspots(V.connected_components(x.where("v >= 200"), 26, 3), *placed(x), 0.008, 2.0)
+    return h.drop("series", "study_uid").withColumns({n: F.round(n, 6) for n in ("ml", "mean", "x_mm", "y_mm")})
 
 
-@query("o02_top_hotspots", "vvoxels", f"{HOT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k0 ORDER BY most DESC, pk, pr, pc) AS INT) AS place FROM h) SELECT component, k0, most, place FROM r WHERE place <= 3")
+@query("o02_top_hotspots", "voxels", f"{hot_sql('voxels', 300)}, r AS (SELECT *, 'S' || (series % 3) AS study_uid, CAST(row_number() OVER (PARTITION BY series % 3 ORDER BY most DESC, series, pk, pr, pc) AS INT) AS place FROM h) SELECT study_uid, series, component, most, place FROM r WHERE place <= 5")
 def _(s, d):
-    return V.top_hotspots(hotspots(s, d), 3).select("component", "k0", "most", "place")
+    x = X.grid_voxels(s, d)
+    h = V.hotspots(V.connected_components(x.where("v >= 300"), 26, 3), *placed(x), 0.008, 2.0)
+    return V.top_hotspots(h, 5).select("study_uid", "series", "component", "most", "place")
 
 
 GROW = f"""seeds AS (SELECT {NUM} AS seed, series, k AS sk, r AS sr, c AS sc FROM vvoxels WHERE v >= 330),
@@ -338,11 +349,18 @@ def _(s, d):
     return V.body_bbox(X.grid_voxels(s, d), 64, 64)
 
 
-@query("a20_robust_band", "voxels", """q AS (SELECT p_partkey AS point, p_partkey % 8 AS series, 1 + p_partkey % 7 AS pk, p_size AS pr, p_partkey % 64 AS pc FROM part), b AS (SELECT point, v.k, v.r, v.c, v FROM q JOIN voxels v ON q.series = v.series WHERE pow((k - pk) * 2.0::DOUBLE, 2) + pow((r - pr) * 1.0::DOUBLE, 2) + pow((c - pc) * 1.0::DOUBLE, 2) <= 25),
-m AS (SELECT point, quantile_cont(v, 0.5) AS median FROM b GROUP BY point), e AS (SELECT b.point, median, quantile_cont(abs(v - median), 0.5) AS mad FROM b JOIN m USING (point) GROUP BY b.point, median) SELECT point, round(median, 5) AS median, round(greatest(15, 1.4826::DOUBLE * mad), 5) AS spread, round(median - 2.5::DOUBLE * greatest(15, 1.4826::DOUBLE * mad), 5) AS lo, round(median + 2.5::DOUBLE * greatest(15, 1.4826::DOUBLE * mad), 5) AS hi FROM e""")
+BAND = """m AS (SELECT point, profile, quantile_cont(v, 0.5) AS median FROM b GROUP BY ALL), e AS (SELECT b.point, b.profile, median, greatest(15, 1.4826::DOUBLE * quantile_cont(abs(v - median), 0.5)) AS spread FROM b JOIN m USING (point) GROUP BY ALL),
+bd AS (SELECT *, CASE WHEN profile = 'bulla' THEN -1100 WHEN profile = 'effusion' THEN greatest(-40, median - 45) WHEN profile = 'cyst' THEN greatest(-200, median - greatest(70, 3 * spread)) WHEN median > 450 THEN 150 ELSE greatest(-450, median - greatest(180, 4 * spread)) END AS lo,
+CASE WHEN profile = 'bulla' THEN least(-450, median + greatest(100, 3 * spread)) WHEN profile = 'effusion' THEN least(75, median + 45) WHEN profile = 'cyst' THEN median + greatest(80, 3 * spread) WHEN median > 450 THEN 4000 ELSE median + greatest(250, 4 * spread) END AS hi FROM e)"""
+
+
+@query("a20_robust_band", "voxels", f"""q AS (SELECT p_partkey AS point, p_partkey % 8 AS series, 1 + p_partkey % 7 AS pk, p_size AS pr, p_partkey % 64 AS pc, list_value('bulla', 'effusion', 'cyst', 'solid')[1 + p_size % 4] AS profile FROM part), b AS (SELECT point, profile, v FROM q JOIN voxels v ON q.series = v.series WHERE pow((k - pk) * 2.0::DOUBLE, 2) + pow((r - pr) * 1.0::DOUBLE, 2) + pow((c - pc) * 1.0::DOUBLE, 2) <= 25),
+{BAND} SELECT point, profile, round(median, 5) AS median, round(spread, 5) AS spread, round(lo, 5)::DOUBLE AS lo, round(hi, 5)::DOUBLE AS hi FROM bd""")
 def _(s, d):
-    b = V.ball_voxels(points(s, d), X.grid_voxels(s, d), 5.0, (2.0, 1.0, 1.0)).join(X.grid_voxels(s, d), list(V.KEY))
-    return V.robust_band(b).withColumns({x: F.round(x, 5) for x in ("median", "spread", "lo", "hi")})
+    x, p = X.grid_voxels(s, d), points(s, d)
+    profile = F.element_at(F.array(*map(F.lit, V.PROFILES)), (1 + c("pr") % 4).cast("int"))
+    b = V.ball_voxels(p, x, 5.0, (2.0, 1.0, 1.0)).join(x, list(V.KEY)).join(p.select("point", profile.alias("profile")), "point")
+    return V.robust_band(b).withColumns({y: F.round(y, 5) for y in ("median", "spread", "lo", "hi")})
 
 
 def points(s, d):
@@ -360,17 +378,23 @@ def _(s, d):
     return V.value_range(X.grid_voxels(s, d))
 
 
-@query("a26_lesion_summary", "vvoxels", f"""{GROW}, a AS (SELECT seed, count(*) AS voxels, avg(k) AS ck, avg(r) AS cr, avg(c) AS cc, quantile_cont(v, 0.02) AS heat_lo, quantile_cont(v, 0.98) AS heat_hi, min(k) AS k0, max(k) AS k1, left(sha256(string_agg(k || '.' || r || '.' || c, ';' ORDER BY k, r, c)), 16) AS id FROM g GROUP BY seed),
-f AS (SELECT g.seed, arg_min(k * 1000000 + r * 1000 + c, (round(pow(k - ck, 2) + pow(r - cr, 2) + pow(c - cc, 2), 6), k, r, c)) AS focus FROM g JOIN a USING (seed) GROUP BY g.seed) SELECT seed, voxels, round(ck, 6) AS ck, round(cr, 6) AS cr, round(cc, 6) AS cc, round(heat_lo, 6) AS heat_lo, round(heat_hi, 6) AS heat_hi, k0, k1, id, focus FROM a JOIN f USING (seed)""")
+def summary_sql(g: str) -> str:
+    """SQL of the summaries of masks g (seed, k, r, c, v), as ``ls``."""
+    return f"""sa AS (SELECT seed, count(*) AS voxels, count(*) * 0.002::DOUBLE AS ml, min(k) AS k0, max(k) AS k1, (max(k) - min(k) + 1) * 2.0::DOUBLE AS craniocaudal_mm, avg(v) AS mean, avg(k) * 2.0::DOUBLE AS k_mm, avg(r) AS r_mm, avg(c) AS c_mm, quantile_cont(v, 0.02) AS heat_lo, quantile_cont(v, 0.98) AS heat_hi FROM {g} GROUP BY seed),
+sf AS (SELECT g.seed, arg_min({{'k': k, 'r': r, 'c': c}}, (round(pow(k * 2.0::DOUBLE - k_mm, 2) + pow(r - r_mm, 2) + pow(c - c_mm, 2), 6), k, r, c)) AS f FROM {g} g JOIN sa USING (seed) GROUP BY g.seed),
+sr AS (SELECT seed, k, r, min(c) AS c0, max(c) AS c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY seed, k, r ORDER BY c) AS i FROM {g}) GROUP BY seed, k, r, i), sd AS (SELECT seed, 'M' || sum(('0x' || left(md5(k || '.' || r || '.' || c0 || '.' || c1), 12))::BIGINT) AS id FROM sr GROUP BY seed),
+ls AS (SELECT seed, voxels, round(ml, 6) AS ml, k0, k1, craniocaudal_mm, round(mean, 6) AS mean, round(k_mm, 6) AS k_mm, round(r_mm, 6) AS r_mm, round(c_mm, 6) AS c_mm, f.k AS focus_k, f.r AS focus_r, f.c AS focus_c, round(heat_lo, 6) AS heat_lo, round(heat_hi, 6) AS heat_hi, id FROM sa JOIN sf USING (seed) JOIN sd USING (seed))"""
+
+
+def rounded_summary(df):
+    return df.withColumns({x: F.round(x, 6) for x in ("ml", "mean", "k_mm", "r_mm", "c_mm", "heat_lo", "heat_hi")})
+
+
+@query("a26_lesion_summary", "vvoxels", f"{GROW}, {summary_sql('g')} SELECT * FROM ls")
 def _(s, d):
     from slicelake.scratch import written
 
-    g = written(grown(s, d), "grown")
-    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r", "c"))), lambda p: F.concat_ws(".", p["k"], p["r"], p["c"])), ";")
-    a = g.groupBy("seed").agg(F.count("*").alias("voxels"), F.avg("k").alias("ck"), F.avg("r").alias("cr"), F.avg("c").alias("cc"), F.expr("percentile(v, 0.02D)").alias("heat_lo"), F.expr("percentile(v, 0.98D)").alias("heat_hi"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.substring(F.sha2(key, 256), 1, 16).alias("id"))
-    d2 = F.round(F.pow(c("k") - c("ck"), F.lit(2)) + F.pow(c("r") - c("cr"), F.lit(2)) + F.pow(c("c") - c("cc"), F.lit(2)), 6)
-    f = g.join(a.select("seed", "ck", "cr", "cc"), "seed").groupBy("seed").agg(F.min_by(c("k") * 1000000 + c("r") * 1000 + c("c"), F.struct(d2, "k", "r", "c")).alias("focus"))
-    return a.join(f, "seed").withColumns({x: F.round(x, 6) for x in ("ck", "cr", "cc", "heat_lo", "heat_hi")})
+    return rounded_summary(V.lesion_summary(written(grown(s, d), "grown"), (2.0, 1.0, 1.0)))
 
 
 @query("v21_plane_descriptions", "voxels", f"{MASK}, p AS (SELECT series, unnest(list_value('axial', 'coronal', 'sagittal')) AS plane, k, r, c FROM m), q AS (SELECT series, plane, CASE plane WHEN 'axial' THEN k WHEN 'coronal' THEN r ELSE c END AS idx, CASE plane WHEN 'axial' THEN r ELSE 7 - k END AS y, CASE plane WHEN 'sagittal' THEN r ELSE c END AS x FROM p) SELECT series, plane, idx, count(*) AS pixels, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx FROM q GROUP BY ALL")
@@ -384,9 +408,9 @@ def _(s, d):
     return V.dice(x.where("v > 0"), x.where("v < 300")).withColumn("dice", F.round("dice", 9))
 
 
-@query("v20_layer_thickness", "vvoxels", f"{VM}, {EDGE}, n AS (SELECT m.series, m.k, m.r, m.c, min(sqrt(pow(m.r - e.r, 2) + pow(m.c - e.c, 2))) AS depth FROM m JOIN ed e ON m.series = e.series AND m.k = e.k GROUP BY ALL) SELECT series, k, round(2 * max(depth), 6) AS thickness FROM n GROUP BY ALL")
+@query("v20_layer_thickness", "vvoxels", f"{VM}, ou AS (SELECT DISTINCT series, k, r + dr AS r, c + dc AS c FROM m, (SELECT unnest(list_value(1, -1, 0, 0)) AS dr, unnest(list_value(0, 0, 1, -1)) AS dc) o), bo AS (SELECT * FROM ou ANTI JOIN m USING (series, k, r, c)), n AS (SELECT m.series, m.k, m.r, m.c, min(sqrt(pow((m.r - e.r) * 0.7::DOUBLE, 2) + pow((m.c - e.c) * 0.9::DOUBLE, 2))) AS depth FROM m JOIN bo e ON m.series = e.series AND m.k = e.k GROUP BY ALL) SELECT series, k, round(2 * max(depth), 6) AS thickness FROM n GROUP BY ALL")
 def _(s, d):
-    return V.layer_thickness(vmask(s, d)).withColumn("thickness", F.round("thickness", 6))
+    return V.layer_thickness(vmask(s, d), (0.7, 0.9)).withColumn("thickness", F.round("thickness", 6))
 
 
 def trilinear(f: float, rows: int, cols: int, name: str) -> str:

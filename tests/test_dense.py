@@ -121,3 +121,70 @@ def test_grown_regions_and_seed_status(spark):
     assert {(x.seed, x.k, x.r, x.c) for x in got} == want
     status = {x.seed: x.status for x in V.seed_status(seeds, voxels, 40, 200).collect()}
     assert status[3] == "outside the image" and all(status[i] == ("grown" if 40 < v[p] < 200 else "outside the band") for i, p in enumerate([(1, 4, 4), (0, 0, 0), (2, 8, 8)]))
+
+
+def test_exact_quantiles(spark):
+    from slicelake.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"float": rng.normal(size=1001) * 1e-3, "whole": rng.integers(-5, 5, 500).astype(float), "equal": np.full(300, -7.25), "one": np.array([3.0]), "far": np.array([-1e300, 1e300, 0.0, -0.0, 5e-324, -5e-324])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("float", None), ("float", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"a": 0.0, "b": 0.02, "m": 0.5, "z": 0.995}
+    got = {r.g: r for r in exact_quantiles(df.repartition(4), ("g",), "x", shares).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert [got[g][n] for n in shares] == pytest.approx(np.quantile(v, list(shares.values())).tolist(), rel=1e-12), g
+    assert exact_quantiles(df.limit(0), ("g",), "x", shares).count() == 0
+
+
+@pytest.mark.parametrize("spacing", [(1.0, 1.0, 1.0), (2.0, 0.7, 0.9)])
+def test_opening_scaled_to_the_lesion(spacing):
+    """A ball with a thin tendril, against distances of all pairs."""
+    from slicelake.operators.features import opened_lesion
+
+    at = np.indices((24, 40, 40))
+    ball = sum(((x - y) * s) ** 2 for x, y, s in zip(at, (12, 14, 14), spacing, strict=True)) <= 7**2
+    mask = ball | ((at[0] == 12) & (at[1] == 14) & (at[2] >= 14) & (at[2] < 34))
+    got = opened_lesion(mask, (12, 14, 14), spacing)
+    calibre = float(np.clip(0.12 * 2 * (3 * mask.sum() * np.prod(spacing) / (4 * np.pi)) ** (1 / 3), 1, 3))
+    inside, outside = np.argwhere(mask), np.argwhere(~mask)
+    near = lambda a, b: np.array([np.sqrt((((b - p) * spacing) ** 2).sum(axis=1).min()) for p in a])
+    core = inside[near(inside, outside) >= calibre]
+    wide = np.argwhere(np.ones_like(mask))
+    wide = wide[near(wide, core) <= calibre]
+    kept = inside[near(inside, wide) <= calibre + min(spacing)]  # the dilated core is one component here
+    assert {tuple(p) for p in np.argwhere(got)} == {tuple(p) for p in kept} and got.sum() < mask.sum() and (ball & ~got).sum() == 0
+    small = np.zeros((9, 9, 9), bool)
+    small[4, 4, 3:6] = True
+    assert (opened_lesion(small, (4, 4, 4), (1.0, 1.0, 1.0)) == small).all()
+
+
+def test_longest_chord():
+    from slicelake.operators.features import longest_chord
+
+    rng = np.random.default_rng(2)
+    for spacing in ((1.0, 1.0), (0.7, 0.9)):
+        for share in (0.5, 0.8, 0.95):
+            image = np.pad(rng.random((9, 10)) < share, 1)
+            edge = [p for p in np.argwhere(image).tolist() if not all(image[p[0] + a, p[1] + b] for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))]
+            best = None
+            for (a, b), (e, f) in itertools.combinations(edge, 2):
+                n = 4 * max(abs(e - a), abs(f - b))
+                if all(image[round(a + (e - a) * i / n), round(b + (f - b) * i / n)] for i in range(n + 1)):
+                    d = (-round(math.hypot((e - a) * spacing[0], (f - b) * spacing[1]), 6), a, b, e, f)
+                    best = d if best is None else min(best, d)
+            got = longest_chord(image, spacing)
+            assert (got and (-got[0], *got[1:])) == (best and pytest.approx(best))
+    assert longest_chord(np.pad(np.ones((1, 1), bool), 1), (1.0, 1.0)) is None
+
+
+def test_summary_of_a_crescent(spark):
+    """The focus lies in the mask though the centroid doesn't; the id says what the mask holds, in any order."""
+    at = [(0, r, q) for r in range(11) for q in range(11) if 16 <= (r - 5) ** 2 + (q - 5) ** 2 <= 30 and q < 8]
+    rows = [(s, *p, float(p[1])) for s in (1, 2) for p in at] + [(3, *p, 1.0) for p in at[1:]]
+    got = {r.seed: r for r in V.lesion_summary(spark.createDataFrame(rows[::-1], "seed long, k int, r int, c int, v double").repartition(4), (2.0, 1.0, 1.0)).collect()}
+    one = got[1]
+    assert (one.focus_k, one.focus_r, one.focus_c) in at and (round(one.r_mm), round(one.c_mm)) not in {p[1:] for p in at}
+    assert one.id == got[2].id != got[3].id and one.voxels == len(at) and one.craniocaudal_mm == 2.0
+    assert one.heat_lo == pytest.approx(np.quantile([p[1] for p in at], 0.02))
