@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,21 +29,44 @@ def pseudo_name(key: str, value: Column) -> Column:
     return F.concat(F.lit("ANON^"), F.upper(F.substring(hmac_sha256(key, value), 1, 8)))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once however often f reads it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def words_of_hex(h: Column) -> Column:
+    """Thirty-two hexadecimal digits as four longs below 2**32, the highest first."""
+    return F.array(*[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)])
+
+
+def decimal_of_words(w: Column) -> Column:
+    """Four words as one decimal number, which may have one digit more than a decimal column holds: sums of the words times powers of 2**32, eight digits at a time, then carries, all in longs."""
+    base, places = 10**8, range(5)
+    power = [[(1 << 32 * (3 - i)) // base**j % base for i in range(4)] for j in places]
+    carried, out = F.lit(0).cast("long"), []
+    for j in places:
+        total = sum((w[i] * power[j][i] for i in range(4) if power[j][i]), carried)
+        out.append(F.lpad((total % base).cast("string"), 8, "0"))
+        carried = F.call_function("div", total, F.lit(base))
+    return F.regexp_replace(F.concat(*out[::-1]), "^0+(?!$)", "")
+
+
 def decimal_of_hex(h: Column) -> Column:
-    """Thirty-two hexadecimal digits as a decimal number. It may have 39 digits, one more than a decimal column, so its last ten are made apart."""
-    high, low = (F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
-    ten, word = F.lit(Decimal(10**10)), F.lit(Decimal(2**64))
-    upper, lower = ((high - high % ten) / ten).cast("decimal(10,0)"), high % ten
-    below = lower * word + low
-    last = below % ten
-    above = upper * word + ((below - last) / ten).cast("decimal(22,0)")
-    digits = lambda x: x.cast("decimal(38,0)").cast("string")
-    return F.when(above > 0, F.concat(digits(above), F.lpad(digits(last), 10, "0"))).otherwise(digits(last))
+    return let(words_of_hex(h), decimal_of_words)
+
+
+def uid_words(key: str, value: Column) -> Column:
+    """The first sixteen bytes of a UID's digest as words. As a column of its own it is computed once, and uid_of_words() of it stays in generated code."""
+    return let(F.substring(hmac_sha256(key, value), 1, 32), words_of_hex)
+
+
+def uid_of_words(words: Column) -> Column:
+    return F.concat(F.lit("2.25."), decimal_of_words(words))
 
 
 def pseudo_uid(key: str, value: Column) -> Column:
     """2.25. and the first sixteen bytes of the digest as an integer."""
-    return F.concat(F.lit("2.25."), decimal_of_hex(F.substring(hmac_sha256(key, value), 1, 32)))
+    return let(uid_words(key, value), uid_of_words)
 
 
 def salt_date_shift(key: str) -> int:

@@ -13,17 +13,21 @@ c = F.col
 TAGS = [("'00080018'", "'UI'", "'SOPInstanceUID'", "sop_uid"), ("'00080016'", "'UI'", "'SOPClassUID'", "'1.2.840.10008'"), ("'00081155'", "'UI'", "'ReferencedSOPInstanceUID'", "sop_uid || '.9'"), ("'00080050'", "'SH'", "'AccessionNumber'", "accession"), ("'00080080'", "'LO'", "'InstitutionName'", "institution"),
         ("'00100010'", "'PN'", "'PatientName'", "patient_name"), ("'00100020'", "'LO'", "'PatientID'", "patient_id"), ("'00100030'", "'DA'", "'PatientBirthDate'", "birth_date"), ("'00080020'", "'DA'", "'StudyDate'", "study_date"), ("'00080030'", "'TM'", "'StudyTime'", "study_time"),
         ("'00101010'", "'AS'", "'PatientAge'", "'050Y'"), ("'0008103E'", "'LO'", "'SeriesDescription'", "CASE WHEN instance_number % 2 = 0 THEN series_desc ELSE 'scan of ' || patient_id END"), ("'70531000'", "'DS'", "''", "'0.5'"), ("'70531022'", "'DS'", "''", "'7'"), ("'60003000'", "'OW'", "'OverlayData'", "'01'"), ("'00280010'", "'US'", "'Rows'", "CAST(n_rows AS STRING)")]
+#: Elements within sequences: a removed one and what it holds two levels deep, and one that stays.
+NESTED = [("'00081110'", "'SQ'", "'ReferencedStudySequence'", "''", ""), ("'00081155'", "'UI'", "'ReferencedSOPInstanceUID'", "study_uid", "00081110[0]"), ("'0040A170'", "'SQ'", "'PurposeOfReferenceCodeSequence'", "''", "00081110[0]"), ("'00080100'", "'SH'", "'CodeValue'", "patient_id", "00081110[0]/0040A170[1]"),
+          ("'00081140'", "'SQ'", "'ReferencedImageSequence'", "''", ""), ("'00081155'", "'UI'", "'ReferencedSOPInstanceUID'", "series_uid", "00081140[12]"), ("'00081111'", "'SQ'", "'ReferencedPerformedProcedureStepSequence'", "''", "00081140[12]"), ("'00081150'", "'UI'", "'ReferencedSOPClassUID'", "'1.2.840'", "00081140[12]/00081111[0]")]
+TAGS = [(*t, "") for t in TAGS] + NESTED
 
 
 def _creator(tag: str) -> str:
     return "'Philips PET Private Group'" if tag.startswith("'7053") else "''"
 
 
-TAGS_SQL = "tg AS (SELECT study_uid, sop_uid, patient_id, patient_name, accession, t.* FROM (SELECT *, unnest(list_value(" + ", ".join(f"{{tag: {t}, vr: {v}, keyword: {k}, creator: {_creator(t)}, value: {x}}}" for t, v, k, x in TAGS) + ")) AS t FROM instances))"
+TAGS_SQL = "tg AS (SELECT study_uid, sop_uid, patient_id, patient_name, accession, t.* FROM (SELECT *, unnest(list_value(" + ", ".join(f"{{tag: {t}, vr: {v}, keyword: {k}, creator: {_creator(t)}, value: {x}, path: '{p}'}}" for t, v, k, x, p in TAGS) + ")) AS t FROM instances))"
 
 
 def tags(s, d):
-    rows = "array(" + ", ".join(f"named_struct('tag', {t}, 'vr', {v}, 'keyword', {k}, 'creator', {_creator(t)}, 'value', {x})" for t, v, k, x in TAGS) + ")"
+    rows = "array(" + ", ".join(f"named_struct('tag', {t}, 'vr', {v}, 'keyword', {k}, 'creator', {_creator(t)}, 'value', {x}, 'path', '{p}')" for t, v, k, x, p in TAGS) + ")"
     return X.instances(s, d).select("study_uid", "sop_uid", "patient_id", "patient_name", "accession", F.explode(F.expr(rows)).alias("t")).select("study_uid", "sop_uid", "patient_id", "patient_name", "accession", "t.*")
 
 
@@ -50,18 +54,20 @@ WHEN action = 'Z' AND tag = '00100020' THEN 'pseudo_id' WHEN action = 'Z' AND ta
 
 def profile_sql(strict: bool) -> str:
     shift = "strftime(strptime(value, '%Y%m%d') - INTERVAL 77 DAY, '%Y%m%d')"
-    return f"""{TAGS_SQL}, {ACT}, oc AS (SELECT tg.*, {outcome_sql(strict).replace('tag', 'tg.tag')} AS outcome FROM tg LEFT JOIN ac ON tg.tag = ac.tag),
-pf AS (SELECT *, CASE WHEN outcome IN ('removed', 'private_removed') THEN NULL WHEN outcome = 'uid' THEN {uid_sql('value')} WHEN outcome = 'pseudo_id' THEN {pid_sql('patient_id')} WHEN outcome = 'pseudo_name' THEN 'ANON^' || upper(left({hmac_sql(KEY, pid_sql('patient_id'))}, 8)) WHEN outcome = 'date_shifted' THEN {shift} WHEN outcome IN ('emptied', 'descriptor_cleaned') THEN '' ELSE value END AS new_value FROM oc)"""
+    return f"""{TAGS_SQL}, {ACT}, oo AS (SELECT tg.*, {outcome_sql(strict).replace('tag', 'tg.tag')} AS outcome FROM tg LEFT JOIN ac ON tg.tag = ac.tag),
+sq AS (SELECT DISTINCT sop_uid, CASE WHEN path = '' THEN tag ELSE path || '/' || tag END || '[' AS place FROM oo WHERE vr = 'SQ' AND outcome IN ('removed', 'private_removed', 'emptied')), lo AS (SELECT DISTINCT oo.sop_uid, path FROM oo JOIN sq ON oo.sop_uid = sq.sop_uid AND starts_with(path, place)),
+oc AS (SELECT oo.* EXCLUDE (outcome), CASE WHEN lo.sop_uid IS NOT NULL THEN 'removed_with_parent' ELSE outcome END AS outcome FROM oo LEFT JOIN lo ON oo.sop_uid = lo.sop_uid AND oo.path = lo.path),
+pf AS (SELECT *, CASE WHEN outcome IN ('removed', 'private_removed', 'removed_with_parent') THEN NULL WHEN outcome = 'uid' THEN {uid_sql('value')} WHEN outcome = 'pseudo_id' THEN {pid_sql('patient_id')} WHEN outcome = 'pseudo_name' THEN 'ANON^' || upper(left({hmac_sql(KEY, pid_sql('patient_id'))}, 8)) WHEN outcome = 'date_shifted' THEN {shift} WHEN outcome IN ('emptied', 'descriptor_cleaned') THEN '' ELSE value END AS new_value FROM oc)"""
 
 
-@query("d01_apply_profile", "instances", f"{profile_sql(False)} SELECT sop_uid, tag, outcome, new_value FROM pf")
+@query("d01_apply_profile", "instances", f"{profile_sql(False)} SELECT sop_uid, path, tag, outcome, new_value FROM pf")
 def _(s, d):
-    return E.apply_profile(tags(s, d), KEY, -77).select("sop_uid", "tag", "outcome", "new_value")
+    return E.apply_profile(tags(s, d), KEY, -77).select("sop_uid", "path", "tag", "outcome", "new_value")
 
 
-@query("d09_strict_profile", "instances", f"{profile_sql(True)} SELECT sop_uid, tag, outcome, new_value FROM pf")
+@query("d09_strict_profile", "instances", f"{profile_sql(True)} SELECT sop_uid, path, tag, outcome, new_value FROM pf")
 def _(s, d):
-    return E.apply_profile(tags(s, d), KEY, -77, False, False, False, True).select("sop_uid", "tag", "outcome", "new_value")
+    return E.apply_profile(tags(s, d), KEY, -77, False, False, False, True).select("sop_uid", "path", "tag", "outcome", "new_value")
 
 
 @query("d02_private_allow", "instances", f"{TAGS_SQL} SELECT sop_uid, tag, creator = 'Philips PET Private Group' AND substr(tag, 7, 2) IN ('00', '09') AS kept FROM tg WHERE left(tag, 4) = '7053'")
@@ -74,7 +80,7 @@ def _(s, d):
     return E.apply_profile(tags(s, d).where("tag = '0008103E'"), KEY, -77).select("sop_uid", (c("outcome") == "descriptor_cleaned").alias("cleaned"))
 
 
-@query("a18_deid_totals", "instances", f"{profile_sql(False)} SELECT study_uid, " + ", ".join(f"count(*) FILTER (outcome = '{n}') AS {n}" for n in ("removed", "emptied", "uid", "date_shifted", "private_kept", "private_removed", "descriptor_cleaned")) + " FROM pf GROUP BY study_uid")
+@query("a18_deid_totals", "instances", f"{profile_sql(False)} SELECT study_uid, " + ", ".join(f"count(*) FILTER (outcome = '{n}') AS {n}" for n in ("removed", "emptied", "uid", "date_shifted", "private_kept", "private_removed", "descriptor_cleaned", "removed_with_parent")) + " FROM pf GROUP BY study_uid")
 def _(s, d):
     return E.deid_totals(E.apply_profile(tags(s, d), KEY, -77))
 
