@@ -74,12 +74,36 @@ def pair_modalities(series: DataFrame, a: str = "PT", b: str = "CT") -> DataFram
 
 
 def pair_sequences(series: DataFrame) -> DataFrame:
-    """Pairs of MR series of a patient, earlier and later, with equal frame, matrix, and orientation and spacing within a tolerance."""
+    """Pairs (pre, post) of MR series of a patient, earlier and later, with equal non-empty frame and matrix, and orientation and both spacings within a tolerance."""
     cols = ("patient_id", "frame_uid", "n_rows", "n_cols")
-    x = series.select(*cols, c("series_uid").alias("pre"), c("row_sp").alias("sp1"), c("iop").alias("o1"), c("study_date").alias("d1"))
-    y = series.select(*cols, c("series_uid").alias("post"), c("row_sp").alias("sp2"), c("iop").alias("o2"), c("study_date").alias("d2"))
+    own = lambda uid, n: series.where(c("frame_uid") != "").select(*cols, c("series_uid").alias(uid), c("row_sp").alias(f"r{n}"), c("col_sp").alias(f"c{n}"), c("iop").alias(f"o{n}"), c("study_date").alias(f"d{n}"))
     close = F.forall(F.zip_with("o1", "o2", lambda a, b: F.abs(a - b) <= 1e-4), lambda t: t)
-    return x.join(y, list(cols)).where((F.struct("d1", "pre") < F.struct("d2", "post")) & (F.abs(c("sp1") - c("sp2")) <= 1e-4) & close).select("pre", "post")
+    alike = lambda x: F.abs(c(f"{x}1") - c(f"{x}2")) <= 1e-8 + 1e-5 * F.abs(f"{x}2")
+    later = F.struct("d1", "pre") < F.struct("d2", "post")
+    return own("pre", 1).join(own("post", 2), list(cols)).where(later & alike("r") & alike("c") & close).select("pre", "post")
+
+
+def match_slices(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """(pre, post, k, kb, off_mm, aligned) of each slice of ``pre`` and the slice of ``post`` whose origin is nearest, the first of equal ones; kb is null where none is within reach.
+
+    ``slices`` (series_uid, k, x, y, z, dz) have origins in mm. A match needs a distance of at most max(0.5, dz / 2), dz of the
+    later series. Origins meet by cells of that size, of which each earlier one asks its own and the 26 around it: an
+    equi-join, whatever the number of slices. A pair one of whose slices has no match is not aligned: it asks for a registration.
+    """
+    reach = F.greatest(F.lit(0.5), c("dz") / 2)
+    later = slices.withColumn("reach", reach).join(pairs.withColumnRenamed("post", "series_uid"), "series_uid").select(c("series_uid").alias("post"), "pre", c("k").alias("kb"), *[c(a).alias(f"{a}b") for a in "xyz"], "reach")
+    later = later.withColumns({f"c{a}": F.floor(c(f"{a}b") / c("reach")) for a in "xyz"})
+    size = later.groupBy("pre", "post").agg(F.max("reach").alias("cell"))  # equal for all slices of a series
+    around = F.expr("array(-1, 0, 1)")
+    own = slices.select(c("series_uid").alias("pre"), "k", "x", "y", "z").join(size, "pre")
+    asked = own
+    for a in "xyz":
+        asked = asked.withColumn(f"s{a}", F.explode(around)).withColumn(f"c{a}", F.floor(c(a) / c("cell")) + c(f"s{a}")).drop(f"s{a}")
+    off = F.sqrt(sum(F.pow(c(a) - c(f"{a}b"), F.lit(2)) for a in "xyz"))
+    near = asked.join(later, ["pre", "post", "cx", "cy", "cz"]).withColumn("off_mm", off).where(c("off_mm") <= c("reach"))
+    best = near.groupBy("pre", "post", "k").agg(F.min(F.struct("off_mm", "kb")).alias("best"))
+    rows = own.select("pre", "post", "k").join(best, ["pre", "post", "k"], "left").select("pre", "post", "k", c("best.kb").alias("kb"), c("best.off_mm").alias("off_mm"))
+    return rows.withColumn("aligned", F.bool_and(c("kb").isNotNull()).over(Window.partitionBy("pre", "post")))
 
 
 def claim_study_grid(claims: DataFrame, studies: DataFrame, timeline: DataFrame) -> DataFrame:
