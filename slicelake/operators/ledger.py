@@ -87,8 +87,9 @@ def validate_regions(regions: DataFrame, refs: DataFrame, shown: DataFrame, page
 
 
 def validate_claims(claims: DataFrame) -> DataFrame:
-    """Rules of claims (session, claim, text, priority, confidence, and the four patient fields); a claim's id stands once in its session."""
-    n = F.count("*").over(Window.partitionBy("session", "claim"))
+    """Rules of claims (session, claim, text, priority, confidence, and the four patient fields; place, their order, where it is known); of claims with one id in a session all but the first are flagged."""
+    order = [c("place")] if "place" in claims.columns else [c("claim")]
+    n = F.row_number().over(Window.partitionBy("session", "claim").orderBy(*order))
     rules = {"Claim IDs must be unique": filled("claim") & (c("n") == 1), "text missing": filled("text"), "priority missing": c("priority").isin(*PRIORITIES), "confidence missing": c("confidence").isin(*CONFIDENCES)}
     rules |= {f"patient explanation {x} missing": filled(x) for x in PATIENT_FIELDS}
     return violations(claims.withColumn("n", n), F.concat_ws("/", "session", "claim"), rules)
@@ -124,7 +125,7 @@ def validate_comparison(claims: DataFrame, studies: DataFrame, timeline: DataFra
     seen_ = ~F.coalesce(c("status").isin("present", "not_seen"), F.lit(False))
     return own.unionByName(violations(timeline, F.concat_ws("/", "claim", "study"), {
         "invalid timepoint": c("status").isin(*TIMEPOINTS), "timepoint needs professional and plain-language descriptions": filled("text") & filled("explanation"),
-        "timepoint source belongs to a different study": seen_ | c("ref_study").isNull() | (c("ref_study") == c("study")),
+        "timepoint needs evidence": seen_ | c("ref_study").isNotNull(), "timepoint source belongs to a different study": seen_ | c("ref_study").isNull() | (c("ref_study") == c("study")),
     }))
 
 
@@ -161,14 +162,44 @@ def verify_hashes(tracked: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("path", F.when(c("h2").isNull(), "missing").when(c("h1") != c("h2"), "changed").otherwise("ok").alias("status"))
 
 
-def required_passes(studies: DataFrame) -> DataFrame:
-    """(study_uid, purpose) by a study's mix of modalities (an array)."""
+def required_passes(series: DataFrame) -> DataFrame:
+    """(study_uid, series_uid, purpose) of each series (study_uid, series_uid, modality) by its study's mix of modalities: a CT beside a PET has less to show than one alone."""
+    with_pet = F.bool_or(c("modality") == "PT").over(Window.partitionBy("study_uid"))
+    names = lambda *x: F.array(*map(F.lit, x))
+    wanted = (
+        F.when((c("modality") == "CT") & ~c("with_pet"), names("lung:native", "lung:mip", "soft:native", "bone:native")).when(c("modality") == "CT", names("soft:native"))
+        .when(c("modality") == "PT", names("pet:native", "pet:fused")).when(c("modality") == "MR", names("mr:native"))
+    )
+    return series.withColumn("with_pet", with_pet).select("study_uid", "series_uid", F.explode(wanted).alias("purpose"))
+
+
+def technical_alerts(studies: DataFrame, series: DataFrame, suv: DataFrame, passes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(owner, level, code, text): problems of geometry, quantitation and coverage; never anatomy.
+
+    ``studies`` (study_uid, modalities), ``series`` (series_uid, disposition, reason, required: an array of passes), ``suv`` (series_uid,
+    warnings: an array, error, weight_source), ``passes`` (series_uid, purpose, slices, rendered, reviewed) and ``sessions`` (session_id,
+    mode, comparison). Each table is read once; a row may raise several alerts, a warning of an array each its own.
+    """
+    alert = lambda code, level, when, text: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("text")))
+    rows = lambda df, owner, *found: df.select(owner.alias("owner"), F.explode(F.array_compact(F.array(*found))).alias("a")).select("owner", "a.*")
     has = lambda m: F.array_contains("modalities", m)
-    wanted = F.concat(
-        F.when(has("CT") & ~has("PT"), F.array(*map(F.lit, ("lung:native", "lung:mip", "soft:native", "bone:native")))).otherwise(F.array().cast("array<string>")),
-        F.when(has("PT"), F.array(*map(F.lit, ("pet:native", "pet:fused", "soft:native")))).otherwise(F.array().cast("array<string>")), F.when(has("MR"), F.array(F.lit("mr:native"))).otherwise(F.array().cast("array<string>")),
+    none = F.array().cast("array<string>")
+    of_study = rows(studies, c("study_uid"), alert("pet_without_ct", "warning", has("PT") & ~has("CT"), F.lit("PET without a CT of its study: no fusion")))
+    of_series = rows(
+        series, c("series_uid"), alert("series_unsupported", "warning", c("disposition") == "unsupported", F.coalesce(F.nullif("reason", F.lit("")), F.lit("unsupported geometry"))),
+        alert("passes_missing", "error", (c("disposition") == "read") & (F.size(F.coalesce("required", none)) == 0), F.lit("read without declared passes")),
+    )
+    warned = suv.select("series_uid", F.explode("warnings").alias("w"))
+    of_suv = rows(warned, c("series_uid"), alert("suv_warning", "warning", c("w").isNotNull(), c("w"))).unionByName(rows(
+        suv, c("series_uid"), alert("suv_unavailable", "error", F.coalesce("error", F.lit("")) != "", c("error")), alert("weight_external", "info", c("weight_source").startswith("argument"), F.lit("SUV by a weight that the header doesn't hold")),
+    ))
+    short, seen = c("slices") - c("rendered"), c("slices") - c("reviewed")
+    of_pass = rows(
+        passes, F.concat_ws(" ", "series_uid", "purpose"), alert("unrendered_slices", "error", short > 0, F.concat(short.cast("string"), F.lit(" slices not rendered"))),
+        alert("unreviewed_slices", "warning", (short <= 0) & (seen > 0), F.concat(seen.cast("string"), F.lit(" slices rendered but not seen"))),
     )
-    return studies.select("study_uid", F.explode(F.array_distinct(wanted)).alias("purpose"))
+    of_session = rows(sessions, c("session_id"), alert("comparison_pending", "info", (c("mode") == "comparison") & (c("comparison") == "pending"), F.lit("comparison not recorded yet")))
+    return of_study.unionByName(of_series).unionByName(of_suv).unionByName(of_pass).unionByName(of_session)
 
 
 def report_lines(parts: list[DataFrame]) -> DataFrame:

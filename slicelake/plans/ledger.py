@@ -9,7 +9,7 @@ from slicelake import fixtures as X
 from slicelake.operators import inventory as I
 from slicelake.operators import ledger as L
 from slicelake.operators import relations as R
-from slicelake.plans.inventory import SER, series_of
+from slicelake.plans.inventory import FIRST, SER, series_of
 from slicelake.plans.registry import query
 from slicelake.plans.relations import GRID, PASSES, grid, passes_of
 from slicelake.sources import files as S
@@ -187,14 +187,14 @@ def _(s, d):
 
 
 #: A claim is a turn, named by its role; what the following turns say is its patient's explanation.
-TURNS = "cl AS (SELECT conv_id || '/' || role AS owner, text, CASE turn WHEN 0 THEN 'important' WHEN 1 THEN 'routine' END AS priority, CASE role WHEN 'user' THEN 'high' END AS confidence, lead(text, 1) OVER w AS meaning, lead(text, 2) OVER w AS importance, lead(text, 3) OVER w AS uncertainty, lag(text, 1) OVER w AS discuss_with_doctor, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+TURNS = "cl AS (SELECT conv_id || '/' || role AS owner, text, CASE turn WHEN 0 THEN 'important' WHEN 1 THEN 'routine' END AS priority, CASE role WHEN 'user' THEN 'high' END AS confidence, lead(text, 1) OVER w AS meaning, lead(text, 2) OVER w AS importance, lead(text, 3) OVER w AS uncertainty, lag(text, 1) OVER w AS discuss_with_doctor, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
 
 
 @query("l09_validate_claims", "", f"{TURNS} " + rules_sql("owner", {"Claim IDs must be unique": "n = 1", "text missing": "text <> ''", "priority missing": "priority IS NOT NULL", "confidence missing": "confidence IS NOT NULL"} | {f"patient explanation {x} missing": f"coalesce({x}, '') <> ''" for x in ("meaning", "importance", "uncertainty", "discuss_with_doctor")}, "cl"))
 def _(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = X.load(s, d, "conversations").select(
-        c("conv_id").alias("session"), c("role").alias("claim"), "text", F.when(c("turn") == 0, "important").when(c("turn") == 1, "routine").alias("priority"), F.when(c("role") == "user", "high").alias("confidence"),
+        c("conv_id").alias("session"), c("role").alias("claim"), c("turn").alias("place"), "text", F.when(c("turn") == 0, "important").when(c("turn") == 1, "routine").alias("priority"), F.when(c("role") == "user", "high").alias("confidence"),
         F.lead("text", 1).over(w).alias("meaning"), F.lead("text", 2).over(w).alias("importance"), F.lead("text", 3).over(w).alias("uncertainty"), F.lag("text", 1).over(w).alias("discuss_with_doctor"),
     )
     return L.validate_claims(rows)
@@ -220,7 +220,7 @@ L11 = {
     "comparison status missing": "status IN ('new', 'increased', 'decreased', 'stable', 'resolved', 'indeterminate', 'not_comparable')", "comparison rationale missing": "coalesce(reason, '') <> ''", "timeline must cover every supplied study": "known AND points = studies",
     "change claim needs explicit distinct comparison endpoints": "still OR (pa IS NOT NULL AND pb IS NOT NULL AND a <> b)", "comparison endpoints reversed": "still OR pa IS NULL OR pb IS NULL OR pa < pb", "change claim needs both endpoint studies'' evidence": "still OR seen",
 }
-L11P = {"invalid timepoint": "status IN ('present', 'not_seen', 'not_covered', 'indeterminate')", "timepoint needs professional and plain-language descriptions": "text <> '' AND explanation <> ''", "timepoint source belongs to a different study": "status NOT IN ('present', 'not_seen') OR ref_study IS NULL OR ref_study = study_uid"}
+L11P = {"invalid timepoint": "status IN ('present', 'not_seen', 'not_covered', 'indeterminate')", "timepoint needs professional and plain-language descriptions": "text <> '' AND explanation <> ''", "timepoint needs evidence": "status NOT IN ('present', 'not_seen') OR ref_study IS NOT NULL", "timepoint source belongs to a different study": "status NOT IN ('present', 'not_seen') OR ref_study IS NULL OR ref_study = study_uid"}
 
 
 @query("l11_validate_comparison", "claims", f"{CMP} {rules_sql('claim_id', L11, 'f')} UNION ALL {rules_sql('claim_id || chr(47) || study_uid', L11P, 'pt')}")
@@ -247,21 +247,29 @@ def _(s, d):
     return L.coverage(covered(s, d))
 
 
-@query("l13_technical_alerts", "instances", f"""{COV}, p AS (SELECT series_uid, purpose, count(DISTINCT sop_uid) AS n, count(DISTINCT CASE WHEN rendered THEN sop_uid END) AS r, count(DISTINCT CASE WHEN reviewed THEN sop_uid END) AS v FROM sl GROUP BY ALL)
-SELECT study_uid AS owner, 'pet_without_ct' AS code, 'warning' AS level FROM instances GROUP BY study_uid HAVING bool_or(modality = 'PT') AND NOT bool_or(modality = 'CT') UNION ALL SELECT series_uid || ' ' || purpose, 'unrendered_slices', 'error' FROM p WHERE r < n UNION ALL SELECT series_uid || ' ' || purpose, 'unreviewed_slices', 'warning' FROM p WHERE r = n AND v < n UNION ALL SELECT DISTINCT series_uid, 'weight_missing', 'error' FROM instances WHERE modality = 'PT' AND patient_weight IS NULL""")
+@query("l13_technical_alerts", "instances claims", f"""{COV}, p AS (SELECT series_uid, purpose, count(DISTINCT sop_uid) AS n, count(DISTINCT CASE WHEN rendered THEN sop_uid END) AS r, count(DISTINCT CASE WHEN reviewed THEN sop_uid END) AS v FROM sl GROUP BY ALL), {FIRST},
+se AS (SELECT series_uid, max(number_of_frames) > 1 AS multi FROM instances GROUP BY series_uid), ss AS (SELECT session_id, count(DISTINCT study_uid) > 1 AND min(study_key) % 3 = 0 AS pending FROM claims GROUP BY session_id)
+SELECT study_uid AS owner, 'warning' AS level, 'pet_without_ct' AS code, 'PET without a CT of its study: no fusion' AS text FROM instances GROUP BY study_uid HAVING bool_or(modality = 'PT') AND NOT bool_or(modality = 'CT')
+UNION ALL SELECT series_uid, 'warning', 'series_unsupported', CASE WHEN n_cols = 64 THEN 'multi-frame' ELSE 'unsupported geometry' END FROM first_row JOIN se USING (series_uid) WHERE multi UNION ALL SELECT series_uid, 'error', 'passes_missing', 'read without declared passes' FROM first_row JOIN se USING (series_uid) WHERE NOT multi AND modality = 'MR' AND te = 90
+UNION ALL SELECT series_uid, 'warning', 'suv_warning', 'uptake outside window' FROM first_row WHERE modality = 'PT' AND slice_location > 30 UNION ALL SELECT series_uid, 'warning', 'suv_warning', 'implausible uptake interval' FROM first_row WHERE modality = 'PT' AND slice_location > 45
+UNION ALL SELECT series_uid, 'error', 'suv_unavailable', 'no radiopharmaceutical' FROM first_row WHERE modality = 'PT' AND total_dose IS NULL UNION ALL SELECT series_uid, 'info', 'weight_external', 'SUV by a weight that the header doesn''t hold' FROM first_row WHERE modality = 'PT' AND patient_weight IS NULL
+UNION ALL SELECT series_uid || ' ' || purpose, 'error', 'unrendered_slices', (n - r) || ' slices not rendered' FROM p WHERE r < n UNION ALL SELECT series_uid || ' ' || purpose, 'warning', 'unreviewed_slices', (n - v) || ' slices rendered but not seen' FROM p WHERE r = n AND v < n
+UNION ALL SELECT session_id, 'info', 'comparison_pending', 'comparison not recorded yet' FROM ss WHERE pending""")
 def _(s, d):
     i = X.instances(s, d)
-    row = lambda df, owner, code, level: df.select(owner.alias("owner"), F.lit(code).alias("code"), F.lit(level).alias("level"))
-    alone = i.groupBy("study_uid").agg(F.bool_or(c("modality") == "PT").alias("pt"), F.bool_or(c("modality") == "CT").alias("ct")).where("pt and not ct")
-    p = covered(s, d).groupBy("series_uid", "purpose").agg(F.count_distinct("sop_uid").alias("n"), F.count_distinct(F.when(c("rendered"), c("sop_uid"))).alias("r"), F.count_distinct(F.when(c("reviewed"), c("sop_uid"))).alias("v"))
-    owner = F.concat_ws(" ", "series_uid", "purpose")
-    out = row(alone, c("study_uid"), "pet_without_ct", "warning").unionByName(row(p.where("r < n"), owner, "unrendered_slices", "error")).unionByName(row(p.where("r = n and v < n"), owner, "unreviewed_slices", "warning"))
-    return out.unionByName(row(i.where("modality = 'PT' and patient_weight is null").select("series_uid").distinct(), c("series_uid"), "weight_missing", "error"))
+    studies = i.groupBy("study_uid").agg(F.collect_set("modality").alias("modalities"))
+    heads = i.groupBy("series_uid").agg(I.first_header("modality", "te", "n_cols", "slice_location", "total_dose", "patient_weight"), (F.max("number_of_frames") > 1).alias("multi")).select("series_uid", "multi", "header.*")
+    series = heads.select("series_uid", F.when(c("multi"), "unsupported").otherwise("read").alias("disposition"), F.when(c("n_cols") == 64, "multi-frame").otherwise("").alias("reason"), F.when((c("modality") == "MR") & (c("te") == 90), F.array().cast("array<string>")).otherwise(F.array(F.lit("any"))).alias("required"))
+    late = F.array_compact(F.array(F.when(c("slice_location") > 30, "uptake outside window"), F.when(c("slice_location") > 45, "implausible uptake interval")))
+    suv = heads.where("modality = 'PT'").select("series_uid", late.alias("warnings"), F.when(c("total_dose").isNull(), "no radiopharmaceutical").alias("error"), F.when(c("patient_weight").isNull(), "argument 70").otherwise("header").alias("weight_source"))
+    p = covered(s, d).groupBy("series_uid", "purpose").agg(F.count_distinct("sop_uid").alias("slices"), F.count_distinct(F.when(c("rendered"), c("sop_uid"))).alias("rendered"), F.count_distinct(F.when(c("reviewed"), c("sop_uid"))).alias("reviewed"))
+    sessions = X.claims(s, d).groupBy("session_id").agg(F.when(F.count_distinct("study_uid") > 1, "comparison").otherwise("single").alias("mode"), F.when(F.min("study_key") % 3 == 0, "pending").otherwise("stable").alias("comparison"))
+    return L.technical_alerts(studies, series, suv, p, sessions)
 
 
-@query("l14_required_passes", "instances", "m AS (SELECT study_uid, bool_or(modality = 'CT') AS ct, bool_or(modality = 'PT') AS pt, bool_or(modality = 'MR') AS mr FROM instances GROUP BY study_uid) SELECT study_uid, purpose FROM m, (VALUES ('lung:native', 1), ('lung:mip', 1), ('soft:native', 3), ('bone:native', 1), ('pet:native', 2), ('pet:fused', 2), ('mr:native', 4)) v(purpose, n) WHERE (n = 1 AND ct AND NOT pt) OR (n = 2 AND pt) OR (n = 3 AND (pt OR ct)) OR (n = 4 AND mr)")
+@query("l14_required_passes", "instances", "m AS (SELECT study_uid, bool_or(modality = 'PT') AS pt FROM instances GROUP BY study_uid), q AS (SELECT DISTINCT study_uid, series_uid, modality FROM instances) SELECT study_uid, series_uid, purpose FROM q JOIN m USING (study_uid), (VALUES ('lung:native', 'CT', 1), ('lung:mip', 'CT', 1), ('soft:native', 'CT', 0), ('bone:native', 'CT', 1), ('pet:native', 'PT', 0), ('pet:fused', 'PT', 0), ('mr:native', 'MR', 0)) v(purpose, m, alone) WHERE modality = v.m AND (alone = 0 OR NOT pt)")
 def _(s, d):
-    return L.required_passes(X.instances(s, d).groupBy("study_uid").agg(F.collect_set("modality").alias("modalities")))
+    return L.required_passes(X.instances(s, d).select("study_uid", "series_uid", "modality").distinct())
 
 
 @query("a23_modality_regions", "instances", "r AS (SELECT * FROM (VALUES ('CT', 'lungs'), ('CT', 'mediastinum'), ('CT', 'bones'), ('PT', 'uptake'), ('MR', 'brain')) v(m, region)) SELECT study_uid, string_agg(DISTINCT region, ',' ORDER BY region) AS regions FROM instances JOIN r ON modality = m GROUP BY study_uid")
