@@ -202,13 +202,56 @@ def technical_alerts(studies: DataFrame, series: DataFrame, suv: DataFrame, pass
     return of_study.unionByName(of_series).unionByName(of_suv).unionByName(of_pass).unionByName(of_session)
 
 
-def report_lines(parts: list[DataFrame]) -> DataFrame:
-    """(session_id, n, line) of a report from parts (session_id, section, ord, text), in order."""
+def _lines(df: DataFrame, voice: str, section: int, key: Column | str, order: list[Column], **values: Column) -> DataFrame:
+    """(session_id, voice, section, a, b, e, key, values): lines of one kind; ``order`` tells where they stand in their section."""
+    key = F.lit(key) if isinstance(key, str) else key
+    places = [*order, *[F.lit(0)] * (3 - len(order))]
+    entries = [x for n, v in values.items() for x in (F.lit(n), v.cast("string"))]
+    return df.select("session_id", F.lit(voice).alias("voice"), F.lit(section).alias("section"), *[p.cast("long").alias(n) for p, n in zip(places, "abe", strict=True)], key.alias("key"), (F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")).alias("values"))
+
+
+def report_lines(sessions: DataFrame, studies: DataFrame, regions: DataFrame, claims: DataFrame, measurements: DataFrame, timeline: DataFrame, errors: DataFrame, texts: DataFrame) -> DataFrame:
+    """(session_id, lang, voice, n, line): the report of each session for professionals and the guide in plain words, in every language of ``texts`` (lang, dates, texts).
+
+    Only finished sessions (session_id, mode, reader, date, finished) without ``errors`` (session_id) have one. Studies (session_id,
+    study, place, date, modalities, folder), regions (session_id, study, place, region, status, text, explanation), claims (session_id, claim, place,
+    text, priority and the four patient fields), measurements (session_id, claim, place, value, unit, method) and the timeline
+    (session_id, claim, study, text, explanation) are put in order of their places, each kind under its heading; null texts
+    are empty. A session without claims says so; over one study it has no timeline. Lines are numbered from 1 in each document.
+    """
+    from slicelake.functions.locale import date_in, filled_in
+
+    own = sessions.where("finished").join(errors.select("session_id").distinct(), "session_id", "left_anti")
+    of = lambda df: df.join(own.select("session_id", "mode"), "session_id")
+    at = studies.select("session_id", "study", c("place").alias("sp"), c("date").alias("study_date"))
+    claim_at = claims.select("session_id", "claim", c("place").alias("cp"))
+    several = own.where("mode = 'comparison'")
+    with_claims = claims.select("session_id").distinct()
+    region, point = of(regions).join(at, ["session_id", "study"]), of(timeline).where("mode = 'comparison'").join(at, ["session_id", "study"]).join(claim_at, ["session_id", "claim"])
+    marked = F.when(c("status").isin("finding", "limited"), "region_marked").otherwise("region")
+    text = lambda x: F.coalesce(c(x).cast("string"), F.lit(""))
+    heads = lambda voice, *keys: [_lines(own, voice, n, k, []) for n, k in keys]
+    parts = [
+        _lines(own, "report", 0, F.concat(F.lit("title_"), "mode"), []), *heads("report", (1, "draft")), _lines(own, "report", 2, "signed", [], reader=text("reader"), date=text("date")), *heads("report", (3, "studies")),
+        _lines(of(studies), "report", 4, "study", [c("place")], date=text("date"), modalities=text("modalities"), folder=text("folder")), *heads("report", (5, "findings")),
+        _lines(region, "report", 6, marked, [c("sp"), c("place")], region=text("region"), word_status=c("status"), text=text("text")), *heads("report", (7, "results")),
+        _lines(of(claims), "report", 8, F.when(c("priority") == "important", "claim_marked").otherwise("claim"), [c("place")], n=c("place"), claim=c("claim"), text=text("text")),
+        _lines(of(measurements).join(claim_at, ["session_id", "claim"]), "report", 8, "measured", [c("cp"), c("place") + 1], value=text("value"), unit=text("unit"), method=text("method")),
+        _lines(own.join(with_claims, "session_id", "left_anti"), "report", 9, "no_claims", []), _lines(several.join(with_claims, "session_id", "left_semi"), "report", 10, "timeline", []),
+        _lines(point, "report", 11, "point", [c("cp"), c("sp")], claim=c("claim"), date=text("study_date"), text=text("text")),
+        *heads("guide", (0, "guide_title"), (1, "guide_note")),
+        *[_lines(of(claims), "guide", 2, k, [c("place"), F.lit(i)], claim=c("claim"), text=text(x)) for i, (k, x) in enumerate((("guide_claim", "text"), ("meaning", "meaning"), ("importance", "importance"), ("uncertainty", "uncertainty"), ("ask", "discuss_with_doctor")))],
+        _lines(point, "guide", 2, "guide_point", [c("cp"), F.lit(5), c("sp")], date=text("study_date"), explanation=text("explanation")), *heads("guide", (3, "guide_regions")),
+        _lines(region, "guide", 4, "guide_region", [c("sp"), c("place")], region=text("region"), word_status=c("status"), explanation=text("explanation")),
+    ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("section", "ord"))
-    return rows.select("session_id", n.alias("n"), F.concat(F.lit("- "), "text").alias("line"))
+    rows = rows.crossJoin(F.broadcast(texts))  # a row for each language
+    of_word = lambda k, v: F.when(k == "date", date_in(v, c("dates"))).when(k.startswith("word_"), F.coalesce(F.try_element_at("texts", F.concat(F.lit("word."), v)), v)).otherwise(v)
+    line = filled_in(F.try_element_at("texts", c("key")), F.transform_values("values", of_word))
+    n = F.row_number().over(Window.partitionBy("session_id", "lang", "voice").orderBy("section", "a", "b", "e", "key", "line"))
+    return rows.withColumn("line", line).select("session_id", "lang", "voice", n.alias("n"), "line")
 
 
 def locks(reviews: DataFrame) -> DataFrame:

@@ -296,11 +296,65 @@ def _(s, d):
     return grid(s, d).join(best.drop("unit"), ["claim_id", "study_uid"], "left").select("claim_id", "study_uid", presence(c("status"), F.lit(True)).alias("presence"), "value")
 
 
-@query("l18_report_lines", "claims", "p AS (SELECT DISTINCT session_id, 0 AS section, session_id AS ord, 'Session ' || session_id AS text FROM claims UNION ALL SELECT session_id, 1, study_uid, claim_id || ': ' || verdict FROM claims) SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY section, ord) AS INT) AS n, '- ' || text AS line FROM p")
-def _(s, d):
-    x = X.claims(s, d)
-    head = x.select("session_id").distinct().select("session_id", F.lit(0).alias("section"), c("session_id").alias("ord"), F.concat(F.lit("Session "), "session_id").alias("text"))
-    return L.report_lines([head, x.select("session_id", F.lit(1).alias("section"), c("study_uid").alias("ord"), F.concat_ws(": ", "claim_id", "verdict").alias("text"))])
+def line_sql(kind: str, **values: str) -> str:
+    """SQL of a template filled in for a language ``l``: its texts by CASE, each place by replace()."""
+    from slicelake.functions.locale import TEXTS
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    pick = lambda k: f"CASE l WHEN 'en' THEN {quote(TEXTS[k][0])} ELSE {quote(TEXTS[k][1])} END"
+    out = pick(kind)
+    for name, v in values.items():
+        if name == "date":
+            v = f"CASE l WHEN 'en' THEN left({v}, 4) || '-' || substr({v}, 5, 2) || '-' || substr({v}, 7, 2) ELSE substr({v}, 7, 2) || '.' || substr({v}, 5, 2) || '.' || left({v}, 4) END"
+        if name == "word_status":
+            v = f"CASE {v} " + " ".join(f"WHEN '{k[5:]}' THEN {pick(k)}" for k in TEXTS if k.startswith("word.")) + " END"
+        out = f"replace({out}, '{{{name}}}', {v})"
+    return out
+
+
+#: Sessions are the numbers of claims modulo 50, their studies the years; a claim's text is its verdict, a region a priority. Every seventh session is not finished, every eleventh has an error.
+REPORT = """x AS (SELECT *, substr(session_id, 2)::INT AS s, left(study_date, 4) AS y FROM claims), se AS (SELECT session_id, CASE WHEN count(DISTINCT y) > 1 THEN 'comparison' ELSE 'single' END AS mode, 'reader ' || session_id AS reader, max(study_date) AS date FROM x WHERE s % 7 <> 0 AND s % 11 <> 0 GROUP BY session_id),
+st AS (SELECT session_id, y AS study, dense_rank() OVER (PARTITION BY session_id ORDER BY y) AS place, min(study_date) AS date FROM x GROUP BY session_id, y), rg AS (SELECT session_id, y AS study, priority AS region, CASE WHEN bool_or(status = 'present') THEN 'finding' WHEN bool_or(status = 'indeterminate') THEN 'limited' WHEN bool_or(status = 'not_seen') THEN 'no_finding' ELSE 'not_covered' END AS status, count(*) AS n FROM x GROUP BY session_id, y, priority),
+rp AS (SELECT *, row_number() OVER (PARTITION BY session_id, study ORDER BY region) AS place FROM rg), cl AS (SELECT session_id, claim_id AS claim, row_number() OVER (PARTITION BY session_id ORDER BY claim_id) AS place, arg_max(verdict, study_key) AS text, CASE WHEN bool_or(priority = 'high') THEN 'important' ELSE 'routine' END AS priority FROM x WHERE s % 13 <> 0 GROUP BY session_id, claim_id),
+me AS (SELECT session_id, claim_id AS claim, row_number() OVER (PARTITION BY session_id, claim_id ORDER BY study_key) AS place, CAST(study_key AS VARCHAR) AS value FROM x WHERE unit = 'mm' AND s % 13 <> 0), tl AS (SELECT session_id, claim_id AS claim, y AS study, arg_max(status, study_key) AS text FROM x WHERE s % 13 <> 0 GROUP BY session_id, claim_id, y),
+rgx AS (SELECT r.*, st.place AS sp FROM rp r JOIN st USING (session_id, study)), ptx AS (SELECT t.*, st.place AS sp, st.date, cl.place AS cp FROM tl t JOIN st USING (session_id, study) JOIN cl USING (session_id, claim) JOIN se USING (session_id) WHERE mode = 'comparison'), lg AS (SELECT unnest(list_value('en', 'tr')) AS l)"""
+
+
+def report_sql() -> str:
+    part = lambda table, voice, section, line, a="0", b="0", e="0": f"SELECT session_id, l, '{voice}' AS voice, {section} AS section, {a} AS a, {b} AS b, {e} AS e, {line} AS line FROM {table}, lg"
+    own = "se"
+    known = lambda t: f"(SELECT {t}.* FROM {t} SEMI JOIN se USING (session_id))"
+    head = lambda voice, section, kind, table=own: part(table, voice, section, line_sql(kind))
+    rows = [
+        part(own, "report", 0, f"CASE mode WHEN 'single' THEN {line_sql('title_single')} ELSE {line_sql('title_comparison')} END"), head("report", 1, "draft"), part(own, "report", 2, line_sql("signed", reader="reader", date="date")), head("report", 3, "studies"),
+        part(known("st"), "report", 4, line_sql("study", date="date", modalities="'CT'", folder="study"), "place"), head("report", 5, "findings"),
+        part(known("rgx"), "report", 6, f"CASE WHEN status IN ('finding', 'limited') THEN {line_sql('region_marked', region='region', word_status='status', text='CAST(n AS VARCHAR)')} ELSE {line_sql('region', region='region', word_status='status', text='CAST(n AS VARCHAR)')} END", "sp", "place"),
+        head("report", 7, "results"), part(known("cl"), "report", 8, f"CASE priority WHEN 'important' THEN {line_sql('claim_marked', n='CAST(place AS VARCHAR)', claim='claim', text='text')} ELSE {line_sql('claim', n='CAST(place AS VARCHAR)', claim='claim', text='text')} END", "place"),
+        part("(SELECT me.*, cl.place AS cp FROM me JOIN cl USING (session_id, claim) SEMI JOIN se USING (session_id))", "report", 8, line_sql("measured", value="value", unit="'mm'", method="'ruler'"), "cp", "place + 1"),
+        head("report", 9, "no_claims", "(SELECT * FROM se ANTI JOIN cl USING (session_id))"), head("report", 10, "timeline", "(SELECT * FROM se SEMI JOIN cl USING (session_id) WHERE mode = 'comparison')"),
+        part("ptx", "report", 11, line_sql("point", claim="claim", date="date", text="text"), "cp", "sp"), head("guide", 0, "guide_title"), head("guide", 1, "guide_note"),
+        *[part(known("cl"), "guide", 2, line_sql(k, **v), "place", str(i)) for i, (k, v) in enumerate((("guide_claim", {"claim": "claim", "text": "text"}), ("meaning", {"text": "text"}), ("importance", {"text": "priority"}), ("uncertainty", {"text": "''"}), ("ask", {"text": "claim"})))],
+        part("ptx", "guide", 2, line_sql("guide_point", date="date", explanation="upper(text)"), "cp", "5", "sp"), head("guide", 3, "guide_regions"), part(known("rgx"), "guide", 4, line_sql("guide_region", region="region", word_status="status", explanation="upper(region)"), "sp", "place"),
+    ]
+    return f"{REPORT}, li AS ({' UNION ALL '.join(rows)}) SELECT session_id, l AS lang, voice, CAST(row_number() OVER (PARTITION BY session_id, l, voice ORDER BY section, a, b, e, line) AS INT) AS n, line FROM li"
+
+
+@query("l18_report_lines", "claims", report_sql())
+def _(s, d):
+    from slicelake.functions.locale import languages
+
+    x = X.claims(s, d).withColumns({"s": F.substring("session_id", 2, 10).cast("int"), "study": F.substring("study_date", 1, 4)})
+    number = lambda *by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    sessions = x.groupBy("session_id", "s").agg(F.when(F.count_distinct("study") > 1, "comparison").otherwise("single").alias("mode"), F.max("study_date").alias("date")).withColumns({"reader": F.concat(F.lit("reader "), "session_id"), "finished": c("s") % 7 != 0})
+    studies = x.groupBy("session_id", "study").agg(F.min("study_date").alias("date")).withColumns({"place": number("session_id", order="study"), "modalities": F.lit("CT"), "folder": c("study")})
+    seen = lambda status: F.bool_or(c("status") == status)
+    regions = x.groupBy("session_id", "study", c("priority").alias("region")).agg(F.when(seen("present"), "finding").when(seen("indeterminate"), "limited").when(seen("not_seen"), "no_finding").otherwise("not_covered").alias("status"), F.count("*").alias("text")).withColumns({"place": number("session_id", "study", order="region"), "explanation": F.upper("region")})
+    y = x.where("s % 13 <> 0").withColumnRenamed("claim_id", "claim")
+    claims = y.groupBy("session_id", "claim").agg(F.max_by("verdict", "study_key").alias("text"), F.when(F.bool_or(c("priority") == "high"), "important").otherwise("routine").alias("priority"))
+    claims = claims.withColumns({"place": number("session_id", order="claim"), "meaning": c("text"), "importance": c("priority"), "uncertainty": F.lit(None).cast("string"), "discuss_with_doctor": c("claim")})
+    measured = y.where("unit = 'mm'").select("session_id", "claim", number("session_id", "claim", order="study_key").alias("place"), c("study_key").alias("value"), "unit", F.lit("ruler").alias("method"))
+    timeline = y.groupBy("session_id", "claim", "study").agg(F.max_by("status", "study_key").alias("text")).withColumn("explanation", F.upper("text"))
+    return L.report_lines(sessions, studies, regions, claims, measured, timeline, sessions.where("s % 11 = 0").select("session_id"), languages(s))
 
 
 @query("s01_read_instances", "instances", "SELECT sop_uid, modality, z FROM instances WHERE sop_uid IS NOT NULL OR modality IS NOT NULL")
