@@ -568,10 +568,11 @@ def tissue_band(profile: Column, centre: Column, noise: Column) -> tuple[Column,
 
 
 def robust_band(balls: DataFrame) -> DataFrame:
-    """(point, profile, median, spread, lo, hi): median and scaled absolute deviation, at least 15, of the values (point, profile, v) of each seed's ball, and the band that its tissue gives; a ball's size is fixed."""
+    """(point, profile, median, spread, lo, hi): median and scaled absolute deviation, at least 15, of the values (point, profile, v) of each seed's ball, and the band that its tissue gives; profile auto becomes bulla below -650, else solid. A ball's size is fixed."""
     medians = balls.groupBy("point", "profile").agg(F.expr("percentile(v, 0.5D)").alias("median"))
     rows = balls.join(medians.drop("profile"), "point").groupBy("point", "profile", "median").agg(F.expr("percentile(abs(v - median), 0.5D)").alias("mad"))
-    rows = rows.withColumn("spread", F.greatest(F.lit(15.0), 1.4826 * c("mad")))
+    auto = F.when(c("profile") != "auto", c("profile")).when(c("median") < -650, "bulla").otherwise("solid")
+    rows = rows.withColumn("spread", F.greatest(F.lit(15.0), 1.4826 * c("mad"))).withColumn("profile", auto)
     lo, hi = tissue_band(c("profile"), c("median"), c("spread"))
     return rows.select("point", "profile", "median", "spread", lo.alias("lo"), hi.alias("hi"))
 
