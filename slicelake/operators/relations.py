@@ -55,8 +55,10 @@ def locate_point(nearest: DataFrame, points: DataFrame) -> DataFrame:
     return nearest.select("request", "k").join(points, "request").select("request", "k", F.bround(c("ipp_y") / c("row_sp")).cast("int").alias("row_at"), F.bround(c("ipp_x") / c("col_sp")).cast("int").alias("col_at"))
 
 
-def fusion_positions(pairs: DataFrame, slices: DataFrame, step: float = 1.0) -> DataFrame:
-    """(a_uid, b_uid, z, ka, kb): places ``step`` apart from the top of what two series share, and the slice of each that is nearest."""
+def fusion_positions(pairs: DataFrame, slices: DataFrame, step: float = 1.0, zmin: float | None = None, zmax: float | None = None) -> DataFrame:
+    """(a_uid, b_uid, z, ka, kb): places ``step`` apart from the top of what two series share, within ``zmin`` and ``zmax`` where given, and the slice of each that is nearest."""
+    pairs = pairs if zmin is None else pairs.withColumn("lo", F.greatest("lo", F.lit(float(zmin))))
+    pairs = (pairs if zmax is None else pairs.withColumn("hi", F.least("hi", F.lit(float(zmax))))).where("lo <= hi")
     places = F.transform(F.sequence(F.lit(0), F.floor((c("hi") - c("lo")) / step).cast("int")), lambda i: c("hi") - i * step)
     rows = pairs.withColumn("z", F.explode(places)).select("a_uid", "b_uid", "z")
     for key, name in (("a_uid", "ka"), ("b_uid", "kb")):

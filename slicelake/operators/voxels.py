@@ -390,6 +390,16 @@ def roi_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("roi").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
+def reference_activity(rois: DataFrame) -> DataFrame:
+    """(roi, ratio, ref_mean, ref_sd) of regions (roi, series, n, mean, sd, reference): a lesion's mean to the reference's of its series, whose mean and deviation are those of all its reference regions' voxels together.
+
+    A series without a reference region, or with one of no activity, gives no ratio.
+    """
+    ref = rois.where("reference").groupBy("series").agg(F.sum("n").alias("all"), F.sum(c("n") * c("mean")).alias("s1"), F.sum(c("n") * (c("sd") * c("sd") + c("mean") * c("mean"))).alias("s2"))
+    ref = ref.withColumn("ref_mean", c("s1") / c("all")).withColumn("ref_sd", F.sqrt(F.greatest(F.lit(0.0), c("s2") / c("all") - c("ref_mean") * c("ref_mean"))))
+    return rois.join(ref.select("series", "ref_mean", "ref_sd"), "series", "left").select("roi", (c("mean") / F.nullif("ref_mean", F.lit(0.0))).alias("ratio"), "ref_mean", "ref_sd")
+
+
 def suv_max(found: DataFrame, voxels: DataFrame) -> DataFrame:
     """The largest voxel of each region, the first of equal ones, and the mean of the three by three about it, clipped."""
     top = found.groupBy("roi", "series", "k").agg(F.max_by(F.struct("r", "c", "v"), F.struct("v", -c("r"), -c("c"))).alias("p")).select("roi", "series", "k", c("p.r").alias("pr"), c("p.c").alias("pc"), c("p.v").alias("peak"))

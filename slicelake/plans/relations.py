@@ -89,9 +89,9 @@ def _(s, d):
     return R.pair_modalities(ranged(s, d))
 
 
-@query("p12_fusion_positions", "instances", f"{PAIRS}, g AS (SELECT a_uid, b_uid, hi - unnest(generate_series(0, CAST(floor(hi - lo) AS INT))) AS z FROM pm), {ORD} SELECT a_uid, b_uid, z, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = a_uid) AS ka, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = b_uid) AS kb FROM g")
+@query("p12_fusion_positions", "instances", f"{PAIRS}, pz AS (SELECT a_uid, b_uid, greatest(lo, 1.5) AS lo, least(hi, 5.0) AS hi FROM pm), g AS (SELECT a_uid, b_uid, hi - unnest(generate_series(0, CAST(floor(hi - lo) AS INT))) AS z FROM pz WHERE lo <= hi), {ORD} SELECT a_uid, b_uid, z, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = a_uid) AS ka, (SELECT arg_min(k, (abs(so.z - g.z), k)) FROM so WHERE so.series_uid = b_uid) AS kb FROM g")
 def _(s, d):
-    return R.fusion_positions(R.pair_modalities(ranged(s, d)), I.slice_order(X.instances(s, d)))
+    return R.fusion_positions(R.pair_modalities(ranged(s, d)), I.slice_order(X.instances(s, d)), 1.0, 1.5, 5.0)
 
 
 #: MR series of all patients of a folder's hundred count as one patient's, so that pairs occur.

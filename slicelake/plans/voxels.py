@@ -89,11 +89,12 @@ def _(s, d):
     return V.suv_max(f, x).withColumn("mean9", F.round("mean9", 5))
 
 
-@query("a24_reference_activity", "voxels", f"{ROIS}, g AS (SELECT roi, avg(v) AS mean FROM fv GROUP BY roi), ref AS (SELECT split_part(roi, '.', 1) AS series, avg(mean) AS ref FROM g WHERE split_part(roi, '.', 3)::INT < 8 GROUP BY 1) SELECT roi, round(mean / ref, 6) + 0.0::DOUBLE AS ratio FROM g JOIN ref ON split_part(roi, '.', 1) = series")
+@query("a24_reference_activity", "voxels", f"{ROIS}, g AS (SELECT roi, any_value(series) AS series, any_value(r0) AS r0, avg(v) AS mean FROM (SELECT fv.*, r0 FROM fv JOIN rois USING (roi, series, k)) GROUP BY roi), ref AS (SELECT fv.series, avg(v) AS ref_mean, stddev_pop(v) AS ref_sd FROM fv JOIN rois USING (roi) WHERE r0 < 8 GROUP BY fv.series) SELECT roi, round(mean / ref_mean, 6) + 0.0::DOUBLE AS ratio, round(ref_mean, 5) + 0.0::DOUBLE AS ref_mean, round(ref_sd, 5) AS ref_sd FROM g LEFT JOIN ref USING (series)")
 def _(s, d):
-    g = V.roi_stats(found_of(s, d)[0]).select("roi", "mean", F.split_part("roi", F.lit("."), F.lit(1)).alias("series"))
-    ref = g.where(F.split_part("roi", F.lit("."), F.lit(3)).cast("int") < 8).groupBy("series").agg(F.avg("mean").alias("ref"))
-    return g.join(ref, "series").select("roi", (F.round(c("mean") / c("ref"), 6) + 0.0).alias("ratio"))
+    f, x = found_of(s, d)
+    rois = rois_of(x).select("roi", "series", (c("r0") < 8).alias("reference"))
+    out = V.reference_activity(V.roi_stats(f).select("roi", "n", "mean", "sd").join(rois, "roi"))
+    return out.withColumns({"ratio": F.round("ratio", 6) + 0.0, "ref_mean": F.round("ref_mean", 5) + 0.0, "ref_sd": F.round("ref_sd", 5)})
 
 
 BOXES = "boxes AS (SELECT p_partkey AS box, p_partkey % 8 AS series, p_size AS r0, p_size + 10 AS r1, p_partkey % 40 AS c0, p_partkey % 40 + 12 AS c1 FROM part), bv AS (SELECT box, v.* FROM boxes b JOIN voxels v ON b.series = v.series AND r >= r0 AND r < r1 AND c >= c0 AND c < c1)"
