@@ -125,7 +125,7 @@ def validate_comparison(claims: DataFrame, studies: DataFrame, timeline: DataFra
     seen_ = ~F.coalesce(c("status").isin("present", "not_seen"), F.lit(False))
     return own.unionByName(violations(timeline, F.concat_ws("/", "claim", "study"), {
         "invalid timepoint": c("status").isin(*TIMEPOINTS), "timepoint needs professional and plain-language descriptions": filled("text") & filled("explanation"),
-        "timepoint needs evidence": seen_ | c("ref_study").isNotNull(), "timepoint source belongs to a different study": seen_ | c("ref_study").isNull() | (c("ref_study") == c("study")),
+        "source references missing": seen_ | c("ref_study").isNotNull(), "timepoint source belongs to a different study": seen_ | c("ref_study").isNull() | (c("ref_study") == c("study")),
     }))
 
 
@@ -202,6 +202,43 @@ def technical_alerts(studies: DataFrame, series: DataFrame, suv: DataFrame, pass
     return of_study.unionByName(of_series).unionByName(of_suv).unionByName(of_pass).unionByName(of_session)
 
 
+def build_findings(sessions: DataFrame, studies: DataFrame, claims: DataFrame, timeline: DataFrame, refs: DataFrame, measurements: DataFrame) -> DataFrame:
+    """A row for each claim and study of its session: presence, reference, measurement, and the claim's verdict and change.
+
+    Sessions (session, mode), studies (session, study, place), claims (session, claim, status), timeline (session, claim, study, status, ref), refs
+    (session, claim, study, place, ref), measurements (session, claim, study, place, unit, value, drawn, ref). The reference is that of the
+    first measurement drawn on the image, else the timeline's, else the claim's first, else any measurement's. The measurement is the
+    largest in mm, of other units only where none is. Without a timeline entry a study with a reference is present, any other not covered. The verdict is what
+    was recorded, never computed; of one study it is present. Change is from the first study to the last where both have a value of one unit.
+    """
+    from slicelake.functions.labels import presence
+
+    key = ["session", "claim", "study"]
+    several = studies.groupBy("session").agg((F.count_distinct("study") > 1).alias("several"), F.min("place").alias("first"), F.max("place").alias("last"))
+    several = several.join(sessions, "session").select("session", "first", "last", (c("several") & (c("mode") == "comparison")).alias("compared"))
+    grid = claims.select("session", "claim", "status").join(studies, "session").join(several, "session")
+    kinds = [
+        measurements.where("drawn").select(*key, F.lit(0).alias("kind"), "place", "ref"), timeline.select(*key, F.lit(1).alias("kind"), F.lit(0).alias("place"), "ref"),
+        refs.select(*key, F.lit(2).alias("kind"), "place", "ref"), measurements.select(*key, F.lit(3).alias("kind"), "place", "ref"),
+    ]
+    every = kinds[0]
+    for k in kinds[1:]:
+        every = every.unionByName(k)
+    ref = every.where("ref is not null").groupBy(*key).agg(F.min_by("ref", F.struct("kind", "place", "ref")).alias("ref"))
+    best = measurements.where("value is not null").groupBy(*key).agg(F.max_by(F.struct("unit", "value"), F.struct(c("unit") == "mm", "value", -c("place"))).alias("m"))
+    entry = timeline.select(*key, c("status").alias("at_status"))
+    rows = grid.join(entry, key, "left").join(ref, key, "left").join(best, key, "left")
+    w = Window.partitionBy("session", "claim")
+    end = lambda at: F.max(F.when(c("place") == c(at), c("m"))).over(w)
+    rows = rows.withColumns({"a": end("first"), "b": end("last")})
+    changed = c("compared") & (c("first") < c("last")) & (c("a.unit") == c("b.unit"))
+    verdict = F.when(~c("compared"), "present").when(c("status").isin(*COMPARISONS), c("status")).otherwise("not_comparable")
+    return rows.select(
+        *key, "place", presence(c("at_status"), c("ref").isNotNull()).alias("presence"), "ref", c("m.unit").alias("unit"), c("m.value").alias("value"), verdict.alias("verdict"),
+        F.when(changed, c("a.value")).alias("from_value"), F.when(changed, c("b.value")).alias("to_value"), F.when(changed & (c("a.value") > 0), (c("b.value") - c("a.value")) / c("a.value") * 100).alias("delta_pct"),
+    )
+
+
 def _lines(df: DataFrame, voice: str, section: int, key: Column | str, order: list[Column], **values: Column) -> DataFrame:
     """(session_id, voice, section, a, b, e, key, values): lines of one kind; ``order`` tells where they stand in their section."""
     key = F.lit(key) if isinstance(key, str) else key

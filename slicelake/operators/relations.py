@@ -123,11 +123,18 @@ def page_attested(pages: DataFrame, sources: DataFrame, sheets: DataFrame, sops:
     return rows.select("page_id", F.coalesce(c("sheet") | (c("n") == c("seen")), F.lit(False)).alias("attested"), reason.alias("reason"))
 
 
-def audit_match(review: DataFrame, truth: DataFrame) -> DataFrame:
-    """(patient, site, status): matched, partial, missed or overcalled, within 2 mm or a fifth of the size."""
-    rows = review.select("patient", "site", c("size").alias("own")).join(truth.select("patient", "site", c("size").alias("true")), ["patient", "site"], "full_outer")
-    close = F.abs(c("own") - c("true")) <= F.greatest(F.lit(2.0), 0.2 * c("true"))
-    return rows.select("patient", "site", F.when(c("true").isNull(), "overcalled").when(c("own").isNull(), "missed").when(close, "matched").otherwise("partial").alias("status"))
+def audit_match(review: DataFrame, truth: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(patient, site, status, leaked): matched, matched (leaked), partial, missed or overcalled.
+
+    Rows have patient, site, kind and size in mm. A nodule matches within 2 mm, any other kind of the truth within a fifth of its size;
+    another kind is partial. ``disclosed`` (patient, site) are facts that were known before the reading: a match on one proves less.
+    """
+    own = review.select("patient", "site", c("kind").alias("own_kind"), c("size").alias("own"))
+    rows = own.join(truth.select("patient", "site", "kind", c("size").alias("true")), ["patient", "site"], "full_outer")
+    rows = rows.join(disclosed.select("patient", "site").distinct().withColumn("known", F.lit(True)), ["patient", "site"], "left").withColumn("leaked", F.coalesce("known", F.lit(False)))
+    close = (c("own_kind") == c("kind")) & (F.abs(c("own") - c("true")) <= F.when(c("kind") == "nodule", 2.0).otherwise(0.2 * c("true")))
+    status = F.when(c("true").isNull(), "overcalled").when(c("own").isNull(), "missed").when(close & c("leaked"), "matched (leaked)").when(close, "matched").otherwise("partial")
+    return rows.select("patient", "site", status.alias("status"), "leaked")
 
 
 def identity_documents(docs: DataFrame, names: DataFrame) -> DataFrame:

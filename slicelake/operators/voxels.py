@@ -438,6 +438,17 @@ def plane_descriptions(mask: DataFrame, depth: int) -> DataFrame:
     return rows.select("series", "plane", i.alias("idx"), r.alias("y"), k.alias("x")).groupBy("series", "plane", "idx").agg(F.count("*").alias("pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
 
 
+def plane_runs(mask: DataFrame, depth: int) -> DataFrame:
+    """(series, plane, idx, y, x0, x1): runs of a mask's pixels in each image of the three planes."""
+    from slicelake.functions.geometry import project_voxel
+
+    rows = mask.withColumn("plane", F.explode(F.array(*map(F.lit, ("axial", "coronal", "sagittal")))))
+    i, y, x = project_voxel(c("k"), c("r"), c("c"), c("plane"), F.lit(depth))
+    w = Window.partitionBy("series", "plane", "idx", "y").orderBy("x")
+    runs = rows.select("series", "plane", i.alias("idx"), y.alias("y"), x.alias("x")).withColumn("island", c("x") - F.row_number().over(w))
+    return runs.groupBy("series", "plane", "idx", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+
+
 def dice(a: DataFrame, b: DataFrame) -> DataFrame:
     """(series, dice) of two masks."""
     both = a.select(*KEY, F.lit(1).alias("a")).join(b.select(*KEY, F.lit(1).alias("b")), list(KEY), "full_outer")

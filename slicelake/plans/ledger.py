@@ -220,7 +220,7 @@ L11 = {
     "comparison status missing": "status IN ('new', 'increased', 'decreased', 'stable', 'resolved', 'indeterminate', 'not_comparable')", "comparison rationale missing": "coalesce(reason, '') <> ''", "timeline must cover every supplied study": "known AND points = studies",
     "change claim needs explicit distinct comparison endpoints": "still OR (pa IS NOT NULL AND pb IS NOT NULL AND a <> b)", "comparison endpoints reversed": "still OR pa IS NULL OR pb IS NULL OR pa < pb", "change claim needs both endpoint studies'' evidence": "still OR seen",
 }
-L11P = {"invalid timepoint": "status IN ('present', 'not_seen', 'not_covered', 'indeterminate')", "timepoint needs professional and plain-language descriptions": "text <> '' AND explanation <> ''", "timepoint needs evidence": "status NOT IN ('present', 'not_seen') OR ref_study IS NOT NULL", "timepoint source belongs to a different study": "status NOT IN ('present', 'not_seen') OR ref_study IS NULL OR ref_study = study_uid"}
+L11P = {"invalid timepoint": "status IN ('present', 'not_seen', 'not_covered', 'indeterminate')", "timepoint needs professional and plain-language descriptions": "text <> '' AND explanation <> ''", "source references missing": "status NOT IN ('present', 'not_seen') OR ref_study IS NOT NULL", "timepoint source belongs to a different study": "status NOT IN ('present', 'not_seen') OR ref_study IS NULL OR ref_study = study_uid"}
 
 
 @query("l11_validate_comparison", "claims", f"{CMP} {rules_sql('claim_id', L11, 'f')} UNION ALL {rules_sql('claim_id || chr(47) || study_uid', L11P, 'pt')}")
@@ -288,12 +288,28 @@ def _(s, d):
     return L.input_fingerprint(X.claims(s, d).select("session_id", c("study_key").alias("ord"), F.sha2("study_uid", 256).alias("hash")))
 
 
-@query("l16_build_findings", "claims", f"{GRID}, b AS (SELECT claim_id, 'Y' || left(study_date, 4) AS study_uid, max(value) AS value FROM claims WHERE unit = 'mm' GROUP BY ALL) SELECT gr.claim_id, gr.study_uid, CASE status WHEN 'present' THEN 'present' WHEN 'not_seen' THEN 'absent' WHEN 'resolved' THEN 'absent' WHEN 'not_covered' THEN 'not_covered' ELSE 'unknown' END AS presence, value FROM gr LEFT JOIN b USING (claim_id, study_uid)")
-def _(s, d):
-    from slicelake.functions.labels import presence
-
-    best = R.best_measurement(X.claims(s, d).where("unit = 'mm'").select("claim_id", F.concat(F.lit("Y"), F.substring("study_date", 1, 4)).alias("study_uid"), "unit", "value"))
-    return grid(s, d).join(best.drop("unit"), ["claim_id", "study_uid"], "left").select("claim_id", "study_uid", presence(c("status"), F.lit(True)).alias("presence"), "value")
+FINDINGS = """x AS (SELECT *, left(study_date, 4) AS y FROM claims), se AS (SELECT session_id AS session, CASE WHEN min(study_key) % 3 = 0 THEN 'single' ELSE 'comparison' END AS mode FROM x GROUP BY 1), st AS (SELECT session_id AS session, y AS study, dense_rank() OVER (PARTITION BY session_id ORDER BY y) AS place FROM x GROUP BY session_id, y),
+cl AS (SELECT session_id AS session, claim_id AS claim, arg_max(CASE WHEN priority = 'low' THEN 'odd' ELSE verdict END, study_key) AS status FROM x GROUP BY 1, 2), tl AS (SELECT session_id AS session, claim_id AS claim, y AS study, arg_max(status, study_key) AS at_status, CASE WHEN max(study_key) % 2 = 0 THEN 't' || max(study_key) END AS ref FROM x WHERE value > 100000 GROUP BY 1, 2, 3),
+rf AS (SELECT session_id AS session, claim_id AS claim, y AS study, study_key AS place, 'r' || study_key AS ref FROM x WHERE value > 200000), me AS (SELECT session_id AS session, claim_id AS claim, y AS study, study_key AS place, unit, value, study_key % 5 = 0 AS drawn, 'm' || study_key AS ref FROM x WHERE value > 50000),
+ev AS (SELECT session, claim, study, 0 AS kind, place, ref FROM me WHERE drawn UNION ALL SELECT session, claim, study, 1, 0, ref FROM tl WHERE ref IS NOT NULL UNION ALL SELECT session, claim, study, 2, place, ref FROM rf UNION ALL SELECT session, claim, study, 3, place, ref FROM me), br AS (SELECT session, claim, study, arg_min(ref, (kind, place, ref)) AS ref FROM ev GROUP BY 1, 2, 3),
+bm AS (SELECT * FROM me QUALIFY row_number() OVER (PARTITION BY session, claim, study ORDER BY unit = 'mm' DESC, value DESC, place) = 1), en AS (SELECT session, max(place) AS z FROM st GROUP BY 1),
+g AS (SELECT cl.session, cl.claim, st.study, st.place, cl.status, mode = 'comparison' AND z > 1 AS compared, z, at_status, br.ref, bm.unit, bm.value FROM cl JOIN st USING (session) JOIN se USING (session) JOIN en USING (session) LEFT JOIN tl ON tl.session = cl.session AND tl.claim = cl.claim AND tl.study = st.study LEFT JOIN br ON br.session = cl.session AND br.claim = cl.claim AND br.study = st.study LEFT JOIN bm ON bm.session = cl.session AND bm.claim = cl.claim AND bm.study = st.study),
+h AS (SELECT *, max(CASE WHEN place = 1 THEN unit END) OVER w AS u1, max(CASE WHEN place = 1 THEN value END) OVER w AS v1, max(CASE WHEN place = z THEN unit END) OVER w AS u2, max(CASE WHEN place = z THEN value END) OVER w AS v2 FROM g WINDOW w AS (PARTITION BY session, claim))
+SELECT session, claim, study, place, CASE at_status WHEN 'present' THEN 'present' WHEN 'not_seen' THEN 'absent' WHEN 'resolved' THEN 'absent' WHEN 'not_covered' THEN 'not_covered' ELSE CASE WHEN at_status IS NOT NULL THEN 'unknown' WHEN ref IS NOT NULL THEN 'present' ELSE 'not_covered' END END AS presence, ref, unit, value,
+CASE WHEN NOT compared THEN 'present' WHEN status IN ('new', 'increased', 'decreased', 'stable', 'resolved', 'indeterminate', 'not_comparable') THEN status ELSE 'not_comparable' END AS verdict, CASE WHEN compared AND u1 = u2 THEN v1 END AS from_value, CASE WHEN compared AND u1 = u2 THEN v2 END AS to_value, round(CASE WHEN compared AND u1 = u2 AND v1 > 0 THEN (v2 - v1) / v1 * 100 END, 6) AS delta_pct FROM h"""
+
+
+@query("l16_build_findings", "claims", FINDINGS)
+def _(s, d):
+    x = X.claims(s, d).select(c("session_id").alias("session"), c("claim_id").alias("claim"), F.substring("study_date", 1, 4).alias("study"), c("study_key").alias("place"), "value", "unit", "status", "verdict", "priority")
+    name = lambda letter: F.concat(F.lit(letter), c("place").cast("string")).alias("ref")
+    sessions = x.groupBy("session").agg(F.when(F.min("place") % 3 == 0, "single").otherwise("comparison").alias("mode"))
+    studies = x.select("session", "study").distinct().withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("study")))
+    claims = x.groupBy("session", "claim").agg(F.max_by(F.when(c("priority") == "low", "odd").otherwise(c("verdict")), "place").alias("status"))
+    timeline = x.where("value > 100000").groupBy("session", "claim", "study").agg(F.max_by("status", "place").alias("status"), F.max("place").alias("place")).withColumn("ref", F.when(c("place") % 2 == 0, name("t"))).drop("place")
+    refs = x.where("value > 200000").select("session", "claim", "study", "place", name("r"))
+    measured = x.where("value > 50000").select("session", "claim", "study", "place", "unit", "value", (c("place") % 5 == 0).alias("drawn"), name("m"))
+    return L.build_findings(sessions, studies, claims, timeline, refs, measured).withColumn("delta_pct", F.round("delta_pct", 6))
 
 
 def line_sql(kind: str, **values: str) -> str:

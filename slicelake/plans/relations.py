@@ -158,13 +158,14 @@ def _(s, d):
     return passes.join(skipped.groupBy("series_uid", "purpose").agg(F.count("*").alias("n")), ["series_uid", "purpose"], "left").select("series_uid", "purpose", F.coalesce("n", F.lit(0)).cast("long").alias("skipped"))
 
 
-AUD = "rv AS (SELECT doc_id % 500 AS patient, lang AS site, max(n_chars)::DOUBLE / 100 AS size FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL), tr AS (SELECT doc_id % 500 AS patient, lang AS site, avg(n_chars) / 100 AS size FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL), au AS (SELECT coalesce(rv.patient, tr.patient) AS patient, coalesce(rv.site, tr.site) AS site, CASE WHEN tr.size IS NULL THEN 'overcalled' WHEN rv.size IS NULL THEN 'missed' WHEN abs(rv.size - tr.size) <= greatest(2, 0.2::DOUBLE * tr.size) THEN 'matched' ELSE 'partial' END AS status FROM rv FULL JOIN tr ON rv.patient = tr.patient AND rv.site = tr.site)"
+AUD = "rv AS (SELECT doc_id % 500 AS patient, lang AS site, max(n_chars)::DOUBLE / 100 AS size, CASE WHEN max(doc_id) % 2 = 0 THEN 'nodule' ELSE 'mass' END AS kind FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL), tr AS (SELECT doc_id % 500 AS patient, lang AS site, avg(n_chars) / 100 AS size, CASE WHEN min(doc_id) % 2 = 0 THEN 'nodule' ELSE 'mass' END AS kind FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL), au AS (SELECT patient, site, CASE WHEN t.size IS NULL THEN 'overcalled' WHEN r.size IS NULL THEN 'missed' WHEN r.kind = t.kind AND abs(r.size - t.size) <= CASE t.kind WHEN 'nodule' THEN 2 ELSE 0.2::DOUBLE * t.size END THEN CASE WHEN patient % 4 = 0 THEN 'matched (leaked)' ELSE 'matched' END ELSE 'partial' END AS status, patient % 4 = 0 AS leaked FROM rv r FULL JOIN tr t USING (patient, site))"
 
 
 def audited(s, d):
     x = X.load(s, d, "documents").select("doc_id", (c("doc_id") % 500).alias("patient"), c("lang").alias("site"), "n_chars")
-    g = lambda f, a: x.where(f).groupBy("patient", "site").agg((a / 100).alias("size"))
-    return R.audit_match(g("doc_id % 3 <> 0", F.max("n_chars").cast("double")), g("doc_id % 5 <> 0", F.avg("n_chars")))
+    kind = lambda f: F.when(f("doc_id") % 2 == 0, "nodule").otherwise("mass").alias("kind")
+    g = lambda f, a, k: x.where(f).groupBy("patient", "site").agg((a / 100).alias("size"), kind(k))
+    return R.audit_match(g("doc_id % 3 <> 0", F.max("n_chars").cast("double"), F.max), g("doc_id % 5 <> 0", F.avg("n_chars"), F.min), x.where("patient % 4 = 0"))
 
 
 @query("j16_audit_match", "", f"{AUD} SELECT * FROM au")

@@ -403,6 +403,11 @@ def _(s, d):
     return V.plane_descriptions(mask(s, d), 8).withColumns({x: F.round(x, 6) for x in ("cy", "cx")})
 
 
+@query("v21_plane_runs", "voxels", f"{MASK}, p AS (SELECT series, unnest(list_value('axial', 'coronal', 'sagittal')) AS plane, k, r, c FROM m), q AS (SELECT series, plane, CASE plane WHEN 'axial' THEN k WHEN 'coronal' THEN r ELSE c END AS idx, CASE plane WHEN 'axial' THEN r ELSE 7 - k END AS y, CASE plane WHEN 'sagittal' THEN r ELSE c END AS x FROM p), i AS (SELECT *, x - row_number() OVER (PARTITION BY series, plane, idx, y ORDER BY x) AS i FROM q) SELECT series, plane, idx, y, min(x) AS x0, max(x) AS x1 FROM i GROUP BY series, plane, idx, y, i")
+def _(s, d):
+    return V.plane_runs(mask(s, d), 8)
+
+
 @query("v22_mask_overlap", "voxels", "a AS (SELECT * FROM voxels WHERE v > 0), b AS (SELECT * FROM voxels WHERE v < 300), n AS (SELECT series, count(*) AS n FROM a GROUP BY series), o AS (SELECT series, count(*) AS n FROM b GROUP BY series), i AS (SELECT series, count(*) AS n FROM a WHERE v < 300 GROUP BY series) SELECT n.series, round(2 * i.n / (n.n + o.n)::DOUBLE, 9) AS dice FROM n JOIN o USING (series) JOIN i USING (series)")
 def _(s, d):
     x = X.grid_voxels(s, d)
