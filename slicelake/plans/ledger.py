@@ -200,13 +200,13 @@ def _(s, d):
     return L.validate_claims(rows)
 
 
-#: The evidence of a claim's measurement is the document of its study's number; the recorded hash is that of its first 400 characters.
-MEASURES = """fl AS (SELECT doc_id AS study_key, sha256(text) AS now, CASE WHEN source <> 'src1' THEN sha256(left(text, 400)) ELSE '' END AS hash FROM documents), ms AS (SELECT study_uid AS owner, unit, value, CASE status WHEN 'present' THEN 'caliper' WHEN 'indeterminate' THEN 'estimate' ELSE '' END AS method, CASE WHEN priority <> 'low' THEN 1 END AS row_at, now, coalesce(hash, '') AS hash FROM claims LEFT JOIN fl USING (study_key))"""
+#: The evidence of a claim's measurement is the document of its study's number; the recorded hash is its own, none of source src1, and an older one of source src2.
+MEASURES = """fl AS (SELECT doc_id AS study_key, sha256(text) AS now, CASE source WHEN 'src1' THEN '' WHEN 'src2' THEN sha256(text || '.') ELSE sha256(text) END AS hash FROM documents), ms AS (SELECT study_uid AS owner, unit, value, CASE status WHEN 'present' THEN 'caliper' WHEN 'indeterminate' THEN 'estimate' ELSE '' END AS method, CASE WHEN priority <> 'low' THEN 1 END AS row_at, now, coalesce(hash, '') AS hash FROM claims LEFT JOIN fl USING (study_key))"""
 
 
 @query("l10_validate_measurements", "claims", f"{MEASURES} " + rules_sql("owner", {"measurement needs native row/column coordinates": "row_at IS NOT NULL", "invalid measurement unit": "unit IN ('mm', 'HU', 'SUVbw', 'mL', 'mm2', 'mm3')", "invalid measured value": "isfinite(value)", "measurement method missing": "method <> ''", "measurement tool output missing": "now IS NOT NULL", "measurement output hash missing": "hash <> ''", "measurement output changed": "now IS NULL OR now = hash"}, "ms"))
 def _(s, d):
-    docs = X.load(s, d, "documents").select(c("doc_id").alias("file"), F.sha2("text", 256).alias("now"), F.when(c("source") != "src1", F.sha2(F.left("text", F.lit(400)), 256)).otherwise("").alias("hash"))
+    docs = X.load(s, d, "documents").select(c("doc_id").alias("file"), F.sha2("text", 256).alias("now"), F.when(c("source") == "src1", "").when(c("source") == "src2", F.sha2(F.concat("text", F.lit(".")), 256)).otherwise(F.sha2("text", 256)).alias("hash"))
     rows = X.claims(s, d).select(c("study_uid").alias("owner"), "unit", "value", F.when(c("status") == "present", "caliper").when(c("status") == "indeterminate", "estimate").otherwise("").alias("method"), F.when(c("priority") != "low", 1).alias("row_at"), F.when(c("priority") != "low", 1).alias("col_at"), c("study_key").alias("file"))
     return L.validate_measurements(rows.join(docs.select("file", "hash"), "file", "left").fillna("", ["hash"]), docs)
 
@@ -399,8 +399,7 @@ def _(s, d):
     path = scratch_path(s, "sessions")
     docs = X.claims(s, d).groupBy("session_id").agg(F.collect_list(F.struct(c("claim_id").alias("id"), c("verdict").alias("text"), "priority")).alias("claims"))
     docs.withColumnRenamed("session_id", "id").write.json(path)
-    rows = s.read.schema(S.SESSION).json(path)  # a document a line
-    return rows.select(c("id").alias("session_id"), F.inline("claims")).withColumnRenamed("id", "claim_id").groupBy("session_id", "claim_id", "text", "priority").agg(F.count("*").alias("n"))
+    return S.read_sessions(s, path, lines=True)["claims"].groupBy("session_id", "claim_id", "text", "priority").agg(F.count("*").alias("n"))
 
 
 @query("s05_read_attestations", "view_events", "SELECT reader, sop_uid, dwell_ms, scale FROM view_events WHERE event_id % 13 <> 0")

@@ -31,9 +31,9 @@ def folder_signature(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("at").alias("newest"))
 
 
-def read_sessions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A ledger's documents as tables: sessions, studies, series, claims, pages."""
-    docs = spark.read.schema(SESSION).option("multiLine", "true").json(path)
+def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """A ledger's documents, one a file or one a line, as tables: sessions, studies, series, claims, pages."""
+    docs = spark.read.schema(SESSION).option("multiLine", str(not lines).lower()).json(path)
     studies = docs.select(c("id").alias("session_id"), F.inline("studies"))
     return {
         "sessions": docs.select(c("id").alias("session_id"), "reader", "mode"), "studies": studies.select("session_id", c("uid").alias("study_uid"), "date"),
