@@ -464,6 +464,25 @@ def _(s, d):
     return T.live_coverage(e, e.select("sop_uid", "series_uid").distinct())
 
 
+@query("t05_live_coverage_stream", "view_events", f"SELECT series_uid, count(DISTINCT sop_uid) AS seen FROM view_events WHERE ({WHY}) IS NULL GROUP BY series_uid")
+def _(s, d):
+    """The same from a stream of four files, one a batch, with the counts kept as state."""
+    from slicelake.scratch import scratch_path
+
+    source, out, store = scratch_path(s, "events"), scratch_path(s, "seen"), "spark.sql.streaming.stateStore.providerClass"
+    e = X.view_events(s, d)
+    e.repartition(4, "event_id").write.parquet(source)
+    before = s.conf.get(store, None)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        counts = T.live_coverage(T.event_stream(s, source, e.schema), e.select("sop_uid", "series_uid"))
+        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(store) if before is None else s.conf.set(store, before)
+    return s.read.schema("series_uid string, seen long").parquet(out).groupBy("series_uid").agg(F.max("seen").alias("seen"))
+
+
 @query("t06_display_gate", "view_events", "q AS (SELECT event_id AS request, ts AS asked FROM view_events WHERE event_id % 2 = 0), r AS (SELECT event_id - event_id % 4 AS to_request, ts + INTERVAL 100 SECOND AS answered, event_id % 3 = 0 AS declined FROM view_events WHERE event_id % 4 = 0) SELECT request, asked, CASE WHEN answered IS NULL THEN 'timed out' WHEN declined THEN 'declined' ELSE 'satisfied' END AS status FROM q LEFT JOIN r ON request = to_request AND answered >= asked AND answered <= asked + INTERVAL 180 SECOND")
 def _(s, d):
     e = X.view_events(s, d)

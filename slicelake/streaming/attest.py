@@ -48,7 +48,10 @@ def dwell_segments(events: DataFrame, gap_ms: float | None = None) -> DataFrame:
 
 
 class Segments(StatefulProcessor):
-    """The stream's form of dwell_segments(): the open segment of a reader is state; it ends when another begins, or after a quiet time."""
+    """The stream's form of dwell_segments(): the open segment of a reader is state; it ends when another begins, or after a quiet time.
+
+    An event that is older than the last one of its reader's open segment came too late to say where it belongs, and is left out.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,6 +61,8 @@ class Segments(StatefulProcessor):
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         state, out = (self.open.get() if self.open.exists() else None), []
         for e in events.itertuples():
+            if state and int(e.ts.timestamp() * 1000) < state[6]:
+                continue
             if state and state[0] == e.sop_uid and state[5]:
                 state = (*state[:1], state[1] + 1, state[2] + e.dwell_ms, min(state[3], e.scale), state[4], bool(e.focused), int(e.ts.timestamp() * 1000))
             else:
@@ -94,9 +99,36 @@ def dedup_reported(events: DataFrame) -> DataFrame:
     return events.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
 
 
+class Seen(StatefulProcessor):
+    """How many different slices of a series were seen: each is an entry of keyed state, in the state store and not in memory, and counts once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen, self.n = handle.getMapState("seen", "sop_uid string", "times long"), handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = n = self.n.get()[0] if self.n.exists() else 0
+        for pdf in rows:
+            for sop in pdf["sop_uid"].unique():
+                if not self.seen.containsKey((sop,)):
+                    self.seen.updateValue((sop,), (1,))
+                    n += 1
+        if n > before:
+            self.n.update((n,))
+        yield pd.DataFrame({"series_uid": [key[0]], "seen": [n]} if n > before else {"series_uid": [], "seen": []}).astype({"series_uid": object, "seen": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def live_coverage(attested: DataFrame, slices: DataFrame) -> DataFrame:
-    """Slices seen of each series so far; joins a stream (or a table) with the static slices."""
-    return accepted(attested).join(slices.select("sop_uid", "series_uid"), ["sop_uid", "series_uid"]).groupBy("series_uid").agg(F.approx_count_distinct("sop_uid").alias("seen") if attested.isStreaming else F.count_distinct("sop_uid").alias("seen"))
+    """(series_uid, seen): slices seen of each series so far, exactly; joins a stream (or a table) with the static slices.
+
+    A stream gives a series' count whenever it grows; the last one, the largest, holds. It needs the RocksDB state store.
+    """
+    own = accepted(attested).join(slices.select("sop_uid", "series_uid").distinct(), ["sop_uid", "series_uid"])
+    if attested.isStreaming:
+        return own.select("series_uid", "sop_uid").groupBy("series_uid").transformWithStateInPandas(Seen(), "series_uid string, seen long", "Update", "None")
+    return own.groupBy("series_uid").agg(F.count_distinct("sop_uid").alias("seen"))
 
 
 def display_gate(requests: DataFrame, responses: DataFrame, within: str = "180 seconds") -> DataFrame:
