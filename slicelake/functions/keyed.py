@@ -55,9 +55,9 @@ def decimal_of_hex(h: Column) -> Column:
     return let(words_of_hex(h), decimal_of_words)
 
 
-def uid_words(key: str, value: Column) -> Column:
-    """The first sixteen bytes of a UID's digest as words. As a column of its own it is computed once, and uid_of_words() of it stays in generated code."""
-    return let(F.substring(hmac_sha256(key, value), 1, 32), words_of_hex)
+def uid_digest(key: str, value: Column) -> Column:
+    """The first sixteen bytes of a UID's digest as hexadecimal digits. As a column of its own, and its words as another, each is computed once and in generated code."""
+    return F.substring(hmac_sha256(key, value), 1, 32)
 
 
 def uid_of_words(words: Column) -> Column:
@@ -66,7 +66,7 @@ def uid_of_words(words: Column) -> Column:
 
 def pseudo_uid(key: str, value: Column) -> Column:
     """2.25. and the first sixteen bytes of the digest as an integer."""
-    return let(uid_words(key, value), uid_of_words)
+    return let(let(uid_digest(key, value), words_of_hex), uid_of_words)
 
 
 def salt_date_shift(key: str) -> int:
