@@ -41,9 +41,11 @@ def sentence_spans(docs: DataFrame, run: int = 3, least_chars: int = 40, least_w
     repeated = spans.join(first, ["a", "b"]).where(F.struct("doc_id", "h", "i") > F.col("first"))
     marks = repeated.groupBy("doc_id", "h").agg(F.collect_set(F.struct("i", "n")).alias("starts"))
     joined = texts(docs).withColumn("h", F.xxhash64("text")).join(marks, ["doc_id", "h"], "left").withColumn("sentences", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
-    covered = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")), lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))))
-    joined = joined.withColumn("gone", covered).withColumn("n_removed", F.size("gone"))
-    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(F.filter("sentences", lambda s, i: ~F.array_contains("gone", i)), ""))
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")), lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1)))))
+    # what stands between two removed sentences next to each other is a slice: each sentence is copied once
+    joined = joined.withColumn("gone", covered).withColumn("edges", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("sentences")))).withColumn("n_removed", F.size("gone"))
+    between = F.transform(F.slice("edges", 2, F.size("edges")), lambda end, k: F.slice("sentences", F.col("edges")[k] + 2, end - F.col("edges")[k] - 1))
+    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), ""))
     return joined.select("doc_id", kept.alias("kept"), F.size("sentences").alias("n_sentences"), "n_removed")
 
 

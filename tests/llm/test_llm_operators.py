@@ -490,6 +490,14 @@ def test_spans(spark, empty):
     assert sentence_spans(empty).count() == 0
 
 
+def test_spans_of_a_text_of_one_line_a_hundred_thousand_times(spark):
+    line, other = "The very same line stands here once more, and again.\n", "This line stands here but once, somewhere among the others.\n"
+    text = line * 50_000 + other + line * 50_000
+    got = sentence_spans(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    # the span that starts at the second line repeats the one at the first, and so on; those across the other line come but once
+    assert [(r.n_sentences, r.n_removed, r.kept) for r in got] == [(100_001, 99_999, line + other), (100_001, 100_001, "")]
+
+
 def test_mixing_keeps_budgets_and_fills_siblings_first(spark, empty):
     rows = [(i, "w " * 10, "en" if i % 2 else "fr", f"src{i % 3}") for i in range(300)] + [(1000, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("copies", F.lit(9))
