@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WORDS, GRAMS, LONGEST = 20_000, 5_000, 4
 MEMORY, MEMORY_BYTES = 300_000, 64 << 20
 #: Counts that a task holds before it sends them.
 HELD = 200_000
+#: So many languages' shares are sent to all tasks; more are joined.
+SENT = 100_000
 
 
 #: Runs of what is alphanumeric, but no decimal: letters, and here and there another number, as ½, ², Ⅷ.
@@ -88,19 +91,40 @@ def _grams(words: DataFrame) -> DataFrame:
     return _summed(words.mapInArrow(run, COUNTS))
 
 
+class Scores:
+    """Log scores of keys in each language: entries for the languages where a key occurs, and in the others what a key scores that doesn't occur there."""
+
+    def __init__(self, keys: pa.Array, at: np.ndarray, n: np.ndarray, totals: np.ndarray):
+        """Of counts n, all above zero, of ``keys`` in the languages ``at``, of which each counts ``totals``."""
+        coded = pc.dictionary_encode(keys)
+        code, order = coded.indices.to_numpy(zero_copy_only=False), np.argsort(coded.indices.to_numpy(zero_copy_only=False), kind="stable")
+        self.row = {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
+        over = totals + 0.5 * (len(self.row) + 1)
+        self.none, self.at = np.log(0.5 / over), at[order]
+        self.scores, self.starts = np.log((n[order] + 0.5) / over[self.at]), np.searchsorted(code[order], np.arange(len(self.row) + 1))
+
+    def get(self, key: str) -> np.ndarray | None:
+        i = self.row.get(key)
+        if i is None:
+            return None
+        own, out = slice(self.starts[i], self.starts[i + 1]), self.none.copy()
+        out[self.at[own]] = self.scores[own]
+        return out
+
+
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
+    def __init__(self, langs: list[str], words: Scores, grams: list[Scores]):
         self.langs, self.words, self.grams = langs, words, grams
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((min(MEMORY, MEMORY_BYTES // 8 // max(len(langs), 1)), max(len(langs), 1)))
+        self.rows = np.zeros((max(min(MEMORY, MEMORY_BYTES // 8 // max(len(langs), 1)), 1), max(len(langs), 1)))
 
-    def of(self, run: str) -> list[float]:
+    def of(self, run: str) -> np.ndarray:
         """Log scores of a run in each language: those of its words."""
         if run.isalpha():
             return self.of_word(run)
-        return [sum(x) for x in zip([0.0] * len(self.langs), *map(self.of_word, letters(run)), strict=True)]
+        return np.sum([np.zeros(len(self.langs)), *map(self.of_word, letters(run))], axis=0)
 
-    def of_word(self, word: str) -> list[float]:
+    def of_word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
             return known
@@ -113,7 +137,7 @@ class Model:
                     break
             else:
                 i += 1
-        return list(map(sum, zip(*found, strict=True))) if found else [0.0] * len(self.langs)
+        return np.sum(found, axis=0) if found else np.zeros(len(self.langs))
 
     def predict(self, text: str) -> tuple[str, float]:
         words = RUN.findall(text.lower())
@@ -133,7 +157,7 @@ class Model:
 
 
 def fit(train: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """The model for rows (lang, text). It holds at most ``words`` words and ``grams`` n-grams of each length for each language, ties to the smaller; they come to the driver with their counts."""
+    """The model for rows (lang, text). It holds at most ``words`` words and ``grams`` n-grams of each length for each language, ties to the smaller; they come to the driver with their counts, one for each language that has them."""
     with tables(train.sparkSession) as own:
         of_words = own.written(_words(train), "words")
         counts = own.written(of_words.unionByName(_grams(of_words)), "counts")
@@ -143,15 +167,16 @@ def fit(train: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
         # the first of each of 64 parts, then the first of those
         shares = counts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("best", nth("part")).where("best")
         chosen = shares.withColumn("best", nth()).where("best").select("size", "key").distinct()
-        found = counts.join(chosen, ["size", "key"]).select("size", "key", "lang", "n").collect()
+        found = counts.join(chosen, ["size", "key"]).select("size", "key", "lang", "n").toArrow().combine_chunks()
     langs = sorted({r.lang for r in totals if r["size"] == 0})
-    at = {x: i for i, x in enumerate(langs)}
-    every, held = np.zeros((LONGEST + 1, len(langs))), [{} for _ in range(LONGEST + 1)]
+    place, every = {x: i for i, x in enumerate(langs)}, np.zeros((LONGEST + 1, len(langs)))
     for r in totals:
-        every[r["size"], at[r.lang]] = r.n
-    for size, key, lang, n in found:
-        held[size].setdefault(key, np.zeros(len(langs)))[at[lang]] = n
-    scores = [{x: np.log((v + 0.5) / (every[size] + 0.5 * (len(own) + 1))).tolist() for x, v in own.items()} for size, own in enumerate(held)]
+        every[r["size"], place[r.lang]] = r.n
+    scores = []
+    for size in range(LONGEST + 1):
+        own = found.filter(pc.equal(found["size"], size)).combine_chunks()
+        at = pc.index_in(own["lang"], value_set=pa.array(langs, pa.string())).combine_chunks().to_numpy(zero_copy_only=False)
+        scores.append(Scores(own["key"].combine_chunks(), at, own["n"].to_numpy(), every[size]))
     return Model(langs, scores[0], [{}, *scores[1:]])
 
 
@@ -165,9 +190,11 @@ def languages(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, gra
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held)
-    shares = train.groupBy("lang").agg((F.lit(fit_docs) / F.count("*")).alias("share"))  # a row for each language
-    model = fit(train.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text"), words, grams)
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by WORDS and GRAMS
+    with tables(docs.sparkSession) as own:
+        shares = own.written(train.groupBy("lang").agg((F.lit(fit_docs) / F.count("*")).alias("share")), "shares")  # a row for each language
+        shares = F.broadcast(shares) if shares.count() <= SENT else shares
+        model = fit(train.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text"), words, grams)
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # WORDS and GRAMS of each language, and an entry for each language that has them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from slicelake.llm import bpe, quality, sampling, simhash, suffixes, token_files
-from slicelake.llm.language import RUN, Model, languages, letters
+from slicelake.llm.language import RUN, Model, fit, languages, letters
 from slicelake.llm.mixing import domain_of_source, mix, mixed_documents, target_weights
 from slicelake.llm.quality import isotonic, quality_scores
 from slicelake.llm.search import top_k
@@ -361,6 +361,19 @@ def test_every_language_is_learned(spark):
     assert {r.held_out for r in got} == {True, False} and {r.lang_pred for r in got} == {"pl"}
 
 
+def test_a_model_of_three_hundred_languages_grows_with_what_occurs(spark):
+    own = lambda i: [f"{chr(0x4E00 + i)}{chr(0x4E00 + i)}{x}" for x in "abcde"]  # noqa: E731  words of one language alone
+    rows = [(i * 3 + k, " ".join([*own(i), "shared"]), f"l{i:03}") for i in range(300) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs.select("lang", "text"))
+    assert len(model.langs) == 300 and len(model.words.row) == 1501 and len(model.words.at) == 300 * 6
+    assert len(model.grams[2].at) < 300 * 40  # 300 * 300 * 13 entries if each key had all languages
+    assert (model.words.get("shared") > model.words.none).all() and (model.words.get(own(7)[0]) > model.words.none).nonzero()[0].tolist() == [7]
+    seen = {l for i, _, l in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    got = languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in got if r.lang in seen) and len(seen) > 250
+
+
 def test_quality_against_dense_equations(spark):
     """Features, ridge and calibration once more, in one matrix and with isotonic levels by their min-max formula."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
