@@ -102,14 +102,19 @@ class Scores:
         over = totals + 0.5 * (len(self.row) + 1)
         self.none, self.at = np.log(0.5 / over), at[order]
         self.scores, self.starts = np.log((n[order] + 0.5) / over[self.at]), np.searchsorted(code[order], np.arange(len(self.row) + 1))
+        self.seen, self.most = {}, MEMORY_BYTES // (32 * (LONGEST + 1) * max(len(totals), 1))
 
-    def get(self, key: str) -> np.ndarray | None:
-        i = self.row.get(key)
-        if i is None:
-            return None
+    def get(self, key: str) -> list[float] | None:
+        """A key's score in each language; of the first keys asked for, as many as memory is set aside for, the lists are kept."""
+        known = self.seen.get(key)
+        if known is not None or (i := self.row.get(key)) is None:
+            return known
         own, out = slice(self.starts[i], self.starts[i + 1]), self.none.copy()
         out[self.at[own]] = self.scores[own]
-        return out
+        known = out.tolist()
+        if len(self.seen) < self.most:
+            self.seen[key] = known
+        return known
 
 
 class Model:
@@ -118,13 +123,13 @@ class Model:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((max(min(MEMORY, MEMORY_BYTES // 8 // max(len(langs), 1)), 1), max(len(langs), 1)))
 
-    def of(self, run: str) -> np.ndarray:
+    def of(self, run: str) -> list[float]:
         """Log scores of a run in each language: those of its words."""
         if run.isalpha():
             return self.of_word(run)
-        return np.sum([np.zeros(len(self.langs)), *map(self.of_word, letters(run))], axis=0)
+        return [sum(x) for x in zip([0.0] * len(self.langs), *map(self.of_word, letters(run)), strict=True)]
 
-    def of_word(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> list[float]:
         known = self.words.get(word)
         if known is not None:
             return known
@@ -137,7 +142,7 @@ class Model:
                     break
             else:
                 i += 1
-        return np.sum(found, axis=0) if found else np.zeros(len(self.langs))
+        return list(map(sum, zip(*found, strict=True))) if found else [0.0] * len(self.langs)
 
     def predict(self, text: str) -> tuple[str, float]:
         words = RUN.findall(text.lower())
