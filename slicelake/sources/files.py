@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +25,43 @@ def read_instances(spark: SparkSession, path: str, schema: str, form: str = "jso
     return rows.where(c("sop_uid").isNotNull() | c("modality").isNotNull())
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, at, hash) of every file under a folder."""
+#: Files up to so many bytes are rows of the file source, and hashed in the JVM.
+WHOLE = 64 << 20
+#: Longer ones are read so many bytes at a time.
+CHUNK = 8 << 20
+
+
+def digest_in_chunks(path: str, chunk: int = CHUNK) -> str:
+    """SHA-256 of a file of any length, which is never held whole; ``path`` is local or of a scheme that Arrow opens (hdfs, s3, s3a, gs, abfs)."""
+    scheme, rest = path.split(":", 1) if ":/" in path else ("file", path)
+    if scheme == "file":
+        fs, name = LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        fs, name = FileSystem.from_uri(quote(f"{'s3' if scheme == 's3a' else scheme}:{rest}", safe="/:@"))
+    digest = hashlib.sha256()
+    with fs.open_input_stream(name, compression=None, buffer_size=0) as stream:
+        while part := stream.read(chunk):
+            digest.update(part)
+    return digest.hexdigest()
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(path, size, at, hash) of every file under a folder that has any bytes, of any length.
+
+    Files longer than ``whole`` bytes are read chunk by chunk, a file a task, as a digest goes from start to end; the
+    file source lists them and doesn't read their content. It passes over files of no bytes: they are not in the manifest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, name in enumerate(b.column("path").to_pylist()):
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([digest_in_chunks(name)], pa.string())], [*row.schema.names, "hash"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", c("length").alias("size"), c("modificationTime").alias("at"), F.sha2("content", 256).alias("hash"))
+    listed = ("path", c("length").alias("size"), c("modificationTime").alias("at"))
+    short = files.where(c("length") <= whole).select(*listed, F.sha2("content", 256).alias("hash"))
+    return short.unionByName(files.where(c("length") > whole).select(*listed).mapInArrow(run, "path string, size long, at timestamp, hash string"))
 
 
 def folder_signature(manifest: DataFrame) -> DataFrame:

@@ -48,6 +48,26 @@ def test_sessions_and_manifest(spark, tmp_path):
     assert S.folder_signature(manifest).first().files == 1
 
 
+def test_long_files_are_hashed_in_chunks(spark, tmp_path):
+    import hashlib
+    import random
+
+    inside = tmp_path / "in" / "a folder, of 50%"
+    inside.mkdir(parents=True)
+    rng = random.Random(5)
+    content = {"empty.dcm": b"", "edge.dcm": rng.randbytes(1000), "over.dcm": rng.randbytes(1001), "zip.gz": rng.randbytes(5000), "long one.dcm": bytes(20 << 20) + b"x", "zeros.dcm": bytes(3000)}
+    for name, body in content.items():
+        (inside / name).write_bytes(body)
+    (inside / "other.txt").write_bytes(b"of another kind")
+    got = {r.path.rsplit("/", 1)[1]: (r["size"], r.hash) for r in S.file_manifest(spark, f"file://{tmp_path}/in", whole=1000).collect()}
+    want = {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in content.items() if body}  # files of no bytes aren't listed
+    assert got == want | {"other.txt": (15, hashlib.sha256(b"of another kind").hexdigest())}
+    assert S.digest_in_chunks(str(inside / "over.dcm"), chunk=7) == want["over.dcm"][1]
+    long = S.file_manifest(spark, f"file://{tmp_path}/in", "*.dcm", whole=1000).where("size > 1000")
+    assert {r.path.rsplit("/", 1)[1] for r in long.collect()} == {"over.dcm", "long one.dcm", "zeros.dcm"}
+    assert S.file_manifest(spark, f"file://{tmp_path}/in", "*.none").count() == 0
+
+
 def test_deidentified_output_must_be_new(spark, tmp_path):
     rows = spark.createDataFrame([("1", "S001", "a")], "study_uid string, series_dir string, name string")
     write_deidentified(rows, f"file://{tmp_path}/out")
