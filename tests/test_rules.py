@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from slicelake import catalog
 from slicelake.functions import locale
 from slicelake.operators import deid as E
 from slicelake.operators import relations as R
@@ -17,6 +18,18 @@ def test_slices_of_a_pair_match_by_their_origins(spark):
     assert {k: v for k, v in got.items() if k[0] == "c"} == {("c", k): (None if k == 3 else k, False) for k in range(4)}
 
 
+def test_fusion_positions_reach_over_all_that_a_pair_shares(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0, 6.0)], "a_uid string, b_uid string, lo double, hi double")
+    slices = spark.createDataFrame([("a", k, float(k)) for k in range(8)] + [("b", k, 2.0 * k) for k in range(4)], "series_uid string, k int, z double")
+    got = lambda *x: sorted((r.z, r.ka, r.kb) for r in R.fusion_positions(pairs, slices, *x).collect())
+    assert got() == [(1.0, 1, 0), (2.0, 2, 1), (3.0, 3, 1), (4.0, 4, 2), (5.0, 5, 2), (6.0, 6, 3)]  # of two that are equally near the first
+    assert got(2.0, 1.5, 5.0) == [(3.0, 3, 1), (5.0, 5, 2)]
+    sf = "/root/testdata/sf0.001"
+    whole = {(r.a_uid, r.b_uid): (r.hi, int(r.hi - r.lo) + 1) for r in catalog.QUERIES["j09_pair_modalities"](spark, sf).collect()}
+    per = catalog.QUERIES["p12_fusion_positions"](spark, sf).groupBy("a_uid", "b_uid").agg(F.max("z").alias("top"), F.count("*").alias("n"))
+    assert whole and {(r.a_uid, r.b_uid): (r.top, r.n) for r in per.collect()} == whole
+
+
 def test_what_a_removed_sequence_holds_goes_too(spark):
     rows = [
         ("1", "", "00081110", "SQ", "", "kept below"), ("1", "00081110[0]", "00081155", "UI", "ReferencedSOPInstanceUID", "1.2"), ("1", "00081110[0]/0040A170[3]", "00080100", "SH", "CodeValue", "x"),
