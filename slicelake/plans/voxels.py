@@ -80,7 +80,7 @@ def _(s, d):
 
 @query("a05_roi_stats", "voxels", f"{ROIS} SELECT roi, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS sd, min(v) AS least, max(v) AS most FROM fv GROUP BY roi")
 def _(s, d):
-    return V.roi_stats(found_of(s, d)[0]).withColumns({x: F.round(x, 5) for x in ("mean", "sd")})
+    return V.roi_stats(found_of(s, d)[0]).withColumns({x: F.round(c(x) * 1e5) / 1e5 for x in ("mean", "sd")})  # as SQL rounds doubles: the product, not the decimal digits
 
 
 @query("a06_suv_max", "voxels", f"{ROIS}, t AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY v DESC, r, c) AS rn FROM fv) SELECT roi, t.r AS pr, t.c AS pc, t.v AS peak, round(avg(x.v), 5) AS mean9 FROM t JOIN voxels x ON t.series = x.series AND t.k = x.k AND abs(t.r - x.r) <= 1 AND abs(t.c - x.c) <= 1 WHERE rn = 1 GROUP BY ALL")

@@ -117,6 +117,20 @@ def test_components_of_stars_cliques_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_mean_of_a_region_is_the_same_in_any_order(spark):
+    # their sum is the halfway case -86.6667 / 20; added from the least up, it comes out nearer to zero
+    v = [440.0, -240.0, -320.0, 440.0, -120.0, -960.0, -440.0, -80.0, 660.0, 760.0, -240.0, -560.0, -546.6667, -760.0, 960.0, 40.0, 280.0, 280.0, -200.0, 520.0]
+    rng = random.Random(3)
+    orders = [v, sorted(v), sorted(v, reverse=True), *(rng.sample(v, len(v)) for _ in range(5))]
+    wide = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-6, 6) for _ in range(500)]
+    groups = {f"o{i}": x for i, x in enumerate(orders)} | {"wide": wide, "back": wide[::-1], "third": [0.1] * 10, "none": [None], "some": [None, 0.5, None], "vast": [1e300, 1.0], "inf": [float("inf"), 1.5], "nan": [float("nan"), 1.5]}
+    rows = spark.createDataFrame([(g, x) for g, vs in groups.items() for x in vs], "roi string, v double").coalesce(1)
+    got = {r.roi: r.mean for r in V.roi_stats(rows).collect()}
+    assert {got[f"o{i}"] for i in range(len(orders))} == {math.fsum(v) / len(v)} == {-4.333335}
+    assert got["wide"] == got["back"] == math.fsum(wide) / len(wide) and got["third"] == 0.1
+    assert (got["none"], got["some"], got["vast"], got["inf"]) == (None, 0.5, 5e299, float("inf")) and math.isnan(got["nan"])
+
+
 def volume(spark, a: np.ndarray):
     k, r, c = np.indices(a.shape).reshape(3, -1)
     return spark.createDataFrame([(0, int(x), int(y), int(z), float(v)) for x, y, z, v in zip(k, r, c, a.ravel(), strict=True)], "series int, k int, r int, c int, v double")
