@@ -230,6 +230,26 @@ def test_sampling(docs, texts, empty):
     assert one.near_next == 1
 
 
+@pytest.mark.parametrize("block", [8192, 5])
+def test_terms_shared_by_texts_and_edits_are_drawn_once(texts, block, monkeypatch):
+    """Drawing is the work: what a text, its edit and their neighbours share isn't drawn for each, and the samples are those of each text alone."""
+    raw = [t or "" for _, t in texts if len(t or "") < 2000]
+    pairs = [(i, t, after) for i, (t, after) in enumerate(zip(raw, raw[1:] + raw[:1], strict=True))]
+    edits = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for _, t, after in pairs]
+    want = [(sampling.signature(t).tobytes(), sampling.signature(edit).tobytes()) for (_, t, _), edit in zip(pairs, edits, strict=True)]
+    drawn, draws = [], sampling.draws
+    monkeypatch.setattr(sampling, "draws", lambda terms: drawn.append(len(terms)) or draws(terms))
+    monkeypatch.setattr(sampling, "BLOCK", block)
+    got = sampling._rows(pairs)
+    assert [row[3:5] for row, _ in got] == want
+
+    def counted(text: str) -> Counter:
+        words = text.split()
+        return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter(words)
+
+    assert sum(drawn) < 0.7 * sum(len(counted(t)) for t in [*raw, *edits])
+
+
 def test_samples_collide_as_generalised_jaccard():
     """Over a vocabulary of far more terms than any table of draws would have rows."""
     rng = np.random.default_rng(1)
