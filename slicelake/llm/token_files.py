@@ -12,10 +12,11 @@ import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ MEMORY = 450_000
 
 
 class _Coder:
-    """A tokenizer with the pieces that it has met: their numbers, and their ids end to end."""
+    """A tokenizer with the pieces that it has met: their numbers, their ids end to end, and how many batches had them."""
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
@@ -42,7 +43,9 @@ class _Coder:
         self.model = self.tokenizer.model if self._keeps_letters() else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.forget()
+        self.number: dict[str, int] = {}
+        self.ids, self.size, self.uses = [np.empty(0, "i4")], [np.empty(0, "i8")], np.empty(0, "i4")
+        self._join()
 
     def _keeps_letters(self) -> bool:
         """Whether a word of ASCII letters reaches the model as it is, but in lower case."""
@@ -54,18 +57,22 @@ class _Coder:
         return True
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.size = [np.empty(0, "i4")], [np.empty(0, "i8")]
+        """Only pieces that two batches had since the last time are kept; none, if these are half of what may be remembered."""
+        kept = self.uses > 1
+        kept &= 2 * kept.sum() < MEMORY
+        self.number = {p: i for i, p in enumerate(compress(self.number, kept.tolist()))}
+        self.ids, self.size, self.uses = [_placed(self.ids[0], self.start, self.size[0], np.flatnonzero(kept))[0]], [self.size[0][kept]], np.ones(len(self.number), "i4")
+        self._join()
 
     def learn(self, pieces: list[str]) -> None:
         """Words of ASCII letters go to the model itself; other words of letters many to a text, cut again where a word ends."""
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
         if self.model:
-            plain = [p for p in pieces if p.isascii() and p.isalpha()]
+            plain = [p for p in words if p.isascii()]
             own = [[x.id for x in self.model.tokenize(p.lower())] for p in plain]
             self._add(plain, np.array(list(chain.from_iterable(own)), "i4"), np.fromiter(map(len, own), "i8", len(own)))
-            pieces = [p for p in pieces if not (p.isascii() and p.isalpha())]
-        words = [p for p in pieces if p.isalpha()]
-        others = [p for p in pieces if not p.isalpha()]
+            words = [p for p in words if not p.isascii()]
         for i in range(0, len(words), 1000):
             own = words[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "i4")
@@ -83,37 +90,64 @@ class _Coder:
         self.ids.append(ids)
         self.size.append(size)
 
-    def encode(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each text has."""
-        odd = [i for i, t in enumerate(texts_) if self.whole or any(x in t for x in self.added)]
-        ids, size = self._encode_pieces([[] if i in odd else PIECE.findall(t) for i, t in enumerate(texts_)] if odd else list(map(PIECE.findall, texts_)))
-        if not odd:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each text has. Each distinct word between white space is cut into pieces once."""
+        odd = np.full(len(column), self.whole)  # texts that the tokenizer takes as they are
+        for x in self.added:
+            odd |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", column) if odd.any() else column)
+        words = split.flatten().dictionary_encode()
+        own, n = self._encode_words(words.dictionary)
+        ids, after = _placed(own, np.cumsum(n) - n, n, words.indices.to_numpy(zero_copy_only=False))
+        size = np.diff(np.r_[0, after][split.offsets.to_numpy() - split.offsets[0].as_py()])
+        if not odd.any():
             return ids, size
         split = np.split(ids, np.cumsum(size)[:-1])
-        for i in odd:
-            split[i] = np.array(self.tokenizer.encode(texts_[i], add_special_tokens=False).ids, "i4")
+        for i in np.flatnonzero(odd).tolist():
+            split[i] = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, "i4")
         return np.concatenate(split), np.fromiter(map(len, split), "i8", len(split))
 
-    def _encode_pieces(self, texts_: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = list(chain.from_iterable(texts_))
-        numbers = np.fromiter(map(self.number.get, flat, repeat(-1)), "i8", len(flat))
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each word has."""
+        flat = PIECE.findall(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py())
+        if not flat:
+            return np.empty(0, "i4"), np.zeros(len(words), "i8")
+        ids, after = _placed(*self._known(flat))
+        # pieces leave no character of a word out
+        cut = np.searchsorted(np.cumsum(np.fromiter(map(len, flat), "i8", len(flat))), np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype="i8"), side="right")
+        return ids, np.diff(np.r_[0, after][cut], prepend=0)
+
+    def _known(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids end to end, starts and sizes of all pieces that are remembered, and the numbers of those given. Unknown ones are learned."""
+        numbers = self._numbers(flat)
+        if len(self.number) > MEMORY and (numbers < 0).any():
+            self.forget()
+            numbers = self._numbers(flat)
         missing = np.flatnonzero(numbers < 0).tolist()
         if missing:
-            if len(self.number) > MEMORY:
-                self.forget()
-                missing = range(len(flat))
             self.learn(list({flat[i] for i in missing}))
             numbers[missing] = [self.number[flat[i]] for i in missing]
-            self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
-            self.start = np.cumsum(self.size[0]) - self.size[0]
-        if not len(numbers):
-            return np.empty(0, "i4"), np.zeros(len(texts_), "i8")
-        k = self.size[0][numbers]
-        after = np.cumsum(k)
-        # the i-th id of a piece stands i places after the piece's first
-        ids = self.ids[0][np.repeat(self.start[numbers] - (after - k), k) + np.arange(after[-1])]
-        cut = np.cumsum([len(t) for t in texts_])
-        return ids, np.diff(np.r_[0, after][cut], prepend=0)
+            self._join()
+        self.uses[numbers] += 1  # once for a batch
+        return self.ids[0], self.start, self.size[0], numbers
+
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, flat, repeat(-1)), "i8", len(flat))
+
+    def _join(self) -> None:
+        self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
+        self.start = np.cumsum(self.size[0]) - self.size[0]
+        self.uses = np.r_[self.uses, np.zeros(len(self.size[0]) - len(self.uses), "i4")]
+
+
+def _placed(ids: np.ndarray, start: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces by their numbers, end to end, and how many there are up to each piece's end."""
+    k = size[numbers]
+    after = np.cumsum(k)
+    # the i-th id of a piece stands i places after the piece's first
+    at = np.repeat(start[numbers] - (after - k), k)
+    at += np.arange(len(at))
+    return ids[at], after
 
 
 @cache
@@ -126,8 +160,8 @@ def encode_ids(docs: DataFrame, model: bytes, end_id: int | None = 1) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
-        for b in small(batches, 512):
-            ids, size = coder.encode(b.column("text").to_pylist())
+        for b in small(batches, 1024):
+            ids, size = coder.encode(b.column("text"))
             if end_id is not None:
                 ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
             offsets = np.r_[0, np.cumsum(size)].astype("i4")

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -291,6 +292,33 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]]
 
 
+@pytest.mark.parametrize("memory", [450_000, 40])
+def test_words_are_cut_once_and_recurring_pieces_kept(texts, memory, monkeypatch):
+    """Cutting, looking up and learning are the work: a batch does it for its distinct words, and a full memory keeps what recurs."""
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        coder = token_files._Coder(f.read())
+    rng = random.Random(7)
+    marks = ["a", "Bé", "don't", " ", "\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u3000", "12:30", "<|endoftext|>", "<|END", "-", "İ", "e\u0301", "東京", "🙂", "\x00"]
+    raw = [t or "" for _, t in texts] + ["".join(rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(500)]
+    looked, learned, numbers, learn = [], [], coder._numbers, coder.learn
+    monkeypatch.setattr(coder, "_numbers", lambda flat: looked.append(len(flat)) or numbers(flat))
+    monkeypatch.setattr(coder, "learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    monkeypatch.setattr(token_files, "MEMORY", memory)
+    for _ in range(3):
+        ids, size = coder.encode(pa.array(["not read", *raw]).slice(1))
+        for t, own in zip(raw, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+            assert own.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert max(looked) < sum(len(t.split()) for t in raw) / 2
+    assert memory == 40 or len(learned) == len(set(learned))
+    # frequent words in every batch, others in one
+    learned.clear()
+    coder.number, coder.ids, coder.size, coder.uses = {}, [np.empty(0, "i4")], [np.empty(0, "i8")], np.empty(0, "i4")
+    coder._join()
+    for i in range(9):
+        coder.encode(pa.array([f"the river ran {' '.join(rng.choice('bcdfgh') + 'x' * i + rng.choice('klmnop') for _ in range(20))}"]))
+    assert Counter(learned)["river"] == 1
+
+
 def test_token_files_are_ordered_by_number(spark, docs, tmp_path):
     with open(P.path("word_bpe_49k.json"), "rb") as f:
         model = f.read()
