@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,19 @@ def decimal_of_words(w: Column) -> Column:
     return F.regexp_replace(F.concat(*out[::-1]), "^0+(?!$)", "")
 
 
+def with_decimal(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds ``out``, what decimal_of_words() gives of the column ``words``. Sums are columns of their own, so that each is computed once and methods stay short enough to be compiled."""
+    base, places = 10**8, range(5)
+    power = [[(1 << 32 * (3 - i)) // base**j % base for i in range(4)] for j in places]
+    total = lambda j: F.col(f"{out}_{j}")
+    for j in places:
+        carried = F.call_function("div", total(j - 1), F.lit(base)) if j else F.lit(0).cast("long")
+        rows = rows.withColumn(f"{out}_{j}", sum((F.col(words)[i] * power[j][i] for i in range(4) if power[j][i]), carried))
+    pair = lambda j: F.substring((total(j) % base * base + total(j - 1) % base + base * base).cast("string"), 2, 16)
+    digits = F.ltrim(F.concat((total(4) % base).cast("string"), pair(3), pair(1)), F.lit("0"))
+    return rows.withColumn(out, F.when(digits == "", "0").otherwise(digits)).drop(*[f"{out}_{j}" for j in places])
+
+
 def decimal_of_hex(h: Column) -> Column:
     return let(words_of_hex(h), decimal_of_words)
 
