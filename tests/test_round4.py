@@ -42,3 +42,13 @@ def test_elements_of_headers_are_decided_as_rows_are(spark, options):
 @pytest.mark.parametrize("name", ["d01_apply_profile", "d09_strict_profile"])
 def test_profiles_are_compiled(spark, name):
     assert longest_method(catalog.QUERIES[name](spark, SF)) < 8000
+
+
+def test_pairs_of_slices_are_matched_without_a_shuffle_of_pairs(spark):
+    """What the pairs are shuffled by before: every exchange of the plan now lies below the join that makes them."""
+    df = catalog.QUERIES["j10_match_slices"](spark, SF)
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda x: re.match(r"[\s:|+\-*]*", x).end()
+    top = next(x for x in lines if "Join" in x)
+    assert not [x for x in lines[: lines.index(top)] if "Exchange" in x and depth(x) <= depth(top)]
+    assert "Window" not in "".join(lines[: lines.index(top)])
