@@ -253,7 +253,7 @@ def _(s, d):
 
 @query("v06_fill_holes", "vvoxels", f"{VM}, {HOLES} SELECT {K} FROM m UNION ALL SELECT {K} FROM hole")
 def _(s, d):
-    return V.fill_holes(vmask(s, d), 50, 64)
+    return V.fill_holes(big(s, d).select(*V.KEY, (c("v") > -60).alias("inside")), 50, 64)
 
 
 @query("a21_aerated_fraction", "vvoxels", f"{VM}, {HOLES}, body AS (SELECT {K} FROM m UNION ALL SELECT {K} FROM hole), h AS (SELECT v.series, v.k, count(*) AS n FROM vvoxels v JOIN body USING (series, k, r, c) WHERE v < -80 GROUP BY ALL) SELECT s.series, s.k, coalesce(n, 0) / 3200.0::DOUBLE AS fraction FROM (SELECT DISTINCT series, k FROM vvoxels) s LEFT JOIN h USING (series, k)")

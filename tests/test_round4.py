@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slicelake import catalog
 from slicelake.operators import deid as E
+from slicelake.operators import voxels as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,21 @@ def test_pairs_of_slices_are_matched_without_a_shuffle_of_pairs(spark):
     top = next(x for x in lines if "Join" in x)
     assert not [x for x in lines[: lines.index(top)] if "Exchange" in x and depth(x) <= depth(top)]
     assert "Window" not in "".join(lines[: lines.index(top)])
+
+
+def partial(spark, rows):
+    """A slice of 8 by 8 of which only the first ``rows`` rows have voxels: 1, but -1 within a ring that the last of them closes."""
+    hole = {(r, q) for r in (rows - 2, rows - 1) for q in (3, 4)}
+    return spark.createDataFrame([(0, 50, r, q, -1.0 if (r, q) in hole else 1.0 + q) for r in range(rows) for q in range(8)], "series int, k int, r int, c int, v double"), hole
+
+
+def test_places_without_voxels_are_no_background_of_the_air(spark):
+    voxels, hole = partial(spark, 5)
+    assert V.aerated_fraction(voxels, 8, 8, 0, 0).first().fraction == len(hole) / 64
+
+
+def test_places_without_voxels_are_no_background_of_holes(spark):
+    voxels, hole = partial(spark, 5)
+    flags = voxels.select(*V.KEY, ((F.col("v") > 0) & (F.col("r") > 0)).alias("inside"))
+    filled = {(x.r, x.c) for x in V.fill_holes(flags, 8, 8).collect()}
+    assert filled == {(r, q) for r in range(1, 5) for q in range(8)} and hole < filled
