@@ -61,6 +61,8 @@ def _(s, d):
     return X.load(s, d, "part").select("p_partkey", origins.alias("o")).select("p_partkey", "o", F.explode("o").alias("r0")).select("p_partkey", "r0", F.explode("o").alias("c0"))
 
 
+#: Decimals of the grid's values.
+PLACES = 4
 ROIS = "rois AS (SELECT series || '.' || k || '.' || r AS roi, series, k, r AS r0, min(c) AS c0, 3 + (r % 4) AS rad FROM voxels GROUP BY series, k, r), fv AS (SELECT roi, v.series, v.k, v.r, v.c, v FROM rois JOIN voxels v ON rois.series = v.series AND rois.k = v.k WHERE r0 - rad >= 0 AND c0 - rad >= 0 AND r0 + rad < 64 AND c0 + rad < 64 AND (r - r0) * (r - r0) + (c - c0) * (c - c0) <= rad * rad)"
 
 
@@ -93,8 +95,8 @@ def _(s, d):
 def _(s, d):
     f, x = found_of(s, d)
     rois = rois_of(x).select("roi", "series", (c("r0") < 8).alias("reference"))
-    out = V.reference_activity(V.roi_stats(f).select("roi", "n", "mean", "sd").join(rois, "roi"))
-    return out.withColumns({"ratio": F.round("ratio", 6) + 0.0, "ref_mean": F.round("ref_mean", 5) + 0.0, "ref_sd": F.round("ref_sd", 5)})
+    out = V.reference_activity(V.roi_stats(f, PLACES).select("roi", "n", "mean", "sd", "total").join(rois, "roi"), PLACES)
+    return out.withColumns({x: F.round(c(x) * 10.0**n) / 10.0**n + 0.0 for x, n in (("ratio", 6), ("ref_mean", 5), ("ref_sd", 5))})
 
 
 BOXES = "boxes AS (SELECT p_partkey AS box, p_partkey % 8 AS series, p_size AS r0, p_size + 10 AS r1, p_partkey % 40 AS c0, p_partkey % 40 + 12 AS c1 FROM part), bv AS (SELECT box, v.* FROM boxes b JOIN voxels v ON b.series = v.series AND r >= r0 AND r < r1 AND c >= c0 AND c < c1)"

@@ -94,3 +94,12 @@ def test_slices_are_resampled_at_their_own_places(spark):
     same = bilinear(voxels, (8, 8), (1.0, 0.0), (1.0, 0.0))
     assert sorted(same.collect()) == sorted(voxels.collect())
     assert bilinear(voxels, (8, 8), (1.0, 0.0), (1.0, 0.0), (8, 8)).count() == 64
+
+
+def test_ratios_to_a_reference_are_of_exact_sums(spark):
+    values = {"a": [-960.0, 333.3333, -333.3333], "b": [-112.5] * 3, "zero": [0.1, 0.2, -0.3], "c": [1.5]}  # b / a is 0.3515625, a half of the sixth decimal
+    found = spark.createDataFrame([(r, v) for r, x in values.items() for v in x], "roi string, v double")
+    rois = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("zero", 2, True), ("c", 2, False)], "roi string, series int, reference boolean")
+    got = {x.roi: x for x in V.reference_activity(V.roi_stats(found.repartition(3), 4).join(rois, "roi"), 4).collect()}
+    assert (got["b"].ratio, got["a"].ref_mean, got["a"].ratio) == (0.3515625, -320.0, 1.0)
+    assert got["c"].ratio == float("inf") and got["c"].ref_mean == 0.0 and got["zero"].ratio != got["zero"].ratio
