@@ -290,7 +290,7 @@ def _(s, d):
 @query("w03_longest_run", "voxels", """s AS (SELECT series * 64 + r AS series, k, avg(v) AS m FROM voxels GROUP BY ALL), e AS (SELECT series, min(k) AS lo, max(k) AS hi FROM s GROUP BY series), g AS (SELECT series, k, k - row_number() OVER (PARTITION BY series ORDER BY k) AS i FROM s WHERE m > 0), u AS (SELECT series, i, min(k) AS a, max(k) AS b FROM g GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY b - a DESC, a) AS rn FROM u)
 SELECT series, greatest(lo, a - 1) AS a, least(hi, b + 1) AS b FROM w JOIN e USING (series) WHERE rn = 1""")
 def _(s, d):
-    x = X.grid_voxels(s, d).groupBy((c("series") * 64 + c("r")).alias("series"), "k").agg(F.avg("v").alias("m"))
+    x = X.grid_voxels(s, d).groupBy((c("series") * 64 + c("r")).alias("series"), "k").agg(V.whole_sum(c("v"), PLACES).alias("m"))  # of the mean's sign, and 0 where the mean is
     return V.longest_run(x, c("m") > 0, 1)
 
 

@@ -103,3 +103,17 @@ def test_ratios_to_a_reference_are_of_exact_sums(spark):
     got = {x.roi: x for x in V.reference_activity(V.roi_stats(found.repartition(3), 4).join(rois, "roi"), 4).collect()}
     assert (got["b"].ratio, got["a"].ref_mean, got["a"].ratio) == (0.3515625, -320.0, 1.0)
     assert got["c"].ratio == float("inf") and got["c"].ref_mean == 0.0 and got["zero"].ratio != got["zero"].ratio
+
+
+def test_values_that_add_up_to_nothing_are_not_good(spark, tmp_path):
+    """Three voxels of a slice whose doubles leave 6e-17 where their decimals add up to 0: its run ends before it."""
+    rows = [(0, k, 0, q, v) for k in (1, 2) for q, v in enumerate((0.1, 0.2, -0.3 if k == 2 else 0.3))]
+    x = spark.createDataFrame(rows, "series int, k int, r int, c int, v double").coalesce(1)
+    assert x.where("k = 2").agg(F.sum("v")).first()[0] > 0 and x.where("k = 2").agg(V.whole_sum(F.col("v"), 4)).first()[0] == 0
+    from slicelake import fixtures
+
+    original, fixtures.grid_voxels = fixtures.grid_voxels, lambda s, d: x.unionByName(x.where("k = 1").withColumn("k", F.lit(4)).withColumn("v", -F.abs("v")))
+    try:
+        assert [tuple(r) for r in catalog.QUERIES["w03_longest_run"](spark, SF).collect()] == [(0, 1, 2)]
+    finally:
+        fixtures.grid_voxels = original
