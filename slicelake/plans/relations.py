@@ -35,9 +35,12 @@ def _(s, d):
 PASSES = "ps AS (SELECT DISTINCT series_uid, purpose FROM instances, (VALUES ('CT', 'lung:native'), ('CT', 'soft:native'), ('PT', 'pet:native'), ('MR', 'mr:native')) v(m, purpose) WHERE modality = m), cv AS (SELECT series_uid, sop_uid, 'lung:native' AS purpose FROM instances WHERE instance_number % 3 <> 0 UNION ALL SELECT series_uid, sop_uid, 'mr:native' FROM instances WHERE slice_location > 25), sk AS (SELECT series_uid, sop_uid, 'soft:native' AS purpose FROM instances WHERE z < 3), need AS (SELECT DISTINCT i.series_uid, sop_uid, purpose FROM instances i JOIN ps USING (series_uid))"
 
 
+def pass_names():
+    return F.when(c("modality") == "CT", F.array(F.lit("lung:native"), F.lit("soft:native"))).when(c("modality") == "PT", F.array(F.lit("pet:native"))).otherwise(F.array(F.lit("mr:native")))
+
+
 def passes_of(i):
-    names = F.when(c("modality") == "CT", F.array(F.lit("lung:native"), F.lit("soft:native"))).when(c("modality") == "PT", F.array(F.lit("pet:native"))).otherwise(F.array(F.lit("mr:native")))
-    passes = i.select("series_uid", F.explode(names).alias("purpose")).distinct()
+    passes = i.select("series_uid", F.explode(pass_names()).alias("purpose")).distinct()
     covered = i.where("instance_number % 3 <> 0").select("series_uid", "sop_uid", F.lit("lung:native").alias("purpose")).union(i.where("slice_location > 25").select("series_uid", "sop_uid", F.lit("mr:native")))
     return passes, covered, i.where("z < 3").select("series_uid", "sop_uid", F.lit("soft:native").alias("purpose"))
 

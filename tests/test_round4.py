@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slicelake import catalog
 from slicelake.operators import deid as E
+from slicelake.operators import ledger as L
 from slicelake.operators import voxels as V
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,14 @@ def test_values_that_add_up_to_nothing_are_not_good(spark, tmp_path):
         assert [tuple(r) for r in catalog.QUERIES["w03_longest_run"](spark, SF).collect()] == [(0, 1, 2)]
     finally:
         fixtures.grid_voxels = original
+
+
+def test_coverage_copies_no_row_and_counts_a_slice_once(spark):
+    rows = [("s1", "a", "p", "1", True, True), ("s1", "a", "p", "1", False, None), ("s1", "a", "q", "1", False, False), ("s1", "b", "p", "1", None, False), ("s2", "c", "p", "1", True, False), ("s2", "c", None, "2", True, True), ("s2", "c", "p", None, True, True), (None, "d", "p", "3", False, True)]
+    df = spark.createDataFrame(rows, "study_uid string, series_uid string, purpose string, sop_uid string, rendered boolean, reviewed boolean")
+    plain = df.rollup("study_uid", "series_uid", "purpose").agg(F.count_distinct("sop_uid").alias("slices"), *[F.count_distinct(F.when(F.col(x), F.col("sop_uid"))).alias(x) for x in ("rendered", "reviewed")])
+    got = L.coverage(df)
+    text = lambda found: sorted(map(str, found.collect()))
+    assert text(got) == text(plain) and got.columns == plain.columns
+    plan = catalog.QUERIES["a16_coverage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
