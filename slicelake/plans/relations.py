@@ -45,6 +45,20 @@ def passes_of(i):
     return passes, covered, i.where("z < 3").select("series_uid", "sop_uid", F.lit("soft:native").alias("purpose"))
 
 
+def slice_state(i, *more):
+    """A row for each (series_uid, sop_uid): its modality, one for all headers of a series, as its uid holds the modality's letter; what passes_of() says of its headers, whether a pass covers or skips it; ``more`` aggregates. One shuffle, by series."""
+    said = {"lung": c("instance_number") % 3 != 0, "mr": c("slice_location") > 25, "soft": c("z") < 3}
+    rows = i.withColumns(said).repartition("series_uid")  # what is asked of a header goes before the shuffle, not the header
+    return rows.groupBy("series_uid", "sop_uid").agg(F.min("modality").alias("modality"), *[F.coalesce(F.bool_or(x), F.lit(False)).alias(x) for x in said], *more)
+
+
+def unread_passes():
+    """The passes of a row of slice_state() that nothing covers or skips."""
+    ct = c("modality") == "CT"
+    open_ = [F.when(ct & ~c("lung"), "lung:native"), F.when(ct & ~c("soft"), "soft:native"), F.when(c("modality") == "PT", "pet:native"), F.when((c("modality") == "MR") & ~c("mr"), "mr:native")]
+    return F.array_compact(F.array(*open_))
+
+
 @query("j03_unread_slices", "instances", f"{PASSES} SELECT * FROM need ANTI JOIN cv USING (series_uid, sop_uid, purpose) ANTI JOIN sk USING (series_uid, sop_uid, purpose)")
 def _(s, d):
     i = X.instances(s, d)
@@ -265,9 +279,7 @@ def _(s, d):
 
 @query("u02_missing_sops", "instances", f"{PASSES} SELECT * FROM need EXCEPT SELECT * FROM cv EXCEPT SELECT * FROM sk")
 def _(s, d):
-    i = X.instances(s, d)
-    passes, covered, skipped = passes_of(i)
-    return i.select("series_uid", "sop_uid").distinct().join(passes, "series_uid").select("series_uid", "sop_uid", "purpose").subtract(covered).subtract(skipped)
+    return slice_state(X.instances(s, d)).where("series_uid is not null").select("series_uid", "sop_uid", F.explode(unread_passes()).alias("purpose"))
 
 
 @query("u03_valid_skips", "instances", "SELECT series_uid, sop_uid FROM (SELECT series_uid, CASE WHEN instance_number % 4 = 0 THEN sop_uid || '.x' ELSE sop_uid END AS sop_uid FROM instances WHERE z < 5) INTERSECT SELECT series_uid, sop_uid FROM instances")

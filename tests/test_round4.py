@@ -129,3 +129,10 @@ def test_coverage_copies_no_row_and_counts_a_slice_once(spark):
     assert text(got) == text(plain) and got.columns == plain.columns
     plan = catalog.QUERIES["a16_coverage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+@pytest.mark.parametrize(("name", "left"), [("u02_missing_sops", 1)])
+def test_headers_are_read_once(spark, name, left):
+    """Scans of the headers' table in the plan; those of the last two were written as a row for each series."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == left
