@@ -131,7 +131,7 @@ def test_coverage_copies_no_row_and_counts_a_slice_once(spark):
     assert "Expand" not in plan
 
 
-@pytest.mark.parametrize(("name", "left"), [("u02_missing_sops", 1), ("l06_validate_series", 0)])
+@pytest.mark.parametrize(("name", "left"), [("u02_missing_sops", 1), ("l06_validate_series", 0), ("l13_technical_alerts", 0)])
 def test_headers_are_read_once(spark, name, left):
     """Scans of the headers' table in the plan; those of the last two were written as a row for each series."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
